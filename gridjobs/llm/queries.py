@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from gridjobs.llm.bpe import op7_bpe
+from gridjobs.llm.decontaminate import op2_decontaminate
 from gridjobs.llm.secrets import op4_secrets
 from gridjobs.llm.simhash import op8_simhash
+from gridjobs.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {"op4_secrets": op4_secrets, "op7_bpe": op7_bpe, "op8_simhash": op8_simhash}
+    return {"op2_decontaminate": op2_decontaminate, "op6_toxicity": op6_toxicity, "op4_secrets": op4_secrets, "op7_bpe": op7_bpe, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
