@@ -46,7 +46,7 @@ def _roots(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool, til
     if wrap:
         out = out.withColumns({"i": F.pmod("i", "nx"), "j": F.pmod("j", "ny")})
     pairs = out.select(*keys, "i", "j", F.col("root").alias("src")).join(rim.select(*keys, "i", "j", F.col("root").alias("dst")), [*keys, "i", "j"])
-    far = components(pairs.where("src <> dst").distinct(), keys, finish=FINISH).withColumnsRenamed({"vertex": "root", "root": "far"})
+    far = components(pairs.where("src <> dst").distinct(), keys, finish=FINISH).select(*keys, F.col("root").alias("far"), F.col("vertex").alias("root"))
     return local.join(far, [*keys, "root"], "left").select(*keys, "i", "j", "nx", "ny", F.coalesce("far", "root").alias("root"))
 
 

@@ -1,6 +1,748 @@
-"""Registered queries of the grid clustering jobs."""
+"""Registered queries of the grid clustering jobs, and SQL for the same results.
+
+Points come from ``events`` (hours since the first event, value), labelled points from ``embeddings`` (two components), snapshots
+from ``lineitem`` (years as steps). Doubles are rounded so that two engines can be compared.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridjobs.functions.session import cut, shared_dir
+from gridjobs.operators import baselines, diffusion, grid, labelling, matching, metrics, neighbors, prepare, search
+from gridjobs.operators.components import components
+from gridjobs.plans import pipeline
+from gridjobs.sources import points as sources
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+NX, NY = 30, 20
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without a negative zero."""
+    return df.select(*((F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+# Inputs
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = e.agg(F.min(at).alias("first"))
+    hours = e.crossJoin(F.broadcast(first)).select(F.col("event_id").alias("point_id"), ((at - F.col("first")) / F.lit(3.6e9)).alias("x"), F.col("value").cast("double").alias("y"), F.col("event_type").alias("truth"))
+    return sources.points_from(hours)
+
+
+P = """p as (select event_id as point_id, (epoch_us(ts) - (select min(epoch_us(ts)) from events)) / 3.6e9 as x, value::double as y, event_type as truth
+  from events where ts is not null and value is not null and isfinite(value::double))"""
+
+
+def vector_points(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    p = e.select(F.col("vec_id").alias("point_id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), F.col("label").cast("int").alias("truth"))
+    return prepare.standardize(p) if scaled else p
+
+
+V = "v as (select vec_id as point_id, embedding[1]::double as x, embedding[2]::double as y, label::int as truth from embeddings where embedding is not null)"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    d = lambda c: F.col(c).cast("double")
+    order = Window.partitionBy(F.year("l_shipdate")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    t = t.select(
+        F.year("l_shipdate").cast("long").alias("step"), (F.year("l_shipdate").cast("long") * 100_000_000_000 + F.row_number().over(order)).alias("atom_id"),
+        d("l_quantity").alias("x"), (d("l_extendedprice") / 2100).alias("y"), (d("l_discount") * 500).alias("z"), (d("l_tax") / 0.08).alias("c_label"),
+        *(F.lit(v).alias(c) for c, v in zip(sources.BOX, (0.0, 50.0001) * 3, strict=True)),
+    )
+    return sources.snapshots_from(t)
+
+
+A = """a as (select year(l_shipdate)::bigint as step, year(l_shipdate)::bigint * 100000000000 + row_number() over (partition by year(l_shipdate) order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as atom_id,
+  l_quantity::double as x, l_extendedprice::double / 2100 as y, l_discount::double * 500 as z, l_tax::double / 0.08 as c_label from lineitem)"""
+
+
+def vector_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as one snapshot of atoms: three components, label scaled to (0, 1]."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.lit(0).cast("long").alias("step"), F.col("vec_id").alias("atom_id"), *(F.get("embedding", F.lit(n)).cast("double").alias(c) for n, c in enumerate("xyz")), ((F.col("label") + 1) / 10.0).alias("c_label"))
+
+
+W = "w as (select 0::bigint as step, vec_id as atom_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, (label + 1) / 10.0::double as c_label from embeddings where embedding is not null)"
+
+
+def binned_events(spark: SparkSession, sf_dir: str, nx: int = NX, ny: int = NY) -> DataFrame:
+    return search.bin_candidates(event_points(spark, sf_dir), spark.createDataFrame([(nx, ny)], "nx int, ny int"))
+
+
+def event_cells(spark: SparkSession, sf_dir: str, nx: int = NX, ny: int = NY) -> DataFrame:
+    return grid.normalize_nonzero(grid.cell_counts(binned_events(spark, sf_dir, nx, ny), ["nx", "ny", *search.BOUNDS]))
+
+
+def binned_sql(nx: int = NX, ny: int = NY, source: str = "p") -> str:
+    return f"""b as (select min(x) - 1e-9 * (max(x) - min(x) + 1) as x_min, max(x) + 1e-9 * (max(x) - min(x) + 1) as x_max, min(y) - 1e-9 * (max(y) - min(y) + 1) as y_min, max(y) + 1e-9 * (max(y) - min(y) + 1) as y_max from {source}),
+q as (select {source}.*, b.*, greatest(0, least(floor((x - x_min) / ((x_max - x_min) / {nx})), {nx - 1}))::int as i, greatest(0, least(floor((y - y_min) / ((y_max - y_min) / {ny})), {ny - 1}))::int as j from {source}, b)"""
+
+
+NORM = "c0 as (select i, j, count(*) as n from q group by i, j), c as (select i, j, n, case when max(n) over () > min(n) over () then (n - min(n) over ())::double / (max(n) over () - min(n) over ()) else 0 end as norm from c0)"
+CELLS = f"{P}, {binned_sql()}, {NORM}"
+
+
+def components_sql(cells: str, name: str, near: str = "abs(s.i - c.i) + abs(s.j - c.j) = 1", code: str = f"i * {NY} + j", key: str | None = None) -> str:
+    """Labels of cells by reachability, in raster order, as CTE ``name``."""
+    k, on = (f"{key}, ", f" and s.{key} = c.{key}") if key else ("", "")
+    kk = f"c.{key}, " if key else ""
+    part = f"partition by {key} " if key else ""
+    return f"""{name}_s as (select *, ({code})::bigint as code from {cells}),
+{name}_r({k}a, b) as (select {k}code, code from {name}_s union select {kk}r.a, s.code from {name}_r r join {name}_s c on c.code = r.b{f" and c.{key} = r.{key}" if key else ""} join {name}_s s on {near}{on}),
+{name}_m as (select {k}a, min(b) as root from {name}_r group by {k}a),
+{name} as (select {name}_s.*, root, (dense_rank() over ({part.replace(key, f"{name}_s.{key}") if key else ""}order by root) - 1)::int as label from {name}_s join {name}_m on {name}_m.a = {name}_s.code{f" and {name}_m.{key} = {name}_s.{key}" if key else ""})"""
+
+
+# Sources and sinks
+
+
+@query("s1_read_points", f"with {P} select point_id, round(x, 6) as x, round(y, 6) as y, truth from p")
+def read_points(spark, sf_dir):
+    return rounded(event_points(spark, sf_dir).select("point_id", "x", "y", "truth"))
+
+
+@query("s2_read_snapshots", f"with {A} select step, 0.0::double as xlo, 50.0001::double as xhi, count(*) as n, round(sum(c_label), 4) as labels, round(avg(x), 6) as x, round(avg(z), 6) as z from a group by step")
+def read_snapshots(spark, sf_dir):
+    a = snapshots(spark, sf_dir)
+    s = a.groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("c_label"), 4).alias("labels"), F.avg("x").alias("x"), F.avg("z").alias("z"))
+    return rounded(sources.snapshot_boxes(a).select("step", "xlo", "xhi").join(s, "step"))
+
+
+@query("s3_find_truth_column", "select label::int as truth, count(*) as n from embeddings group by label")
+def find_truth_column(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.groupBy(F.col(sources.find_truth_column(e)).cast("int").alias("truth")).agg(F.count("*").alias("n"))
+
+
+@query("s4_decode_labels", "select label::varchar as label, label::int as label_int, count(*) as n from embeddings group by label")
+def decode_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("b'"), F.col("label").cast("string"), F.lit("'")).alias("label"))
+    return sources.decode_labels(e, "label").groupBy("label", "label_int").agg(F.count("*").alias("n"))
+
+
+@query("s5_write_candidates", f"with {CELLS}, k as (select i, count(*) as n_cells, max(norm) as score from c group by i) select i, n_cells, round(score, 6) as score from k")
+def write_candidates(spark, sf_dir):
+    path = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    rows = event_cells(spark, sf_dir).groupBy("i").agg(F.count("*").alias("n_cells"), F.max("norm").alias("score"))
+    sources.write_candidates(rows, path)
+    return rounded(spark.read.schema("i int, n_cells long, score double").csv(path, header=True))
+
+
+@query("s6_write_read_summary", f"with {CELLS} select {NX}::bigint as nx, {NY}::bigint as ny, count(*) as n_cells, sum(n)::bigint as n_points from c")
+def summary(spark, sf_dir):
+    path = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    one = event_cells(spark, sf_dir).groupBy("nx", "ny").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_points"))
+    sources.write_summary(one.select(F.lit("fixed").alias("mode"), F.struct("nx", "ny").alias("grid"), F.struct("n_cells", "n_points").alias("stats")), path)
+    back = sources.read_summary(spark, path, "mode string, grid struct<nx: long, ny: long>, stats struct<n_cells: long, n_points: long>")
+    return back.select("grid.nx", "grid.ny", "stats.n_cells", "stats.n_points")
+
+
+# Preparation and grid suggestion
+
+BOUNDS_SQL = ", ".join(f"round({c}, 6) as {c}" for c in ("x_min", "x_max", "y_min", "y_max"))
+
+
+@query("p1_padded_bounds", f"with {P}, {binned_sql()} select {BOUNDS_SQL}, round(x_max - x_min, 6) as \"Lx\", round(y_max - y_min, 6) as \"Ly\" from b")
+def padded_bounds(spark, sf_dir):
+    return rounded(prepare.padded_bounds(event_points(spark, sf_dir)).select(*search.BOUNDS, "Lx", "Ly"))
+
+
+@query("p2_standardize", f"with {P} select point_id, round((x - avg(x) over ()) / stddev_pop(x) over (), 5) + 0.0 as x, round((y - avg(y) over ()) / stddev_pop(y) over (), 5) + 0.0 as y from p")
+def standardize(spark, sf_dir):
+    return rounded(prepare.standardize(event_points(spark, sf_dir)).select("point_id", "x", "y"), 5)
+
+
+@query("p3_minmax_scale", f"with {P} select point_id, round((x - min(x) over ()) / (max(x) over () - min(x) over () + 1e-12), 6) as x, round((y - min(y) over ()) / (max(y) over () - min(y) over () + 1e-12), 6) as y from p")
+def minmax_scale(spark, sf_dir):
+    return rounded(prepare.minmax_scale(event_points(spark, sf_dir)).select("point_id", "x", "y"))
+
+
+KNN = """k as (select a.point_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.point_id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as r from v a join v b on a.point_id <> b.point_id)"""
+
+
+@query("p4_knn_spacing", f"with {V}, {KNN} select round(greatest(1e-12, median(d)), 6) as knn_h from k where r = 5")
+def knn_spacing(spark, sf_dir):
+    return rounded(prepare.knn_spacing(vector_points(spark, sf_dir), 5))
+
+
+OCC = """o0 as (select max(x) - min(x) as lx, max(y) - min(y) as ly, greatest(1, round_even(count(*) / 4.0, 0)) as cells from {s}), o1 as (select *, lx / (ly + 1e-12) as r from o0),
+o2 as (select *, round_even(sqrt(cells / (r + 1e-12)), 0) as ny0 from o1), o3 as (select lx, ly, greatest(1, least(round_even(r * ny0, 0), 200)) as nx, greatest(1, least(ny0, 200)) as ny from o2), occ as (select sqrt((lx / nx) * (ly / ny)) as occ_h from o3)"""
+
+
+@query("p5_occupancy_spacing", f"with {P}, {OCC.format(s='p')} select round(occ_h, 6) as occ_h from occ")
+def occupancy_spacing(spark, sf_dir):
+    return rounded(prepare.occupancy_spacing(event_points(spark, sf_dir)))
+
+
+FD = "fd as (select sqrt(greatest(2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / (pow(count(*), 1.0 / 3) + 1e-12), 1e-12) * greatest(2 * (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / (pow(count(*), 1.0 / 3) + 1e-12), 1e-12)) as fd_h from {s})"
+
+
+@query("p6_fd_spacing", f"with {P}, {FD.format(s='p')} select round(fd_h, 6) as fd_h from fd")
+def fd_spacing(spark, sf_dir):
+    return rounded(prepare.fd_spacing(event_points(spark, sf_dir)))
+
+
+SEEDS = f"""{V}, {KNN}, kh as (select greatest(1e-12, median(d)) as knn_h from k where r = 5), {OCC.format(s="v")}, {FD.format(s="v")},
+sd as (select (select max(x) - min(x) from v) as lx, (select max(y) - min(y) from v) as ly, ((select knn_h from kh) + (select occ_h from occ) + (select fd_h from fd)) / 3 as h0),
+se as (select *, greatest(1, least(ceil(lx / h0), 200)) as nx0, greatest(1, least(ceil(ly / h0), 200)) as ny0 from sd), sf as (select *, greatest(lx / nx0, ly / ny0) as h_est from se)"""
+
+
+@query("p7_suggest_grids", f"""with {SEEDS}, g as (select t as n, greatest(1e-12, least(0.8 * h_est + t * (1.2 * h_est - 0.8 * h_est) / 6, greatest(lx, ly))) as h, lx, ly from sf, range(7) r(t)),
+g2 as (select n, greatest(1, least(ceil(lx / h), 200))::int as nx, greatest(1, least(ceil(ly / h), 200))::int as ny, lx, ly from g),
+g3 as (select nx, ny, min(n) as n, max(greatest(lx / nx, ly / ny)) as h from g2 group by nx, ny) select (row_number() over (order by n) - 1)::int as cand_id, nx, ny, round(h, 6) as h from g3""")
+def suggest_grids(spark, sf_dir):
+    return rounded(prepare.suggest_grids(vector_points(spark, sf_dir)))
+
+
+@query("p8_preselect_grid", f"""with {SEEDS}, q as (select greatest(0, least(floor((x - (select min(x) from v)) / (lx / nx0)), nx0 - 1))::int as i, greatest(0, least(floor((y - (select min(y) from v)) / (ly / ny0)), ny0 - 1))::int as j from v, sf), {NORM}
+select (select nx0::int from sf) as nx, (select ny0::int from sf) as ny, i, j, n, round(norm, 6) as norm from c""")
+def preselect_grid(spark, sf_dir):
+    return rounded(prepare.preselect_grid(vector_points(spark, sf_dir)).select("nx", "ny", "i", "j", "n", "norm"))
+
+
+# Cells
+
+
+@query("g1_assign_cells", f"with {P}, {binned_sql()} select point_id, i, j from q")
+def assign_cells(spark, sf_dir):
+    return binned_events(spark, sf_dir).select("point_id", "i", "j")
+
+
+SIZES = ((7.3, 7.3, 7.3), (9.7, 11.1, 13.9))
+
+
+def box_sql(wrap: bool) -> str:
+    count, at = ("ceil", "((floor({c} / {d})::bigint % {m}) + {m}) % {m}") if wrap else ("floor", "floor({c} / {d})::bigint")
+    m = {a: f"{count}(50.0001 / d{a})::bigint" for a in "xyz"}
+    cells = ", ".join(f"({at.format(c=a, d=f'd{a}', m=m[a])})::int as {a}i" for a in "xyz")
+    return f"sz(size_id, dx, dy, dz) as (values (0, 7.3::double, 7.3::double, 7.3::double), (1, 9.7::double, 11.1::double, 13.9::double)), bx as (select a.*, size_id, dx, dy, dz, {', '.join(f'{m[a]}::int as m{a}' for a in 'xyz')}, {cells} from a, sz)"
+
+
+BOXED = f"{A}, {box_sql(True)}, cm as (select step, size_id, any_value(dx) as dx, any_value(dy) as dy, any_value(dz) as dz, any_value(mx) as mx, any_value(my) as my, any_value(mz) as mz, xi, yi, zi, avg(c_label) as label_mean, count(*) as cn from bx group by step, size_id, xi, yi, zi)"
+
+
+def boxed(spark, sf_dir, wrap=True, sizes=SIZES):
+    a = snapshots(spark, sf_dir)
+    return grid.box_cells(a, sources.snapshot_boxes(a), sizes, wrap)
+
+
+@query("g2_assign_cells_periodic", f"with {A}, {box_sql(True)} select size_id, atom_id, xi, yi, zi from bx")
+def assign_cells_periodic(spark, sf_dir):
+    return boxed(spark, sf_dir).select("size_id", "atom_id", "xi", "yi", "zi")
+
+
+@query("g2b_assign_cells_strict", f"with {A}, {box_sql(False)} select size_id, atom_id, xi, yi, zi from bx where xi < mx and yi < my and zi < mz")
+def assign_cells_strict(spark, sf_dir):
+    return boxed(spark, sf_dir, False).where("xi < mx and yi < my and zi < mz").select("size_id", "atom_id", "xi", "yi", "zi")
+
+
+@query("g3_cell_counts", f"with {CELLS} select i, j, n from c")
+def cell_counts(spark, sf_dir):
+    return grid.cell_counts(binned_events(spark, sf_dir))
+
+
+@query("g4_normalize_nonzero", f"with {CELLS} select i, j, n, round(norm, 6) as norm from c")
+def normalize_nonzero(spark, sf_dir):
+    return rounded(event_cells(spark, sf_dir).select("i", "j", "n", "norm"))
+
+
+@query("g5_cell_means", f"with {BOXED} select step, size_id, xi, yi, zi, round(label_mean, 6) as label_mean, cn from cm")
+def cell_means(spark, sf_dir):
+    return rounded(grid.cell_means(boxed(spark, sf_dir)).select("step", "size_id", "xi", "yi", "zi", "label_mean", "cn"))
+
+
+@query("g6_cell_geometry", f"with {CELLS} select i, j, round(x_min + i * (x_max - x_min) / {NX}, 5) as x0, round(y_min + (j + 1) * (y_max - y_min) / {NY}, 5) as y1, round(x_min + (i + 0.5) * (x_max - x_min) / {NX}, 5) as cx, round(y_min + (j + 0.5) * (y_max - y_min) / {NY}, 5) as cy from c, b")
+def cell_geometry(spark, sf_dir):
+    return rounded(grid.cell_geometry(event_cells(spark, sf_dir)).select("i", "j", "x0", "y1", "cx", "cy"), 5)
+
+
+LATTICE = f"""{BOXED}, gr as (select distinct step, size_id, mx, my, mz from cm), la as (select step, size_id, x.v::int as xi, y.v::int as yi, z.v::int as zi from gr, range(100) x(v), range(100) y(v), range(100) z(v) where x.v < mx and y.v < my and z.v < mz),
+lt as (select la.*, label_mean, coalesce(cn, 0) as cn from la left join cm using (step, size_id, xi, yi, zi))"""
+
+
+@query("g7_full_lattice", f"with {LATTICE} select step, size_id, xi, yi, zi, round(label_mean, 6) as label_mean, cn from lt")
+def full_lattice(spark, sf_dir):
+    return rounded(grid.full_lattice(grid.cell_means(boxed(spark, sf_dir))).select("step", "size_id", "xi", "yi", "zi", "label_mean", "cn"))
+
+
+DENSE = f"{CELLS}, d as (select * from c where norm >= 0.1)"
+LABELS = f"{DENSE}, {components_sql('d', 'l')}"
+
+
+def dense_labels(spark, sf_dir, thr=0.1, **kw):
+    return labelling.cell_components(grid.dense_by_threshold(event_cells(spark, sf_dir), thr).where("dense"), **kw)
+
+
+@query("g8_label_points", f"with recursive {LABELS} select point_id, coalesce(label, -1) as label from q left join l on q.i = l.i and q.j = l.j")
+def label_points(spark, sf_dir):
+    return grid.label_points(binned_events(spark, sf_dir), dense_labels(spark, sf_dir)).select("point_id", "label")
+
+
+NEAR_3D = "abs(s.xi - c.xi) + abs(s.yi - c.yi) + abs(s.zi - c.zi) = 1"
+BIG = f"{BOXED}, h as (select *, step * 10 + size_id as run from cm where label_mean >= 0.55)"
+CLUSTERS_3D = f"{BIG}, {components_sql('h', 'k3', NEAR_3D, '(xi * 1000 + yi) * 1000 + zi', 'run')}"
+
+
+def clusters_3d(spark, sf_dir, **kw):
+    return labelling.cell_components_3d(grid.select_cells_3d(grid.cell_means(boxed(spark, sf_dir)), 0.55), **kw)
+
+
+@query("g9_cell_members", f"with recursive {CLUSTERS_3D} select step, size_id, label + 1 as cluster_id, count(*) as n_atoms, min(atom_id) as first_atom from bx join k3 using (step, size_id, xi, yi, zi) group by step, size_id, label")
+def cell_members(spark, sf_dir):
+    m = grid.cell_members(boxed(spark, sf_dir), clusters_3d(spark, sf_dir))
+    return m.groupBy("step", "size_id", "cluster_id").agg(F.count("*").alias("n_atoms"), F.min("atom_id").alias("first_atom"))
+
+
+# Which cells count
+
+
+@query("m1_dense_by_threshold", f"with {CELLS} select i, j, norm >= 0.1 as dense from c")
+def dense_by_threshold(spark, sf_dir):
+    return grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1).select("i", "j", "dense")
+
+
+QUANTILES = (0.3, 0.5, 0.8)
+
+
+@query("m2_dense_by_quantile", f"with {CELLS} select t.q, round(thr, 6) as thr, count(*) filter (norm >= thr - 1e-12) as n_dense from c, (select q::double as q, (select quantile_cont(norm, [0.3, 0.5, 0.8]) from c)[k] as thr from (values (0.3, 1), (0.5, 2), (0.8, 3)) v(q, k)) t group by t.q, thr")
+def dense_by_quantile(spark, sf_dir):
+    d = grid.dense_by_quantile(event_cells(spark, sf_dir), QUANTILES)
+    return rounded(d.groupBy("q", "thr").agg(F.count_if("dense").alias("n_dense")))
+
+
+@query("m3_dense_by_count", f"with {CELLS} select i, j, n >= 12 as dense, round(coalesce(min(norm) filter (n >= 12) over (), 0.3), 6) as thr from c")
+def dense_by_count(spark, sf_dir):
+    return rounded(grid.dense_by_count(event_cells(spark, sf_dir), 12).select("i", "j", "dense", "thr"))
+
+
+@query("m4_classify_cells", f"with {CELLS} select case when norm >= 0.1 then 'dense' else 'sparse' end as cell_class, count(*) as n_cells, sum(n)::bigint as n_points from c group by 1")
+def classify_cells(spark, sf_dir):
+    c = grid.classify_cells(grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1))
+    return c.groupBy("cell_class").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_points"))
+
+
+@query("m5_diffusion_weight_scale", f"""with {CELLS}, t as (select count(*) as m, count(*) filter (norm >= 0.1) as d from c), r as (select norm, row_number() over (order by norm) - 1 as k from c),
+s as (select (1 - d::double / m) * (m - 1) as pos from t) select round(max(norm) filter (k = floor(pos)) + coalesce(max(norm) filter (k = floor(pos) + 1) - max(norm) filter (k = floor(pos)), 0) * (max(pos) - floor(max(pos))), 6) as scale from r, s""")
+def diffusion_weight_scale(spark, sf_dir):
+    return rounded(grid.diffusion_weight_scale(grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1)))
+
+
+def masked_sql(steps: int, beta: float, scale: float = 0.1) -> str:
+    """The first steps of masked diffusion, one CTE each."""
+    out = [f"f0 as (select i, j, norm, norm >= 0.1 as dense, least(greatest(norm / {scale}, 0), 1) as w, case when norm >= 0.1 then 1.0::double else 0.0::double end as c from c)"]
+    for k in range(1, steps + 1):
+        out.append(f"""f{k} as (select a.i, a.j, a.norm, a.dense, a.w, case when a.dense then 1.0::double else greatest(0, least(1, a.c + {beta} * a.w * (coalesce(sum(o.c), 0) - a.c *
+  ((a.i > 0)::int + (a.i < {NX - 1})::int + (a.j > 0)::int + (a.j < {NY - 1})::int)))) end as c from f{k - 1} a left join f{k - 1} o on abs(o.i - a.i) + abs(o.j - a.j) = 1 group by a.i, a.j, a.norm, a.dense, a.w, a.c)""")
+    return ", ".join(out)
+
+
+def masked(spark, sf_dir, betas=(0.1,), **kw):
+    c = grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1).withColumn("scale", F.lit(0.1))
+    return diffusion.diffuse_masked_2d(c, (), betas, **kw)
+
+
+@query("d1_diffuse_masked_2d", f"with {CELLS}, {masked_sql(4, 0.1)} select i, j, dense, round(c, 6) as c from f4")
+def diffuse_masked_2d(spark, sf_dir):
+    return rounded(masked(spark, sf_dir, max_iters=4)[0].select("i", "j", "dense", "c"))
+
+
+@query("d1_diffuse_until_converged")
+def diffuse_until_converged(spark, sf_dir):
+    return masked(spark, sf_dir, (0.05, 0.2, 0.4))[1].select("beta", "iters_used", "max_delta_last", "stop")
+
+
+@query("m6_select_after_diffusion", f"with {CELLS}, {masked_sql(4, 0.1)} select i, j, dense or c > 0.05 as selected from f4")
+def select_after_diffusion(spark, sf_dir):
+    return grid.select_after_diffusion(masked(spark, sf_dir, max_iters=4)[0], 0.05).select("i", "j", "selected")
+
+
+@query("m7_select_cells_3d", f"with {BOXED} select step, size_id, xi, yi, zi from cm where label_mean >= 0.55")
+def select_cells_3d(spark, sf_dir):
+    return grid.select_cells_3d(grid.cell_means(boxed(spark, sf_dir)), 0.55).select("step", "size_id", "xi", "yi", "zi")
+
+
+def lattice_sql(steps: int, known: bool) -> str:
+    """The first steps of diffusion on the periodic lattice of the second cell size."""
+    out = ["f0 as (select step, xi, yi, zi, cn, coalesce(label_mean, 0) as v, coalesce(label_mean, 0) as c from lt where size_id = 1)"]
+    near = [("mx", "xi"), ("my", "yi"), ("mz", "zi")]
+    dims = {"mx": 6, "my": 5, "mz": 4}
+    for k in range(1, steps + 1):
+        joins, terms = [], []
+        for n, (m, a) in enumerate(near):
+            for sign in (1, -1):
+                t = f"t{n}{'p' if sign > 0 else 'm'}"
+                on = " and ".join(f"{t}.{b} = (a.{b} + {sign} + {dims[m]}) % {dims[m]}" if b == a else f"{t}.{b} = a.{b}" for _, b in near)
+                joins.append(f"join f{k - 1} {t} on {t}.step = a.step and {on}")
+                terms.append(f"{t}.c")
+        new = f"a.c + 0.1 * ({' + '.join(terms)} - 6 * a.c)"
+        new = f"case when a.cn > 0 then a.v else {new} end" if known else f"greatest(0, least(1, {new}))"
+        out.append(f"f{k} as (select a.step, a.xi, a.yi, a.zi, a.cn, a.v, {new} as c from f{k - 1} a {' '.join(joins)})")
+    return ", ".join(out)
+
+
+@query("d2_diffuse_free_3d", f"with {LATTICE}, {lattice_sql(3, False)} select step, xi, yi, zi, round(c, 6) as c from f3 where cn > 0")
+def diffuse_free_3d(spark, sf_dir):
+    c = grid.cell_means(boxed(spark, sf_dir)).where("size_id = 1")
+    return rounded(diffusion.diffuse_free_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
+
+
+KNOWN = LATTICE.replace("from bx group by", "from bx where c_label >= 0.8 group by")
+
+
+@query("d3_impute_3d", f"with {KNOWN}, {lattice_sql(3, True)} select step, xi, yi, zi, round(c, 6) as c from f3")
+def impute_3d(spark, sf_dir):
+    c = grid.full_lattice(grid.cell_means(boxed(spark, sf_dir).where("c_label >= 0.8")).where("size_id = 1"))
+    return rounded(diffusion.impute_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
+
+
+# Components
+
+
+@query("c1_cell_components", f"with recursive {LABELS} select i, j, label from l")
+def cell_components(spark, sf_dir):
+    return dense_labels(spark, sf_dir)
+
+
+WRAPPED = f"(abs(s.i - c.i) in (0, 1, {NX - 1}) and abs(s.j - c.j) in (0, 1, {NY - 1}))"
+
+
+@query("c1_cell_components_8_wrapped", f"with recursive {DENSE}, {components_sql('d', 'l', WRAPPED)} select i, j, label from l")
+def cell_components_wrapped(spark, sf_dir):
+    return dense_labels(spark, sf_dir, connectivity=8, periodic=True, tile=8)
+
+
+@query("c2_seeded_components")
+def seeded_components(spark, sf_dir):
+    c = grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05)
+    return labelling.seeded_components(c)
+
+
+@query("c3_cell_components_3d", f"with recursive {CLUSTERS_3D} select step, size_id, xi, yi, zi, label + 1 as cluster_id from k3")
+def cell_components_3d(spark, sf_dir):
+    return clusters_3d(spark, sf_dir).select("step", "size_id", "xi", "yi", "zi", "cluster_id")
+
+
+@query("c3b_cell_components_by_size", f"""with recursive {CLUSTERS_3D}, sz2 as (select run, root, count(*) as size from k3 group by run, root having count(*) > 1),
+ids as (select run, root, (row_number() over (partition by run order by size desc, root) - 1)::int as cluster_id from sz2) select step, size_id, xi, yi, zi, cluster_id from k3 join ids using (run, root)""")
+def cell_components_by_size(spark, sf_dir):
+    return clusters_3d(spark, sf_dir, by_size=True, drop_singletons=True).select("step", "size_id", "xi", "yi", "zi", "cluster_id")
+
+
+PAIRS = f"{W}, pr as (select a.atom_id as src, b.atom_id as dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from w a join w b on a.atom_id < b.atom_id where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.03 ** 2)"
+
+
+@query("c4_radius_pairs", f"with {PAIRS} select src, dst, round(d, 6) as distance from pr")
+def radius_pairs(spark, sf_dir):
+    return rounded(neighbors.radius_pairs(vector_atoms(spark, sf_dir), 0.03, ["step"]).drop("step"))
+
+
+@query("c5_components", f"with recursive {PAIRS}, e as (select src, dst from pr union all select dst, src from pr), r(a, b) as (select distinct src, src from e union select r.a, e.dst from r join e on e.src = r.b) select a as vertex, min(b) as root from r group by a")
+def graph_components(spark, sf_dir):
+    return components(neighbors.radius_pairs(vector_atoms(spark, sf_dir), 0.03, ["step"])).select("vertex", "root")
+
+
+ATOMS = f"""{W}, w2 as (select * from w where c_label >= 0.3), pr as (select a.atom_id as src, b.atom_id as dst from w2 a join w2 b on a.atom_id <> b.atom_id where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.05 ** 2),
+r(a, b) as (select atom_id, atom_id from w2 union select r.a, pr.dst from r join pr on pr.src = r.b), m as (select a as atom_id, min(b) as root from r group by a), lab as (select atom_id, dense_rank() over (order by root)::int as label from m)"""
+
+
+@query("c6_atom_components", f"with recursive {ATOMS} select w.atom_id, coalesce(label, 0) as label from w left join lab using (atom_id)")
+def atom_components(spark, sf_dir):
+    return labelling.atom_components(vector_atoms(spark, sf_dir), cutoff=0.05, thr=0.3).drop("step")
+
+
+@query("c7_cluster_members", f"with recursive {ATOMS} select label, string_agg(atom_id::varchar, ',' order by atom_id) as members from lab group by label")
+def cluster_members(spark, sf_dir):
+    a = labelling.atom_components(vector_atoms(spark, sf_dir), cutoff=0.05, thr=0.3).where("label > 0")
+    m = labelling.cluster_members(a, ["label"], ["atom_id"])
+    return m.select("label", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+LABELLED = f"{LABELS}, y as (select point_id, x, y, truth, coalesce(label, -1) as label from q left join l on q.i = l.i and q.j = l.j)"
+
+
+def labelled_events(spark, sf_dir):
+    return grid.label_points(binned_events(spark, sf_dir), dense_labels(spark, sf_dir)).select("point_id", "x", "y", "truth", "label")
+
+
+@query("c8_cluster_sizes", f"with recursive {LABELLED} select label, count(*) as size, case when label <> -1 then (row_number() over (partition by label <> -1 order by count(*) desc, label))::int end as size_rank from y group by label")
+def cluster_sizes(spark, sf_dir):
+    return labelling.cluster_sizes(labelled_events(spark, sf_dir))
+
+
+# Metrics
+
+
+@query("q1_coverage_k", f"with recursive {LABELLED} select round(avg((label >= 0)::int), 6) as coverage, count(distinct label) filter (label >= 0) as k from y")
+def coverage_k(spark, sf_dir):
+    return rounded(metrics.coverage_k(labelled_events(spark, sf_dir)).select("coverage", "k"))
+
+
+def labelled_vectors(spark, sf_dir):
+    return vector_points(spark, sf_dir).withColumn("label", F.col("truth") - 1)
+
+
+SIL = f"""with {V}, u as (select point_id, x, y, truth - 1 as label from v where truth > 0), d as (select a.point_id, a.label, b.label as other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as total, count(*) as m from u a join u b on true group by 1, 2, 3),
+s as (select point_id, max(m) filter (label = other) as size, max(total / nullif(m - 1, 0)) filter (label = other) as a, min(total / m) filter (label <> other) as b from d group by point_id)
+select round(avg(case when size = 1 then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end), 6) as silhouette from s"""
+
+
+@query("q2_silhouette", SIL)
+def silhouette(spark, sf_dir):
+    return rounded(metrics.silhouette(labelled_vectors(spark, sf_dir)))
+
+
+DBI = """ce as (select label, avg(x) as cx, avg(y) as cy from y where label >= 0 group by label), sc as (select label, any_value(cx) as cx, any_value(cy) as cy, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) as s from y join ce using (label) group by label),
+wo as (select a.label, max(case when (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 > 0 then (a.s + b.s) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) else 0 end) as worst from sc a join sc b on a.label <> b.label group by a.label), db as (select avg(worst) as dbi from wo)"""
+
+
+@query("q3_davies_bouldin", f"with recursive {LABELLED}, {DBI} select round(dbi, 6) as dbi from db")
+def davies_bouldin(spark, sf_dir):
+    return rounded(metrics.davies_bouldin(labelled_events(spark, sf_dir)))
+
+
+@query("q4_score_partition", f"with recursive {LABELLED}, {DBI} select 0.0::double as sil, round(dbi, 6) as dbi, round(avg((label >= 0)::int), 6) as cov, count(distinct label) filter (label >= 0) as k, round(0.8 / (1 + dbi) + 0.15 * avg((label >= 0)::int), 6) as score from y, db group by dbi")
+def score_partition(spark, sf_dir):
+    return rounded(metrics.score_partition(labelled_events(spark, sf_dir)))
+
+
+@query("q5_contingency", f"with recursive {LABELLED} select truth, label, count(*) as n from y group by truth, label")
+def contingency(spark, sf_dir):
+    return metrics.contingency(labelled_events(spark, sf_dir))
+
+
+EXTERNAL = f"""with recursive {LABELLED}, ct as (select truth, label, count(*)::double as n from y group by 1, 2), t as (select truth, sum(n) as n from ct group by 1), pl as (select label, sum(n) as n from ct group by 1),
+z as (select (select sum(n) from ct) as m, (select sum(n * n) from ct) as sq, (select sum(n * n) from t) as tsq, (select sum(n * n) from pl) as psq),
+zz as (select m, sq - m as tp, psq - sq as fp, tsq - sq as fn, m * m - psq - tsq + sq as tn from z),
+e as (select -sum(n / m * ln(n / m)) as ht from t, z), f as (select -sum(n / m * ln(n / m)) as hp from pl, z), g as (select sum(ct.n / m * ln(ct.n * m / (t.n * pl.n))) as mi from ct join t using (truth) join pl using (label), z)
+select round(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) as ari, round(mi / ((ht + hp) / 2), 6) as nmi, round(mi / ((ht + hp) / 2), 6) as v_measure, round(tp / sqrt((tp + fp) * (tp + fn)), 6) as fm from zz, e, f, g"""
+
+
+@query("q6_external_scores", EXTERNAL)
+def external_scores(spark, sf_dir):
+    return rounded(metrics.external_scores(metrics.contingency(labelled_events(spark, sf_dir))))
+
+
+@query("q7_purity", f"with recursive {LABELLED}, ct as (select truth, label, count(*) as n from y group by 1, 2), mx as (select label, max(n) as top from ct where label >= 0 group by label) select round(sum(top) / (select sum(n) from ct), 6) as purity from mx")
+def purity(spark, sf_dir):
+    return rounded(metrics.purity(metrics.contingency(labelled_events(spark, sf_dir))))
+
+
+@query("q8_cluster_report")
+def cluster_report(spark, sf_dir):
+    p = labelled_vectors(spark, sf_dir)
+    return rounded(metrics.cluster_report(p.withColumn("phase", F.lit("before")).unionByName(p.withColumn("phase", F.lit("after")).withColumn("label", F.col("label") % 2))))
+
+
+# Sweeps and whole runs
+
+
+@query("r4_normalize_weights", "with w as (select label::int as id, label::double - 1 as w_sil, 0.3::double as w_dbi, label / 10.0::double as w_cov from (select distinct label from embeddings)), c as (select id, greatest(0, least(1, w_sil)) as a, greatest(0, least(1, w_dbi)) as b, greatest(0, least(1, w_cov)) as c from w) select id, round(a / (a + b + c), 6) as w_sil, round(b / (a + b + c), 6) as w_dbi, round(c / (a + b + c), 6) as w_cov from c")
+def normalize_weights(spark, sf_dir):
+    d = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("id")).distinct()
+    d = d.select("id", (F.col("id").cast("double") - 1).alias("w_sil"), F.lit(0.3).alias("w_dbi"), (F.col("id") / 10.0).alias("w_cov"))
+    return rounded(search.normalize_weights(d))
+
+
+@query("r6_best_candidate", f"with {CELLS} select i, j, n from (select *, row_number() over (partition by i order by n desc, j) as r from c) where r = 1")
+def best_candidate(spark, sf_dir):
+    return search.best_candidate(grid.cell_counts(binned_events(spark, sf_dir)), ["i"], "n", "j")
+
+
+@query("r1_stage_a_grid")
+def stage_a_grid(spark, sf_dir):
+    g = spark.createDataFrame([(0, 30, 20), (1, 24, 16), (2, 40, 25)], "cand_id int, nx int, ny int")
+    return rounded(search.stage_a_grid(event_points(spark, sf_dir), g, QUANTILES))
+
+
+@query("r2_stage_a_eval")
+def stage_a_eval(spark, sf_dir):
+    box = prepare.padded_bounds(vector_points(spark, sf_dir)).first()
+    rows = [(n, box["Lx"] / d, r, 0.0, 0.8, 0.2) for n, (d, r) in enumerate(((0.5, 3), (8, 3), (8, 1000), (16, 5)))]
+    return rounded(search.stage_a_eval(vector_points(spark, sf_dir), spark.createDataFrame(rows, "cand_id int, h double, r int, w_sil double, w_dbi double, w_cov double")))
+
+
+@query("r3_stage_a_search")
+def stage_a_search(spark, sf_dir):
+    p = vector_points(spark, sf_dir)
+    return rounded(search.stage_a_search(p, cut(prepare.spacing_seeds(p)), draws=8))
+
+
+@query("r5_stage_b_sweep")
+def stage_b_sweep(spark, sf_dir):
+    c = cut(grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1).withColumn("scale", F.lit(0.1)))
+    return rounded(search.stage_b_sweep(binned_events(spark, sf_dir), c, (0.05, 0.1), (0.05, 0.1, 0.2))[0])
+
+
+@query("r7_run_fixed_2d")
+def run_fixed_2d(spark, sf_dir):
+    labelled = pipeline.run_fixed_2d(event_points(spark, sf_dir), NX, NY, 0.1, 0.1, dense_thr=0.1)[0]
+    return labelled.groupBy("phase", "label").agg(F.count("*").alias("n"))
+
+
+@query("r8_run_tuned_2d")
+def run_tuned_2d(spark, sf_dir):
+    out = pipeline.run_tuned_2d(vector_points(spark, sf_dir), pipeline.Tuning(quantiles=(0.3, 0.6), betas=(0.1,), cthrs=(0.1, 0.15)))
+    return rounded(out["report"])
+
+
+@query("r9_dataset_sweep")
+def dataset_sweep(spark, sf_dir):
+    p = event_points(spark, sf_dir).withColumnRenamed("truth", "dataset")
+    g = spark.createDataFrame([(0, 20, 10), (1, 16, 8)], "cand_id int, nx int, ny int")
+    return rounded(pipeline.dataset_sweep(p, g, (0.3, 0.6)))
+
+
+@query("r10_sweep_3d")
+def sweep_3d(spark, sf_dir):
+    a = snapshots(spark, sf_dir)
+    return search.sweep_3d(a, sources.snapshot_boxes(a), SIZES, (0.5, 0.55), iters=20)
+
+
+# Grid against atoms
+
+
+def grid_and_atoms(spark, sf_dir):
+    """Vector atoms with grid_id (their coarse cell, by component label) and atom_label (their class); 0 is background."""
+    a = vector_atoms(spark, sf_dir)
+    side = lambda c: F.when(F.col(c) > 0.06, 2).when(F.col(c) > -0.06, 1).otherwise(0)
+    return a.select("step", "atom_id", (side("x") * 3 + side("y")).alias("grid_id"), F.round(F.col("c_label") * 10 - 1).cast("int").alias("atom_label"))
+
+
+GA = f"{W}, ga as (select step, atom_id, (case when x > 0.06 then 2 when x > -0.06 then 1 else 0 end) * 3 + (case when y > 0.06 then 2 when y > -0.06 then 1 else 0 end) as grid_id, round(c_label * 10 - 1)::int as atom_label from w)"
+JACCARD = """jg as (select grid_id, count(*) as g from ga where grid_id <> {b} group by 1), ja as (select atom_label, count(*) as a from ga where atom_label <> {b} group by 1), jb as (select grid_id, atom_label, count(*) as n from ga group by 1, 2),
+jj as (select grid_id, atom_label, coalesce(n, 0)::double / (g + a - coalesce(n, 0)) as j from jg cross join ja left join jb using (grid_id, atom_label)), jr as (select *, row_number() over (partition by grid_id order by j desc, atom_label) as r from jj)"""
+
+
+@query("x1_match_by_overlap", f"with {GA}, {JACCARD.format(b=0)} select grid_id, atom_label, round(j, 6) as jaccard from jr where r = 1")
+def match_by_overlap(spark, sf_dir):
+    return rounded(matching.match_by_overlap(grid_and_atoms(spark, sf_dir)).drop("step"))
+
+
+@query("x1b_match_one_to_one", f"with {GA}, {JACCARD.format(b=-1)}, o as (select *, row_number() over (partition by atom_label order by grid_id desc) as k from jr where r = 1 and j >= 0.05) select grid_id, atom_label, round(j, 6) as jaccard from o where k = 1")
+def match_one_to_one(spark, sf_dir):
+    return rounded(matching.match_one_to_one(grid_and_atoms(spark, sf_dir), min_jaccard=0.05).drop("step"))
+
+
+VOXELS = f"""{CLUSTERS_3D}, vx as (select run, label + 1 as cluster_id, xi, yi, zi, dx, dy, dz from k3), fa as (select v.*, s.a, s.b, s.c, case when s.a <> 0 then dy * dz when s.b <> 0 then dx * dz else dx * dy end as area from vx v, (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) s(a, b, c)),
+su as (select run, cluster_id, sum(area) as surface from fa where not exists (select 1 from vx o where o.run = fa.run and o.cluster_id = fa.cluster_id and o.xi = fa.xi + fa.a and o.yi = fa.yi + fa.b and o.zi = fa.zi + fa.c) group by 1, 2),
+vo as (select run, cluster_id, sum(dx * dy * dz) as volume, count(*) as n_points from vx group by 1, 2)"""
+
+
+def shapes_3d(spark, sf_dir):
+    cells = grid.select_cells_3d(grid.cell_means(boxed(spark, sf_dir)), 0.55)
+    k = labelling.cell_components_3d(cells).join(cells.select("step", "size_id", "xi", "yi", "zi", "dx", "dy", "dz"), ["step", "size_id", "xi", "yi", "zi"])
+    return matching.voxel_shape(k, ["step", "size_id", "cluster_id"], least_points=2)
+
+
+@query("x2_voxel_shape", f"with recursive {VOXELS} select run // 10 as step, (run % 10)::int as size_id, cluster_id, round(case when n_points >= 2 then volume else 0 end, 3) as volume, round(case when n_points >= 2 then surface else 0 end, 3) as surface, n_points from su join vo using (run, cluster_id)")
+def voxel_shape(spark, sf_dir):
+    return rounded(shapes_3d(spark, sf_dir), 3)
+
+
+def compared(spark, sf_dir):
+    """Clusters of both cell sizes, matched by cluster id within each step."""
+    s = shapes_3d(spark, sf_dir)
+    m = s.where("size_id = 0").select("step", F.col("cluster_id").alias("grid_id"), F.col("cluster_id").alias("atom_label"))
+    g, a = (s.where(f"size_id = {n}").drop("size_id").withColumnRenamed("cluster_id", c) for n, c in ((0, "grid_id"), (1, "atom_label")))
+    return matching.compare_clusters(m, g, a, least_points=1)
+
+
+COMPARED = f"""{VOXELS}, sh as (select run // 10 as step, run % 10 as size_id, cluster_id, case when n_points >= 2 then volume else 0 end as volume, case when n_points >= 2 then surface else 0 end as surface from su join vo using (run, cluster_id)),
+cc as (select g.step, g.cluster_id, abs(g.volume - a.volume) as vd, case when a.volume = 0 then 0 else 100 * abs(g.volume - a.volume) / a.volume end as vp, abs(g.surface - a.surface) as sd, case when a.surface = 0 then 0 else 100 * abs(g.surface - a.surface) / a.surface end as sp
+  from sh g join sh a on g.step = a.step and g.cluster_id = a.cluster_id and g.size_id = 0 and a.size_id = 1)"""
+
+
+@query("x3_compare_clusters", f"with recursive {COMPARED} select step, cluster_id as grid_id, round(vd, 3) as volume_diff, round(vp, 3) as volume_diff_pct, round(sd, 3) as surface_diff, round(sp, 3) as surface_diff_pct from cc")
+def compare_clusters(spark, sf_dir):
+    return rounded(compared(spark, sf_dir).select("step", "grid_id", "volume_diff", "volume_diff_pct", "surface_diff", "surface_diff_pct"), 3)
+
+
+def sweep_rows(spark, sf_dir):
+    return compared(spark, sf_dir).select(F.lit("raw").alias("diffusion"), (F.col("step") % 2).cast("int").alias("cell_size"), (F.col("step") % 3).cast("double").alias("c_thr"), F.col("grid_id").alias("cluster_id"), "volume_diff_pct", "surface_diff_pct")
+
+
+SWEEP = f"{COMPARED}, sw as (select 'raw' as diffusion, (step % 2)::int as cell_size, (step % 3)::double as c_thr, cluster_id, vp, sp from cc)"
+
+
+@query("x4_sweep_summary", f"with recursive {SWEEP} select diffusion, cell_size, c_thr, count(distinct cluster_id) as n_clusters, count(*) as n_rows, round(avg(vp), 3) as volume_diff_pct_mean, round(median(vp), 3) as volume_diff_pct_median, round(avg(sp), 3) as surface_diff_pct_mean, round(median(sp), 3) as surface_diff_pct_median from sw group by 1, 2, 3")
+def sweep_summary(spark, sf_dir):
+    return rounded(matching.sweep_summary(sweep_rows(spark, sf_dir)), 3)
+
+
+@query("x5_sweep_pivot", f'with recursive {SWEEP} select cell_size, round(avg(vp) filter (c_thr = 0), 3) as "0.0", round(avg(vp) filter (c_thr = 1), 3) as "1.0", round(avg(vp) filter (c_thr = 2), 3) as "2.0" from sw where cluster_id = 1 group by cell_size')
+def sweep_pivot(spark, sf_dir):
+    return rounded(matching.sweep_pivot(sweep_rows(spark, sf_dir), cluster_id=1, thresholds=(0.0, 1.0, 2.0)), 3)
+
+
+# Other clusterers
+
+
+@query("b1_kmeans_labels")
+def kmeans_labels(spark, sf_dir):
+    return baselines.kmeans_labels(vector_points(spark, sf_dir, True), 4).select("point_id", "label")
+
+
+@query("b2_gmm_labels")
+def gmm_labels(spark, sf_dir):
+    return baselines.gmm_labels(vector_points(spark, sf_dir, True), 3).select("point_id", "label")
+
+
+DBSCAN = f"""with recursive {V}, nb as (select a.point_id as a, b.point_id as b from v a join v b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.02 ** 2), co as (select a from nb group by a having count(*) >= 5),
+ce as (select nb.a, nb.b from nb join co on co.a = nb.a join co c2 on c2.a = nb.b), r(a, b) as (select a, a from co union select r.a, ce.b from r join ce on ce.a = r.b), m as (select a, min(b) as root from r group by a), cl as (select a, (dense_rank() over (order by root) - 1)::int as label from m),
+bo as (select nb.a, min(cl.label) as near from nb join cl on cl.a = nb.b group by nb.a) select point_id, coalesce(cl.label, bo.near, -1)::int as label from v left join cl on cl.a = point_id left join bo on bo.a = point_id"""
+
+
+@query("b3_dbscan_labels", DBSCAN)
+def dbscan_labels(spark, sf_dir):
+    return baselines.dbscan_labels(vector_points(spark, sf_dir), 0.02, 5).select("point_id", "label")
+
+
+CLIQUE = f"""with recursive {V}, s0 as (select point_id, (x - min(x) over ()) / (max(x) over () - min(x) over () + 1e-12) as x, (y - min(y) over ()) / (max(y) over () - min(y) over () + 1e-12) as y from v),
+q as (select point_id, greatest(0, least(floor(x / 0.1), 9))::int as i, greatest(0, least(floor(y / 0.1), 9))::int as j from s0), d as (select i, j, count(*) as n from q group by 1, 2 having count(*) >= 8), {components_sql("d", "l", code="i * 10 + j")}
+select point_id, coalesce(label, -1) as label from q left join l using (i, j)"""
+
+
+@query("b4_clique_labels", CLIQUE)
+def clique_labels(spark, sf_dir):
+    return baselines.clique_labels(vector_points(spark, sf_dir), 10, 8).select("point_id", "label")
+
+
+@query("b5_compare_methods")
+def compare_methods(spark, sf_dir):
+    methods = {"kmeans": lambda p: baselines.kmeans_labels(p, 4), "dbscan": lambda p: baselines.dbscan_labels(p, 0.25, 5), "clique": lambda p: baselines.clique_labels(p, 10, 8)}
+    return rounded(baselines.compare_methods(cut(vector_points(spark, sf_dir, True)), methods))
+
+
+REGIONS = f"with recursive {LABELLED} select label, count(*) as n_points, round(avg(x), 4) as x, round(avg(y), 4) as y from y group by label"
+
+
+@query("dense_regions", REGIONS)
+def dense_regions(spark, sf_dir):
+    """Where the dense regions are and what is in them: binning, threshold, components, labels back to points."""
+    d = labelled_events(spark, sf_dir)
+    return rounded(d.groupBy("label").agg(F.count("*").alias("n_points"), F.avg("x").alias("x"), F.avg("y").alias("y")), 4)
