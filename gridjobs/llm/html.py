@@ -47,6 +47,8 @@ WHITE = re.compile(r"\s+")
 HOSTS, SLICES = 2_000, 32
 #: Elements of one expression; an expression that grows beyond keeps its outer levels only.
 ELEMENTS = 2_000
+#: Nesting beyond which elements no longer contain what follows them; their text stays with the element around.
+DEPTH = 120
 #: Total size of the rules up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 
@@ -63,6 +65,7 @@ def parse(page: str) -> Node:
     """Nested elements and texts of a page; missing end tags are put in where the tags around demand it."""
     root = Node("#")
     stack = [root]
+    flat: dict[str, int] = {}
     at = 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
@@ -74,6 +77,9 @@ def parse(page: str) -> Node:
                 stack[-1].parts.append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         if m["close"]:
+            if flat.get(name):
+                flat[name] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -106,7 +112,10 @@ def parse(page: str) -> Node:
             node.parts.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif name not in VOID and not m["attrs"].endswith("/"):
-            stack.append(node)
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                flat[name] = flat.get(name, 0) + 1
     if at < len(page):
         stack[-1].parts.append(page[at:])
     return root
