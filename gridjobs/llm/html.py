@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gridjobs.functions.session import cut
-from gridjobs.llm.tables import table
+from gridjobs.llm.tables import slices, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -40,6 +40,9 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|aside|widget\w*|menu\w*|nav\w*|breadcrumbs?|toolbar|footer|foot|masthead|topbar|comments?|respond|replies|discussion|disqus|share|sharing|social|related|recommend\w*|more-?stories|search|pagination|pager|tags|complementary|contentinfo|navigation|skip-?link)(?:$|[\s_-])",
     re.I,
 )
+#: Marks of articles that aren't the page's own, and names that an element of the article may have beside others.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies|related|recommend\w*|teasers?)(?:$|[\s_-])", re.I)
+OWN = frozenset("content main article post entry story main-content entry-content post-content article-body".split())
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|article-?body|post-?body|entry-?content|post-?content|main-?content|page-?content|text)(?:$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
@@ -235,7 +238,11 @@ def is_noise(name: str, mark: str, inside: bool) -> bool:
         return True
     if name == "header" and not inside:
         return True
-    return bool(mark) and name not in ("article", "main", "body", "html") and bool(NOISE.search(mark) or (not inside and HEADER.search(mark)))
+    if not mark or name in ("main", "body", "html") or not OWN.isdisjoint(mark.lower().split()):
+        return False
+    if name == "article":
+        return bool(OTHERS.search(mark))
+    return bool(NOISE.search(mark) or (not inside and HEADER.search(mark)))
 
 
 def content_rule(e: list) -> list[str]:
@@ -358,7 +365,7 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
 
 def _texts(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rules = [json.loads(r) if r else None for r in batch.column("_rule").to_pylist()]
             text = [extract(p or "", r) for p, r in zip(batch.column("_html").to_pylist(), rules, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(text, pa.string())], names=[*columns, "text"])

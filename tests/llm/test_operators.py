@@ -115,6 +115,8 @@ def test_html_main_text(spark):
         ("<div id='content'><h2>C</h2><p>text &eacute;&#233;</div><div class='sidebar'><p>side</p></div>", "C\ntext éé"),
         ("<main><p>unclosed <i>tag<p>next</main>", "unclosed tag\nnext"),
         ("<article><p>a</p></article><article><p>b</p></article>", "a\nb"),
+        ("<div class='content has-sidebar'><p>kept</p><section class='reader-comments'><article class='comment'><p>no</p></article></section><div class='cookie-notice'>no</div></div>", "kept"),
+        ("<article class='post with-sidebar'><header><h1>T</h1></header><p>x</p></article><article class='teaser'><p>no</p></article>", "T\nx"),
     ]
     rows = [(n, f"http://h{n}.example.com:80/a", page(b, n), "x") for n, (b, _) in enumerate(bodies)]
     rows += [(10 + k, "https://H0.example.com/b", page(f"<article><p>number {k}</p>{'<p>more</p>' * (k % 3)}</article>", k), "x") for k in range(6)]
@@ -123,7 +125,7 @@ def test_html_main_text(spark):
     got = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
     assert len(got) == len(rows)
     told = dict(got)
-    assert [told[n] for n in range(4)] == [t for _, t in bodies]
+    assert [told[n] for n in range(6)] == [t for _, t in bodies]
     assert all(told[10 + k] == "\n".join([f"number {k}", *["more"] * (k % 3)]) for k in range(6))
     assert [told[n] for n in (20, 21, 22, 23)] == ["", "", "plain text", ""]
     assert told[24] == "deep"
