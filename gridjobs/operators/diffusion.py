@@ -22,7 +22,7 @@ def _first_check(min_iters: int, check_every: int) -> int:
 
 
 def diffuse_masked_2d(
-    cells: DataFrame, keys: Sequence[str] = (), betas: Sequence[float] = (0.10,), max_iters: int = 50_000, min_iters: int = 60, tol: float = 1e-6, check_every: int = 10, periodic: bool = False, tile: int = TILE
+    cells: DataFrame, keys: Sequence[str] = (), betas: Sequence[float] = (0.10,), max_iters: int = 50_000, min_iters: int = 60, tol: float = 1e-6, check_every: int = 10, periodic: bool = False, tile: int = TILE, widest: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Field and run statistics of every rate: (cells x beta with c, stats by keys and beta).
 
@@ -48,7 +48,7 @@ def diffuse_masked_2d(
     dense = cells.where("dense").select(*keys, F.col("i").alias("ni"), F.col("j").alias("nj"), F.lit(1).alias("is_dense"))
     sums = around.join(dense, [*keys, "ni", "nj"], "left").groupBy(*on).agg(F.coalesce(F.sum("is_dense"), F.lit(0)).alias("dense_near"), F.count_if(inside).alias("in_grid"))
     weight = F.least(F.greatest(F.col("norm") / F.greatest("scale", F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
-    g = sparse.withColumn("w", weight).join(sums, on).join(_roots(sparse, keys, 4, periodic, tile).select(*on, "root"), on)
+    g = sparse.withColumn("w", weight).join(sums, on).join(_roots(sparse, keys, 4, periodic, tile, widest).select(*on, "root"), on)
     g = g.crossJoin(F.broadcast(rates)).withColumn("root", F.when(F.col("beta") > STEADY, F.lit(0)).otherwise(F.col("root")))
     group = [*keys, "beta_no", "root"]
 

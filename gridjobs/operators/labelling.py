@@ -24,13 +24,17 @@ def _schema(df: DataFrame, cols: Sequence[str], more: str) -> str:
     return ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), more])
 
 
-def _roots(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool, tile: int) -> DataFrame:
-    """(keys, i, j, nx, ny, root) with root the smallest i * ny + j of each cell's component."""
-    d = cells.select(*keys, "i", "j", "nx", "ny").distinct()
-    top = d.agg(F.max(F.greatest("nx", "ny"))).first()[0]
+def _roots(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool, tile: int, widest: int | None = None) -> DataFrame:
+    """(keys, i, j, nx, ny, root) with root the smallest i * ny + j of each cell's component.
+
+    Whether tiles are needed is known from ``widest``, the widest axis of all grids, or else asked of the cells.
+    """
+    d = cells.select(*keys, "i", "j", "nx", "ny")
+    top = widest or d.agg(F.max(F.greatest("nx", "ny"))).first()[0]
     one = top is None or top <= tile
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["i", "j"])
         i, j, nx, ny = (g[c].to_numpy() for c in ("i", "j", "nx", "ny"))
         return g.assign(root=label_2d(i, j, int(nx[0]), int(ny[0]), connectivity, wrap and one))[[*keys, "i", "j", "nx", "ny", "root"]]
 
@@ -57,16 +61,16 @@ def _numbered(rooted: DataFrame, keys: list[str], name: str, first: int, order:
     return rooted.join(ids, [*keys, "root"])
 
 
-def cell_components(cells: DataFrame, keys: Sequence[str] = (), connectivity: int = 4, periodic: bool = False, tile: int = TILE) -> DataFrame:
+def cell_components(cells: DataFrame, keys: Sequence[str] = (), connectivity: int = 4, periodic: bool = False, tile: int = TILE, widest: int | None = None) -> DataFrame:
     """(keys, i, j, label): components of the given 2D cells (with nx and ny), numbered from 0 in raster order of first cells.
 
     A grid up to ``tile`` cells wide is labelled by one task; wider ones tile by tile, and only cells on the rims are joined.
     """
     keys = list(keys)
-    return _numbered(_roots(cells, keys, connectivity, periodic, tile), keys, "label", 0).select(*keys, "i", "j", "label")
+    return _numbered(_roots(cells, keys, connectivity, periodic, tile, widest), keys, "label", 0).select(*keys, "i", "j", "label")
 
 
-def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity: int = 4, periodic: bool = False, max_passes: int | None = None, tile: int = TILE) -> DataFrame:
+def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity: int = 4, periodic: bool = False, max_passes: int | None = None, tile: int = TILE, widest: int | None = None) -> DataFrame:
     """(keys, i, j, label) of cells that are ``selected`` or ``dense``: dense components are origins, other selected cells join
     the origin that reaches them; cells between origins that can't agree keep -1.
 
@@ -76,8 +80,8 @@ def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity:
     keys = list(keys)
     d = cells.where("selected or dense").select(*keys, "i", "j", "nx", "ny", "selected", "dense")
     on = [*keys, "i", "j"]
-    seeds = cell_components(d.where("dense"), keys, connectivity, periodic, tile).withColumnRenamed("label", "seed")
-    whole = _roots(d, keys, connectivity, periodic, tile).select(*on, "root")
+    seeds = cell_components(d.where("dense"), keys, connectivity, periodic, tile, widest).withColumnRenamed("label", "seed")
+    whole = _roots(d, keys, connectivity, periodic, tile, widest).select(*on, "root")
     d = d.join(whole, on).join(seeds, on, "left").fillna({"seed": -1})
     by = Window.partitionBy(*keys, "root")
     lo, hi = F.min(F.when(F.col("seed") >= 0, F.col("seed"))).over(by), F.max("seed").over(by)

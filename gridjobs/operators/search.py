@@ -51,10 +51,11 @@ def stage_a_grid(points: DataFrame, grids: DataFrame, quantiles: Sequence[float]
     Columns: keys, ordinal (order of the sweep), cand_id, nx, ny, dense_q, dense_thr, sil, dbi, cov, k, score.
     """
     run = [*keys, "cand_id"]
+    widest = grids.agg(F.max(F.greatest("nx", "ny"))).first()[0]
     binned = bin_candidates(points, grids.select(*(c for c in run if c in grids.columns), "nx", "ny"), keys=keys)
     cells = cut(normalize_nonzero(cell_counts(binned, [*run, "nx", "ny"]), run))
     dense = dense_by_quantile(cells, quantiles, run).where("dense")
-    labels = cell_components(dense, [*run, "q"], 4, periodic)
+    labels = cell_components(dense, [*run, "q"], 4, periodic, widest=widest)
     qs = F.explode(F.array(*map(F.lit, map(float, quantiles)))).alias("q")
     labelled = label_points(binned.select("*", qs), labels, [*run, "q"])
     scores = weighted(partition_scores(labelled, [*run, "q"], bool(w_sil)), w_sil, w_dbi, w_cov)
@@ -77,7 +78,7 @@ def stage_a_eval(points: DataFrame, candidates: DataFrame, max_bins: int = 200,
     binned = bin_candidates(points, grids, box)
     cells = cut(cell_counts(binned, ["cand_id", "nx", "ny", "r"]))
     found = cells.groupBy("cand_id").agg(F.count("*").alias("occupied"), F.count_if(F.col("n") >= F.col("r")).alias("dense"))
-    labels = cell_components(cells.where("n >= r"), ["cand_id"], 4, periodic)
+    labels = cell_components(cells.where("n >= r"), ["cand_id"], 4, periodic, widest=max_bins)
     scores = weighted_by(partition_scores(label_points(binned, labels, ["cand_id"]), ["cand_id"], with_silhouette), g.select("cand_id", "w_sil", "w_dbi", "w_cov"))
     d = g.join(found, "cand_id", "left").join(scores, "cand_id", "left")
     reason = F.when(F.col("nx") * F.col("ny") < 2, "too-few-cells").when(F.coalesce("occupied", F.lit(0)) < 2, "no-occupancy").when(F.col("dense") < 1, "no-dense")
@@ -134,7 +135,7 @@ def stage_a_search(
 
 
 def stage_b_sweep(
-    points: DataFrame, cells: DataFrame, betas: Sequence[float], cthrs: Sequence[float], w_sil: float = 0.0, w_dbi: float = 0.8, w_cov: float = 0.15, connectivity: int = 4, periodic: bool = False, keys: Sequence[str] = (), **diffusion
+    points: DataFrame, cells: DataFrame, betas: Sequence[float], cthrs: Sequence[float], w_sil: float = 0.0, w_dbi: float = 0.8, w_cov: float = 0.15, connectivity: int = 4, periodic: bool = False, keys: Sequence[str] = (), widest: int | None = None, **diffusion
 ) -> tuple[DataFrame, DataFrame]:
     """(one scored row per beta and cthr, labels of all cells under each).
 
@@ -143,10 +144,10 @@ def stage_b_sweep(
     """
     keys = list(keys)
     run = [*keys, "beta", "cthr"]
-    field, stats = diffuse_masked_2d(cells, keys, betas, periodic=periodic, **diffusion)
+    field, stats = diffuse_masked_2d(cells, keys, betas, periodic=periodic, widest=widest, **diffusion)
     t = F.explode(F.array(*map(F.lit, map(float, cthrs)))).alias("cthr")
     chosen = cut(field.select("*", t).withColumn("selected", F.col("dense") | (F.col("c") > F.col("cthr"))))
-    labels = cut(seeded_components(chosen, run, connectivity, periodic))
+    labels = cut(seeded_components(chosen, run, connectivity, periodic, widest=widest))
     sweep = stats.select(*keys, "beta_no", "beta", "iters_used", "stop", t)
     spots = points.select(*keys, *(c for c in ("point_id", "x", "y", "i", "j") if c in points.columns))
     spots = spots.join(F.broadcast(sweep.select(*run)), keys) if keys else spots.crossJoin(F.broadcast(sweep.select(*run)))

@@ -75,12 +75,13 @@ def run_fixed_2d(
         raise ValueError("give either dense_thr or min_count")
     cells = dense_by_threshold(cells, float(dense_thr)).withColumn("thr", F.lit(float(dense_thr))) if min_count is None else dense_by_count(cells, int(min_count))
     cells = cut(classify_cells(cells.withColumn("scale", F.lit(float(scale)) if scale is not None else F.col("thr"))))
-    field_, stats = diffuse_masked_2d(cells, (), [beta], periodic=periodic, **diffusion)
+    wide = {"periodic": periodic, "widest": max(int(nx), int(ny))}
+    field_, stats = diffuse_masked_2d(cells, (), [beta], **wide, **diffusion)
     chosen = cut(select_after_diffusion(field_, float(cthr)))
     labels = {
-        "before": cell_components(chosen.where("dense"), (), connectivity, periodic),
-        "after_std": cell_components(chosen.where("selected"), (), connectivity, periodic),
-        "after_seeded": seeded_components(chosen, (), connectivity, periodic),
+        "before": cell_components(chosen.where("dense"), (), connectivity, **wide),
+        "after_std": cell_components(chosen.where("selected"), (), connectivity, **wide),
+        "after_seeded": seeded_components(chosen, (), connectivity, **wide),
     }
     return _phases(binned, labels), chosen, stats
 
@@ -114,12 +115,13 @@ def run_tuned_2d(points: DataFrame, tuning: Tuning | None = None) -> dict[str, D
     binned = cut(bin_candidates(points, grid))
     cells = by(normalize_nonzero(cell_counts(binned, ["nx", "ny"])))
     cells = cut(with_row(cells, diffusion_weight_scale(cells)))
-    stage_b, labels = stage_b_sweep(binned, cells, t.betas, t.cthrs, **weights, connectivity=t.connectivity, periodic=t.periodic, **t.diffusion)
+    wide = max(won["nx"], won["ny"])
+    stage_b, labels = stage_b_sweep(binned, cells, t.betas, t.cthrs, **weights, connectivity=t.connectivity, periodic=t.periodic, widest=wide, **t.diffusion)
     stage_b = cut(stage_b)
     top = best_candidate(stage_b).first()
     chosen = labels.where((F.col("beta") == top["beta"]) & (F.col("cthr") == top["cthr"]))
-    std = cell_components(chosen.select("i", "j", F.lit(won["nx"]).alias("nx"), F.lit(won["ny"]).alias("ny")), (), t.connectivity, t.periodic)
-    phases = {"before": cell_components(cells.where("dense"), (), 4, t.periodic), "after_std": std, "after_seeded": chosen.select("i", "j", "label")}
+    std = cell_components(chosen.select("i", "j", F.lit(won["nx"]).alias("nx"), F.lit(won["ny"]).alias("ny")), (), t.connectivity, t.periodic, widest=wide)
+    phases = {"before": cell_components(cells.where("dense"), (), 4, t.periodic, widest=wide), "after_std": std, "after_seeded": chosen.select("i", "j", "label")}
     labelled = cut(_phases(binned, phases))
     winner = best_candidate(stage_b).crossJoin(F.broadcast(grid)).withColumns({"mode": F.lit(t.mode), "dense_thr": F.lit(float(won["dense_thr"])) if t.mode == "grid" else F.lit(None).cast("double"), "r": F.lit(int(won["r"])) if t.mode == "count" else F.lit(None).cast("int")})
     return {"stage_a": stage_a, "stage_b": stage_b, "winner": winner, "labelled": labelled, "report": cluster_report(labelled, ["phase"], bool(t.w_sil))}

@@ -295,7 +295,7 @@ LABELS = f"{DENSE}, {components_sql('d', 'l')}"
 
 
 def dense_labels(spark, sf_dir, thr=0.1, **kw):
-    return labelling.cell_components(grid.dense_by_threshold(event_cells(spark, sf_dir), thr).where("dense"), **kw)
+    return labelling.cell_components(grid.dense_by_threshold(event_cells(spark, sf_dir), thr).where("dense"), widest=max(NX, NY), **kw)
 
 
 @query("g8_label_points", f"with recursive {LABELS} select point_id, coalesce(label, -1) as label from q left join l on q.i = l.i and q.j = l.j")
@@ -363,7 +363,7 @@ def masked_sql(steps: int, beta: float, scale: float = 0.1) -> str:
 
 def masked(spark, sf_dir, betas=(0.1,), **kw):
     c = grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1).withColumn("scale", F.lit(0.1))
-    return diffusion.diffuse_masked_2d(c, (), betas, **kw)
+    return diffusion.diffuse_masked_2d(c, (), betas, widest=max(NX, NY), **kw)
 
 
 @query("d1_diffuse_masked_2d", f"with {CELLS}, {masked_sql(4, 0.1)} select i, j, dense, round(c, 6) as c from f4")
@@ -439,7 +439,7 @@ def cell_components_wrapped(spark, sf_dir):
 @query("c2_seeded_components")
 def seeded_components(spark, sf_dir):
     c = grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05)
-    return labelling.seeded_components(c)
+    return labelling.seeded_components(c, widest=max(NX, NY))
 
 
 @query("c3_cell_components_3d", f"with recursive {CLUSTERS_3D} select step, size_id, xi, yi, zi, label + 1 as cluster_id from k3")
