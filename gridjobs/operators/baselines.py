@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridjobs.operators.components import components
 from gridjobs.operators.grid import assign_cells, cell_counts, label_points
-from gridjobs.operators.labelling import FINISH, cell_components
+from gridjobs.operators.labelling import FINISH, _numbered, cell_components
 from gridjobs.operators.metrics import cluster_report
 from gridjobs.operators.neighbors import radius_pairs
 from gridjobs.operators.prepare import minmax_scale
@@ -45,8 +45,6 @@ def dbscan_labels(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     core = points.join(degree, "point_id", "left").where(F.coalesce("m", F.lit(0)) + 1 >= min_pts).select("point_id")
     inner = both.join(core.withColumnRenamed("point_id", "src"), "src", "left_semi").join(core.withColumnRenamed("point_id", "dst"), "dst", "left_semi")
     roots = core.join(components(inner.where("src < dst"), finish=FINISH).withColumnRenamed("vertex", "point_id"), "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
-    from gridjobs.operators.labelling import _numbered
-
     named = _numbered(roots, [], "label", 0).select("point_id", "label")
     border = both.join(named.withColumnRenamed("point_id", "dst"), "dst").groupBy(F.col("src").alias("point_id")).agg(F.min("label").alias("near"))
     out = points.join(named, "point_id", "left").join(border, "point_id", "left")

@@ -77,7 +77,7 @@ def cell_geometry(cells: DataFrame) -> DataFrame:
 def full_lattice(cells: DataFrame, keys: Sequence[str] = tuple(BOX_KEYS)) -> DataFrame:
     """Every cell of each lattice; cn is 0 and label_mean null where it is empty. Cells outside their lattice fall out."""
     grids = cells.select(*keys, *BOX_INFO).distinct()
-    all_ = grids.select("*", *()).withColumn("xi", F.explode(F.sequence(F.lit(0), F.col("mx") - 1)))
+    all_ = grids.withColumn("xi", F.explode(F.sequence(F.lit(0), F.col("mx") - 1)))
     for a in "yz":
         all_ = all_.withColumn(f"{a}i", F.explode(F.sequence(F.lit(0), F.col(f"m{a}") - 1)))
     return all_.join(cells.select(*keys, "xi", "yi", "zi", "label_mean", "cn"), [*keys, "xi", "yi", "zi"], "left").fillna({"cn": 0})

@@ -6,11 +6,11 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions.session import cut
-from gridjobs.operators.diffusion import diffuse_masked_2d
+from gridjobs.operators.diffusion import diffuse_free_3d, diffuse_masked_2d
 from gridjobs.operators.grid import BOX_KEYS, assign_cells, box_cells, cell_counts, cell_means, dense_by_quantile, label_points, normalize_nonzero
 from gridjobs.operators.labelling import cell_components, cell_components_3d, seeded_components
 from gridjobs.operators.metrics import partition_scores, weighted
@@ -159,8 +159,6 @@ def stage_b_sweep(
 def sweep_3d(atoms: DataFrame, boxes: DataFrame, sizes: Sequence[tuple[float, float, float]], thresholds: Sequence[float], beta: float = 0.10, iters: int = 500, radius: float = 1.01, keys: Sequence[str] = ("step",)) -> DataFrame:
     """Selected cells and clusters for every snapshot, cell size and threshold, raw and diffused: (step, size_id, c_thr, diffusion,
     n_selected, n_clusters). Diffusion doesn't depend on the threshold, so it is run once for each size."""
-    from gridjobs.operators.diffusion import diffuse_free_3d
-
     cells = cut(cell_means(box_cells(atoms, boxes, sizes)))
     field = diffuse_free_3d(cells, BOX_KEYS, beta, iters)
     value: list[tuple[str, DataFrame, str]] = [("raw", cells, "label_mean"), ("diffused", field, "c")]
@@ -173,6 +171,3 @@ def sweep_3d(atoms: DataFrame, boxes: DataFrame, sizes: Sequence[tuple[float, fl
     clusters = cell_components_3d(cut(both), run, radius)
     return clusters.groupBy(*run).agg(F.count("*").alias("n_selected"), F.count_distinct("cluster_id").alias("n_clusters"))
 
-
-def threshold(value: float | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(float(value))

@@ -13,7 +13,7 @@ from gridjobs.operators.diffusion import diffuse_masked_2d
 from gridjobs.operators.grid import cell_counts, classify_cells, dense_by_count, dense_by_threshold, diffusion_weight_scale, label_points, normalize_nonzero, select_after_diffusion
 from gridjobs.operators.labelling import cell_components, seeded_components
 from gridjobs.operators.metrics import cluster_report
-from gridjobs.operators.prepare import grids_around, padded_bounds, spacing_seeds, with_row
+from gridjobs.operators.prepare import grids_around, spacing_seeds, with_row
 from gridjobs.operators.search import best_candidate, bin_candidates, stage_a_grid, stage_a_search, stage_b_sweep
 
 
@@ -131,6 +131,3 @@ def dataset_sweep(points: DataFrame, grids: DataFrame, quantiles: Sequence[float
     """The winning first-stage row of every dataset: all datasets, grids and quantiles are keys of one job."""
     return best_candidate(stage_a_grid(points, grids, quantiles, keys=[key], **kw), [key])
 
-
-def padded(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return padded_bounds(points, keys)
