@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridjobs.functions.session import shared_dir
+from gridjobs.functions.session import cut, shared_dir
 from gridjobs.llm import bpe, decontaminate, secrets, simhash, toxicity
 from gridjobs.llm.tables import table
 
+#: Ids up to which those to be dropped are broadcast (40 MB).
+BROADCAST_IDS = 5_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,16 +24,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document with the smallest id of each group of near duplicates; of rows that repeat an id one stays, and rows without
+    an id, which no group can name, all stay.
+
+    The ids that go are broadcast where they number at most ``BROADCAST_IDS``, and joined by id beyond that.
+    """
+    found = simhash.near_duplicates(docs)
+    ids = found.groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")).where("doc_id is not null")
+    odd = cut(ids.where("doc_id <> component_id or n > 1"))
+    n = odd.count()
+    sized = lambda df: F.broadcast(df) if n <= BROADCAST_IDS else df
+    plain = docs.join(sized(odd.select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    again = odd.where("doc_id = component_id").select("doc_id")
+    if again.isEmpty():
+        return plain
+    return plain.unionByName(docs.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    counted = decontaminate.with_item_counts(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
+    return counted.where("n_items = 0").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

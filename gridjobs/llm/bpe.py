@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridjobs.llm.tables import table
+from gridjobs.llm.tables import slices, table
 
 #: White space as the tokenizer's pattern has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,7 +34,7 @@ HALF = 256
 #: Characters of a segment of a long text, and how far to look for a place where the pattern surely cuts.
 SEGMENT = 65_536
 #: Distinct pre-tokens that a worker remembers, and pre-tokens handled at a time within a text.
-REMEMBERED, AT_A_TIME = 300_000, 65_536
+REMEMBERED, AT_A_TIME = 150_000, 65_536
 #: A merge is kept as rank << 20 | id; NONE stands above all.
 NONE, IDS = 1 << 60, (1 << 20) - 1
 
@@ -202,10 +202,11 @@ def cuts(text: str, size: int) -> list[tuple[int, int, bool]]:
 def _encoded(path: str, columns: list[str], keep_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column("text").to_pylist()
             packed = [c.encode(t or "") for t in rows]
             yield _result(batch.select(columns), c, packed, keep_ids)
+        c.seen.clear()
 
     return run
 
@@ -227,7 +228,7 @@ def _result(kept: pa.RecordBatch, c: Codec, packed: list[bytes], keep_ids: bool)
 
 def _segments(path: str, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 parts = cuts(text, size)
                 yield pa.RecordBatch.from_arrays(

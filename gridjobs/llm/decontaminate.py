@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridjobs.llm.tables import table
+from gridjobs.llm.tables import slices, table
 
 WORD = re.compile(r"\w+")
 #: BM25's usual constants.
@@ -29,7 +29,7 @@ BLOCK, DENSE = 8, 64
 #: Characters of items in one index; more items make more indexes, and each is run over all passages.
 INDEX_CHARS = 32_000_000
 #: Words handled at a time within a batch.
-AT_A_TIME = 400_000
+AT_A_TIME = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -175,7 +175,7 @@ class Index:
 def _matches(shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = index.search([t or "" for t in batch.column("_text").to_pylist()])
             rows = pa.array([d for d, _ in found], pa.int64())
             cols = [batch.column(c).take(rows) for c in columns]
@@ -185,6 +185,36 @@ def _matches(shared, columns: list[str]):
     return run
 
 
+def _indexes(items: DataFrame, index_chars: int) -> Iterator[Index]:
+    """Indexes of bounded size over all items; their summed size is asked first, and only so many are collected at a time."""
+    i = items.select("item_id", F.col("text").alias("_item")).where("_item is not null")
+    total = i.agg(F.coalesce(F.sum(F.length("_item")), F.lit(0))).first()[0]
+    n = max(1, -(-total // index_chars))
+    for k in range(n):
+        yield Index([tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n)) == k).collect()])
+
+
+def _counted(shared, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in slices(batches):
+            n = Counter(d for d, _ in index.search([t or "" for t in batch.column("text").to_pylist()]))
+            more = pa.array([n[k] + old for k, old in enumerate(batch.column("n_items").to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), more], names=[*columns, "n_items"])
+
+    return run
+
+
+def with_item_counts(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), index_chars: int = INDEX_CHARS) -> DataFrame:
+    """Every row of ``docs`` with its ``keep`` columns (``text`` among them) and n_items, how many benchmark items it holds. The
+    matches are those of ``contaminated``; rows only pass through, so a filter on n_items needs no join."""
+    out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    for index in _indexes(items, index_chars):
+        out = out.mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(index), list(keep)), kinds)
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), index_chars: int = INDEX_CHARS) -> DataFrame:
     """One row per document row and benchmark item that it holds: ``keep`` columns, item_id, bm25 (share of the item's own
     score), question_overlap, answer_overlap.
@@ -199,15 +229,9 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tu
     """
     spark = docs.sparkSession
     d = docs.select(*keep, F.col(text).alias("_text"))
-    i = items.select("item_id", F.col("text").alias("_item")).where("_item is not null")
-    total = i.agg(F.coalesce(F.sum(F.length("_item")), F.lit(0))).first()[0]
-    n = max(1, -(-total // index_chars))
     kinds = ", ".join(f"`{c}` {t}" for c, t in d.drop("_text").dtypes)
     out = None
-    for k in range(n):
-        index = Index([tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n)) == k).collect()])
-        if n > 1 and not index.ids and out is not None:
-            continue
+    for index in _indexes(items, index_chars):
         shared = spark.sparkContext.broadcast(index)
         found = d.mapInArrow(_matches(shared, list(keep)), f"{kinds}, item_id long, bm25 double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridjobs.llm.tables import table
+from gridjobs.llm.tables import slices, table
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: Dice coefficient from which a stretch of text is taken for a template's.
 DICE = 0.8
-AT_A_TIME = 400_000
+AT_A_TIME = 100_000
 # Notices that name a licence or open its text (fixed values).
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"],
@@ -130,7 +130,7 @@ class Templates:
 
 def _found(templates: Templates, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = templates.scan([t or "" for t in batch.column("_text").to_pylist()])
             rows = pa.array([g[0] for g in got], pa.int64())
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())

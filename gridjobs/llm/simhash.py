@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridjobs.functions.session import cut
-from gridjobs.llm.tables import table
+from gridjobs.llm.tables import slices, table
 from gridjobs.operators.components import components
 
 SEED = 42
@@ -23,6 +23,8 @@ WIDTH = 3
 ERRORS = 2
 #: Fingerprints of one group that one task joins with themselves; larger groups are dealt out as pairs of slices.
 SLICE = 2_000
+#: A fingerprint of more than SLICE rows and 1 / HOT of all is told its component by broadcast: there are fewer than HOT such.
+HOT = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -50,7 +52,7 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint(t or "") for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(prints, pa.int64())], names=[*columns, "fp"])
 
@@ -131,18 +133,22 @@ def links(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id reachable over links, its own included.
 
-    Rows with equal fingerprints are one vertex, so copies of any number cost nothing in the join. Null, empty and
+    Rows with equal fingerprints are one vertex, so copies of any number cost nothing in the join, and the largest classes'
+    components go back to their rows by a broadcast of bounded size instead of a shuffle onto one task. Null, empty and
     word-free texts share fingerprint zero and are linked like any other. A null id takes part but is never the smallest.
     Repeated rows give repeated results; an empty table gives an empty one; other columns are not read.
     """
     prints = cut(fingerprints(docs, text, (id_col,)))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    reach = components(links(classes.select("fp")))
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    reach = components(cut(links(classes.select("fp"))))
     top = classes.join(reach.withColumnRenamed("vertex", "fp"), "fp")
-    best = top.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = top.join(best, "root").select("fp", "component_id")
-    all_classes = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(all_classes, "fp").select(id_col, "fp", "component_id")
+    best = top.groupBy("root").agg(F.min("first").alias("best"))
+    named = top.join(best, "root").select("fp", "best")
+    told = cut(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("best", "first").alias("component_id")))
+    often = max(SLICE, prints.count() // HOT)
+    hot = F.broadcast(told.where(F.col("n") > often).select("fp", "component_id"))
+    rest = prints.join(hot, "fp", "left_anti").join(told.where(F.col("n") <= often).drop("n"), "fp")
+    return rest.unionByName(prints.join(hot, "fp")).select(id_col, "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
