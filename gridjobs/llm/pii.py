@@ -7,6 +7,7 @@ every document. Halves stay in their places and are changed in turn, so each dig
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +27,21 @@ PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
-#: A value stands free of letters and digits on both sides.
-ANY = rf"(?<![A-Za-z0-9])(?:{EMAIL}|{IP}(?!\.?[0-9])|{ISO_DATE}|{DAY_FIRST}|{SSN}|{PHONE}|{IBAN}|{CARD})(?![A-Za-z0-9])"
+_NUMBERS = rf"{IP}(?!\.?[0-9])|{ISO_DATE}|{DAY_FIRST}|{SSN}|{PHONE}|{IBAN}|{CARD}"
+#: A value stands free of letters and digits on both sides; texts without an at sign are searched for numbers only.
+ANY = rf"(?<![A-Za-z0-9])(?:{EMAIL}|{_NUMBERS})(?![A-Za-z0-9])"
+NUMBERS = rf"(?<![A-Za-z0-9])(?=[0-9+(]|[A-Z]{{2}}[0-9])(?:{_NUMBERS})(?![A-Za-z0-9])"
+#: What any text with a value has.
+HINT = r"@|[0-9][-0-9. ()/+]{5,}[0-9]|[A-Z]{2}[0-9]{2}"
 #: Days from 1900-01-01 on that dates are permuted among: 2^16 of them, up to 2079-06-06.
 FIRST_DAY, DAYS = "1900-01-01", 65_536
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named (a lambda would compute it for each element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(key: str, what: Column, *more: Column) -> Column:
     """A keyed 32-bit number."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *more, what), 256), 1, 8), 16, 10).cast("long")
@@ -53,17 +63,20 @@ def _shift(key: str, half: Column, other: Column, kind: str, turn: Column, sign:
 def permuted(value: Column, key: str, kind: str, back: bool = False) -> Column:
     """Feistel permutation of ASCII strings that keeps length and the class of every character; ``back`` inverts it."""
     turns = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    middle = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(value.substr(F.lit(1), middle).alias("l"), value.substr(middle + 1, F.length(value)).alias("r"))
+
+    def start(v: Column) -> Column:
+        middle = F.floor(F.length(v) / 2).cast("int")
+        return F.struct(v.substr(F.lit(1), middle).alias("l"), v.substr(middle + 1, F.length(v)).alias("r"))
+
     sign = -1 if back else 1
     step = lambda s, t: F.when(t % 2 == 0, F.struct(s["l"].alias("l"), _shift(key, s["r"], s["l"], kind, t, sign).alias("r"))).otherwise(F.struct(_shift(key, s["l"], s["r"], kind, t, sign).alias("l"), s["r"].alias("r")))
-    return F.aggregate(turns, start, step, lambda s: F.concat(s["l"], s["r"]))
+    return F.aggregate(turns, let(value, start), step, lambda s: F.concat(s["l"], s["r"]))
 
 
 def permuted_bits(value: Column, bits: int, key: str, kind: str, back: bool = False) -> Column:
     """Feistel permutation of the integers below 2^bits, for an even number of bits."""
     half = 1 << bits // 2
-    start = F.struct(F.floor(value / half).cast("long").alias("l"), (value % half).cast("long").alias("r"))
+    start = let(value, lambda v: F.struct(F.floor(v / half).cast("long").alias("l"), (v % half).cast("long").alias("r")))
     turns = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     mix = lambda a, b, t: a.bitwiseXOR(_number(key, b.cast("string"), F.lit(kind), t) % half)
     step = lambda s, t: F.when(t % 2 == 0, F.struct(s["l"].alias("l"), mix(s["r"], s["l"], t).alias("r"))).otherwise(F.struct(mix(s["l"], s["r"], t).alias("l"), s["r"].alias("r")))
@@ -76,22 +89,26 @@ def digits_of(value: Column) -> Column:
 
 def refilled(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced in order by ``digits``."""
-    return F.aggregate(
-        F.split(value, ""),
-        F.struct(F.lit("").alias("s"), F.lit(1).alias("n")),
-        lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["s"], digits.substr(a["n"], F.lit(1))).alias("s"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["n"].alias("n"))),
-        lambda a: a["s"],
-    )
+
+    def fill(given: Column) -> Column:
+        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("n"))
+        step = lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["s"], given.substr(a["n"], F.lit(1))).alias("s"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["n"].alias("n")))
+        return F.aggregate(F.split(value, ""), start, step, lambda a: a["s"])
+
+    return let(digits, fill)
 
 
 def luhn(digits: Column) -> Column:
     """Sum of the check-digit scheme, from the right, counting the last digit singly."""
 
-    def worth(i: Column) -> Column:
-        d = digits.substr(F.length(digits) - i + 1, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+    def total(v: Column) -> Column:
+        def worth(i: Column) -> Column:
+            d = v.substr(F.length(v) - i + 1, F.lit(1)).cast("int")
+            return F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), F.lit(0), lambda s, i: s + F.coalesce(worth(i), F.lit(0)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), lambda s, i: s + F.coalesce(worth(i), F.lit(0)))
+    return let(digits, total)
 
 
 def mod97(value: Column) -> Column:
@@ -137,22 +154,21 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     email = F.concat(permuted(local, key, "email"), F.lit("@"), permuted(name, key, "domain"), top)
     octets = F.split(value, r"\.")
     number = reduce(lambda a, n: a * 256 + F.get(octets, F.lit(n)).cast("long"), range(4), F.lit(0).cast("long"))
-    bits = permuted_bits(number, 32, key, "ip")
-    ip = F.concat_ws(".", *((F.shiftright(bits, 8 * n) % 256).cast("string") for n in (3, 2, 1, 0)))
+    ip = let(permuted_bits(number, 32, key, "ip"), lambda b: F.concat_ws(".", *((F.shiftright(b, 8 * n) % 256).cast("string") for n in (3, 2, 1, 0))))
     day = permuted_bits(F.datediff(date_of(value), F.lit(FIRST_DAY).cast("date")).cast("long"), 16, key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
-    date = refilled(value, F.when(whole(value, ISO_DATE), F.date_format(new, "yyyyMMdd")).otherwise(F.date_format(new, "ddMMyyyy")))
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+    date = refilled(value, let(moved, lambda new: F.when(whole(value, ISO_DATE), F.date_format(new, "yyyyMMdd")).otherwise(F.date_format(new, "ddMMyyyy"))))
     body = permuted(d.substr(F.lit(1), F.length(d) - 1), key, "card")
-    card = refilled(value, F.concat(body, F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+    card = refilled(value, let(body, lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
     lead = F.greatest(F.length(d) - 10, F.lit(0))
     phone = refilled(value, F.concat(d.substr(F.lit(1), lead), permuted(d.substr(lead + 1, F.length(d)), key, "phone")))
     area, rest = d.substr(F.lit(1), F.lit(3)), d.substr(F.lit(4), F.lit(6))
     ssn = refilled(value, F.concat(area, permuted(rest, key, "ssn")))
     plain = F.regexp_replace(value, " ", "")
     account = permuted(plain.substr(F.lit(5), F.length(plain)), key, "iban")
-    check = F.lpad((98 - mod97(F.concat(plain.substr(F.lit(1), F.lit(2)), F.lit("00"), account))).cast("string"), 2, "0")
-    bare = F.concat(plain.substr(F.lit(1), F.lit(2)), check, account)
-    iban = F.when(value.contains(" "), F.trim(F.regexp_replace(bare, "(.{4})", "$1 "))).otherwise(bare)
+    check = lambda a: F.lpad((98 - mod97(F.concat(plain.substr(F.lit(1), F.lit(2)), F.lit("00"), a))).cast("string"), 2, "0")
+    bare = let(account, lambda a: F.concat(plain.substr(F.lit(1), F.lit(2)), check(a), a))
+    iban = let(bare, lambda b: F.when(value.contains(" "), F.trim(F.regexp_replace(b, "(.{4})", "$1 "))).otherwise(b))
     cases = {"email": email, "ip": ip, "date": date, "card": card, "phone": phone, "ssn": ssn, "iban": iban}
     out = F.when(F.lit(False), value)
     for k, v in cases.items():
@@ -169,10 +185,12 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text", keep: tuple[str
     rows, empty texts and tables empty ones; other columns are not read. It is a projection: no shuffle, no state.
     """
     d = docs.select(*keep, F.col(text).alias("_text"))
-    found = F.when(F.col("_text").rlike("[0-9@]"), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    mail = F.contains("_text", F.lit("@"))
+    every = lambda p: F.regexp_extract_all("_text", F.lit(p), F.lit(0))
+    found = F.when(F.col("_text").rlike(HINT), F.when(mail, every(ANY)).otherwise(every(NUMBERS))).otherwise(F.array().cast("array<string>"))
     d = d.withColumn("_hits", F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
     some = F.exists("_hits", lambda h: h["k"].isNotNull())
-    pieces = F.split("_text", ANY, -1)
+    pieces = F.when(mail, F.split("_text", ANY, -1)).otherwise(F.split("_text", NUMBERS, -1))
     glued = F.zip_with(pieces, F.transform("_hits", lambda h: pseudonym(h["v"], h["k"], key)), lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
     kinds = F.filter(F.transform("_hits", lambda h: h["k"]), lambda k: k.isNotNull())
     return d.select(*keep, F.when(some, F.array_join(glued, "")).otherwise(F.col("_text")).alias("text"), F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_pii"), F.array_join(kinds, ",").alias("kinds"))
