@@ -13,6 +13,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ PREDICT = 0.3
 REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGES = re.compile(r"^[^\w@$]+|[^\w$@]+$|[$@!*]{2,}$")
+SEPARATORS = re.compile(r"[-._~'/\\,]+")
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1")
 #: Characters of the language model: 0 stands for the edge of a word, then letters a-z, then accented letters.
@@ -79,22 +82,21 @@ def smoothed(counts: np.ndarray, words: list[str]) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def decode(word: str, logp: np.ndarray) -> str:
-    """The likeliest letters behind a disguised word: each sign's readings, repetitions as one or two, separators dropped."""
-    runs: list[tuple[list[int], list[int]]] = []
-    k = 0
-    while k < len(word):
-        c, n = word[k], 1
-        while k + n < len(word) and word[k + n] == c:
-            n += 1
-        k += n
+def _readings(word: str) -> Iterator[tuple[list[int], list[int]]]:
+    """What each run of one sign may stand for, and how often; signs that only stand between letters are passed over."""
+    for c, same in groupby(word):
+        n = sum(1 for _ in same)
         if c in BETWEEN and c != "*":
             continue
         readings = [CODES[x] for x in (c if c in CODES else LEET.get(c, ""))]
         if readings:
-            runs.append((readings, [1, 2] if n > 2 else [n]))
+            yield readings, [1, 2] if n > 2 else [n]
+
+
+def decode(word: str, logp: np.ndarray) -> str:
+    """The likeliest letters behind a disguised word: each sign's readings, repetitions as one or two, separators dropped."""
     states = {(0, 0): (0.0, ())}
-    for readings, copies in runs:
+    for readings, copies in _readings(word):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in states.items():
             for x in readings:
@@ -104,8 +106,6 @@ def decode(word: str, logp: np.ndarray) -> str:
                     if to not in new or s > new[to][0]:
                         new[to] = (s, (path, x, n))
         states = new
-    if not runs:
-        return ""
     path = max(((s + float(logp[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])[1]
     letters = {n: c for c, n in CODES.items()}
     out = []
@@ -119,7 +119,7 @@ def disguised(word: str) -> bool:
     """Whether a lower-case word, stripped at its edges, has signs between letters or a letter three times in a row."""
     if word.isalpha():
         return bool(TRIPLE.search(word))
-    if len(word) > 60 or sum(c.isalpha() for c in word) < 2:
+    if sum(c.isalpha() for c in word) < 2:
         return False
     if re.fullmatch(r"[0-9a-f]{16,}", word) or "://" in word or "@" in word and "." in word:
         return False
@@ -127,6 +127,14 @@ def disguised(word: str) -> bool:
     return any(c in LEET or c in BETWEEN for c in core) and not re.fullmatch(r"[^\W\d_]{2,}(['-][^\W\d_]{2,})+", word)
 
 
+def pieces(word: str) -> list[str]:
+    """The parts between a word's separators; single signs that follow each other are one part, as they spell words."""
+    out = []
+    for single, parts in groupby(filter(None, SEPARATORS.split(word)), lambda p: len(p) == 1):
+        out += ["".join(parts)] if single else parts
+    return out
+
+
 def spaced(words: list[str]) -> list[str]:
     """Words spelled with a space between letters: three or more single characters in a row, not all the same."""
     ones = [k for k, w in enumerate(words) if not w[1:]]
@@ -154,7 +162,7 @@ class Model:
     seen: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "lengths"} | {"seen": {}}
 
     def plain(self, word: str) -> float:
         """Weight of a word of letters: its own or the largest of its beginnings."""
@@ -172,7 +180,7 @@ class Model:
         best = max((self.plain(w) for w in ([word] if word.isalpha() else LETTERS.findall(word))), default=0.0)
         if best < STRONG and self.logp is not None and word:
             if disguised(word):
-                best = max(best, self.plain(decode(word, self.logp)))
+                best = max(best, self.plain(decode(word, self.logp)), self.phrase(word))
             elif DOUBLE.search(word):
                 best = max(best, self.strong(DOUBLE.sub(r"\1", word)))
         if len(self.seen) >= REMEMBERED:
@@ -183,21 +191,40 @@ class Model:
     def strong(self, word: str) -> float:
         return x if (x := self.plain(word)) >= STRONG else 0.0
 
+    @cached_property
+    def lengths(self) -> list[int]:
+        """Lengths of the learned words of strong weight that are looked for inside spelled text."""
+        return sorted({len(w) for w, x in self.weights.items() if x >= STRONG and len(w) >= 4 and not w.endswith("-")})
+
+    def phrase(self, word: str) -> float:
+        """Weight of a token's strongest part, each decoded by itself, where separators leave several or spell them out."""
+        if not SEPARATORS.search(word):
+            return 0.0
+        parts = pieces(word)
+        runs = (self.run(p) for p in parts if len(p) >= 3) if self.spelled(word) else ()
+        return max([0.0, *(self.strong(decode(p, self.logp)) for p in parts if disguised(p)), *runs])
+
+    @staticmethod
+    def spelled(word: str) -> bool:
+        """Whether separators stand between most signs of a word."""
+        ones = [len(p) == 1 for p in SEPARATORS.split(word) if p]
+        return 2 * sum(ones) > len(ones) and sum(ones) >= 3
+
     def run(self, letters: str) -> float:
-        """Weight of spaced letters, which may be several words."""
-        word = decode(letters[:200], self.logp)
-        inner = (self.weights.get(word[a:b], 0.0) for a in range(len(word)) for b in range(a + 4, min(len(word), a + 14) + 1))
-        return max([self.strong(word), *(x for x in inner if x >= STRONG)])
+        """Weight of spelled letters, however many, which may be several words: of all of them, or of the strongest word inside."""
+        word = decode(letters, self.logp)
+        inner = (self.weights.get(word[a : a + n], 0.0) for a in range(len(word)) for n in self.lengths if a + n <= len(word))
+        return max(self.strong(word), max((x for x in inner if x >= STRONG), default=0.0))
 
     def counts(self, text: str) -> tuple[int, int, int, float]:
-        """Words, different ones of strong and of weak weight, and these weights' sum; a word that is said again adds nothing."""
+        """Words, those of strong and of weak weight, and the weights' sum; a word counts as often as it is said."""
         tokens = text.lower().split()
         seen, weight = self.seen, self.weight
-        hits = [x for t in set(tokens) if (x := seen[t] if t in seen else weight(t))]
+        hits = [(x, n) for t, n in Counter(tokens).items() if (x := seen[t] if t in seen else weight(t))]
         if self.logp is not None:
-            hits += [x for s in spaced(tokens) if (x := self.run(s))]
-        strong = sum(x >= STRONG for x in hits)
-        return len(tokens), strong, len(hits) - strong, math.fsum(hits)
+            hits += [(x, 1) for s in spaced(tokens) if (x := self.run(s))]
+        strong = sum(n for x, n in hits if x >= STRONG)
+        return len(tokens), strong, sum(n for _, n in hits) - strong, math.fsum(x * n for x, n in hits)
 
     def features(self, n: int, strong: int, weak: int, mass: float) -> list[float]:
         over = (weak - n * self.clean_rate) / math.sqrt(n * self.clean_rate + 1)
@@ -220,16 +247,16 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 3
 
 
 def word_counts(texts: list[str], labels: list[int]) -> dict[str, list[int]]:
-    """word or stem -> different words of it in toxic texts, in others, and toxic texts with it; each text counts a word once."""
+    """word or stem -> times in toxic texts, times in others, toxic texts with it."""
     out: dict[str, list[int]] = {}
     for text, y in zip(texts, labels, strict=True):
         of: Counter = Counter()
-        for w in set(LETTERS.findall(text.lower())):
-            of[w] += 1
+        for w, n in Counter(m[0] for m in LETTERS.finditer(text.lower())).items():
+            of[w] += n
             for k in STEMS:
                 if k >= len(w):
                     break
-                of[w[:k] + "-"] += 1
+                of[w[:k] + "-"] += n
         for w, n in of.items():
             c = out.setdefault(w, [0, 0, 0])
             c[1 - y] += n

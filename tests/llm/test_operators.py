@@ -250,6 +250,19 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark):
     assert toxicity.toxicity(df, blank).where(F.col("score") >= toxicity.PREDICT).count() == 0
 
 
+def test_toxicity_reads_spelled_and_disguised_text_of_any_length():
+    logp = toxicity.smoothed(toxicity.trigrams(["the idiot is a moron in the garden by the river"] * 5), ["idiot", "moron"])
+    model = toxicity.Model({"idiot": 6.0, "moron": 6.0}, logp)
+    calm = "thegardenbytheriver" * 20
+    assert model.counts(" ".join(calm))[1] == 0 and model.counts(" ".join(calm + "idiot"))[1] == 1
+    assert model.counts(" ".join(calm + "m0r0n" + calm))[1] == 1
+    for sign in ".-":
+        assert model.weight(sign.join(calm)) == 0 and model.weight(sign.join(calm + "idiot" + calm)) == 6
+    assert model.weight("1d1" + "o" * 60 + "t") == 6 and model.weight("the-garden-by-" * 9 + "1d10t") == 6
+    assert model.counts("idiot idiot river 1d10t") == (4, 3, 0, 18.0)
+    assert toxicity.word_counts(["idiot idiot"], [1])["idiot"] == [2, 0, 1]
+
+
 def test_viterbi_is_the_best_of_all_readings():
     logp = toxicity.smoothed(toxicity.trigrams(["the idiot is a moron in the garden"] * 5), ["idiot", "moron"])
     codes = toxicity.CODES
