@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from gridjobs.functions.kernels import silhouette_sums
 from gridjobs.operators.prepare import with_row
 
-#: Labelled points up to which silhouettes are exact by default; beyond, a seeded sample of this size is scored.
-EXACT = 50_000
-
 
 def _one(df: DataFrame, keys: Sequence[str], *aggs) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
@@ -53,11 +50,11 @@ def davies_bouldin(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return worst.groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.avg("worst")).alias("dbi"))
 
 
-def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int | None = EXACT, squared: bool = False, seed: int = 0) -> DataFrame:
+def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int | None = None, squared: bool = False, seed: int = 0) -> DataFrame:
     """silhouette of each run: mean over labelled points; null where there are fewer than two clusters or as many as points.
 
-    Each task takes a share of the points and goes over blocks of all points of the run. With ``sample_size`` at most about that
-    many labelled points of a run (by hash of their id and ``seed``) are scored and compared; None scores all.
+    Each task takes a share of the points and goes over blocks of all points of the run. All labelled points
+    are scored and compared, unless a ``sample_size`` is asked for: then about that many of a run, by hash of their id and ``seed``.
     """
     keys = list(keys)
     p = labelled.where("label >= 0").select(*keys, "point_id", "x", "y", F.col("label").cast("int").alias("label"))

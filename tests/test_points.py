@@ -84,6 +84,13 @@ def test_metrics_on_known_partitions(spark):
     assert one["nmi"] == 0.0 and one["ari"] == pytest.approx(0.0)
 
 
+def test_silhouette_scores_all_points_of_a_large_run(spark):
+    n = 50_500
+    p = spark.range(n + 1).select(F.col("id").alias("point_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("label"))
+    p = p.withColumns({"x": F.when(F.col("point_id") == n, 1.0).otherwise(0.0), "label": F.when(F.col("point_id") == n, 1).otherwise(0)})
+    assert metrics.silhouette(p).first()["silhouette"] == pytest.approx(n / (n + 1), abs=1e-9)
+
+
 def test_matching_ties_zero_overlap_and_background(spark):
     rows = [(0, 1, 1), (1, 1, 2), (2, 2, 3), (3, 3, 0), (4, 0, 4), (5, 2, 3)]
     d = spark.createDataFrame([(0, *r) for r in rows], "step long, atom_id long, grid_id int, atom_label int")
