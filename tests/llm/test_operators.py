@@ -383,6 +383,18 @@ def test_licence_notices(spark):
     assert licenses.license_notices(df.limit(0)).count() == 0
 
 
+def test_every_licence_template_and_notice_gets_its_own_name():
+    t = licenses.Templates(licenses.TEMPLATES)
+    noise = "some words before that mean nothing "
+    for name, variants in licenses.TEMPLATES.items():
+        got = t.scan([f"{noise}{v} {noise}" for v in variants])
+        assert sorted({g[0] for g in got}) == list(range(len(variants))) and {g[1] for g in got} == {name}
+    free = lambda name, sign, version: f"This program is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation{',' if sign == ':' else ';'} either version {version} of the License, or (at your option) any later version."
+    assert [g[1] for g in t.scan([free("Affero", ":", "3"), free("", ":", "3"), free("", ";", "2"), free("Lesser", ":", "3"), free("Lesser", ";", "2.1").replace("program", "library")])] == ["AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1"]
+    edited = licenses.TEMPLATES["BSD-2-Clause"][-1].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR").replace("<year> <owner>", "2020 A. Name")
+    assert [g[1] for g in t.scan([edited])] == ["BSD-2-Clause"]
+
+
 def test_best_stretches_match_brute_force():
     from collections import Counter
 
