@@ -22,16 +22,20 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "jwt", "key", "encoded")
-#: Candidates of the structural checks.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: Candidates of the structural checks; encoded ones from the shortest secret of the base patterns on (12 bytes).
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.S)
+PLAIN_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]+")
+#: A header in front of a key: with the rest of its line, or with one word where lines were joined.
+HEADERS = [re.compile(r"(?:\s|\\[nr])*([A-Za-z][A-Za-z0-9-]*):[ \t]*((?:(?!\\[nr])" + one + r")*)") for one in (r"[^\n\r]", r"\S")]
+CIPHER = re.compile(r"[A-Za-z0-9-]+,[0-9A-Fa-f]{16,}\s*")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{48,}+")
+B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+HEX_ANY = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{24,}+")
 
 
 def unbase64(s: str) -> bytes:
     """Bytes of base64 in either alphabet, padded or not; nothing if it isn't base64."""
-    s = re.sub(r"[\s\\]", "", s).rstrip("=").replace("-", "+").replace("_", "/")
+    s = re.sub(r"\\[nr]|[\s\\]", "", s).rstrip("=").replace("-", "+").replace("_", "/")
     if len(s) % 4 == 1:
         return b""
     try:
@@ -79,6 +83,26 @@ def is_key(data: bytes) -> bool:
     return bool(inner) and len(inner) > 1 and inner[0] == 0x02 and data[head + 1] == 1 and data[head + 2] < 3
 
 
+def opened(body: str) -> tuple[dict[str, str], bytes]:
+    """Header lines and bytes of what stands between the marks of a PEM key; nothing if it isn't base64."""
+    for header in HEADERS:
+        heads, at = {}, 0
+        while m := header.match(body, at):
+            heads[m[1].lower()] = m[2]
+            at = m.end()
+        if data := unbase64(body[at:]):
+            return heads, data
+    return {}, b""
+
+
+def is_pem_key(title: str, body: str) -> bool:
+    """A private key between its marks: plain, or encrypted as DER, or encrypted whole as its headers say."""
+    heads, data = opened(body)
+    if is_key(data) or "ENCRYPTED" in title and der(data) == [0x30]:
+        return True
+    return "ENCRYPTED" in heads.get("proc-type", "") and bool(CIPHER.fullmatch(heads.get("dek-info", ""))) and len(data) >= 16 and len(data) % 8 == 0
+
+
 def is_signed_token(s: str) -> bool:
     """Three dotted parts of which the first two are JSON objects and the header names an algorithm."""
     head, body, _ = s.split(".", 2)
@@ -103,7 +127,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """What decodes to a key, a signed token, or text that holds a secret itself."""
     out = []
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_key(unbase64(m[2])) or "ENCRYPTED" in m[1] and der(unbase64(m[2])) == [0x30]]
+        out += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     taken = list(out)
@@ -119,7 +143,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                     inner = data.decode()
                 except UnicodeDecodeError:
                     continue
-                if not inner or not (base_spans(inner) or PEM.search(inner)):
+                if not inner or not (base_spans(inner) or any(PLAIN_BODY.fullmatch(p[2]) or opened(p[2])[1] for p in PEM.finditer(inner))):
                     continue
                 kind = "encoded"
             out.append((m.start(), m.end(), kind))
