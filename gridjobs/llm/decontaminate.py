@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Words of a shingle, and the share of an item's shingles that a passage must hold.
 WIDTH, OVERLAP = 5, 0.8
+#: Share of an item's words, in order and close together, with which a passage holds it though edits broke its shingles.
+ORDERED = 0.8
 #: Share of the answer's words that go with a fully overlapped question.
 ANSWER = 0.8
 #: Items in a block of the index; terms in more blocks than this are bounded together instead of block by block.
@@ -51,6 +53,28 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[k : k + WIDTH]) for k in range(max(1, len(w) - WIDTH + 1))} if w else set()
 
 
+def in_order(item: list[str], passage: list[str], share: float = ORDERED) -> bool:
+    """Whether a stretch of the passage, at most a fifth longer than the item, has the share of its words in their order.
+
+    Below five words that is the whole item word for word."""
+    n, need = len(item), math.ceil(share * len(item) - 1e-9)
+    places: dict[str, int] = {}
+    for k, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << k
+    at = [k for k, w in enumerate(passage) if w in places]
+    full, most = (1 << n) - 1, n + n // 5
+    for i in range(len(at) - need + 1):
+        if at[i + need - 1] - at[i] >= most:
+            continue
+        left = full  # longest common subsequence, a bit for each word of the item
+        for k in passage[at[i] : at[i] + most]:
+            if m := left & places.get(k, 0):
+                left = (left + m | left - m) & full
+        if n - left.bit_count() >= need:
+            return True
+    return False
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
@@ -66,7 +90,8 @@ class Index:
         self.question = [shingles(q) for _, q, _ in parsed]
         self.answer = [set(a) for _, _, a in parsed]
         self.whole = [shingles(q + a) for _, q, a in parsed]
-        texts = [q + a for _, q, a in parsed]
+        self.asked = [q for _, q, _ in parsed]
+        self.texts = texts = [q + a for _, q, a in parsed]
         self.longest = max((math.ceil(1.25 * len(t)) for t in texts), default=1)
         seen = Counter(w for t in texts for w in set(t))
         self.terms = {w: n for n, w in enumerate(seen)}
@@ -140,7 +165,8 @@ class Index:
         q = len(self.question[item] & has) / len(self.question[item]) if self.question[item] else 1.0
         a = len(self.answer[item] & got) / len(self.answer[item]) if self.answer[item] else 1.0
         whole = len(self.whole[item] & has) / len(self.whole[item])
-        return q, a, whole >= OVERLAP or (q >= OVERLAP and a >= ANSWER and len(self.question[item]) > 1)
+        enough = whole >= OVERLAP or (q >= OVERLAP and a >= ANSWER and len(self.question[item]) > 1) or in_order(self.texts[item], passage)
+        return q, a, enough or (a >= ANSWER and len(self.question[item]) > 1 and in_order(self.asked[item], passage))
 
     def search(self, texts: list[str]) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item) -> score, question overlap, answer overlap of the best verified passage."""

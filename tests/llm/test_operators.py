@@ -79,6 +79,25 @@ def test_decontamination_finds_whole_items_only(spark, monkeypatch):
     assert decontaminate.contaminated(df, items(spark).limit(0)).count() == 0
 
 
+def test_decontamination_decides_edited_and_tiny_items_on_their_words():
+    rng = random.Random(5)
+    item = lambda n, tag: [f"{tag}{k}" for k in range(n)]
+    noise = rng.choices("the of and river city stood year old before which".split(), k=60)
+    for n in (5, 8, 16, 22, 28):
+        index = decontaminate.Index([(0, " ".join(item(n, "w"))), (1, " ".join(item(40, "v")))])
+        edits = [item(n, "w") for _ in range(3)]
+        edits[0][n // 2] = "other"
+        edits[1].insert(n // 2, "other")
+        del edits[2][n // 2]
+        assert set(index.search([" ".join(noise + e + noise) for e in edits])) == {(k, index.ids.index(0)) for k in range(3)}
+        shuffled = rng.sample(item(n, "w"), n)
+        assert not index.search([" ".join(noise + shuffled[::-1] + noise), " ".join(w for x in item(n, "w") for w in (x, "of", "the"))])
+    for n in (1, 2, 3, 4):
+        index = decontaminate.Index([(0, " ".join(item(n, "w"))), (1, " ".join(item(40, "v")))])
+        texts = [" ".join(noise + item(n, "w") + noise), " ".join(noise + [*item(n, "w")[:-1], "other"] + noise), " ".join(item(n, "w")[:1] + noise + item(n, "w")[1:])]
+        assert set(index.search(texts)) == {(k, index.ids.index(0)) for k in ((0,) if n > 1 else (0, 2))}
+
+
 def test_block_bounds_lose_nothing():
     rng = random.Random(3)
     vocabulary = [f"w{n}" for n in range(300)]
