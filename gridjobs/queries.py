@@ -371,6 +371,11 @@ def diffuse_masked_2d(spark, sf_dir):
     return rounded(masked(spark, sf_dir, max_iters=4)[0].select("i", "j", "dense", "c"))
 
 
+@query("d1_diffuse_masked_2d_full")
+def diffuse_masked_2d_full(spark, sf_dir):
+    return rounded(masked(spark, sf_dir)[0].select("i", "j", "dense", "c"))
+
+
 @query("d1_diffuse_until_converged")
 def diffuse_until_converged(spark, sf_dir):
     return masked(spark, sf_dir, (0.05, 0.2, 0.4))[1].select("beta", "iters_used", "max_delta_last", "stop")
@@ -381,6 +386,11 @@ def select_after_diffusion(spark, sf_dir):
     return grid.select_after_diffusion(masked(spark, sf_dir, max_iters=4)[0], 0.05).select("i", "j", "selected")
 
 
+@query("m6_select_after_diffusion_full")
+def select_after_diffusion_full(spark, sf_dir):
+    return grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05).select("i", "j", "selected")
+
+
 @query("m7_select_cells_3d", f"with {BOXED} select step, size_id, xi, yi, zi from cm where label_mean >= 0.55")
 def select_cells_3d(spark, sf_dir):
     return grid.select_cells_3d(grid.cell_means(boxed(spark, sf_dir)), 0.55).select("step", "size_id", "xi", "yi", "zi")
@@ -411,6 +421,12 @@ def diffuse_free_3d(spark, sf_dir):
     return rounded(diffusion.diffuse_free_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
 
 
+@query("d2_diffuse_free_3d_full")
+def diffuse_free_3d_full(spark, sf_dir):
+    c = grid.cell_means(boxed(spark, sf_dir)).where("size_id = 1")
+    return rounded(diffusion.diffuse_free_3d(c).select("step", "xi", "yi", "zi", "c"))
+
+
 KNOWN = LATTICE.replace("from bx group by", "from bx where c_label >= 0.8 group by")
 
 
@@ -420,6 +436,12 @@ def impute_3d(spark, sf_dir):
     return rounded(diffusion.impute_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
 
 
+@query("d3_impute_3d_full")
+def impute_3d_full(spark, sf_dir):
+    c = grid.full_lattice(grid.cell_means(boxed(spark, sf_dir).where("c_label >= 0.8")).where("size_id = 1"))
+    return rounded(diffusion.impute_3d(c).select("step", "xi", "yi", "zi", "c"))
+
+
 # Components
 
 
@@ -620,7 +642,7 @@ def dataset_sweep(spark, sf_dir):
 @query("r10_sweep_3d")
 def sweep_3d(spark, sf_dir):
     a = snapshots(spark, sf_dir)
-    return search.sweep_3d(a, sources.snapshot_boxes(a), SIZES, (0.5, 0.55), iters=20)
+    return search.sweep_3d(a, sources.snapshot_boxes(a), SIZES, (0.5, 0.55))
 
 
 # Grid against atoms

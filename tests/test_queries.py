@@ -4,10 +4,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from gridjobs import queries
+from gridjobs.operators import grid, search
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,6 +40,40 @@ def test_query_matches_sql(spark, duck, name):
     assert len(got) == len(want) and all(near(a, b) for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
 
 
+def test_full_diffusion_queries_match_brute_force(spark, monkeypatch):
+    boxed = queries.boxed(spark, SF)
+    for name, cells, impute in (("d2_diffuse_free_3d_full", boxed, False), ("d3_impute_3d_full", boxed.where("c_label >= 0.8"), True)):
+        lattice = grid.full_lattice(grid.cell_means(cells).where("size_id = 1")).collect()
+        got = {(r["step"], r["xi"], r["yi"], r["zi"]): r["c"] for r in queries.QUERIES[name](spark, SF).collect()}
+        want = {}
+        for step in {r["step"] for r in lattice}:
+            own = [r for r in lattice if r["step"] == step]
+            v = np.zeros([1 + max(r[a] for r in own) for a in ("xi", "yi", "zi")])
+            known = np.zeros(v.shape, bool)
+            for r in own:
+                v[r["xi"], r["yi"], r["zi"]], known[r["xi"], r["yi"], r["zi"]] = r["label_mean"] or 0.0, r["cn"] > 0
+            c = v.copy()
+            for _ in range(500):
+                c = c + 0.1 * (sum(np.roll(c, s, a) for a in range(3) for s in (1, -1)) - 6 * c)
+                c = np.where(known, v, c) if impute else c.clip(0, 1)
+            want |= {(step, *map(int, k)): c[tuple(k)] for k in (np.argwhere(known | impute))}
+        assert set(got) == set(want) and all(near(got[k], float(want[k])) for k in want)
+    steps = []
+    whole = search.diffuse_free_3d
+    monkeypatch.setattr(search, "diffuse_free_3d", lambda c, keys, beta, iters: steps.append(iters) or whole(c, keys, beta, iters))
+    queries.QUERIES["r10_sweep_3d"](spark, SF)
+    assert steps == [500]
+
+
+def test_full_masked_diffusion_queries_converge(spark):
+    field, stats = queries.masked(spark, SF)
+    assert stats.first()["stop"] == "converged"
+    early, full = ({(r["i"], r["j"]): r["c"] for r in queries.QUERIES[n](spark, SF).collect()} for n in ("d1_diffuse_masked_2d", "d1_diffuse_masked_2d_full"))
+    assert set(early) == set(full) and full == {(r["i"], r["j"]): r["c"] for r in queries.rounded(field).collect()} and full != early
+    chosen = {(r["i"], r["j"]) for r in queries.QUERIES["m6_select_after_diffusion_full"](spark, SF).where("selected").collect()}
+    assert {k for k, c in full.items() if c > 0.05 + 1e-6} <= chosen
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
