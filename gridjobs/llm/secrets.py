@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,11 +25,11 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "jwt", "key", "encoded")
 #: Candidates of the structural checks; encoded ones from the shortest secret of the base patterns on (12 bytes).
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.S)
-PLAIN_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]+")
 #: A header in front of a key: with the rest of its line, or with one word where lines were joined.
 HEADERS = [re.compile(r"(?:\s|\\[nr])*([A-Za-z][A-Za-z0-9-]*):[ \t]*((?:(?!\\[nr])" + one + r")*)") for one in (r"[^\n\r]", r"\S")]
 CIPHER = re.compile(r"[A-Za-z0-9-]+,[0-9A-Fa-f]{16,}\s*")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A token begins at the first mark of its run of base64 signs, so that a run is read once, however many marks it has.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{24,}+")
 
@@ -104,11 +105,12 @@ def is_pem_key(title: str, body: str) -> bool:
 
 
 def is_signed_token(s: str) -> bool:
-    """Three dotted parts of which the first two are JSON objects and the header names an algorithm."""
+    """Three dotted parts of which the first two are JSON objects and the header names an algorithm. Objects nested deeper than
+    the parser follows (some thousand levels) are none."""
     head, body, _ = s.split(".", 2)
     try:
         head, body = json.loads(unbase64(head)), json.loads(unbase64(body))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
@@ -123,31 +125,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Taken:
+    """Places of a text that findings cover, apart from each other and in order."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.spans, (end,))
+        return not at or self.spans[at - 1][1] <= start
+
+    def add(self, start: int, end: int) -> bool:
+        """Cover a place; False if part of it is covered already."""
+        free = self.free(start, end)
+        if free:
+            insort(self.spans, (start, end))
+        return free
+
+
+def as_text(data: bytes) -> str | None:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
+def unhex(s: str) -> bytes:
+    return bytes.fromhex(s[: len(s) & ~1])
+
+
+def kind_of(data: bytes) -> str | None:
+    """What decoded bytes are: a key, or text that holds a secret itself, however often that is encoded in turn."""
+    if is_key(data):
+        return "key"
+    inner = as_text(data)
+    return "encoded" if inner and (base_spans(inner) or confirmed_spans(inner)) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """What decodes to a key, a signed token, or text that holds a secret itself."""
-    out = []
+    """What decodes to a key, a signed token, or text that holds a secret itself.
+
+    Decoded text is searched like any other. It is at most three quarters as long as what it came from, and what is text as
+    hex isn't tried as base64 too, so all levels together take a few times the text's own time.
+    """
+    out, taken = [], Taken()
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
-    taken = list(out)
-    for pattern, decode in ((HEX_ANY, lambda s: bytes.fromhex(s[: len(s) & ~1])), (B64, unbase64)):
+        out += [(m.start(1), m.end(1), "jwt") for m in JWT.finditer(text) if is_signed_token(m[1])]
+    out = [s for s in out if taken.add(s[0], s[1])]
+    for pattern, decode in ((HEX_ANY, unhex), (B64, unbase64)):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
+            if not taken.free(m.start(), m.end()) or pattern is B64 and HEX_ANY.fullmatch(m[0]) and as_text(unhex(m[0])) is not None:
                 continue
-            data = decode(m[0])
-            if is_key(data):
-                kind = "key"
-            else:
-                try:
-                    inner = data.decode()
-                except UnicodeDecodeError:
-                    continue
-                if not inner or not (base_spans(inner) or any(PLAIN_BODY.fullmatch(p[2]) or opened(p[2])[1] for p in PEM.finditer(inner))):
-                    continue
-                kind = "encoded"
-            out.append((m.start(), m.end(), kind))
-            taken.append(out[-1])
+            if kind := kind_of(decode(m[0])):
+                taken.add(m.start(), m.end())
+                out.append((m.start(), m.end(), kind))
     return out
 
 

@@ -220,6 +220,37 @@ def test_secrets_of_the_shortest_encodings_and_keys_with_headers():
     assert not [s for s in secrets.find(f"-----BEGIN RSA PRIVATE KEY-----\n{head}not a key, only words-----END RSA PRIVATE KEY-----") if s[2] == "key"]
 
 
+def test_secrets_inside_encoded_text_are_confirmed_by_their_structure():
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).rstrip(b"=").decode()
+    jwt = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END PRIVATE KEY-----"
+    twice = lambda s: base64.b64encode(base64.b64encode(s.encode())).decode()
+    for inner in (jwt, pem, "password=hunter2", f"see {jwt} there"):
+        for coded in (base64.b64encode(inner.encode()).decode(), inner.encode().hex(), twice(inner), base64.b64encode(inner.encode().hex().encode()).decode()):
+            assert (2, 2 + len(coded), "encoded") in secrets.find(f"a {coded} b")
+    for inner in (pem.replace("M", "A"), "-----BEGIN PRIVATE KEY-----\nonly words here\n-----END PRIVATE KEY-----", f"{part({'no': 1})}.{part({'sub': '1'})}.c2ln"):
+        assert not [s for s in secrets.find(f"a {base64.b64encode(inner.encode()).decode()} b") if s[2] == "encoded"]
+    assert [s[2] for s in secrets.find(f"x_{jwt} {jwt}.more file.{jwt}")] == ["jwt"] * 3
+
+
+def test_secrets_stand_hostile_text_of_a_megabyte():
+    import time
+
+    deep = lambda n: base64.urlsafe_b64encode((b'{"a":' + b"[" * n + b"]" * n + b"}")).rstrip(b"=").decode()
+    n = 1 << 20
+    texts = [f"{deep(n // 4)}.{deep(9)}.x", f"{deep(100_000)}.{deep(100_000)}.", "eyJ" * (n // 3), "_eyJ" * (n // 4) + ".", "eyJhbGciOi." * (n // 11), "-----BEGIN PRIVATE KEY-----" * (n // 27), "-----BEGIN " + "A " * (n // 2)]
+    texts += ["token = " * (n // 8), "token" + " " * n, "AKIA" * (n // 4), ("ab" * 12 + " ") * (n // 25), base64.b64encode(b"token=abcdef ").decode() * (n // 20), "password=hunter2 " * (n // 17)]
+    nested = b"password=hunter2 and more"
+    while len(nested) < n:
+        nested = base64.b64encode(nested)
+    texts += [nested.decode(), "-----BEGIN PRIVATE KEY-----" + "a: b\n" * (n // 5) + "-----END PRIVATE KEY-----"]
+    for text in texts:
+        began = time.perf_counter()
+        found = secrets.find(text)
+        assert time.perf_counter() - began < 10
+    assert secrets.find(nested.decode()) == [(0, len(nested), "encoded")] and found is not None
+
+
 def test_secrets_random_text_matches_brute_force():
     rng = random.Random(0)
     bits = ["token", "Secret", "api_key", "APIKEY", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x", "é", "\n", "abc-def/+.=", "_"]
