@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridjobs.functions.kernels import smallest_reachable
 from gridjobs.functions.session import cut
 from gridjobs.llm.tables import slices, table
 from gridjobs.operators.components import components
@@ -23,8 +24,9 @@ WIDTH = 3
 ERRORS = 2
 #: Fingerprints of one group that one task joins with themselves; larger groups are dealt out as pairs of slices.
 SLICE = 2_000
-#: A fingerprint of more than SLICE rows and 1 / HOT of all is told its component by broadcast: there are fewer than HOT such.
-HOT = 100_000
+#: Classes of equal fingerprints that are told their components by broadcast (16 MB): all where there are no more, or else those
+#: of more rows than 1 / TOLD of all, of which there are fewer.
+TOLD = 1_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -99,16 +101,24 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None = None, errors: int =
     return np.concatenate(found) if found else np.empty((0, 2), np.uint64)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (value, smallest value that it reaches) that connect what ``pairs`` connect, at most one a value."""
+    values, at = np.unique(pairs, return_inverse=True)
+    root = values[smallest_reachable(len(values), *at.reshape(-1, 2).T)] if len(values) else values
+    return np.stack([values, root], 1)[values != root]
+
+
 def _linked(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Links of one group (or of two slices of it)."""
+    """A forest of the links of one group (or of two slices of it)."""
     fp = group["fp"].to_numpy().view(np.uint64)
     side = group["side"].to_numpy()
-    pairs = trie_pairs(fp) if key[-1] == key[-2] else trie_pairs(fp[side == key[-2]], fp[side == key[-1]])
+    pairs = forest(trie_pairs(fp) if key[-1] == key[-2] else trie_pairs(fp[side == key[-2]], fp[side == key[-1]]))
     return pd.DataFrame({"src": pairs[:, 0].view(np.int64), "dst": pairs[:, 1].view(np.int64)}, dtype="int64")
 
 
 def links(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """Pairs (src, dst) of distinct fingerprints with at most ``errors`` differing bits; a pair may come more than once.
+    """Pairs (src, dst) of distinct fingerprints that connect all that links of at most ``errors`` differing bits connect: each
+    group of the join gives a forest of its links, so that a dense ball of fingerprints costs a pair for each and not for each two.
 
     ``prints`` has one row per distinct ``fp``. The bits fall into errors + 2 blocks; two fingerprints in reach agree on two
     of them at least, so the trie is entered below each pair of blocks: fingerprints meet only where these bits are equal.
@@ -133,8 +143,9 @@ def links(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id reachable over links, its own included.
 
-    Rows with equal fingerprints are one vertex, so copies of any number cost nothing in the join, and the largest classes'
-    components go back to their rows by a broadcast of bounded size instead of a shuffle onto one task. Null, empty and
+    Rows with equal fingerprints are one vertex, so copies of any number cost nothing in the join. Components go back to the rows
+    by a broadcast of at most ``TOLD`` classes; where there are more classes, the rest, none of which holds more than 1 / ``TOLD``
+    of the rows, are joined by fingerprint. Null, empty and
     word-free texts share fingerprint zero and are linked like any other. A null id takes part but is never the smallest.
     Repeated rows give repeated results; an empty table gives an empty one; other columns are not read.
     """
@@ -145,7 +156,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     best = top.groupBy("root").agg(F.min("first").alias("best"))
     named = top.join(best, "root").select("fp", "best")
     told = cut(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("best", "first").alias("component_id")))
-    often = max(SLICE, prints.count() // HOT)
+    n = told.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n[0] <= TOLD:
+        return prints.join(F.broadcast(told.drop("n")), "fp").select(id_col, "fp", "component_id")
+    often = n[1] // TOLD
     hot = F.broadcast(told.where(F.col("n") > often).select("fp", "component_id"))
     rest = prints.join(hot, "fp", "left_anti").join(told.where(F.col("n") <= often).drop("n"), "fp")
     return rest.unionByName(prints.join(hot, "fp")).select(id_col, "fp", "component_id")

@@ -414,8 +414,9 @@ def test_fingerprints_and_components(spark, monkeypatch):
             if (prints[a] ^ prints[b]).bit_count() <= 2:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    for slice_ in (2_000, 1):
+    for slice_, told in ((2_000, 1_000_000), (1, 20)):
         monkeypatch.setattr(simhash, "SLICE", slice_)
+        monkeypatch.setattr(simhash, "TOLD", told)
         got = simhash.near_duplicates(documents(spark, texts)).collect()
         assert {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in got} == {n: (prints[n], find(n)) for n in range(len(texts))}
     df = documents(spark, texts)
@@ -437,6 +438,15 @@ def test_trie_join_matches_all_pairs():
     assert {tuple(p) for p in simhash.trie_pairs(v[::2], v[1::2]).tolist()} == cross
 
 
+def test_links_of_a_dense_ball_are_a_forest():
+    ball = np.unique(np.concatenate([np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), [np.uint64(7), np.uint64(1) << np.uint64(40) | np.uint64(3) << np.uint64(60)]]))
+    pairs = simhash.trie_pairs(ball)
+    assert len(pairs) > 2_000
+    tree = simhash.forest(pairs)
+    assert len(tree) == len(np.unique(pairs)) - 1 and set(tree[:, 1].tolist()) == {int(pairs.min())}
+    assert not len(simhash.forest(pairs[:0]))
+
+
 # 9
 
 
