@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -118,11 +119,12 @@ class Templates:
         """
         found = [f for t in near for f in self.stretches(t, at, codes)]
         found.sort(key=lambda x: (self.sizes[x[1]] < WHOLE, -x[0], -self.sizes[x[1]], x[2], x[1]))
-        taken: list[tuple[float, int, int, int]] = []
+        taken: list[tuple[int, int, tuple[float, int, int, int]]] = []  # apart from each other, in order
         for f in found:
-            if all(f[3] <= b[2] or b[3] <= f[2] for b in taken):
-                taken.append(f)
-        return sorted(taken, key=lambda x: x[2])
+            at = bisect_left(taken, (f[3],))
+            if not at or taken[at - 1][1] <= f[2]:
+                insort(taken, (f[2], f[3], f))
+        return [f for _, _, f in taken]
 
     def scan(self, texts: list[str]) -> list[tuple[int, str, float, int, int]]:
         """(text, licence, dice, first word, last word + 1)."""
