@@ -82,6 +82,10 @@ def smoothed(counts: np.ndarray, words: list[str]) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+#: A gap in spelled text: nothing, or the edge of a word.
+GAP = ([0], [0, 1])
+
+
 def _readings(word: str) -> Iterator[tuple[list[int], list[int]]]:
     """What each run of one sign may stand for, and how often; signs that only stand between letters are passed over."""
     for c, same in groupby(word):
@@ -93,21 +97,31 @@ def _readings(word: str) -> Iterator[tuple[list[int], list[int]]]:
             yield readings, [1, 2] if n > 2 else [n]
 
 
-def decode(word: str, logp: np.ndarray) -> str:
-    """The likeliest letters behind a disguised word: each sign's readings, repetitions as one or two, separators dropped."""
+def _spelled(letters: str) -> Iterator[tuple[list[int], list[int]]]:
+    """The same for spelled text, whose words may end at any letter."""
+    for k, step in enumerate(_readings(letters)):
+        if k:
+            yield GAP
+        yield step
+
+
+def decode(word: str, logp: np.ndarray, spelled: bool = False) -> str:
+    """The likeliest letters behind a disguised word: each sign's readings, repetitions as one or two, separators dropped.
+
+    With ``spelled`` the gap after each letter is nothing or a space, whichever the model finds likelier."""
     states = {(0, 0): (0.0, ())}
-    for readings, copies in _readings(word):
+    for readings, copies in (_spelled if spelled else _readings)(word):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in states.items():
             for x in readings:
                 for n in copies:
-                    s = score + float(logp[a, b, x]) + (float(logp[b, x, x]) if n == 2 else 0.0)
-                    to = (x, x) if n == 2 else (b, x)
+                    s = score + (float(logp[a, b, x]) if n else 0.0) + (float(logp[b, x, x]) if n == 2 else 0.0)
+                    to = (x, x) if n == 2 else (b, x) if n else (a, b)
                     if to not in new or s > new[to][0]:
                         new[to] = (s, (path, x, n))
         states = new
     path = max(((s + float(logp[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])[1]
-    letters = {n: c for c, n in CODES.items()}
+    letters = {n: c for c, n in CODES.items()} | {0: " "}
     out = []
     while path:
         path, x, n = path
@@ -211,10 +225,11 @@ class Model:
         return 2 * sum(ones) > len(ones) and sum(ones) >= 3
 
     def run(self, letters: str) -> float:
-        """Weight of spelled letters, however many, which may be several words: of all of them, or of the strongest word inside."""
+        """Weight of spelled letters, however many: of the strongest word that they are decoded to, or that stands in all of them."""
         word = decode(letters, self.logp)
         inner = (self.weights.get(word[a : a + n], 0.0) for a in range(len(word)) for n in self.lengths if a + n <= len(word))
-        return max(self.strong(word), max((x for x in inner if x >= STRONG), default=0.0))
+        words = (self.strong(w) for w in decode(letters, self.logp, True).split())
+        return max(self.strong(word), max(words, default=0.0), max((x for x in inner if x >= STRONG), default=0.0))
 
     def counts(self, text: str) -> tuple[int, int, int, float]:
         """Words, those of strong and of weak weight, and the weights' sum; a word counts as often as it is said."""
@@ -305,7 +320,8 @@ def chosen_weights(counts: list[tuple[str, int, int, int]], toxic: int, other: i
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from all documents (characters) and at most ``train_rows`` labelled ones, in the order of a hash of doc_id.
 
-    ``labels`` has doc_id and toxic; rows with a null in either are left out, and of repeated labels the largest counts.
+    ``labels`` has doc_id and toxic; rows with a null in either are left out, and of repeated labels the largest counts. Of rows
+    that repeat an id one is learned from (the one of smallest text), so that the sample keeps its bound.
     Only tables of bounded size reach the driver: character counts (at most 64 x 64 x 64), words in at least ``SUPPORT`` toxic
     rows of the sample, and four numbers for each row of the sample. Without both labels no document is predicted toxic.
     """
@@ -313,7 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     d = docs.select("doc_id", F.col("text").alias("text"))
     y = labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = cut(d.join(F.broadcast(y), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").repartition(max(8, spark.sparkContext.defaultParallelism)))
+    texts = d.join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = cut(texts.select("text", "y").repartition(max(8, spark.sparkContext.defaultParallelism)))
     model = Model()
     counts = np.zeros(SIZE**3, np.int64)
     for r in d.select("text").mapInArrow(_trigram_rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
