@@ -330,6 +330,20 @@ def test_toxicity_reads_spelled_and_disguised_text_of_any_length():
     assert toxicity.word_counts(["idiot idiot"], [1])["idiot"] == [2, 0, 1]
 
 
+def test_repeated_ids_leave_the_training_sample_bounded(spark):
+    rows = [(n, f"calm river {n} " + "idiot moron " * (n % 2)) for n in range(40)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, toxic int")
+    a, b = toxicity.fit(once, labels), toxicity.fit(once.unionByName(once.where("doc_id < 3").crossJoin(spark.range(500)).drop("id")), labels)
+    assert a.weights == b.weights and np.allclose(a.scorer, b.scorer)
+
+
+def test_spacing_is_decoded_with_the_letters():
+    logp = toxicity.smoothed(toxicity.trigrams(["the idiot is a moron in the garden by the river"] * 50), ["idiot", "moron"])
+    assert toxicity.decode("the1d10tinthegard3n", logp, True).split() == ["the", "idiot", "in", "the", "garden"]
+    assert toxicity.decode("moron", logp, True) == "moron"
+
+
 def test_viterbi_is_the_best_of_all_readings():
     logp = toxicity.smoothed(toxicity.trigrams(["the idiot is a moron in the garden"] * 5), ["idiot", "moron"])
     codes = toxicity.CODES
@@ -376,9 +390,39 @@ def test_joins_of_halves_are_exact():
         assert c.join(c.merge(s[:k]), c.merge(s[k:])) == c.merge(s)
 
 
+def test_any_vocabulary_file_can_be_used():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = bpe.Codec(path)
+    rng = random.Random(2)
+    for t in [x or "" for x in ODD] + ["".join(rng.choices("abcdeéthionß ", k=n)) for n in (50, 300, 3000)] + ["theion" * 900]:
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+
+
+def test_cuts_leave_no_segment_too_long_and_join_to_the_whole():
+    rng = random.Random(11)
+    c = bpe.codec(bpe.default_path())
+    texts = ["x" * 700, "1234567890" * 70, "!?." * 300, " \t" * 350, "'" * 700, "a'b" * 300, "it's'll've" * 70, "漢字、仮名。" * 120, "<|endoftext|>" * 60, "ab<|endoftext|>cd" * 45]
+    texts += ["".join(rng.choices("ab'stl1!. \n\u3000é<", k=rng.randint(60, 500))) for _ in range(150)]
+    for text in texts:
+        parts = bpe.cuts(text, 50, bpe.special_tokens(bpe.default_path()))
+        assert "".join(text[a:b] for a, b, _ in parts) == text and max(b - a for a, b, _ in parts) <= 80
+        rows = []
+        for n, (a, b, hard) in enumerate(parts):
+            batch = bpe.pa.RecordBatch.from_pydict({"row": [1], "part": [n], "hard": [hard], "text": [text[a:b]]})
+            rows += next(bpe._encoded_segments(bpe.default_path())(iter([batch]))).to_pylist()
+        got = bpe._joined(bpe.default_path(), "ids")((bpe.pa.scalar(1),), bpe.pa.Table.from_pylist(rows))
+        assert got.column("ids")[0].as_py() == c.encode(text), text
+
+
 def test_long_texts_are_encoded_in_segments(spark, tokenizer):
     rng = random.Random(4)
-    texts = [" ".join("".join(rng.choices("abcdet", k=6)) for _ in range(300)), "x" * 900 + "".join(rng.choices("theion", k=2500)), "one " + "é" * 1500 + " two", "!?" * 900, "".join(rng.choices("ab  \n'", k=1200)), "it's " * 200, *ODD]
+    texts = [" ".join("".join(rng.choices("abcdet", k=6)) for _ in range(300)), "x" * 900 + "".join(rng.choices("theion", k=2500)), "one " + "é" * 1500 + " two", "!?" * 900, "".join(rng.choices("ab  \n'", k=1200)), "it's " * 200, "1" * 5000, " " * 3000 + "a", "漢字、仮名。" * 400, *ODD]
     df = documents(spark, texts)
     got = bpe.encode_texts(df, keep=("doc_id", "lang"), segment=200).collect()
     assert len(got) == len(texts)
@@ -491,6 +535,15 @@ def test_best_stretches_match_brute_force():
         assert (max(got, default=0.0) == pytest.approx(best)) if best >= 0.8 - 1e-12 else not got
 
 
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    t = licenses.Templates(licenses.TEMPLATES)
+    began = time.perf_counter()
+    assert len(t.scan(["Released under the MIT License. " * 32_000])) == 32_000
+    assert time.perf_counter() - began < 30
+
+
 # 10
 
 
