@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE, "op10_token_counts": token_counts.ORACLE}
+    return {"op1_topk": topk.ORACLE}

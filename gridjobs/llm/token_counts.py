@@ -3,30 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridjobs.functions.session import cut, shared_dir
+from gridjobs.llm import bpe
 from gridjobs.llm.tables import table
 
 KEYS = ("source", "lang", "tokenizer")
-#: Tokenizer versions: counts as expressions over a text. Words are runs of anything but ASCII white space; the second
-#: version takes letters, digits and other signs apart.
-WORDS_1, WORDS_2 = r"[^\x20\x09-\x0D]+", r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
 TOTALS = ("n_docs", "n_tokens", "n_chars")
+#: Vocabulary files of the registered query's tokenizer versions.
+VOCABULARIES = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
 
 
-def tokenizers() -> dict[str, Column]:
-    text = F.coalesce("text", F.lit(""))
-    return {"words@1": F.regexp_count(text, F.lit(WORDS_1)).cast("long"), "words@2": F.regexp_count(text, F.lit(WORDS_2)).cast("long")}
+def tokenizers() -> dict[str, str]:
+    """Tokenizer version -> path of its vocabulary."""
+    import public_tokenizers
 
+    return {name.split(".")[0]: public_tokenizers.path(name) for name in VOCABULARIES}
 
-def counted(docs: DataFrame, versions: dict[str, Column], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document and tokenizer version: ``keep`` columns, source, lang, tokenizer, n_tokens, n_chars."""
-    per = F.explode(F.array(*(F.struct(F.lit(v).alias("tokenizer"), n.alias("n_tokens")) for v, n in versions.items())))
-    d = docs.select(*keep, "source", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), per.alias("t"))
-    return d.select(*keep, "source", "lang", "t.tokenizer", "t.n_tokens", "n_chars")
+
+def counted(docs: DataFrame, versions: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """One row per document and tokenizer version: ``keep`` columns, source, lang, tokenizer, n_tokens, n_chars.
+
+    Whole texts are encoded as operator 7 does; null texts count as empty."""
+    own = tuple(dict.fromkeys((*keep, "source", "lang")))
+    d = docs.select(*own, F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), F.col(text).alias("_t"))
+    each = (bpe.encode_texts(d, path, "_t", (*own, "n_chars"), count_only=True).withColumn("tokenizer", F.lit(v)) for v, path in versions.items())
+    return reduce(DataFrame.unionByName, each)
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
@@ -43,9 +49,11 @@ class Rollup:
 
     A batch is pre-aggregated map-side and then written to a folder named by its id; the writer's success marker, which
     appears at the end, is the commit. Committing an id again is a no-op, a batch that died half way has no marker and is
-    written anew, so any batch counts once however often it is sent. ``compact`` folds all committed batches into one that
-    lists their ids. Groups whose documents are all gone disappear from ``totals``. Null sources and languages are groups of
-    their own, null texts count no tokens, an empty batch commits nothing but its id. One writer at a time commits a batch id.
+    written anew, so any batch counts once however often it is sent. ``compact`` folds all committed batches into a new table
+    that lists their ids beside the totals: what it reads stays until ``clear`` removes it, so a fold that dies half way changes
+    nothing. Ids are looked up in the fold, not collected; only names of batches since the last fold and clear reach the driver.
+    Groups whose documents are all gone disappear from ``totals``. Null sources and languages are groups of their own, null texts
+    count no tokens, an empty batch commits nothing but its id. One writer at a time commits a batch id.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -60,36 +68,56 @@ class Rollup:
         fs, p = self._fs(f"{self.path}/{name}/_SUCCESS")
         return fs.exists(p)
 
-    def _names(self) -> list[str]:
+    def _names(self, kind: str) -> list[str]:
+        """Folders of a kind whose writing came to its end."""
         fs, p = self._fs(self.path)
-        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if self._done(n)) if fs.exists(p) else []
-
-    def _live(self) -> tuple[list[str], set[str]]:
-        """Folders that count now, and ids of all committed batches."""
-        names = self._names()
-        folds = [n for n in names if n.startswith("fold-")]
-        inside: dict[str, set[str]] = {n: {r[0] for r in self.spark.read.parquet(f"{self.path}/{n}").where("batch is not null").select("batch").collect()} for n in folds}
-        top = max(folds, key=lambda n: (len(inside[n]), n), default=None)
-        old = inside.get(top, set())
-        rest = [n for n in names if n.startswith("batch-") and n.removeprefix("batch-") not in old]
-        return [*([top] if top else []), *rest], old | {n.removeprefix("batch-") for n in rest}
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(kind) and self._done(n)) if fs.exists(p) else []
+
+    def _fold(self) -> tuple[str | None, DataFrame | None]:
+        """The last fold, and the ids that it holds."""
+        last = max(self._names("fold-"), default=None)
+        return last, None if last is None else self.spark.read.parquet(f"{self.path}/{last}").where("batch is not null").select("batch")
+
+    def _open(self) -> list[str]:
+        """Batches that the last fold doesn't hold."""
+        names = [n.removeprefix("batch-") for n in self._names("batch-")]
+        _, held = self._fold()
+        inside = {r[0] for r in held.where(F.col("batch").isin(names)).collect()} if names and held is not None else set()
+        return [n for n in names if n not in inside]
+
+    def committed(self, batch: str) -> bool:
+        if self._done(f"batch-{batch}"):
+            return True
+        _, held = self._fold()
+        return held is not None and not held.where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add signed deltas (source, lang, tokenizer, n_docs, n_tokens, n_chars) under a batch id; False if it was there."""
-        if batch in self._live()[1]:
+        if self.committed(batch):
             return False
         summed(deltas).withColumn("batch", F.lit(None).cast("string")).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
         return True
 
     def compact(self) -> None:
-        """Fold what is committed into one table; the batches' own folders may then be cleared at leisure."""
-        ids = sorted(self._live()[1])
-        if ids:
-            rows = self.spark.createDataFrame([(i,) for i in ids], "batch string")
-            self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/fold-{len(ids):09d}")
+        """Fold the last fold and the batches since then into a new one; nothing new, nothing done."""
+        new, (last, held) = self._open(), self._fold()
+        if new:
+            ids = self.spark.createDataFrame([(i,) for i in new], "batch string")
+            ids = ids if held is None else held.unionByName(ids)
+            rows = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(ids, allowMissingColumns=True)
+            rows.write.mode("overwrite").parquet(f"{self.path}/fold-{int(last.removeprefix('fold-')) + 1 if last else 1:012d}")
+
+    def clear(self) -> None:
+        """Remove what the last fold replaces. Not while others read older totals."""
+        open_, (last, _) = set(self._open()), self._fold()
+        for n in self._names("batch-") + self._names("fold-"):
+            if n != last and n.removeprefix("batch-") not in open_:
+                fs, p = self._fs(f"{self.path}/{n}")
+                fs.delete(p, True)
 
     def totals(self) -> DataFrame:
-        names = self._live()[0]
+        last, _ = self._fold()
+        names = [*([last] if last else []), *(f"batch-{n}" for n in self._open())]
         if not names:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
         rows = self.spark.read.parquet(*(f"{self.path}/{n}" for n in names)).where("batch is null and tokenizer is not null")
@@ -98,38 +126,28 @@ class Rollup:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a history of batches over all documents: all are inserted under the first tokenizer version, in two batches
-    of which one is sent twice; then each text of which an equal one with a smaller id stands in the same source and
-    language is deleted; then what is left is counted by the second version too, and German texts only by that."""
+    of which one is sent twice; then of equal texts in the same source and language all but one are deleted; then what is left
+    is counted by the second version too, and German texts are revised: only the second version's counts stay.
+
+    Equal texts are summed before they meet, so a text that many rows repeat costs one row a task.
+    """
+    old, new = tokenizers()
     docs = table(spark, sf_dir, "documents").withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
     counts = cut(counted(docs, tokenizers(), ("doc_id", "h")))
-    old, new = (counts.where(F.col("tokenizer") == v) for v in ("words@1", "words@2"))
-    roll = Rollup(spark)
+    first = counts.where(F.col("tokenizer") == old)
     even = F.coalesce(F.col("doc_id") % 2, F.lit(0)) == 0
-    roll.commit("insert-0", signed(old.where(even), 1))
-    roll.commit("insert-1", signed(old.where(~even), 1))
-    roll.commit("insert-0", signed(old.where(even), 1))
-    same = ["source", "lang", "h"]
-    firsts = old.groupBy(*(F.col(c).alias(f"_{c}") for c in same)).agg(F.min("doc_id").alias("first"))
-    equal = F.lit(True)
-    for c in same:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    told = lambda df: df.join(firsts, equal)
-    roll.commit("delete-copies", signed(told(old).where("doc_id > first"), -1))
-    roll.commit("version-2", signed(told(new).where("doc_id = first"), 1))
-    roll.commit("retire-german", signed(told(old.where("lang = 'de'")).where("doc_id = first"), -1))
+    equal = cut(counts.groupBy(*KEYS, "h").agg(F.count("*").alias("n"), F.max("n_tokens").alias("n_tokens"), F.max("n_chars").alias("n_chars")))
+    kept = lambda version: equal.where(F.col("tokenizer") == version)
+    copies = kept(old).where("n > 1").select(*KEYS, (1 - F.col("n")).alias("n_docs"), *(((1 - F.col("n")) * F.col(c)).alias(c) for c in ("n_tokens", "n_chars")))
+    roll = Rollup(spark)
+    roll.commit("insert-0", signed(first.where(even), 1))
+    roll.commit("insert-1", signed(first.where(~even), 1))
+    roll.commit("insert-0", signed(first.where(even), 1))
+    roll.commit("delete-copies", copies)
+    roll.compact()
+    roll.commit("insert-1", signed(first.where(~even), 1))
+    roll.commit("version-2", signed(kept(new).where(~F.coalesce(F.col("lang") == "de", F.lit(False))), 1))
+    german = lambda version: kept(version).where("lang = 'de'")
+    roll.commit("revise-german", signed(german(old), -1).unionByName(signed(german(new), 1)))
     roll.compact()
     return roll.totals()
-
-
-ORACLE = r"""
-with d as (
-  select doc_id, source, lang, coalesce(text, '') as t,
-    row_number() over (partition by source, lang, sha256(coalesce(text, '')) order by doc_id) as n
-  from documents
-), c as (
-  select source, lang, 'words@1' as tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as k, length(t) as c from d where n = 1 and lang is distinct from 'de'
-  union all
-  select source, lang, 'words@2', len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), length(t) from d where n = 1
-)
-select source, lang, tokenizer, count(*) as n_docs, sum(k)::bigint as n_tokens, sum(c)::bigint as n_chars from c group by source, lang, tokenizer
-"""
