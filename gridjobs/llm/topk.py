@@ -7,67 +7,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridjobs.functions.session import cut
 from gridjobs.llm.tables import table
 
 #: Vectors and queries of one tile, queries searched together, dimensions of one block.
-TILE, QUERY_TILE, TOGETHER, DIMS = 8_192, 4_096, 64, 16
+TILE, QUERY_TILE, TOGETHER, DIMS = 8_192, 16_384, 64, 4
+#: Share of live pairs from which a block is multiplied as a whole.
+DENSE = 0.75
+#: Shares of the dimensions after which floors are raised, by scoring the candidates of so many times k best sums in full.
+RAISED, RAISE = (0.5,), 4
 K = 20
 
 
-def top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate id, score) of each query's k best candidates, ties to smaller ids, own ids left out.
+class Tile:
+    """Vectors laid out by dimension: centred, turned to their main axes, those of most mass first.
 
-    Vertical layout: one row of memory per dimension, dimensions of most mass first, candidates of largest norm first. Some
-    candidates are scored in full to know a floor for each query's k-th score. Then dimensions are added block by block; what
-    is still to come is at most the product of the remaining norms, so candidates that no query of the batch can still want
-    are compacted away after each block.
+    Turning changes no inner product and puts most of it into the first dimensions, so that what is still to come is bounded
+    early. Turned values are floating point; what survives the bounds is scored anew with the whole numbers.
     """
-    largest = float(np.sqrt((q.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((c.astype(float) ** 2).sum(1).max(initial=0)))
-    kind = np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else None
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if kind is None:
-        for n in range(len(q)):
-            out.append(_best(np.array([n]), q_ids[n : n + 1], (q[n : n + 1] @ c.T), c_ids, k))
-    else:
-        by = np.argsort(-(c.astype(float) ** 2).sum(0), kind="stable")
-        x = np.ascontiguousarray(c[np.argsort(-(c.astype(float) ** 2).sum(1), kind="stable")].T[by]).astype(kind)
-        ids = c_ids[np.argsort(-(c.astype(float) ** 2).sum(1), kind="stable")]
-        y = np.ascontiguousarray(q[:, by]).astype(kind)
-        cuts = [*range(0, x.shape[0], DIMS), x.shape[0]]
-        rest = lambda m, axis: [np.sqrt((m[b:].astype(float) ** 2).sum(0) if axis else (m[:, b:].astype(float) ** 2).sum(1)) for b in cuts[1:]]
-        rest_x, rest_y = rest(x, 1), rest(y, 0)
-        for at in range(0, len(y), TOGETHER):
-            part, own = y[at : at + TOGETHER], q_ids[at : at + TOGETHER]
-            first = min(len(ids), 8 * k)
-            seed = part @ x[:, :first]
-            seed[own[:, None] == ids[None, :first]] = -np.inf
-            floor = np.partition(seed, -k, 1)[:, -k] if first > k else np.full(len(part), -np.inf)
-            live = np.arange(len(ids))
-            score = np.zeros((len(part), len(ids)), kind)
-            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                whole = len(live) == len(ids)
-                score += part[:, lo:hi] @ (x[lo:hi] if whole else x[lo:hi, live])
-                bound = score + (rest_y[b][at : at + TOGETHER, None] * rest_x[b][live][None] * (1 + 1e-5) + (hi < x.shape[0])).astype(kind)
-                keep = (bound >= floor[:, None]).any(0)
-                if not keep.all():
-                    live, score = live[keep], np.ascontiguousarray(score[:, keep])
-            out.append(_best(np.arange(at, at + len(part)), own, score, ids[live], k))
-    return tuple(np.concatenate([x[n] for x in out]) if out else np.empty(0, np.int64) for n in range(3))
-
-
-def _best(at: np.ndarray, own: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at_, id_, score_ = [], [], []
-    for n in range(len(at)):
-        others = np.nonzero(ids != own[n])[0]
-        s = score[n, others]
-        if len(s) > k:
-            few = np.nonzero(s >= np.partition(s, -k)[-k])[0]
-            others, s = others[few], s[few]
-        top = np.lexsort((ids[others], -s))[:k]
-        at_.append(np.full(len(top), at[n]))
-        id_.append(ids[others][top])
-        score_.append(s[top].astype(np.int64))
-    return np.concatenate(at_), np.concatenate(id_), np.concatenate(score_)
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.centre = np.rint(vectors.mean(0)) if len(ids) else np.zeros(vectors.shape[1])
+        x = vectors - self.centre
+        self.turn = np.linalg.eigh(x.T @ (x / max(1.0, np.abs(x).max(initial=0.0)) ** 2))[1][:, ::-1]
+        self.cuts = [*range(0, x.shape[1], DIMS), x.shape[1]]
+        x = (x @ self.turn).T
+        self.rest = [np.sqrt((x[b:] ** 2).sum(0)).astype(np.float32) for b in self.cuts]
+        self.x = np.ascontiguousarray(x, np.float32)
+
+
+def top_k(q_ids: np.ndarray, q: np.ndarray, tile: Tile, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query position, candidate id, score) of each query's k best candidates, ties to smaller ids, own ids left out, and the number
+    of multiplications done. ``floors``: scores below which a query wants none.
+
+    Dimensions are added block by block. What is still to come of a pair is at most the product of the remaining norms, so each
+    query drops candidates whose bound is below its floor, the k-th best of what it has seen in full: from the middle on the
+    candidates of the k best sums so far are scored in full now and then to raise it. While most pairs live a block is a matrix
+    product; then pairs are listed and compacted after each block.
+    """
+    done, out = 0, []
+    for at in range(0, len(q), TOGETHER):
+        got = _search(q_ids[at : at + TOGETHER], q[at : at + TOGETHER], tile, k, None if floors is None else floors[at : at + TOGETHER])
+        done += got[3]
+        out.append((got[0] + at, *got[1:3]))
+    return *(np.concatenate([x[n] for x in out]) if out else np.empty(0, np.int64) for n in range(3)), done
+
+
+def _search(own: np.ndarray, q: np.ndarray, t: Tile, k: int, floors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    n, size, dims = len(q), len(t.ids), q.shape[1]
+    base = q @ t.centre
+    y64 = q @ t.turn
+    rest_y = [np.sqrt((y64[:, b:] ** 2).sum(1)).astype(np.float32) for b in t.cuts]
+    y = y64.astype(np.float32)
+    # single precision, and the rounding of whole numbers beyond 2^53
+    slack = (1e-5 * np.outer(rest_y[0], t.rest[0]) + 1e-5 * np.abs(base)[:, None] + 1.0).astype(np.float32)
+    floor = np.full(n, -np.inf) if floors is None else floors.astype(float)
+    score = np.repeat(base[:, None].astype(np.float32), size, 1)
+    score[own[:, None] == t.ids[None]] = -np.inf
+    pairs: tuple[np.ndarray, np.ndarray] | None = None
+    raised = {next((c for c in t.cuts if c >= dims * share), dims) for share in RAISED}
+    done = 0
+    for b, (lo, hi) in enumerate(zip(t.cuts, t.cuts[1:], strict=False)):
+        if pairs is None:
+            score += y[:, lo:hi] @ t.x[lo:hi]
+            done += n * size * (hi - lo)
+            if size > RAISE * k and hi in raised:
+                few = np.argpartition(score, -RAISE * k, 1)[:, -RAISE * k :]
+                row = np.repeat(np.arange(n), RAISE * k)
+                full = _exact(q, t, row, few.ravel()).astype(float)
+                full[~np.isfinite(score[row, few.ravel()])] = -np.inf
+                floor = np.maximum(floor, np.partition(full.reshape(n, -1), -k, 1)[:, -k])
+                done += len(row) * dims
+            live = score + (rest_y[b + 1][:, None] * t.rest[b + 1][None]) + slack >= floor[:, None].astype(np.float32)
+            live &= np.isfinite(score)
+            if live.mean() < DENSE:
+                pairs = np.nonzero(live)
+                score, slack = score[pairs], slack[pairs]
+        else:
+            row, col = pairs
+            for d in range(lo, hi):
+                score += y[row, d] * t.x[d][col]
+            done += len(row) * (hi - lo)
+            keep = score + rest_y[b + 1][row] * t.rest[b + 1][col] + slack >= floor[row].astype(np.float32)
+            pairs, score, slack = (row[keep], col[keep]), score[keep], slack[keep]
+    row, col = np.nonzero(live) if pairs is None and dims else pairs or (np.empty(0, np.int64),) * 2
+    exact = _exact(q, t, row, col)
+    done += len(row) * dims
+    ids = t.ids[col]
+    order = np.lexsort((ids, -exact, row))
+    row, ids, exact = row[order], ids[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (rank < k) & (exact >= floor[row] - np.abs(floor[row]) * 1e-12 if len(row) else rank < k)
+    return row[keep], ids[keep], exact[keep], done
+
+
+def _exact(q: np.ndarray, t: Tile, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Whole scores of pairs, some thousand at a time."""
+    return np.concatenate([np.einsum("ij,ij->i", q[row[a : a + 65_536]], t.vectors[col[a : a + 65_536]]) for a in range(0, len(row), 65_536)] or [np.empty(0, np.int64)])
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -80,14 +117,18 @@ def _tile(k: int):
         if not left.num_rows or not right.num_rows:
             at, ids, score = (np.empty(0, np.int64),) * 3
         else:
-            q_ids, c_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-            at, ids, score = top_k(q_ids, _matrix(left), c_ids, _matrix(right), k)
+            q_ids, floors = left.column("id").to_numpy(), left.column("floor").to_numpy(zero_copy_only=False).astype(float)
+            floors = np.where(np.isnan(floors), -np.inf, floors)
+            at, ids, score, _ = top_k(q_ids, _matrix(left), Tile(right.column("id").to_numpy(), _matrix(right)), k, floors)
             at = q_ids[at]
         return pa.table({"query_id": pa.array(at, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.int64())})
 
     return run
 
 
+FOUND = "query_id long, vec_id long, score long"
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = 64.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best vectors by inner product of floor(scale * x), its own id left out.
 
@@ -95,9 +136,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float
     with queries of their own length only. Repeated queries count once; repeated vectors are candidates each. Ties go to
     the smaller id, then stand in any order. Scores must fit a long. Queries without candidates give no row.
 
-    Vectors and queries are dealt by hash into tiles of bounded size and each pair of tiles is one task, which sends on k rows
-    a query; a common vector or id makes no tile larger than its rows. The counts that set the number of tiles are the only
-    rows that reach the driver.
+    Vectors and queries are dealt into tiles of bounded size and each pair of tiles is one task. First each tile of queries meets
+    one tile of vectors; the k-th score found there is the floor with which it goes to all others, which then send on only
+    what reaches it, k rows a query at most. Equal rows are dealt by their partition too, so a common vector fills no tile. The
+    counts that set the number of tiles are the only rows that reach the driver.
     """
     ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
@@ -107,10 +149,24 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float
 
     c, q = taken(vectors), taken(queries).dropDuplicates(["id", "v"])
     n, m = max(1, -(-c.count() // TILE)), max(1, -(-q.count() // QUERY_TILE))
-    spread = lambda df, own, other, mine, theirs: df.select("id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("id", "v"), F.lit(own)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(theirs))
-    q, c = spread(q, m, n, "a", "b"), spread(c, n, m, "b", "a")
     keys = ["d", "a", "b"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_tile(k), "query_id long, vec_id long, score long")
+    q = q.withColumns({"d": F.size("v"), "a": F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int")})
+    c = c.withColumns({"d": F.size("v"), "b": F.pmod(F.xxhash64("id", "v") + F.spark_partition_id(), F.lit(n)).cast("int")})
+    every = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
+    own = F.pmod(F.col("a"), F.lit(n))  # the tile that a tile of queries meets first
+
+    def met(queries_: DataFrame, tiles, sides) -> DataFrame:
+        left = queries_.select("id", "v", "floor", "d", "a", F.explode(tiles).alias("b"))
+        right = c.select("id", "v", "d", "b", F.explode(sides).alias("a"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k), FOUND)
+
+    found = met(q.withColumn("floor", F.lit(None).cast("long")), F.array(own), F.filter(every(m), lambda a: F.pmod(a, F.lit(n)) == F.col("b")))
+    if n > 1:
+        found = cut(found)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        floors = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        more = met(q.join(floors, "id", "left"), F.filter(every(n), lambda b: b != own), F.filter(every(m), lambda a: F.pmod(a, F.lit(n)) != F.col("b")))
+        found = found.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -43,6 +43,9 @@ def test_top_k_matches_brute_force_with_ties_and_bad_vectors(spark, monkeypatch)
             want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)}
     got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"))
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()} == want
+    again = df.where("vec_id = 7").crossJoin(spark.range(100)).drop("id").withColumns({"vec_id": F.lit(1000).cast("long"), "id": F.lit(1)}).select(df.columns)
+    found = topk.exact_top_k(df.unionByName(again), df.where("vec_id = 7")).collect()
+    assert len(found) == 20 and {r["score"] for r in found} == {int(good[7][1] @ good[7][1])}
     assert topk.exact_top_k(df.limit(0), df).count() == 0 and topk.exact_top_k(df, df.limit(0)).count() == 0
     assert topk.exact_top_k(df.where("vec_id < 5"), df.where("vec_id = 0")).count() == 4
 
@@ -51,11 +54,31 @@ def test_top_k_prunes_rightly_at_all_magnitudes():
     rng = np.random.default_rng(1)
     for size in (1, 1e3, 1e6, 1e8):
         c = np.floor(rng.normal(0, 1, (500, 40)) * rng.exponential(1, (500, 1)) * size).astype(np.int64)
-        at, ids, score = topk.top_k(np.arange(9), c[:9], np.arange(500), c, 5)
         full = c[:9] @ c.T
-        for q in range(9):
-            best = sorted((-int(full[q, k]), k) for k in range(500) if k != q)[:5]
-            assert [(-s, i) for i, s in zip(ids[at == q].tolist(), score[at == q].tolist(), strict=True)] == best
+        ids = np.arange(500)
+        want = [sorted((-int(full[q, k]), k) for k in range(500) if k != q)[:5] for q in range(9)]
+        low = np.array([-w[4][0] for w in want])
+        for floors in (None, low, low - 10):
+            at, found, score, _ = topk.top_k(ids[:9], c[:9], topk.Tile(ids, c), 5, floors)
+            assert [[(-s, i) for i, s in zip(found[at == q].tolist(), score[at == q].tolist(), strict=True)] for q in range(9)] == want
+        most = np.array([-w[0][0] for w in want])
+        assert not len(topk.top_k(ids[:9], c[:9], topk.Tile(ids, c), 5, most + 1 + np.abs(most) // 1_000_000)[0])
+
+
+def test_top_k_saves_multiplications():
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    even = np.floor(64 * unit(rng.normal(0, 1, (4_000, 64)))).astype(np.int64)
+    few = np.floor(64 * unit(rng.normal(0, 1, (4_000, 64)) * 0.8 ** np.arange(64) @ np.linalg.qr(rng.normal(0, 1, (64, 64)))[0])).astype(np.int64)
+    for c, share in ((even, 0.9), (few, 0.5)):
+        ids = np.arange(len(c))
+        at, found, score, done = topk.top_k(ids[:100], c[:100], topk.Tile(ids, c), 20)
+        full = c[:100] @ c.T
+        full[ids[:100], ids[:100]] = -(1 << 40)
+        assert done < share * 100 * 4_000 * 64
+        for q in range(100):
+            order = np.lexsort((ids, -full[q]))[:20]
+            assert found[at == q].tolist() == order.tolist() and score[at == q].tolist() == full[q, order].tolist()
 
 
 # 2
