@@ -14,8 +14,8 @@ from gridjobs.llm.tables import table
 TILE, QUERY_TILE, TOGETHER, DIMS = 8_192, 16_384, 64, 4
 #: Share of live pairs from which a block is multiplied as a whole.
 DENSE = 0.75
-#: Shares of the dimensions after which floors are raised, by scoring the candidates of so many times k best sums in full.
-RAISED, RAISE = (0.5,), 4
+#: Share of the mass after which floors are raised, by scoring the candidates of so many times k best sums in full.
+RAISED, RAISE = 0.5, 4
 K = 20
 
 
@@ -34,6 +34,8 @@ class Tile:
         self.cuts = [*range(0, x.shape[1], DIMS), x.shape[1]]
         x = (x @ self.turn).T
         self.rest = [np.sqrt((x[b:] ** 2).sum(0)).astype(np.float32) for b in self.cuts]
+        left = np.array([float((r.astype(float) ** 2).sum()) for r in self.rest])
+        self.raised = int(np.argmax(left <= (1 - RAISED) * left[0]))
         self.x = np.ascontiguousarray(x, np.float32)
 
 
@@ -42,8 +44,8 @@ def top_k(q_ids: np.ndarray, q: np.ndarray, tile: Tile, k: int, floors: np.ndarr
     of multiplications done. ``floors``: scores below which a query wants none.
 
     Dimensions are added block by block. What is still to come of a pair is at most the product of the remaining norms, so each
-    query drops candidates whose bound is below its floor, the k-th best of what it has seen in full: from the middle on the
-    candidates of the k best sums so far are scored in full now and then to raise it. While most pairs live a block is a matrix
+    query drops candidates whose bound is below its floor, the k-th best of what it has seen in full: once half of
+    the mass is summed, the candidates of the best sums are scored in full to raise it. While most pairs live a block is a matrix
     product; then pairs are listed and compacted after each block.
     """
     done, out = 0, []
@@ -66,13 +68,12 @@ def _search(own: np.ndarray, q: np.ndarray, t: Tile, k: int, floors: np.ndarray
     score = np.repeat(base[:, None].astype(np.float32), size, 1)
     score[own[:, None] == t.ids[None]] = -np.inf
     pairs: tuple[np.ndarray, np.ndarray] | None = None
-    raised = {next((c for c in t.cuts if c >= dims * share), dims) for share in RAISED}
     done = 0
     for b, (lo, hi) in enumerate(zip(t.cuts, t.cuts[1:], strict=False)):
         if pairs is None:
             score += y[:, lo:hi] @ t.x[lo:hi]
             done += n * size * (hi - lo)
-            if size > RAISE * k and hi in raised:
+            if size > RAISE * k and t.raised == b + 1:
                 few = np.argpartition(score, -RAISE * k, 1)[:, -RAISE * k :]
                 row = np.repeat(np.arange(n), RAISE * k)
                 full = _exact(q, t, row, few.ravel()).astype(float)
