@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridjobs.functions.session import cut
 from gridjobs.llm.tables import slices, table
 
 WORD = re.compile(r"\w+")
@@ -26,9 +27,17 @@ WIDTH, OVERLAP = 5, 0.8
 ORDERED = 0.8
 #: Share of the answer's words that go with a fully overlapped question.
 ANSWER = 0.8
-#: Items in a block of the index; terms in more blocks than this are bounded together instead of block by block.
-BLOCK, DENSE = 8, 64
-#: Characters of items in one index; more items make more indexes, and each is run over all passages.
+#: Items in a block of the index, and blocks in a stretch.
+BLOCK, SPAN = 8, 64
+#: Items are indexed with others of their length (to the next power of two; the shortest together), and passages follow that.
+LEAST = 16
+#: Single precision of summed impacts.
+SLACK = 1e-5
+#: Bounds and terms of passages that are held at a time.
+CELLS, ROWS = 4_000_000, 50_000
+#: Items whose shingles a worker remembers.
+REMEMBERED = 4_096
+#: Characters of items in one index (some 250 MB of arrays); more items make more indexes, and each is run over all passages.
 INDEX_CHARS = 32_000_000
 #: Words handled at a time within a batch.
 AT_A_TIME = 100_000
@@ -49,16 +58,16 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return w[:cut], w[cut:]
 
 
-def shingles(w: list[str]) -> set[tuple[str, ...]]:
+def shingles(w: list) -> set[tuple]:
     return {tuple(w[k : k + WIDTH]) for k in range(max(1, len(w) - WIDTH + 1))} if w else set()
 
 
-def in_order(item: list[str], passage: list[str], share: float = ORDERED) -> bool:
+def in_order(item: list, passage: list, share: float = ORDERED) -> bool:
     """Whether a stretch of the passage, at most a fifth longer than the item, has the share of its words in their order.
 
     Below five words that is the whole item word for word."""
     n, need = len(item), math.ceil(share * len(item) - 1e-9)
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
     at = [k for k, w in enumerate(passage) if w in places]
@@ -80,122 +89,190 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
-class Index:
-    """Inverted index of items with impacts relative to each item's score against itself, and their maxima by block of items."""
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of all positions of ranges."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
-    def __init__(self, items: list[tuple[int, str]]):
-        parsed = [(i, *split_item(t or "")) for i, t in items]
-        parsed = sorted((x for x in parsed if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
-        self.ids = [x[0] for x in parsed]
-        self.question = [shingles(q) for _, q, _ in parsed]
-        self.answer = [set(a) for _, _, a in parsed]
-        self.whole = [shingles(q + a) for _, q, a in parsed]
-        self.asked = [q for _, q, _ in parsed]
-        self.texts = texts = [q + a for _, q, a in parsed]
-        self.longest = max((math.ceil(1.25 * len(t)) for t in texts), default=1)
-        seen = Counter(w for t in texts for w in set(t))
-        self.terms = {w: n for n, w in enumerate(seen)}
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in seen.items()}
-        posts: list[list[tuple[int, float]]] = [[] for _ in seen]
-        for n, t in enumerate(texts):
-            impact = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(t) / mean)) for w, c in Counter(t).items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                posts[self.terms[w]].append((n, x / own))
-        blocks = [{} for _ in posts]
-        for p, by in zip(posts, blocks, strict=True):
-            for n, x in p:
-                by[n // BLOCK] = max(x, by.get(n // BLOCK, 0))
-        self.n_blocks = -(-len(texts) // BLOCK)
-        self.dense_max = np.array([max(by.values()) if len(by) > DENSE else 0.0 for by in blocks])
-        self.by_block = self._flat([[] if len(by) > DENSE else list(by.items()) for by in blocks])
-        self.by_item = self._flat(posts)
 
-    @staticmethod
-    def _flat(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in lists], np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return at, np.array([n for x in lists for n, _ in x], np.int64), np.array([v for x in lists for _, v in x])
+def _joint(a_key: np.ndarray, b_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the keys of ``a_key`` in the sorted ``b_key``: (position in a, position in b) of those found."""
+    at = np.minimum(np.searchsorted(b_key, a_key), max(0, len(b_key) - 1))
+    hit = np.nonzero(b_key[at] == a_key)[0] if len(b_key) else np.empty(0, np.int64)
+    return hit, at[hit]
+
+
+class Postings:
+    """Inverted index of items of like length, with impacts relative to each item's score against itself.
+
+    Postings of a term stand in order of items; ``BLOCK`` items are a block and ``SPAN`` blocks a stretch, and for each term and
+    block, and each term and stretch, the largest impact is kept. Arrays only: some 30 bytes a posting.
+    """
+
+    def __init__(self, first: int, lengths: np.ndarray, term: np.ndarray, item: np.ndarray, impact: np.ndarray):
+        self.first, self.n = first, len(lengths)
+        self.reach = math.ceil(1.25 * int(lengths.max()))
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order].astype(np.int32), impact[order].astype(np.float32)
+        self.n_blocks = -(-self.n // BLOCK)
+        self.n_stretches = -(-self.n_blocks // SPAN)
+        #: term and block (or stretch) as one number, where its postings (or blocks) begin, and its largest impact
+        self.block_key, self.block_at, self.block_max = self._grouped(term * self.n_blocks + self.item // BLOCK, self.impact)
+        term, block = self.block_key // self.n_blocks, self.block_key % self.n_blocks
+        self.stretch_key, self.stretch_at, self.stretch_max = self._grouped(term * self.n_stretches + block // SPAN, self.block_max)
+        self.stretch_at = self.stretch_at.astype(np.int64)
 
     @staticmethod
-    def _expand(flat: tuple, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each term in turn its postings: (position of the term, what is posted, impact)."""
-        at, what, impact = flat
-        n = at[terms + 1] - at[terms]
-        of = np.repeat(np.arange(len(terms)), n)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + at[terms][of]
-        return of, what[k], impact[k]
-
-    def retrieve(self, ids: np.ndarray, half: np.ndarray, n_halves: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _grouped(key: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.empty(0, np.int64)
+        return key[at], np.append(at, len(key)).astype(np.int32), np.maximum.reduceat(impact, at) if len(at) else impact
+
+    def retrieve(self, half: np.ndarray, term: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all passages at or over the threshold.
 
-        ``ids``, ``half``: term ids (-1: none) and the half passage that each word is in; a passage is a half and the one
-        after it where ``pairs`` says so. Blocks of items whose bound (the sum of block maxima) stays under the threshold
-        are skipped; only the others are scored.
+        ``half``, ``term``: distinct terms of each half passage, in order; a passage is a half and the one after it where
+        ``pairs`` says so. Sums of maxima bound what a passage can score in a stretch of items; only where that reaches the threshold
+        are the maxima of its blocks summed, and only in blocks that reach it as well are postings read. What is skipped at
+        either level is never touched.
         """
-        size = len(self.terms)
-        key = _distinct(half[ids >= 0] * size + ids[ids >= 0])
-        h, t = key // size, key % size
-        of, block, impact = self._expand(self.by_block, t)
-        bound = np.bincount(h[of] * self.n_blocks + block, impact, n_halves * self.n_blocks).reshape(n_halves, -1)
-        bound += np.bincount(h, self.dense_max[t], n_halves)[:, None]
-        both = bound.copy()
-        both[:-1][pairs[:-1]] += bound[1:][pairs[:-1]]
-        open_blocks = both >= THRESHOLD - 1e-9
-        passages = np.nonzero(open_blocks.any(1))[0]
-        if not len(passages):
+        n = len(pairs)
+        if not len(term) or not len(self.block_key):
             return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-        first, last = np.searchsorted(h, passages), np.searchsorted(h, passages + 1 + pairs[passages])
-        n = last - first
-        rank = np.repeat(np.arange(len(passages)), n)
-        k = np.arange(len(rank)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        own = _distinct(rank * size + t[k])
-        rank, terms = own // size, own % size
-        of, item, impact = self._expand(self.by_item, terms)
-        keep = open_blocks[passages[rank[of]], item // BLOCK]
-        n_items = len(self.ids)
-        score = np.bincount((rank[of] * n_items + item)[keep], impact[keep], len(passages) * n_items)
-        hit = np.nonzero(score >= THRESHOLD - 1e-9)[0]
-        return passages[hit // n_items], hit % n_items, score[hit]
-
-    def verify(self, item: int, passage: list[str]) -> tuple[float, float, bool]:
+        lo, hi = np.searchsorted(self.stretch_key, term * self.n_stretches), np.searchsorted(self.stretch_key, (term + 1) * self.n_stretches)
+        of, at = _ranges(lo, hi)
+        bound = np.bincount(half[of] * self.n_stretches + self.stretch_key[at] % self.n_stretches, self.stretch_max[at], n * self.n_stretches).reshape(n, -1)
+        bound[:-1][pairs[:-1]] += bound[1:][pairs[:-1]].copy()
+        passage, stretch = np.nonzero(bound >= THRESHOLD - SLACK)
+        first, last = np.searchsorted(half, passage), np.searchsorted(half, passage + 1 + pairs[passage])
+        ends = np.append(0, np.cumsum(last - first))
+        found, a = [], 0
+        while a < len(passage):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + ROWS, "right")) - 1)
+            found.append(self._within(passage[a:b], stretch[a:b], first[a:b], last[a:b], term))
+            a = b
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64 if k < 2 else float) for k in range(3))
+
+    def _within(self, passage: np.ndarray, stretch: np.ndarray, first: np.ndarray, last: np.ndarray, term: np.ndarray):
+        """The same for some passages, each in one stretch."""
+        of, at = _ranges(first, last)
+        size = int(term.max()) + 1
+        own = _distinct(of * size + term[at])
+        row, words = own // size, own % size
+        hit, at = _joint(words * self.n_stretches + stretch[row], self.stretch_key)
+        row, words = row[hit], words[hit]
+        which, block = _ranges(self.stretch_at[at], self.stretch_at[at + 1])
+        inside = self.block_key[block] % self.n_blocks - stretch[row[which]] * SPAN
+        bound = np.bincount(row[which] * SPAN + inside, self.block_max[block], len(passage) * SPAN)
+        open_ = bound >= THRESHOLD - SLACK
+        keep = open_[row[which] * SPAN + inside]
+        row, block = row[which[keep]], block[keep]
+        which, post = _ranges(self.block_at[block].astype(np.int64), self.block_at[block + 1].astype(np.int64))
+        key = row[which] * self.n + self.item[post]
+        order = np.argsort(key, kind="stable")
+        key, impact = key[order], self.impact[post[order]].astype(float)
+        start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.empty(0, np.int64)
+        score = np.add.reduceat(impact, start) if len(start) else impact
+        key = key[start]
+        hits = score >= THRESHOLD - SLACK
+        return passage[key[hits] // self.n], key[hits] % self.n, score[hits]
+
+
+class Index:
+    """Items by length, each class with its own postings and passages; counts of terms are over all items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        parsed = [(i, *split_item(t or "")) for i, t in items]
+        parsed = sorted((x for x in parsed if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0] is None, x[0]))
+        self.ids = [x[0] for x in parsed]
+        self.asked = np.array([len(q) for _, q, _ in parsed], np.int32)
+        self.terms: dict[str, int] = {}
+        known = self.terms.setdefault
+        self.flat = np.fromiter((known(w, len(self.terms)) for _, q, a in parsed for w in chain(q, a)), np.int64)
+        lengths = np.array([len(q) + len(a) for _, q, a in parsed], np.int64)
+        del parsed
+        self.at = np.append(0, np.cumsum(lengths))
+        self.sets: dict[int, tuple] = {}
+        n = len(lengths)
+        key, count = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(self.terms)) + self.flat, return_counts=True)
+        item, term = key // max(1, len(self.terms)), key % max(1, len(self.terms))
+        df = np.bincount(term, minlength=len(self.terms))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[item] / max(1.0, lengths.mean() if n else 1.0)))
+        impact /= np.bincount(item, impact, n)[item]
+        self.classes = []
+        size = np.ceil(np.log2(np.maximum(lengths, LEAST))).astype(int) if n else np.empty(0, int)
+        for k in np.unique(size).tolist():
+            lo, hi = int(np.searchsorted(size, k)), int(np.searchsorted(size, k, "right"))
+            own = slice(int(np.searchsorted(item, lo)), int(np.searchsorted(item, hi)))
+            self.classes.append(Postings(lo, lengths[lo:hi], term[own], item[own] - lo, impact[own]))
+
+    def __getstate__(self):
+        return self.__dict__ | {"sets": {}}
+
+    def words(self, item: int) -> list[int]:
+        return self.flat[self.at[item] : self.at[item + 1]].tolist()
+
+    def _sets(self, item: int) -> tuple:
+        """Words, question's shingles, answer's words and all shingles of an item; a few thousand items are remembered."""
+        if item not in self.sets:
+            if len(self.sets) >= REMEMBERED:
+                self.sets.clear()
+            w, n = self.words(item), int(self.asked[item])
+            self.sets[item] = (w, shingles(w[:n]), set(w[n:]), shingles(w))
+        return self.sets[item]
+
+    def verify(self, item: int, passage: list[int]) -> tuple[float, float, bool]:
         """Shares of the question's shingles and of the answer's words that the passage holds, and whether they are enough."""
+        w, question, answer, whole = self._sets(item)
         has, got = shingles(passage), set(passage)
-        q = len(self.question[item] & has) / len(self.question[item]) if self.question[item] else 1.0
-        a = len(self.answer[item] & got) / len(self.answer[item]) if self.answer[item] else 1.0
-        whole = len(self.whole[item] & has) / len(self.whole[item])
-        enough = whole >= OVERLAP or (q >= OVERLAP and a >= ANSWER and len(self.question[item]) > 1) or in_order(self.texts[item], passage)
-        return q, a, enough or (a >= ANSWER and len(self.question[item]) > 1 and in_order(self.asked[item], passage))
+        q = len(question & has) / len(question) if question else 1.0
+        a = len(answer & got) / len(answer) if answer else 1.0
+        enough = len(whole & has) / len(whole) >= OVERLAP or (q >= OVERLAP and a >= ANSWER and len(question) > 1) or in_order(w, passage)
+        return q, a, enough or (a >= ANSWER and len(question) > 1 and in_order(w[: self.asked[item]], passage))
 
     def search(self, texts: list[str]) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item) -> score, question overlap, answer overlap of the best verified passage."""
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         at = 0
         while at < len(texts):
-            split, total, first = [], 0, at
-            while at < len(texts) and (not split or total < AT_A_TIME):
-                split.append(words(texts[at]))
-                total += len(split[-1])
+            lengths, ids, total, first = [], [], 0, at
+            while at < len(texts) and (not lengths or total < AT_A_TIME):
+                w = words(texts[at])
+                ids.append(np.fromiter(map(self.terms.get, w, repeat(-1)), np.int64, len(w)))
+                lengths.append(len(w))
+                total += len(w)
                 at += 1
-            lengths = np.array([len(w) for w in split], np.int64)
-            halves = -(-lengths // self.longest)
+            self._search(first, np.array(lengths, np.int64), np.concatenate(ids), best)
+        return best
+
+    def _search(self, first: int, lengths: np.ndarray, ids: np.ndarray, best: dict) -> None:
+        begin = np.cumsum(lengths) - lengths
+        place = np.arange(len(ids)) - np.repeat(begin, lengths)
+        known = np.nonzero(ids >= 0)[0]
+        for c in self.classes:
+            halves = -(-lengths // c.reach)
             start = np.cumsum(halves) - halves
-            place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            half = np.repeat(start, lengths) + place // self.longest
-            ids = np.array(list(map(self.terms.get, chain.from_iterable(split), repeat(-1))), np.int64)
-            doc = np.repeat(np.arange(len(split)), halves)
+            doc = np.repeat(np.arange(len(lengths)), halves)
             pairs = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.empty(0, bool)
-            if not len(doc):
-                continue
-            for p, item, score in zip(*(x.tolist() for x in self.retrieve(ids, half, len(doc), pairs)), strict=True):
-                d = int(doc[p])
-                lo = (p - int(start[d])) * self.longest
-                q, a, enough = self.verify(item, split[d][lo : lo + 2 * self.longest])
-                if enough:
-                    k = (first + d, item)
-                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, q, a))
-        return best
+            key = _distinct((np.repeat(start, lengths)[known] + place[known] // c.reach) * len(self.terms) + ids[known])
+            half, term = key // max(1, len(self.terms)), key % max(1, len(self.terms))
+            step = max(2, CELLS // c.n_stretches)
+            for a in range(0, len(doc), step):
+                b = min(len(doc), a + step)
+                own = slice(int(np.searchsorted(half, a)), int(np.searchsorted(half, b + 1)))
+                many = pairs[a : b + 1].copy()
+                many[-1] &= b + 1 < len(doc) or len(many) <= b - a
+                for p, item, score in zip(*(x.tolist() for x in c.retrieve(half[own] - a, term[own], many)), strict=True):
+                    p += a
+                    if p >= b:
+                        continue
+                    d = int(doc[p])
+                    lo = int(begin[d]) + (p - int(start[d])) * c.reach
+                    q, share, enough = self.verify(c.first + item, ids[lo : min(lo + 2 * c.reach, int(begin[d] + lengths[d]))].tolist())
+                    if enough:
+                        k = (first + d, c.first + item)
+                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, q, share))
 
 
 def _matches(shared, columns: list[str]):
@@ -233,11 +310,12 @@ def _counted(shared, columns: list[str]):
 
 def with_item_counts(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), index_chars: int = INDEX_CHARS) -> DataFrame:
     """Every row of ``docs`` with its ``keep`` columns (``text`` among them) and n_items, how many benchmark items it holds. The
-    matches are those of ``contaminated``; rows only pass through, so a filter on n_items needs no join."""
+    matches are those of ``contaminated``; rows only pass through, so a filter on n_items needs no join. Where items make more than
+    one index, each is run over what the one before has written, so that a worker holds one index at a time."""
     out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
-    for index in _indexes(items, index_chars):
-        out = out.mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(index), list(keep)), kinds)
+    for n, index in enumerate(_indexes(items, index_chars)):
+        out = (cut(out) if n else out).mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(index), list(keep)), kinds)
     return out
 
 
@@ -245,8 +323,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tu
     """One row per document row and benchmark item that it holds: ``keep`` columns, item_id, bm25 (share of the item's own
     score), question_overlap, answer_overlap.
 
-    A document is cut into passages of twice the longest item (and a quarter more, for insertions), each overlapping the
-    next by half, so that an item lies whole in one of them. Items are collected for an index only up to ``index_chars``
+    For items of each class of length, a document is cut into passages of twice the longest of them (and a quarter more, for
+    insertions), each overlapping the next by half, so that an item lies whole in one of them. Items are collected for an index only up to ``index_chars``
     characters (their size is summed first); beyond that they are dealt out over several indexes by hash of item_id, and
     each index is run over all passages. Nothing else leaves the executors and nothing is shuffled.
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,27 +122,68 @@ def test_decontamination_decides_edited_and_tiny_items_on_their_words():
         assert set(index.search(texts)) == {(k, index.ids.index(0)) for k in ((0,) if n > 1 else (0, 2))}
 
 
-def test_block_bounds_lose_nothing():
+def test_block_bounds_lose_nothing(monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{n}" for n in range(300)]
     pick = lambda n: " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(300)], k=n))
-    index = decontaminate.Index([(n, pick(rng.randint(8, 30))) for n in range(60)])
-    texts = [pick(150) for _ in range(20)]
-    for text in texts:
-        w = decontaminate.words(text)
-        half = np.arange(len(w)) // index.longest
-        ids = np.array([index.terms.get(x, -1) for x in w])
-        n = int(half[-1]) + 1
-        p, item, score = index.retrieve(ids, half, n, np.arange(n) < n - 1)
-        got = dict(zip(zip(p.tolist(), item.tolist(), strict=True), score.tolist(), strict=True))
-        at, what, impact = index.by_item
-        for k in range(n):
-            terms = {int(i) for i in ids[(half == k) | (half == k + 1)] if i >= 0}
-            full = np.zeros(len(index.ids))
-            for t in terms:
-                full[what[at[t] : at[t + 1]]] += impact[at[t] : at[t + 1]]
-            want = {(k, i): full[i] for i in np.nonzero(full >= decontaminate.THRESHOLD)[0].tolist()}
-            assert {x: pytest.approx(v) for x, v in got.items() if x[0] == k} == want
+    for span, rows in ((64, 1 << 21), (1, 50)):
+        monkeypatch.setattr(decontaminate, "SPAN", span)
+        monkeypatch.setattr(decontaminate, "ROWS", rows)
+        index = decontaminate.Index([(n, pick(rng.randint(2, 40))) for n in range(90)])
+        df = Counter(t for n in range(90) for t in set(index.words(n)))
+        mean = len(index.flat) / 90
+        impact = []
+        for n in range(90):
+            w = Counter(index.words(n))
+            x = {t: math.log(1 + (90 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * w.total() / mean)) for t, c in w.items()}
+            impact.append({t: v / sum(x.values()) for t, v in x.items()})
+        seen = 0
+        for text in (pick(150) for _ in range(20)):
+            ids = np.array([index.terms.get(x, -1) for x in decontaminate.words(text)])
+            for c in index.classes:
+                half = np.arange(len(ids)) // c.reach
+                n = int(half[-1]) + 1
+                key = np.unique(half[ids >= 0] * 1000 + ids[ids >= 0])
+                p, item, score = c.retrieve(key // 1000, key % 1000, np.arange(n) < n - 1)
+                got = dict(zip(zip(p.tolist(), item.tolist(), strict=True), score.tolist(), strict=True))
+                for k in range(n):
+                    terms = set(ids[(half == k) | (half == k + 1)].tolist())
+                    full = {i: sum(v for t, v in impact[c.first + i].items() if t in terms) for i in range(c.n)}
+                    want = {(k, i): v for i, v in full.items() if v >= decontaminate.THRESHOLD}
+                    assert {x: pytest.approx(v, abs=1e-4) for x, v in got.items() if x[0] == k and v >= decontaminate.THRESHOLD + 1e-4} == {x: v for x, v in want.items() if v >= decontaminate.THRESHOLD + 1e-4}
+                    assert set(want) <= set(got)
+                    seen += len(want)
+        assert seen > 100
+
+
+def test_batches_of_passages_do_not_change_what_is_found(monkeypatch):
+    rng = random.Random(6)
+    pick = lambda n: [f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(n)]
+    items = [(n, " ".join(pick(rng.choice((3, 9, 20, 60, 130))))) for n in range(60)]
+    texts = [" ".join(pick(rng.randrange(200)) + rng.choice(items)[1].split() + pick(rng.randrange(200))) for _ in range(40)] + ["", "w1"]
+    index = decontaminate.Index(items)
+    want = index.search(texts)
+    assert {d for d, _ in want} >= set(range(40))
+    for cells, words in ((4, 100_000), (9, 40), (4_000_000, 300)):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        monkeypatch.setattr(decontaminate, "AT_A_TIME", words)
+        assert index.search(texts) == want
+
+
+def test_an_index_of_many_items_stays_small():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    word = np.array([f"w{n}" for n in range(60_000)])
+    made = [" ".join(word[(rng.pareto(0.5, 20) * 40).astype(int) % 60_000]) for _ in range(20_000)]
+    index = pickle.loads(pickle.dumps(decontaminate.Index(list(enumerate(made)))))
+    texts = [" ".join(word[(rng.pareto(0.5, 300) * 40).astype(int) % 60_000]) for _ in range(100)] + [f"x y {made[7]} z"]
+    tracemalloc.start()
+    found = index.search(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {index.ids[i] for d, i in found if d == 100} == {7} and most < 300 << 20
 
 
 # 3
@@ -664,8 +706,6 @@ def test_every_licence_template_and_notice_gets_its_own_name():
 
 
 def test_best_stretches_match_brute_force():
-    from collections import Counter
-
     t = licenses.Templates({"A": ["a b c d e f"], "B": ["d e f g"]})
     rng = random.Random(3)
     for _ in range(200):
@@ -726,8 +766,6 @@ def test_rollups_are_additive_and_batches_count_once(spark, tmp_path, tokenizer)
 
 
 def test_the_history_of_batches_comes_to_the_counts_of_a_plain_loop(spark, tmp_path, tokenizer):
-    from collections import Counter
-
     import public_tokenizers
     import tiktoken
 
