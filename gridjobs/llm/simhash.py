@@ -24,9 +24,11 @@ WIDTH = 3
 ERRORS = 2
 #: Fingerprints of one group that one task joins with themselves; larger groups are dealt out as pairs of slices.
 SLICE = 2_000
-#: Classes of equal fingerprints that are told their components by broadcast (16 MB): all where there are no more, or else those
+#: Classes of equal fingerprints that are told their components by broadcast (some 70 MB): all where there are no more, or else those
 #: of more rows than 1 / TOLD of all, of which there are fewer.
 TOLD = 1_000_000
+#: Parts in which the rows of a class are counted first.
+SALTS = 32
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -150,7 +152,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Repeated rows give repeated results; an empty table gives an empty one; other columns are not read.
     """
     prints = cut(fingerprints(docs, text, (id_col,)))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    # in two steps, so that of a class that all tasks have a few sums meet and not one a task
+    some = prints.groupBy("fp", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    classes = cut(some.groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
     reach = components(cut(links(classes.select("fp"))))
     top = classes.join(reach.withColumnRenamed("vertex", "fp"), "fp")
     best = top.groupBy("root").agg(F.min("first").alias("best"))
