@@ -1,16 +1,20 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of one host (operator 3).
 
 A page's token stream is read as nested sequences. Pages of a host are aligned one after the other with the expression that
-the earlier ones gave: equal tags match, different texts become slots, a tag that is missing on one side becomes optional,
-and adjacent sequences of one form become a repeated group. The host's expression then tells which part of its pages
-varies, and that part's text is taken from every page.
+the earlier ones gave: equal tags match, different texts become slots, and where tags differ, what repeats becomes a repeated
+group and what is missing on one side becomes optional. The host's expression then tells which part of its pages varies: the
+elements that hold the slots are the main text, and what is constant on the host is no part of it where no element is named for
+the article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +28,7 @@ from gridjobs.functions.session import cut
 from gridjobs.llm.tables import slices, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
 ATTR = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([\w-]+)""")
 # Element kinds of HTML.
@@ -46,12 +50,21 @@ OWN = frozenset("content main article post entry story main-content entry-conten
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|article-?body|post-?body|entry-?content|post-?content|main-?content|page-?content|text)(?:$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
-#: Hosts whose expressions one task holds at a time, and slices over which a host's partial expressions are merged first.
-HOSTS, SLICES = 2_000, 32
-#: Elements of one expression; an expression that grows beyond keeps its outer levels only.
-ELEMENTS = 2_000
-#: Nesting beyond which elements no longer contain what follows them; their text stays with the element around.
-DEPTH = 120
+#: Elements that an end tag doesn't reach across, but for those of the page's frame.
+WALLS = frozenset("td th table article body".split())
+FRAME = frozenset("article body html table main section div tr".split())
+#: Hosts whose expressions one task holds at a time, and partial expressions of a host that are merged in one task first.
+HOSTS, FAN_IN = 2_000, 64
+#: Elements of one expression from which it is generalised (repeats are folded, long sequences become bags, labels lose marks).
+ELEMENTS, WIDE = 2_000, 16
+#: Levels of an expression; deeper elements melt into the one around them, as inline elements do.
+LEVELS = 48
+#: Cells of an alignment's table; longer sequences are first cut at labels that each side has once.
+CELLS = 40_000
+#: Longest group that is looked for as a repetition.
+PERIOD = 8
+#: Share of the slots' text that an element without a name must hold to be the main text.
+MOST = 0.8
 #: Total size of the rules up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 
@@ -60,53 +73,71 @@ BROADCAST_CHARS = 16_000_000
 class Node:
     name: str
     mark: str = ""
+    label: str = ""
     hidden: bool = False
     parts: list = field(default_factory=list)
 
 
+class Open:
+    """Open elements, and where each kind of them stands, so that no tag searches through all of them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
+        self.walls, self.solid = [0], [0]
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.where.setdefault(node.name, []).append(k)
+        if node.name in WALLS:
+            self.walls.append(k)
+        if node.name not in INLINE and node.name != "p":
+            self.solid.append(k)
+        self.stack.append(node)
+
+    def close(self, k: int) -> None:
+        """End the element at place ``k`` and all inside it."""
+        while len(self.stack) > k:
+            self.where[self.stack.pop().name].pop()
+        while self.walls[-1] >= k:
+            self.walls.pop()
+        while self.solid[-1] >= k:
+            self.solid.pop()
+
+
 def parse(page: str) -> Node:
     """Nested elements and texts of a page; missing end tags are put in where the tags around demand it."""
-    root = Node("#")
-    stack = [root]
-    flat: dict[str, int] = {}
+    root = Node("#", label="#")
+    open_ = Open(root)
+    stack = open_.stack
     at = 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
+            stack[-1].parts.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                stack[-1].parts.append(entities.escape(m[0][9:].removesuffix("]]>")))
+                stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if m["close"]:
-            if flat.get(name):
-                flat[name] -= 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in ("td", "th", "table", "article", "body") and name not in ("article", "body", "html", "table", "main", "section", "div", "tr"):
-                    break
+            k = open_.last(name)
+            if k and (name in FRAME or open_.walls[-1] <= k):
+                open_.close(k)
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name not in INLINE:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if name not in ENDS_ITEM or stack[k].name in SCOPES[name]:
-                break
-            if stack[k].name in ENDS_ITEM[name]:
-                del stack[k:]
-                break
-        node = Node(name)
+        if name in CLOSES_P and (k := open_.last("p")) > open_.solid[-1]:
+            open_.close(k)
+        if name in ENDS_ITEM and (k := open_.last(*ENDS_ITEM[name])) > open_.last(*SCOPES[name]):
+            open_.close(k)
+        node = Node(name, label=name)
         if m["attrs"] and not m["attrs"].isspace():
             found = {(a or c).lower(): b.strip("\"'") for a, b, c in ATTR.findall(m["attrs"])}
             node.mark = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
+            node.label = label(name, found)
             style = found.get("style", "").replace(" ", "").lower()
             node.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
         stack[-1].parts.append(node)
@@ -115,21 +146,26 @@ def parse(page: str) -> Node:
             node.parts.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif name not in VOID and not m["attrs"].endswith("/"):
-            if len(stack) < DEPTH:
-                stack.append(node)
-            else:
-                flat[name] = flat.get(name, 0) + 1
+            open_.push(node)
     if at < len(page):
-        stack[-1].parts.append(page[at:])
+        stack[-1].parts.append(entities.unescape(page[at:]))
     return root
 
 
-def label(node: Node) -> str:
-    return f"{node.name}.{WHITE.sub('.', re.sub(r'[0-9]+', '0', node.mark))}" if node.mark else node.name
+def label(name: str, found: dict[str, str]) -> str:
+    """What an element is compared by: its name and classes without their numbers, and of its id and role (which may be its own
+    on every page) the words that say what it is for."""
+    marks = [re.sub(r"[0-9]+", "0", c) for c in found.get("class", "").split()]
+    marks += [w for k in ("id", "role") for w in found.get(k, "").split() if any(v.search(w) for v in (NOISE, HEADER, BODY)) or w in OWN]
+    return ".".join([name, *dict.fromkeys(marks)])
 
 
-# An expression is [label, quantifier, text, parts]: the quantifier is "", "?", "+" or "*"; text is None (no text), a
-# constant, or True for a slot; parts are expressions in order.
+# An expression is [label, quantifier, text, parts, mass, n]: the quantifier is "", "?", "+" or "*"; text is None (no text), a
+# constant, or True for a slot; parts are expressions in order; mass is the length of its own text outside links on all pages,
+# and n how often it was seen. A group of several elements has no label of its own but theirs in brackets; a bag, "(*)", is a
+# repeated group of optional elements in any number.
+
+BAG = "(*)"
 
 
 def joined_text(a, b):
@@ -137,35 +173,52 @@ def joined_text(a, b):
     return a if a == b else b if a is None else a if b is None else True
 
 
-def express(node: Node) -> list:
-    """Expression of one page's element; inline elements melt into the text around them."""
-    text, parts = [], []
-
-    def walk(n: Node) -> None:
-        for p in n.parts:
-            if isinstance(p, str):
-                text.append(p)
-            elif p.name in INLINE and not p.mark:
-                walk(p)
-            elif p.name not in ("script", "style", "br", "meta", "link"):
-                parts.append(express(p))
+def digest(text: str) -> str:
+    return text if len(text) <= 80 else hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    walk(node)
-    said = WHITE.sub(" ", " ".join(text)).strip()
-    return [label(node), "", (said if len(said) <= 80 else True) if said else None, folded(parts)]
 
-
-def folded(parts: list) -> list:
-    """Adjacent parts of one label become a repeated group."""
-    out: list = []
-    for p in parts:
-        if out and out[-1][0] == p[0]:
-            q = merged(out[-1], p)
-            q[1] = "+" if "?" not in (out[-1][1] + p[1]) and "*" not in (out[-1][1] + p[1]) else "*"
-            out[-1] = q
+def lines(text: list) -> str:
+    """Texts of an element, those apart that a block stands between (None)."""
+    out, line = [], []
+    for t in [*text, None]:
+        if t is None:
+            if said := WHITE.sub(" ", "".join(line)).strip():
+                out.append(said)
+            line = []
         else:
-            out.append(p)
-    return out
+            line.append(t)
+    return "\n".join(map(digest, out))
+
+
+def express(node: Node, level: int = 0) -> list:
+    """Expression of one page's element; inline elements melt into the text around them, what isn't the article keeps no parts."""
+    text, parts, mass = [], [], 0
+    todo = [(iter(node.parts), False)]
+    while todo:
+        it, link = todo[-1]
+        p = next(it, None)
+        if p is None:
+            todo.pop()
+        elif isinstance(p, str):
+            text.append(p)
+            mass += 0 if link else len(p.strip())
+        elif p.hidden or p.name in ("script", "style", "meta", "link"):
+            continue
+        elif p.name == "br":
+            text.append(" ")
+        elif p.name in INLINE:
+            if not (p.mark and NOISE.search(p.mark)):
+                todo.append((iter(p.parts), link or p.name == "a"))
+        elif is_noise(p.name, p.mark, level > 0 and node.name == "article"):
+            text.append(None)
+            parts.append([p.label, "", None, [], 0, 1])
+        elif level < LEVELS:
+            text.append(None)
+            parts.append(express(p, level + 1))
+        else:
+            text.append(None)
+            todo.append((iter(p.parts), link))
+    return [node.label, "", lines(text) or None, parts, mass, 1]
 
 
 def loosest(a: str, b: str) -> str:
@@ -174,23 +227,107 @@ def loosest(a: str, b: str) -> str:
 
 
 def merged(a: list, b: list) -> list:
-    return [a[0], loosest(a[1], b[1]), joined_text(a[2], b[2]), aligned(a[3], b[3])]
+    return [a[0], loosest(a[1], b[1]), joined_text(a[2], b[2]), aligned(a[3], b[3]), a[4] + b[4], a[5] + b[5]]
 
 
 def optional(p: list) -> list:
-    return [p[0], loosest(p[1], "?"), p[2], p[3]]
+    return [p[0], loosest(p[1], "?"), *p[2:]]
+
+
+def repeated(p: list) -> list:
+    return [p[0], "*" if p[1] in ("?", "*") and p[1] else "+", *p[2:]]
+
+
+def group(unit: list[list]) -> list:
+    """Several elements in a row as one; a single one is itself."""
+    return unit[0] if len(unit) == 1 else [f"({' '.join(p[0] for p in unit)})", "", None, unit, 0, 1]
+
+
+def folded(parts: list) -> list:
+    """Adjacent elements, and adjacent groups of up to ``PERIOD`` elements, of the same labels become one repeated element or group."""
+    for period in range(1, PERIOD + 1):
+        names = [p[0] for p in parts]
+        out: list = []
+        k = 0
+        while k < len(parts):
+            n = 1
+            while names[k : k + period] == names[k + n * period : k + (n + 1) * period] and k + (n + 1) * period <= len(parts):
+                n += 1
+            if n == 1 or BAG in names[k : k + period]:
+                out.append(parts[k])
+                k += 1
+                continue
+            units = [group(parts[k + i * period : k + (i + 1) * period]) for i in range(n)]
+            whole = units[0]
+            for u in units[1:]:
+                whole = merged(whole, u)
+            out.append(repeated(whole))
+            k += n * period
+        parts = out
+    return parts
+
+
+def bag(*sides: list) -> list:
+    """All elements of some sequences, those of a label merged, as a repeated group of optional ones."""
+    found: dict[str, list] = {}
+    todo = [p for side in reversed(sides) for p in reversed(side)]
+    while todo:
+        p = todo.pop()
+        if p[0].startswith("("):
+            todo += reversed(p[3])
+        else:
+            found[p[0]] = optional(merged(found[p[0]], p)) if p[0] in found else optional(p)
+    return [BAG, "*", None, [found[k] for k in sorted(found)], 0, 1]
+
+
+def grouped(parts: list, units: dict[str, int]) -> list:
+    """Single occurrences of the other side's groups as groups."""
+    out, k = [], 0
+    while k < len(parts):
+        n = next((n for name, n in units.items() if k + n <= len(parts) and f"({' '.join(p[0] for p in parts[k : k + n])})" == name), 0)
+        out.append(group(parts[k : k + n]) if n else parts[k])
+        k += n or 1
+    return out
 
 
 def aligned(a: list, b: list) -> list:
-    """One sequence for both: parts that match are merged, the others are optional; order is kept by longest common labels."""
+    """One sequence for both: parts that match are merged, repetitions folded where the sides differ, what one side lacks optional."""
+    if [p[0] for p in a] == [p[0] for p in b]:
+        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+    if any(p[0] == BAG for p in a + b):
+        return [bag(a, b)]
+    # what is the same on both sides, text included, and there only once, stays out of repetitions
+    said = Counter((p[0], p[2]) for p in a) | Counter((p[0], p[2]) for p in b)
+    same = lambda x, y: x[0] == y[0] and isinstance(x[2], str) and x[2] == y[2] and said[x[0], x[2]] == 1
+    n, m = 0, 0
+    while n < min(len(a), len(b)) and same(a[n], b[n]):
+        n += 1
+    while m < min(len(a), len(b)) - n and same(a[-1 - m], b[-1 - m]):
+        m += 1
+    ends = lambda x: (x[:n], x[len(x) - m :])
+    (a0, a1), (b0, b1) = ends(a), ends(b)
+    a, b = folded(a[n : len(a) - m]), folded(b[n : len(b) - m])
+    for x, y in ((a, b), (b, a)):
+        if units := {p[0]: len(p[3]) for p in x if p[0].startswith("(")}:
+            y[:] = folded(grouped(y, units))
+    middle = matched(a, b)
+    return [*map(merged, a0, b0), *middle, *map(merged, a1, b1)]
+
+
+def matched(a: list, b: list) -> list:
+    """Parts in an order that keeps a longest common sequence of labels; where the table for that would be too large, the sides
+    are cut at labels that each has once, and what has none becomes a bag."""
     la, lb = [p[0] for p in a], [p[0] for p in b]
     if la == lb:
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
+    if len(a) * len(b) > CELLS:
+        return _cut_at_anchors(a, b, la, lb)
     n, m = len(la), len(lb)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
+            row[j] = below[j + 1] + 1 if la[i] == lb[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
     while i < n and j < m:
         if la[i] == lb[j]:
@@ -202,29 +339,69 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append(optional(b[j]))
             j += 1
-    out += [optional(p) for p in a[i:]] + [optional(p) for p in b[j:]]
-    return folded(out)
+    return out + [optional(p) for p in a[i:]] + [optional(p) for p in b[j:]]
+
+
+def _cut_at_anchors(a: list, b: list, la: list[str], lb: list[str]) -> list:
+    ca, cb = Counter(la), Counter(lb)
+    place = {x: j for j, x in enumerate(lb) if cb[x] == 1}
+    both = [(i, place[x]) for i, x in enumerate(la) if ca[x] == 1 and x in place]
+    tails: list[int] = []  # longest rising run of places
+    back: list[tuple[int, int]] = []
+    ends: list[int] = []
+    for k, (_, j) in enumerate(both):
+        at = bisect_left(tails, j)
+        tails[at : at + 1] = [j]
+        ends[at : at + 1] = [k]
+        back.append((ends[at - 1] if at else -1, k))
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(both[k])
+        k = back[k][0]
+    if not chain:
+        return [bag(a, b)]
+    out, i0, j0 = [], 0, 0
+    for i, j in reversed(chain):
+        out += _between(a[i0:i], b[j0:j]) + [merged(a[i], b[j])]
+        i0, j0 = i + 1, j + 1
+    out += _between(a[i0:], b[j0:])
+    return [bag(out)] if any(p[0] == BAG for p in out) else out
+
+
+def _between(a: list, b: list) -> list:
+    if not a or not b:
+        return [optional(p) for p in a or b]
+    return [bag(a, b)] if len(a) * len(b) > CELLS else matched(a, b)
 
 
 def elements(e: list) -> int:
-    return 1 + sum(map(elements, e[3]))
+    return 1 + sum(elements(p) for p in e[3])
 
 
 def bounded(e: list) -> list:
-    depth = 12
-    while depth > 2 and elements(e) > ELEMENTS:
-        depth -= 1
-        e = _cut(e, depth)
+    """An expression of more than ``ELEMENTS`` elements, generalised: all levels and slots stay, only order and marks are given up."""
+    for how in (folded, lambda parts: [bag(parts)] if len(parts) > WIDE else parts, lambda parts: [bag(parts)] if parts else parts, _plain):
+        if elements(e) <= ELEMENTS:
+            break
+        e = _changed(e, how)
     return e
 
 
-def _cut(e: list, depth: int) -> list:
-    return [e[0], e[1], True if depth == 0 and e[3] else e[2], [_cut(p, depth - 1) for p in e[3]] if depth else []]
+def _changed(e: list, how) -> list:
+    return [*e[:3], how([_changed(p, how) for p in e[3]]), *e[4:]]
+
+
+def _plain(parts: list) -> list:
+    """Elements of a bag told apart by their names and what these say, no longer by other marks."""
+    known = lambda lab: ".".join(w for k, w in enumerate(lab.split(".")) if not k or any(v.search(w) for v in (NOISE, HEADER, BODY)) or w in OWN)
+    return [bag([[p[0] if p[0].startswith("(") else known(p[0]), *p[1:]] for p in parts])] if parts else parts
 
 
 def pattern(e: list) -> str:
     """The expression as text: tags, #slot for varying text, groups with ? + *."""
     inner = ("#slot" if e[2] is True else e[2] or "") + "".join(pattern(p) for p in e[3])
+    if e[0].startswith("("):
+        return f"({inner}){e[1]}"
     return f"(<{e[0]}>{inner}</>){e[1]}" if e[1] else f"<{e[0]}>{inner}</>"
 
 
@@ -245,73 +422,99 @@ def is_noise(name: str, mark: str, inside: bool) -> bool:
     return bool(NOISE.search(mark) or (not inside and HEADER.search(mark)))
 
 
-def content_rule(e: list) -> list[str]:
-    """Labels of the elements that hold a host's main text: its articles, else its main element, else the element marked as
-    content with most slots, else the smallest element that holds most of the slots, links and constant text aside."""
-    found: dict[str, set[str]] = {"article": set(), "main": set()}
-    marked: dict[str, float] = {}
+def content_rule(e: list) -> dict:
+    """Where a host's main text is.
 
-    def slots(x: list) -> float:
+    {"labels": ...}: elements of these labels, wherever they stand: the host's articles with slots, else its main element, else
+    the element marked as content with most of the slots' text. Otherwise {"path": ..., "constants": ...}: the smallest element
+    that holds most of the slots' text, by the labels of the elements around it, without blocks that are constant on the host or
+    links only. Text counts as constant if it was seen twice at least and never differed; links don't count.
+    """
+    found: dict[str, dict[str, int]] = {"article": {}, "main": {}, "marked": {}}
+    constants: set[str] = set()
+
+    def weigh(x: list) -> tuple[int, list]:
+        """Slots' text of an element, and the same for its parts."""
         name, mark = name_of(x[0])
-        if is_noise(name, mark, False) or name == "a":
-            return 0.0
-        own = (2.0 if x[1] and x[1] in "+*" else 1.0) if x[2] is True or name in ("p", "pre", "blockquote") else 0.0
-        inside = own + sum(map(slots, x[3]))
-        if name == "article":
-            found["article"].add(x[0])
-        elif name == "main" or "main" in mark.split() and name != "body":
-            found["main"].add(x[0])
-        elif inside and BODY.search(mark) and name in ("div", "section", "td"):
-            marked[x[0]] = max(inside, marked.get(x[0], 0.0))
-        return inside
-
-    slots(e)
+        plain = not x[0].startswith("(")
+        if plain and is_noise(name, mark, False):
+            return 0, []
+        fixed = isinstance(x[2], str) and x[5] > 1
+        if fixed:
+            constants.update(x[2].split("\n"))
+        parts = [(*weigh(p), p) for p in x[3]]
+        inside = (0 if fixed else x[4]) + sum(p[0] for p in parts)
+        if plain and inside:
+            kind = "article" if name == "article" else "main" if name == "main" or "main" in mark.split() and name != "body" else "marked" if BODY.search(mark) and name in ("div", "section", "td") else None
+            if kind:
+                found[kind][x[0]] = max(inside, found[kind].get(x[0], 0))
+        return inside, parts
+
+    total, parts = weigh(e)
     for k in ("article", "main"):
         if found[k]:
-            return sorted(found[k])
-    if marked:
-        top = max(marked.values())
-        return [min((k for k, v in marked.items() if v == top), key=lambda k: (len(k), k))]
-    return []
-
-
-def blocks(root: Node, rule: list[str]) -> list[str]:
+            return {"labels": sorted(found[k])}
+    if found["marked"]:
+        return {"labels": [min(found["marked"], key=lambda k: (-found["marked"][k], len(k), k))]}
+    path, at, open_ = [], 0, parts
+    while open_:  # groups are no level of their own
+        inside, below, p = max(open_, key=lambda x: x[0])
+        if inside < MOST * total or not total or not any(q[0] for q in below) and not p[0].startswith("("):
+            break
+        open_ = below
+        if not p[0].startswith("("):
+            path.append(p[0])
+    return {"path": path, "constants": sorted(constants)}
+
+
+def blocks(root: Node, rule: dict) -> list[str]:
     """Texts of the blocks under the elements of the rule, in page order."""
     out: list[str] = []
     line: list[str] = []
+    wanted, path, constants = frozenset(rule.get("labels", ())), rule.get("path"), frozenset(rule.get("constants", ()))
+
+    plain: list[str] = []  # what of the line stands outside links
 
     def end() -> None:
-        said = WHITE.sub(" ", entities.unescape("".join(line))).strip()
+        said, own = WHITE.sub(" ", "".join(line)).strip(), "".join(plain).strip()
         line.clear()
-        if said:
+        plain.clear()
+        if said and (path is None or own and digest(said) not in constants):
             out.append(said)
 
-    def walk(n: Node, inside: bool) -> None:
-        for p in n.parts:
-            if isinstance(p, str):
-                if inside:
-                    line.append(p)
-            elif p.hidden:
-                continue
-            elif p.name == "br":
-                line.append("\n")
-            elif p.name in INLINE:
-                if not (p.mark and NOISE.search(p.mark)):
-                    walk(p, inside)
-            elif not is_noise(p.name, p.mark, inside):
-                if inside:
-                    end()
-                walk(p, inside or label(p) in wanted)
-                if inside or label(p) in wanted:
-                    end()
-
-    wanted = set(rule)
-    walk(root, not rule)
+    # parts to come, whether they are the main text, whether their element ends a block, how much of the path led to it, and
+    # whether it stands in a link
+    todo = [(iter(root.parts), path == [], False, 0, False)]
+    while todo:
+        it, inside, block, depth, link = todo[-1]
+        p = next(it, None)
+        if p is None:
+            todo.pop()
+            if block:
+                end()
+        elif isinstance(p, str):
+            if inside:
+                line.append(p)
+                if not link:
+                    plain.append(p)
+        elif p.hidden:
+            continue
+        elif p.name == "br":
+            line.append("\n")
+        elif p.name in INLINE:
+            if not (p.mark and NOISE.search(p.mark)):
+                todo.append((iter(p.parts), inside, False, depth, link or p.name == "a"))
+        elif not is_noise(p.name, p.mark, inside):
+            if inside:
+                end()
+            led = depth + 1 if path and 0 <= depth < len(path) and p.label == path[depth] else -1
+            into = inside or p.label in wanted or bool(path) and led == len(path)
+            todo.append((iter(p.parts), into, into, led, link))
     end()
     return out
 
 
-def extract(page: str, rule: list[str] | None) -> str:
+def extract(page: str, rule: dict | None) -> str:
     """Main text of a page under its host's rule; a page on which the rule finds nothing falls back to its own expression."""
     if not page or page.isspace():
         return ""
@@ -338,12 +541,12 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("expression")
+def _merge(group_: pd.DataFrame) -> pd.DataFrame:
+    group_ = group_.sort_values("expression")
     out = None
-    for x in map(json.loads, group["expression"]):
+    for x in map(json.loads, group_["expression"]):
         out = x if out is None else bounded(merged(out, x))
-    return pd.DataFrame({"host": group["host"].iloc[:1], "expression": [json.dumps(out, ensure_ascii=False)], "pages": [group["pages"].sum()]})
+    return pd.DataFrame({"host": group_["host"].iloc[:1], "expression": [json.dumps(out, ensure_ascii=False)], "pages": [group_["pages"].sum()]})
 
 
 def host_of(url: str):
@@ -353,12 +556,12 @@ def host_of(url: str):
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(host, expression, pages) of every host: the union-free expression that all its pages match.
 
-    Each task aligns its own pages host by host, so what is shuffled is one bounded expression for a host and task, and a host
-    of any size is merged in slices first. Null and empty pages take no part; pages without a host share the host "".
+    Each task aligns its own pages host by host, so what is shuffled is one bounded expression for a host and task, and of a host
+    of any size the expressions of ``FAN_IN`` neighbouring tasks are merged first. Null and empty pages take no part; pages without a host share the host "".
     """
     p = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where("html is not null and trim(html) <> ''")
     kinds = "host string, expression string, pages long"
-    first = p.mapInPandas(_partial, kinds).withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    first = p.mapInPandas(_partial, kinds).withColumn("slice", F.floor(F.spark_partition_id() / FAN_IN))
     sliced = first.groupBy("host", "slice").applyInPandas(lambda g: _merge(g), kinds)
     return sliced.groupBy("host").applyInPandas(lambda g: _merge(g), kinds)
 
@@ -382,11 +585,11 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html
     """``keep`` columns and the main text of every page: its blocks joined by line ends, empty where there is none.
 
     Null and empty pages give an empty text, pages of an unknown host use their own expression. Repeated pages give repeated
-    rows; an empty table gives an empty one; other columns are not read. The rules of the hosts are a few words each: they are
+    rows; an empty table gives an empty one; other columns are not read. Elements may be nested to any depth. The rules of the hosts are a few words each: they are
     broadcast where their summed size allows, and otherwise joined by host, where a hot host's side can be split.
     """
     rules = cut(wrappers(pages, html, url)).select("host", _rule("expression").alias("_rule"))
-    rules = cut(rules.where("_rule <> '[]'"))
+    rules = cut(rules)
     size = rules.agg(F.coalesce(F.sum(F.length("host") + F.length("_rule")), F.lit(0))).first()[0]
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.select(*keep).dtypes)
     p = pages.select(*keep, F.col(html).alias("_html"), host_of(url).alias("host"))

@@ -204,7 +204,7 @@ def test_html_main_text(spark):
     ]
     rows = [(n, f"http://h{n}.example.com:80/a", page(b, n), "x") for n, (b, _) in enumerate(bodies)]
     rows += [(10 + k, "https://H0.example.com/b", page(f"<article><p>number {k}</p>{'<p>more</p>' * (k % 3)}</article>", k), "x") for k in range(6)]
-    rows += [(20, None, None, "x"), (21, "http://e/", "", "x"), (22, "::", "plain text", "x"), (23, "http://f/", "<p", "x"), (24, "http://g/", "<div>" * 3000 + "deep", "x"), (0, rows[0][1], rows[0][2], "x")]
+    rows += [(20, None, None, "x"), (21, "http://e/", "", "x"), (22, "::", "plain text", "x"), (23, "http://f/", "<p", "x"), (24, "http://g/", "<div>" * 3000 + "<nav>no</nav>deep", "x"), (0, rows[0][1], rows[0][2], "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
     assert len(got) == len(rows)
@@ -216,16 +216,110 @@ def test_html_main_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def wrapper(pages, order=None):
+    e = None
+    for k in order or range(len(pages)):
+        x = html.bounded(html.express(html.parse(pages[k])))
+        e = x if e is None else html.bounded(html.merged(e, x))
+    return e
+
+
+def as_regex(e):
+    """The expression as a regular expression over labels."""
+    inner = "".join(map(as_regex, e[3]))
+    own = inner if e[0].startswith("(") else f"<{re.escape(e[0])}>{inner}</>"
+    return f"(?:{own}){e[1]}" if e[0] != html.BAG else f"(?:{'|'.join(map(as_regex, e[3]))})*"
+
+
+def as_string(e):
+    return f"<{e[0]}>{''.join(map(as_string, e[3]))}</>"
+
+
 def test_wrappers_align_pages_in_any_order():
     pages = [f"<body><h1>T{n}</h1>{'<p class=x>a</p>' * n}{'<hr>' if n == 1 else ''}<div>same</div></body>" for n in (1, 2, 3)]
-    shapes = set()
-    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
-        e = None
-        for k in order:
-            x = html.express(html.parse(pages[k]))
-            e = x if e is None else html.merged(e, x)
-        shapes.add(html.pattern(e))
+    shapes = {html.pattern(wrapper(pages, order)) for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2))}
     assert shapes == {"<#><body><h1>#slot</>(<p.x>a</>)+(<hr></>)?<div>same</></></>"}
+    pairs = [f"<div>{'<h3>t</h3><p>x</p>' * n}</div>" for n in (1, 2, 4)]
+    assert html.pattern(wrapper(pairs)) == "<#><div>(<h3>t</><p>x</>)+</></>"
+    ads = [f"<div><b>x</b><p>{n}</p>{'<ul></ul><p>q</p>' if n else ''}<h6>end</h6></div>" for n in (0, 1)]
+    assert html.pattern(wrapper(ads)).endswith("<h6>end</></></>")
+
+
+@pytest.mark.parametrize("bound", [2_000, 12])
+def test_wrappers_accept_all_pages_that_they_come_from(monkeypatch, bound):
+    monkeypatch.setattr(html, "ELEMENTS", bound)
+    rng = random.Random(bound)
+
+    def some(depth):
+        return "".join(f"<{(n := rng.choice(['div', 'p', 'h3', 'section']))}>{some(depth - 1) if n in ('div', 'section') and depth else rng.choice(['a', 'b'])}</{n}>" for _ in range(rng.randrange(5)))
+
+    for _ in range(150):
+        pages = [some(2) for _ in range(rng.randrange(1, 6))]
+        e = wrapper(pages)
+        for page in pages:
+            assert re.fullmatch(as_regex(e), as_string(html.express(html.parse(page)))), (pages, html.pattern(e))
+
+
+def test_alignment_keeps_as_many_labels_as_trying_all():
+    from itertools import combinations
+
+    leaf = lambda c: [c, "", None, [], 0, 1]
+
+    def longest(a, b):
+        subs = {s for n in range(len(a) + 1) for s in combinations(a, n)}
+        return max(len(s) for n in range(len(b) + 1) for s in combinations(b, n) if s in subs)
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randrange(7))) for _ in range(2))
+        out = html.matched([leaf(c) for c in a], [leaf(c) for c in b])
+        assert sum(p[1] == "" for p in out) == longest(a, b)
+
+
+def test_a_site_without_named_containers_comes_out_by_its_slots(spark):
+    texts = [f"The story of number {n} and what came of it in the end. " * 3 for n in range(8)]
+    pages = [f"<html><body><table><tr><td>ACME Site</td></tr></table><div><h2>Head {n}</h2><div>{t}</div><div>{t[::-1]}</div>{'<div>one more</div>' if n % 3 == 0 else ''}</div><div>Terms of use apply</div><div><a href=/x>Next {n}</a></div></body></html>" for n, t in enumerate(texts)]
+    df = spark.createDataFrame([(n, "http://plain.example.com/", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    for n, t in enumerate(texts):
+        assert got[n] == "\n".join([f"Head {n}", t.strip(), t[::-1].strip(), *["one more"] * (n % 3 == 0)])
+    flat = [f"<h1>ACME Site</h1><p>body {n} of the page</p><small>Terms of use apply</small>" for n in range(3)]
+    df = spark.createDataFrame([(n, "http://flat.example.com/", p) for n, p in enumerate(flat)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.main_text(df).collect()} == {f"body {n} of the page" for n in range(3)}
+    long = "All rights are reserved by the owners of this site and by nobody else, wherever it may be read. " * 2
+    df = spark.createDataFrame([(n, "http://long.example.com/", f"<p>body {n}</p><p>{long}</p>") for n in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.main_text(df).collect()} == {f"body {n}" for n in range(3)}
+
+
+def test_a_wrapper_past_its_bound_gives_the_same_texts_in_any_order():
+    body = lambda n: "".join(f"<div id=slug-{n}-{k} class=c{chr(97 + (n * k) % 26)}{chr(97 + k % 26)}><h4>t {n} {k}</h4><p>text {n} {k}</p></div>" for k in range(40))
+    pages = [f"<body><div class=top><p>Welcome to all</p></div><div class=z><div class=y>{body(n)}</div></div><div class=bottom><p>The end of it</p></div></body>" for n in range(60)]
+    told = []
+    for order in (range(60), range(59, -1, -1)):
+        e = wrapper(pages, list(order))
+        assert html.elements(e) <= html.ELEMENTS
+        told.append([html.extract(p, html.content_rule(e)) for p in pages])
+    assert told[0] == told[1]
+    assert told[0][3] == "\n".join(x for k in range(40) for x in (f"t 3 {k}", f"text 3 {k}"))
+
+
+def test_pages_may_be_nested_or_broken_without_end():
+    import time
+
+    n = 20_000
+    pages = [
+        ("<div>" * n + "<nav>menu</nav><p>deep</p>", "deep"), ("<b>" * n + "x" + "<div>y" * n, None), ("<b>" * n + "<hr>" * n, ""), ("<span><table><div>" + "<div>" * n + "</span>" * n + "t", "t"),
+        ("<p>" * n + "z", "z"), ("<ul><li>" * n + "w", None), ("<div><h3>t</h3><p>x</p>" * n, None), ("".join(f"<h3>t{k}</h3><p>x</p>" for k in range(n)), None), ("<!--" * n, ""), ("<a href='" * n, None), ("&amp;" * n, "&" * n), ("<script>" * n, ""), ("<" * n, "<" * n),
+    ]
+    for page, want in pages:
+        began = time.perf_counter()
+        got = html.extract(page, None)
+        assert want is None or got == want
+        assert time.perf_counter() - began < 20
+    began = time.perf_counter()
+    e = wrapper(["<section>" + "<h3>t</h3><p>x</p>" * 8_000 + "</section>", "<section>" + "<h3>t</h3><p>y</p><p>x</p>" * 8_000 + "</section>", "<section>" + "".join(f"<x{k}></x{k}><y></y>" for k in range(3_000)) + "</section>"])
+    assert time.perf_counter() - began < 60 and html.elements(e) < 20_000
+    assert html.extract("<article>AT&<b>amp;</b>T &lt;x&gt;</article>", None) == "AT&amp;T <x>"
 
 
 # 4
