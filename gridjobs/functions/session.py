@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a local temporary folder is set.
+    Where the session names none, a temporary folder is set if driver and executors are one process, and an error raised on a
+    cluster, whose machines don't share such a folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

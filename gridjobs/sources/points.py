@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,30 +38,45 @@ def _coordinates(df: DataFrame, cols: Sequence[str], strict: bool) -> DataFrame:
     return d.where(finite(*cols))
 
 
+def with_positions(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order in which they are read, as rows of a file are by their place in it.
+
+    Each partition is numbered by itself and begins where the ones before it end; only one count a partition is put together.
+    The rows must come in the same order when a partition is read again, as those of files do.
+    """
+    at = F.monotonically_increasing_id()
+    d = df.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    n = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select("_part", before.alias("_before"))
+    return d.join(F.broadcast(n), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def points_from(df: DataFrame, x: str = "x", y: str = "y", id_col: str = "point_id", strict: bool = False) -> DataFrame:
-    """A table's rows as 2D points: point_id, x, y as doubles, and all other columns as they are."""
-    if id_col not in df.columns:
-        raise ValueError(f"missing columns: {id_col}")
-    d = _coordinates(df, [x, y], strict)
+    """A table's rows as 2D points: point_id, x, y as doubles, and all other columns as they are. A table without the id column is
+    numbered by position, rows with bad coordinates included."""
+    d = _coordinates(df if id_col in df.columns else with_positions(df, id_col), [x, y], strict)
     for old, new in ((id_col, "point_id"), (x, "x"), (y, "y")):
         d = d.withColumnRenamed(old, new)
     return d
 
 
 def read_points(spark: SparkSession, path: str, fmt: str = "csv", x: str = "x", y: str = "y", id_col: str = "point_id", strict: bool = False) -> DataFrame:
-    """Points of a CSV or Parquet file; a missing coordinate or id column raises ValueError."""
+    """Points of a CSV or Parquet file with the columns x and y; without an id column point_id is the place in the file. A missing
+    coordinate column raises ValueError."""
     return points_from(_load(spark, path, fmt), x, y, id_col, strict)
 
 
 def snapshots_from(df: DataFrame, label: str = "c_label", strict: bool = False) -> DataFrame:
-    """3D snapshots: atom_id, step (0 if the table has none), x, y, z, c_label and the six box bounds."""
-    if "atom_id" not in df.columns:
-        raise ValueError("missing columns: atom_id")
-    d = _coordinates(df, ["x", "y", "z", label, *BOX], strict).withColumnRenamed(label, "c_label")
+    """3D snapshots: atom_id (the row's position if the table has none), step (0 if it has none), x, y, z, c_label and the six box
+    bounds."""
+    d = df if "atom_id" in df.columns else with_positions(df, "atom_id")
+    d = _coordinates(d, ["x", "y", "z", label, *BOX], strict).withColumnRenamed(label, "c_label")
     return d if "step" in d.columns else d.withColumn("step", F.lit(0).cast("long"))
 
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "csv", label: str = "c_label", strict: bool = False) -> DataFrame:
+    """Snapshots of a CSV or Parquet file, as ``snapshots_from`` takes them."""
     return snapshots_from(_load(spark, path, fmt), label, strict)
 
 
