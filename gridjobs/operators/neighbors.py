@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,40 +48,63 @@ def radius_pairs(points: DataFrame, r: float, keys: Sequence[str] = (), dims: Se
     return pairs.where(d2 <= r * r).select(*keys, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"), F.sqrt(d2).alias("distance"))
 
 
+def _nearest(k: int):
+    """(id, d) of the k nearest points of a bucket's part for each open point near the bucket; distances are taken in blocks."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, out = right["b_id"].to_numpy(), []
+        if len(right):
+            for at in range(0, len(left), 1_000):
+                own = left.iloc[at : at + 1_000]
+                dx, dy = (own[f"a_{c}"].to_numpy()[:, None] - right[f"b_{c}"].to_numpy()[None] for c in "xy")
+                d = np.sqrt(dx * dx + dy * dy)
+                d[own["a_id"].to_numpy()[:, None] == ids[None]] = np.inf
+                d = np.partition(d, k - 1, 1)[:, :k] if d.shape[1] > k else d
+                out.append(pd.DataFrame({"a_id": np.repeat(own["a_id"].to_numpy(), d.shape[1]), "d": d.ravel()}))
+        found = pd.concat(out) if out else pd.DataFrame({"a_id": [], "d": []})
+        return found[np.isfinite(found["d"].to_numpy(float))].astype({"a_id": "int64", "d": "float64"})
+
+    return run
+
+
 def knn_distances(points: DataFrame, k: int, id_col: str = "point_id", per_bucket: float = 4.0) -> DataFrame:
-    """(id, distance): distance of every 2D point to its k-th nearest other point.
+    """(id, distance): distance of every 2D point to its k-th nearest other point; no row with k points or fewer.
 
-    Buckets hold about ``per_bucket`` * k points at mean density. A point is joined with rings of buckets around it; its k-th
-    distance is certain once it is no larger than the part of the rings that surrounds it on all sides. Points that are not
-    certain yet go on with twice the rings, and the last step takes all. Only counts reach the driver. Within a bucket the
-    few nearest are kept by a rank before anything is joined on. Equal points are neighbours at distance 0.
+    Buckets hold about ``per_bucket`` * k points at mean density. A point meets its own bucket and the eight around it. Its k-th
+    distance is certain once it is no larger than the part of these that surrounds it on all sides; points that are not certain
+    yet go on with buckets twice as wide, so that a lone point meets nine buckets a round, however far it stands. Buckets
+    fuller than ``PART`` are cut into parts, each part sends on its k nearest only, and distances are taken where the points
+    lie, in blocks. Only counts reach the driver. Equal points are neighbours at distance 0. Ids are whole numbers.
     """
-    p = points.select(F.col(id_col).alias("id"), "x", "y")
+    p = points.select(F.col(id_col).cast("long").alias("id"), "x", "y")
     b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     n = b[4]
     if n <= k:
         return p.select("id", F.lit(None).cast("double").alias("distance")).where(F.lit(False))
     area = max(b[1] - b[0], 1e-12) * max(b[3] - b[2], 1e-12)
-    h = max((area * per_bucket * k / n) ** 0.5, max(b[1] - b[0], b[3] - b[2]) / 4096, 1e-12)
-    wide = int(max((b[1] - b[0]) / h, (b[3] - b[2]) / h)) + 1
-    at = lambda c, low: F.floor((F.col(c) - low) / h).cast("int")
-    p = p.withColumns({"bi": at("x", b[0]), "bj": at("y", b[2])})
-    target = p.select(F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), "bi", "bj")
-    done, todo, ring = None, p, 1
+    edge = max((area * per_bucket * k / n) ** 0.5, max(b[1] - b[0], b[3] - b[2]) / 4096, 1e-12)
+    at = lambda c, low: F.floor((F.col(c) - low) / edge).cast("int")  # noqa: B023, E731
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    done, todo = None, p
     while True:
-        offsets = F.sequence(F.lit(-ring), F.lit(ring))
-        a = todo.select(F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), F.col("bi").alias("hi"), F.col("bj").alias("hj"))
-        near = a.withColumn("di", F.explode(offsets)).withColumn("dj", F.explode(offsets)).withColumns({"bi": F.col("hi") + F.col("di"), "bj": F.col("hj") + F.col("dj")})
-        near = near.where(F.col("bi").between(0, wide) & F.col("bj").between(0, wide))
-        d = near.join(target, ["bi", "bj"]).where("a_id <> b_id").withColumn("d", F.sqrt(squared_distance("a", "b", ("x", "y"))))
-        order = Window.partitionBy("a_id").orderBy("d", "b_id")
-        kth = d.withColumn("n", F.row_number().over(order)).where(f"n <= {k}").groupBy("a_id", "a_x", "a_y", "hi", "hj").agg(F.max("d").alias("distance"), F.count("*").alias("n"))
-        gap = lambda c, i, low: F.least(F.col(c) - (low + (F.col(i) - ring) * h), low + (F.col(i) + ring + 1) * h - F.col(c))  # noqa: B023, E731
-        sure = (F.col("n") == k) & (F.lit(ring >= wide) | (F.col("distance") <= F.least(gap("a_x", "hi", b[0]), gap("a_y", "hj", b[2]))))
-        kth = cut(kth.withColumn("sure", sure))
-        out = kth.where("sure").select(F.col("a_id").alias("id"), "distance")
+        last = edge >= max(b[1] - b[0], b[3] - b[2])
+        target = p.select(F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), at("x", b[0]).alias("bi"), at("y", b[2]).alias("bj"))
+        full = target.groupBy("bi", "bj").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        a = todo.select(F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), at("x", b[0]).alias("hi"), at("y", b[2]).alias("hj"))
+        near = a.withColumn("s", around).withColumns({"bi": F.col("hi") + F.col("s.i"), "bj": F.col("hj") + F.col("s.j")})
+        near = near.join(full, ["bi", "bj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        parted = target.join(full, ["bi", "bj"]).withColumn("part", F.pmod(F.xxhash64("b_id", "b_x", "b_y"), F.col("parts")).cast("int"))
+        on = ["bi", "bj", "part"]
+        left, right = near.select(*on, "a_id", "a_x", "a_y"), parted.select(*on, "b_id", "b_x", "b_y")
+        d = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_nearest(k), "a_id long, d double")
+        few = d.withColumn("n", F.row_number().over(Window.partitionBy("a_id").orderBy("d"))).where(f"n <= {k}")
+        kth = few.groupBy("a_id").agg(F.max("d").alias("distance"), F.count("*").alias("n"))
+        gap = lambda c, i, low: F.least(F.col(c) - (low + (F.col(i) - 1) * edge), low + (F.col(i) + 2) * edge - F.col(c))  # noqa: B023, E731
+        sure = (F.col("n") == k) & (F.lit(last) | (F.col("distance") <= F.least(gap("a_x", "hi", b[0]), gap("a_y", "hj", b[2]))))
+        found = cut(a.join(kth, "a_id", "left").withColumn("sure", F.coalesce(sure, F.lit(False))))
+        out = found.where("sure").select(F.col("a_id").alias("id"), "distance")
         done = out if done is None else done.unionByName(out)
-        todo = todo.join(kth.where("sure").select(F.col("a_id").alias("id")), "id", "left_anti")
-        if ring >= wide or todo.isEmpty():
+        todo = found.where("not sure").select(F.col("a_id").alias("id"), F.col("a_x").alias("x"), F.col("a_y").alias("y"))
+        if last or todo.isEmpty():
             return done
-        ring *= 2
+        edge *= 2

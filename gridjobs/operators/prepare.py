@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from gridjobs.operators.neighbors import knn_distances
 
+#: Values of which one aggregation takes exact quantiles, and the accuracy of the sketch that narrows more of them.
+BUFFERED, ACCURACY = 1_000_000, 10_000
+
 
 def with_row(df: DataFrame, row: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``row`` (one row for each combination of keys) put beside every row."""
@@ -45,10 +49,59 @@ def minmax_scale(points: DataFrame, cols: Sequence[str] = ("x", "y"), keys: Sequ
     return d.withColumns({c: (F.col(c) - F.col(f"_l_{c}")) / (F.col(f"_h_{c}") - F.col(f"_l_{c}") + 1e-12) for c in cols}).drop(*(f"_{k}_{c}" for k in "lh" for c in cols))
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a column, linear between ranks; none for an empty column.
+
+    Up to ``BUFFERED`` values one aggregation takes them. Beyond that the two ranks of each share are found by narrowing: a sketch
+    gives two values that have the rank between them, counts tell whether it has, and what lies between goes on, until few
+    values are left. Only counts and bracketing values reach the driver.
+    """
+    d = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = d.count()
+    if n <= BUFFERED:
+        return list(d.agg(F.percentile("v", F.array(*map(F.lit, map(float, shares))))).first()[0] or [None] * len(shares))
+    out = []
+    for share in shares:
+        at = (n - 1) * share
+        low, high = (_ranked(d, rank) for rank in (math.floor(at), math.ceil(at)))
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def _ranked(d: DataFrame, rank: int) -> float:
+    """The value of rank ``rank`` (from 0)."""
+    margin = 2.0 / ACCURACY
+    while True:
+        m = d.count()
+        if m <= BUFFERED:
+            few = d.groupBy("v").agg(F.count("*").alias("n"))
+            upto = few.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+            return upto.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
+        ends = [max(0.0, rank / m - margin), min(1.0, rank / m + margin)]
+        a, b = d.agg(F.percentile_approx("v", ends, ACCURACY)).first()[0]
+        below, inside = d.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        if not below <= rank < below + inside:
+            margin *= 4
+        elif a == b:
+            return a
+        elif inside == m:  # the bracket holds all: one side of the middle value goes on, or it is the one
+            mid = d.agg(F.percentile_approx("v", 0.5, ACCURACY)).first()[0]
+            less, same = d.agg(F.count_if(F.col("v") < mid), F.count_if(F.col("v") == mid)).first()
+            if less <= rank < less + same:
+                return mid
+            d, rank = (d.where(F.col("v") < mid), rank) if rank < less else (d.where(F.col("v") > mid), rank - less - same)
+        else:
+            d, rank, margin = d.where(F.col("v").between(a, b)), rank - below, 2.0 / ACCURACY
+
+
+def _one_row(df: DataFrame, value: float | None, name: str) -> DataFrame:
+    return df.sparkSession.range(1).select(F.lit(value).cast("double").alias(name))
+
+
 def knn_spacing(points: DataFrame, k: int = 5, alpha: float = 1.0) -> DataFrame:
     """One row, knn_h: alpha times the median distance to the k-th other point, at least 1e-12; null with k points or fewer."""
-    d = knn_distances(points, k).agg(F.percentile("distance", F.lit(0.5)).alias("d"), F.count("*").alias("n"))
-    return d.select(F.when(F.col("n") > k, F.greatest(F.lit(1e-12), alpha * F.col("d"))).alias("knn_h"))
+    half = quantiles(knn_distances(points, k), "distance", [0.5])[0]
+    return _one_row(points, None if half is None else max(1e-12, alpha * half), "knn_h")
 
 
 def occupancy_spacing(points: DataFrame, target_occ: float = 4, max_bins: int = 200) -> DataFrame:
@@ -63,9 +116,14 @@ def occupancy_spacing(points: DataFrame, target_occ: float = 4, max_bins: int =
 
 def fd_spacing(points: DataFrame) -> DataFrame:
     """One row, fd_h: geometric mean over the axes of twice the interquartile range over the cube root of the count."""
-    q = points.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("qx"), F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("qy"), F.count("*").alias("n"))
-    width = lambda c: F.greatest(2.0 * (F.get(c, F.lit(1)) - F.get(c, F.lit(0))) / (F.pow(F.col("n"), F.lit(1.0 / 3.0)) + 1e-12), F.lit(1e-12))
-    return q.select(F.when(F.col("n") > 0, F.sqrt(width("qx") * width("qy"))).alias("fd_h"))
+    n = points.count()
+    if not n:
+        return _one_row(points, None, "fd_h")
+    wide = []
+    for axis in "xy":
+        low, high = quantiles(points, axis, [0.25, 0.75])
+        wide.append(max(2.0 * (high - low) / (n ** (1.0 / 3.0) + 1e-12), 1e-12))
+    return _one_row(points, math.sqrt(wide[0] * wide[1]), "fd_h")
 
 
 def grid_size(length: str, h, max_bins: int):
@@ -90,7 +148,9 @@ def spacing_seeds(points: DataFrame, k: int = 5, alpha: float = 1.0, target_occ:
 def grids_around(seeds: DataFrame, sweep_pct: float = 0.2, max_bins: int = 200) -> DataFrame:
     """Distinct grids (cand_id, nx, ny, h) of seven widths around h_est, in order of their first width."""
     s = seeds.select("Lx", "Ly", "h_est", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n"))
-    h = F.lit(1 - sweep_pct) * F.col("h_est") + F.col("n") * ((F.lit(1 + sweep_pct) - F.lit(1 - sweep_pct)) * F.col("h_est") / 6)
+    # evenly spaced in this order of operations, the last one exactly: a whole quotient of length and width must not flip
+    lo, hi = F.lit(1 - sweep_pct) * F.col("h_est"), F.lit(1 + sweep_pct) * F.col("h_est")
+    h = F.when(F.col("n") == 6, hi).otherwise(F.col("n") * ((hi - lo) / 6) + lo)
     s = s.withColumn("h", F.least(F.greatest(h, F.lit(1e-12)), F.greatest("Lx", "Ly", F.lit(1e-12))))
     s = s.withColumns({"nx": grid_size("Lx", F.col("h"), max_bins), "ny": grid_size("Ly", F.col("h"), max_bins)})
     g = s.groupBy("nx", "ny").agg(F.min("n").alias("n"), F.max(F.greatest(F.col("Lx") / F.col("nx"), F.col("Ly") / F.col("ny"))).alias("h"))
