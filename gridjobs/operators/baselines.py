@@ -61,7 +61,7 @@ def clique_labels(points: DataFrame, m: int, r: int) -> DataFrame:
     return out.withColumns({"x": F.col("ox"), "y": F.col("oy")}).drop("ox", "oy", "i", "j", *grid)
 
 
-def compare_methods(points: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]], with_silhouette: bool = False) -> DataFrame:
+def compare_methods(points: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]], with_silhouette: bool = True) -> DataFrame:
     """One row of scores per method; each is given the points (with truth) and returns them labelled."""
     both = None
     for name, f in methods.items():

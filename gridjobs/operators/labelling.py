@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import grow, label_2d
+from gridjobs.functions.session import cut
 from gridjobs.operators.components import components
 from gridjobs.operators.neighbors import radius_pairs
 
 #: Edge of a tile that one task labels, and thinned edges of a run that one task finishes.
 TILE, FINISH = 512, 2_000_000
+#: Rows that are ranked by one window; members of a cluster in one list.
+RANKED, CHUNK = 1_000_000, 10_000
 #: Cell numbers below this fit the packed vertex id of a 3D cell.
 AXIS = 1 << 20
 
@@ -54,11 +57,28 @@ def _roots(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool, til
     return local.join(far, [*keys, "root"], "left").select(*keys, "i", "j", "nx", "ny", F.coalesce("far", "root").alias("root"))
 
 
-def _numbered(rooted: DataFrame, keys: list[str], name: str, first: int, order: Sequence[Column | str] = ("root",)) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """Rows with their place (from 0) within the keys, in an order that must leave no ties. ``df`` is evaluated once.
+
+    Many rows are dealt by ranges of keys and order: each range is numbered by itself and begins where the ones before it, of
+    which only the counts are summed, end. So no task has more than a range, whatever the keys.
+    """
+    keys, order = list(keys), list(order)
+    d = cut(df)
+    if d.count() <= RANKED:
+        return d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    d = cut(d.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("_range", F.spark_partition_id()))
+    begin = d.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    begin = begin.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return d.withColumn(name, own).join(begin, [*keys, "_range"]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def _numbered(rooted: DataFrame, keys: list[str], name: str, first: int) -> DataFrame:
     """Roots numbered in order; only one row per component is ranked."""
-    ids = rooted.select(*keys, "root").distinct()
-    ids = ids.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + first).cast("int"))
-    return rooted.join(ids, [*keys, "root"])
+    ids = ranked(rooted.select(*keys, "root").distinct(), keys, ["root"], name)
+    return rooted.join(ids.withColumn(name, (F.col(name) + first).cast("int")), [*keys, "root"])
 
 
 def cell_components(cells: DataFrame, keys: Sequence[str] = (), connectivity: int = 4, periodic: bool = False, tile: int = TILE, widest: int | None = None) -> DataFrame:
@@ -126,8 +146,8 @@ def cell_components_3d(cells: DataFrame, keys: Sequence[str] = ("step", "size_id
     sizes = d.groupBy(*keys, "root").agg(F.count("*").alias("size"))
     if drop_singletons:
         sizes = sizes.where("size > 1")
-    order = [F.desc("size"), "root"] if by_size else ["root"]
-    ids = sizes.withColumn("cluster_id", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - (1 if by_size else 0)).cast("int"))
+    order = [F.desc("size"), F.col("root")] if by_size else [F.col("root")]
+    ids = ranked(sizes, keys, order, "cluster_id").withColumn("cluster_id", (F.col("cluster_id") + (0 if by_size else 1)).cast("int"))
     return d.join(ids, [*keys, "root"]).select(*keys, "cluster_id", "xi", "yi", "zi")
 
 
@@ -146,10 +166,13 @@ def atom_components(atoms: DataFrame, keys: Sequence[str] = ("step",), cutoff: f
     return out.fillna({"label": -1 if strict else 0})
 
 
-def cluster_members(df: DataFrame, keys: Sequence[str], members: Sequence[str]) -> DataFrame:
-    """Sorted list of members of each cluster."""
+def cluster_members(df: DataFrame, keys: Sequence[str], members: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """(keys, chunk, members): the sorted members of each cluster in lists of ``chunk`` (the last one shorter), numbered from 0, so
+    that a cluster of any size comes whole and no row grows with it."""
+    keys = list(keys)
     one = F.struct(*members) if len(members) > 1 else F.col(members[0])
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("members"))
+    d = ranked(df.select(*keys, *members), keys, [F.col(m) for m in members], "_at")
+    return d.groupBy(*keys, F.floor(F.col("_at") / chunk).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(one)).alias("members"))
 
 
 def cluster_sizes(labelled: DataFrame, keys: Sequence[str] = (), label: str = "label", noise: int = -1) -> DataFrame:

@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import silhouette_sums
+from gridjobs.functions.session import cut
 from gridjobs.operators.prepare import with_row
 
+#: Clusters of one block.
+CLUSTERS = 2_000
+
 
 def _one(df: DataFrame, keys: Sequence[str], *aggs) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
@@ -31,23 +35,79 @@ def coverage_k(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return s.select(*keys, (F.col("n_labelled") / F.col("n")).alias("coverage"), "k", "n", "n_labelled")
 
 
+def _away(x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy") -> Column:
+    return F.sqrt((F.col(x) - F.col(cx)) * (F.col(x) - F.col(cx)) + (F.col(y) - F.col(cy)) * (F.col(y) - F.col(cy)))
+
+
 def davies_bouldin(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """dbi: mean over clusters of the worst (s_i + s_j) / d_ij; null below two clusters. Points are summed to clusters before
     clusters meet."""
     keys = list(keys)
-    p = labelled.where("label >= 0")
+    p = labelled.where("label >= 0").select(*keys, "label", "x", "y")
     centre = p.groupBy(*keys, "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    d = p.join(F.broadcast(centre), [*keys, "label"])
-    away = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-    c = d.groupBy(*keys, "label").agg(F.avg(away).alias("s"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
-    o = c.select(*keys, *(F.col(n).alias(f"o_{n}") for n in ("label", "s", "cx", "cy")))
-    pairs = (c.join(o, keys) if keys else c.crossJoin(o)).where("label <> o_label")
-    far = F.sqrt((F.col("cx") - F.col("o_cx")) * (F.col("cx") - F.col("o_cx")) + (F.col("cy") - F.col("o_cy")) * (F.col("cy") - F.col("o_cy")))
-    pairs = pairs.withColumn("far", far)
-    ratio = F.when(F.col("far") > 0, (F.col("s") + F.col("o_s")) / F.col("far")).otherwise(0.0)
-    worst = pairs.groupBy(*keys, "label").agg(F.max(ratio).alias("worst"), F.max("s").alias("s"), F.max("o_s").alias("o_s"), F.max("far").alias("far"))
-    flat = (F.greatest(F.max("s"), F.max("o_s")) < 1e-8) | (F.max("far") < 1e-8)
-    return worst.groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.avg("worst")).alias("dbi"))
+    d = p.join(centre, [*keys, "label"])
+    return _dbi(d.groupBy(*keys, "label").agg(F.avg(_away()).alias("s"), F.first("cx").alias("cx"), F.first("cy").alias("cy")), keys)
+
+
+def _dbi(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """dbi of clusters (keys, label, s, cx, cy).
+
+    Clusters are dealt into blocks of ``CLUSTERS`` and pairs of blocks are compared as arrays, so what comes of them is a row for
+    each cluster and block, however many clusters there are.
+    """
+    keys = list(keys)
+    n = c.groupBy(*keys).agg(F.count("*").alias("_k"))
+    own = F.pmod(F.xxhash64("label"), F.ceil(F.col("_k") / CLUSTERS)).alias("block")
+    blocks = with_row(c, n, keys).groupBy(*keys, own).agg(F.collect_list(F.struct("label", "s", "cx", "cy")).alias("mine"))
+    others = blocks.select(*keys, F.col("mine").alias("others"))
+    pairs = blocks.join(others, keys) if keys else blocks.crossJoin(others)
+    kinds = ", ".join([*(f"`{k}` {t}" for k, t in c.select(*keys).dtypes), "label long, worst double, s double, far double"])
+
+    def worst(parts):
+        for part in parts:
+            for r in part.itertuples(index=False):
+                a, b = (pd.DataFrame(list(v)) for v in (r.mine, r.others))
+                for at in range(0, len(a), 500):
+                    x = a.iloc[at : at + 500]
+                    dx, dy = (x[v].to_numpy(float)[:, None] - b[v].to_numpy(float)[None] for v in ("cx", "cy"))
+                    far = np.sqrt(dx * dx + dy * dy)
+                    both = x["s"].to_numpy(float)[:, None] + b["s"].to_numpy(float)[None]
+                    ratio = np.divide(both, far, out=np.zeros_like(far), where=far > 0)
+                    ratio[x["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]] = -1.0
+                    out = pd.DataFrame({"label": x["label"].to_numpy(), "worst": ratio.max(1), "s": x["s"].to_numpy(float), "far": far.max(1)})
+                    for k in reversed(keys):
+                        out.insert(0, k, getattr(r, k))
+                    yield out
+
+    best = pairs.mapInPandas(worst, kinds).groupBy(*keys, "label").agg(F.max("worst").alias("worst"), F.max("s").alias("s"), F.max("far").alias("far"))
+    flat = (F.max("s") < 1e-8) | (F.max("far") < 1e-8)
+    return best.where("worst >= 0").groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.avg("worst")).alias("dbi"))
+
+
+def scores_by_cells(points: DataFrame, labels: DataFrame, grid: Sequence[str], runs: Sequence[str], every: DataFrame | None = None) -> DataFrame:
+    """sil (0), dbi, cov, k and valid of runs that label cells, as ``partition_scores`` gives them for the labelled points.
+
+    ``points``: (grid, i, j, x, y), each point once for each grid; ``labels``: (runs, i, j, label) with the grid's keys among those
+    of the run; ``every``: the runs, if some may have no labelled cell. Counts, clusters and centres follow from sums over cells. Only distances to the centres need the points: these
+    are joined once with what all runs say of their cell, and summed before anything is shuffled.
+    """
+    grid, runs = list(grid), list(runs)
+    more = [k for k in runs if k not in grid]
+    cells = points.groupBy(*grid, "i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    whole = cells.groupBy(*grid).agg(F.sum("n").alias("_all"))
+    known = cut(labels.where("label >= 0").select(*runs, "i", "j", "label").join(cells, [*grid, "i", "j"]))
+    centre = known.groupBy(*runs, "label").agg(F.sum("n").alias("m"), (F.sum("sx") / F.sum("n")).alias("cx"), (F.sum("sy") / F.sum("n")).alias("cy"))
+    said = known.select(*runs, "i", "j", "label").join(centre, [*runs, "label"])
+    said = said.groupBy(*grid, "i", "j").agg(F.collect_list(F.struct(*more, "label", "cx", "cy")).alias("said"))
+    d = points.select(*grid, "i", "j", "x", "y").join(said, [*grid, "i", "j"]).select(*grid, "x", "y", F.explode("said").alias("z"))
+    d = d.select(*grid, "x", "y", *(F.col(f"z.{c}").alias(c) for c in (*more, "label", "cx", "cy")))
+    c = cut(d.groupBy(*runs, "label").agg(F.avg(_away()).alias("s"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.count("*").alias("m")))
+    m = c.groupBy(*runs).agg(F.sum("m").alias("n_labelled"), F.count("*").alias("k")).join(_dbi(c, runs), runs, "left")
+    every = labels.select(*runs).distinct() if every is None else every
+    m = (every.join(whole, grid) if grid else every.crossJoin(whole)).join(m, runs, "left").fillna(0, ["n_labelled", "k"])
+    inf, ok = F.lit(float("inf")), (F.col("n_labelled") >= 2) & (F.col("k") >= 2)
+    cov = F.col("n_labelled") / F.col("_all")
+    return m.select(*runs, F.lit(0.0).alias("sil"), F.when(ok, F.coalesce("dbi", inf)).otherwise(inf).alias("dbi"), cov.alias("cov"), F.when(ok, F.col("k")).otherwise(0).alias("k"), ok.alias("valid"))
 
 
 def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int | None = None, squared: bool = False, seed: int = 0) -> DataFrame:

@@ -13,12 +13,15 @@ from gridjobs.functions.session import cut
 from gridjobs.operators.diffusion import diffuse_free_3d, diffuse_masked_2d
 from gridjobs.operators.grid import BOX_KEYS, assign_cells, box_cells, cell_counts, cell_means, dense_by_quantile, label_points, normalize_nonzero
 from gridjobs.operators.labelling import cell_components, cell_components_3d, seeded_components
-from gridjobs.operators.metrics import partition_scores, weighted
+from gridjobs.operators.metrics import partition_scores, scores_by_cells, weighted
 from gridjobs.operators.prepare import grid_size, padded_bounds, with_row
 
 BOUNDS = ["x_min", "x_max", "y_min", "y_max"]
-#: Weight triples that a weight search starts from, beside the given one (fixed values).
+# Fixed values of the batch search: weight triples that a weight search starts from beside the given one, factors of the width
+# and counts of the warm starts; and the reasons for which a candidate has no score.
 PRIORS = ((0.50, 0.30, 0.20), (0.30, 0.50, 0.20))
+WIDTHS, COUNTS = (1.0, 0.9, 1.1), (3, 5, 7)
+TOO_FEW, NO_OCCUPANCY, NO_DENSE, BAD_SCORE = "too-few-cells", "no-occupancy", "no-dense", "bad-score"
 
 
 def normalize_weights(df: DataFrame, cols: Sequence[str] = ("w_sil", "w_dbi", "w_cov"), floor: float = 0.0, ceil: float = 1.0) -> DataFrame:
@@ -48,17 +51,21 @@ def bin_candidates(points: DataFrame, grids: DataFrame, box: DataFrame | None =
 def stage_a_grid(points: DataFrame, grids: DataFrame, quantiles: Sequence[float], w_sil: float = 0.0, w_dbi: float = 0.8, w_cov: float = 0.15, periodic: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """One row per grid and quantile: dense cells by quantile, components by four neighbours, points labelled and scored.
 
-    Columns: keys, ordinal (order of the sweep), cand_id, nx, ny, dense_q, dense_thr, sil, dbi, cov, k, score.
+    Points are binned once for each grid; all that doesn't need them follows from sums over cells, for all quantiles at once. Only
+    a silhouette (``w_sil``) takes the points of every quantile. Columns: keys, ordinal (order of the sweep), cand_id, nx, ny, dense_q, dense_thr, sil, dbi, cov, k, score.
     """
     run = [*keys, "cand_id"]
     widest = grids.agg(F.max(F.greatest("nx", "ny"))).first()[0]
     binned = bin_candidates(points, grids.select(*(c for c in run if c in grids.columns), "nx", "ny"), keys=keys)
     cells = cut(normalize_nonzero(cell_counts(binned, [*run, "nx", "ny"]), run))
-    dense = dense_by_quantile(cells, quantiles, run).where("dense")
+    dense = cut(dense_by_quantile(cells, quantiles, run).where("dense"))
     labels = cell_components(dense, [*run, "q"], 4, periodic, widest=widest)
-    qs = F.explode(F.array(*map(F.lit, map(float, quantiles)))).alias("q")
-    labelled = label_points(binned.select("*", qs), labels, [*run, "q"])
-    scores = weighted(partition_scores(labelled, [*run, "q"], bool(w_sil)), w_sil, w_dbi, w_cov)
+    if w_sil:
+        qs = F.explode(F.array(*map(F.lit, map(float, quantiles)))).alias("q")
+        scores = partition_scores(label_points(binned.select("*", qs), labels, [*run, "q"]), [*run, "q"], True)
+    else:
+        scores = scores_by_cells(binned, labels, run, [*run, "q"])
+    scores = weighted(scores, w_sil, w_dbi, w_cov)
     told = dense.groupBy(*run, "q", "nx", "ny").agg(F.first("thr").alias("dense_thr"))
     order = F.col("cand_id") * len(quantiles) + F.array_position(F.array(*map(F.lit, map(float, quantiles))), F.col("q")) - 1
     return scores.join(told, [*run, "q"]).select(*run[:-1], order.cast("int").alias("ordinal"), "cand_id", "nx", "ny", F.col("q").alias("dense_q"), "dense_thr", "sil", "dbi", "cov", "k", "score")
@@ -79,10 +86,11 @@ def stage_a_eval(points: DataFrame, candidates: DataFrame, max_bins: int = 200,
     cells = cut(cell_counts(binned, ["cand_id", "nx", "ny", "r"]))
     found = cells.groupBy("cand_id").agg(F.count("*").alias("occupied"), F.count_if(F.col("n") >= F.col("r")).alias("dense"))
     labels = cell_components(cells.where("n >= r"), ["cand_id"], 4, periodic, widest=max_bins)
-    scores = weighted_by(partition_scores(label_points(binned, labels, ["cand_id"]), ["cand_id"], with_silhouette), g.select("cand_id", "w_sil", "w_dbi", "w_cov"))
+    scores = partition_scores(label_points(binned, labels, ["cand_id"]), ["cand_id"], True) if with_silhouette else scores_by_cells(binned, labels, ["cand_id"], ["cand_id"], grids.select("cand_id"))
+    scores = weighted_by(scores, g.select("cand_id", "w_sil", "w_dbi", "w_cov"))
     d = g.join(found, "cand_id", "left").join(scores, "cand_id", "left")
-    reason = F.when(F.col("nx") * F.col("ny") < 2, "too-few-cells").when(F.coalesce("occupied", F.lit(0)) < 2, "no-occupancy").when(F.col("dense") < 1, "no-dense")
-    d = d.withColumn("reason", reason.when(F.col("score").isNull() | (F.abs("score") == float("inf")), "bad-score").otherwise("ok"))
+    reason = F.when(F.col("nx") * F.col("ny") < 2, TOO_FEW).when(F.coalesce("occupied", F.lit(0)) < 2, NO_OCCUPANCY).when(F.col("dense") < 1, NO_DENSE)
+    d = d.withColumn("reason", reason.when(F.col("score").isNull() | (F.abs("score") == float("inf")), BAD_SCORE).otherwise("ok"))
     return d.withColumn("score", F.when(F.col("reason") == "ok", F.col("score"))).drop("occupied", "dense")
 
 
@@ -113,8 +121,8 @@ def stage_a_search(
     unit = lambda w: tuple(x / sum(w) for x in w)
     triples = [unit([clip(x, *weight_range) for x in w]) for w in (own, *PRIORS)] if search_weights else [own]
     rng = random.Random(seed)
-    r_seeds = [max(r_range[0], 3), min(r_range[1], 5), min(r_range[1], 7)]
-    batch = [(math.exp(clip(math.log(h), lo, hi)), clip(r, *r_range), *w) for h in (h0, 0.9 * h0, 1.1 * h0) for r in r_seeds for w in triples]
+    r_seeds = [max(r_range[0], COUNTS[0]), *(min(r_range[1], n) for n in COUNTS[1:])]
+    batch = [(math.exp(clip(math.log(h), lo, hi)), clip(r, *r_range), *w) for h in (f * h0 for f in WIDTHS) for r in r_seeds for w in triples]
     done, span, centre = None, 1.0, None
     for n in range(rounds):
         for _ in range(draws):
@@ -150,8 +158,12 @@ def stage_b_sweep(
     labels = cut(seeded_components(chosen, run, connectivity, periodic, widest=widest))
     sweep = stats.select(*keys, "beta_no", "beta", "iters_used", "stop", t)
     spots = points.select(*keys, *(c for c in ("point_id", "x", "y", "i", "j") if c in points.columns))
-    spots = spots.join(F.broadcast(sweep.select(*run)), keys) if keys else spots.crossJoin(F.broadcast(sweep.select(*run)))
-    scores = weighted(partition_scores(label_points(spots, labels, run), run, bool(w_sil)), w_sil, w_dbi, w_cov)
+    if w_sil:
+        spots = spots.join(F.broadcast(sweep.select(*run)), keys) if keys else spots.crossJoin(F.broadcast(sweep.select(*run)))
+        scores = partition_scores(label_points(spots, labels, run), run, True)
+    else:
+        scores = scores_by_cells(spots, labels, keys, run)
+    scores = weighted(scores, w_sil, w_dbi, w_cov)
     order = F.col("beta_no") * len(cthrs) + F.array_position(F.array(*map(F.lit, map(float, cthrs))), F.col("cthr")) - 1
     return scores.join(F.broadcast(sweep), run).withColumn("ordinal", order.cast("int")).drop("beta_no"), labels
 

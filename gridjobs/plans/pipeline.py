@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,10 +125,29 @@ def run_tuned_2d(points: DataFrame, tuning: Tuning | None = None) -> dict[str, D
     phases = {"before": cell_components(cells.where("dense"), (), 4, t.periodic, widest=wide), "after_std": std, "after_seeded": chosen.select("i", "j", "label")}
     labelled = cut(_phases(binned, phases))
     winner = best_candidate(stage_b).crossJoin(F.broadcast(grid)).withColumns({"mode": F.lit(t.mode), "dense_thr": F.lit(float(won["dense_thr"])) if t.mode == "grid" else F.lit(None).cast("double"), "r": F.lit(int(won["r"])) if t.mode == "count" else F.lit(None).cast("int")})
-    return {"stage_a": stage_a, "stage_b": stage_b, "winner": winner, "labelled": labelled, "report": cluster_report(labelled, ["phase"], bool(t.w_sil))}
+    return {"stage_a": stage_a, "stage_b": stage_b, "winner": winner, "labelled": labelled, "report": cluster_report(labelled, ["phase"])}
 
 
-def dataset_sweep(points: DataFrame, grids: DataFrame, quantiles: Sequence[float], key: str = "dataset", **kw) -> DataFrame:
-    """The winning first-stage row of every dataset: all datasets, grids and quantiles are keys of one job."""
-    return best_candidate(stage_a_grid(points, grids, quantiles, keys=[key], **kw), [key])
+def dataset_sweep(points: DataFrame, grids: DataFrame, quantiles: Sequence[float], key: str = "dataset", strategies: Sequence[str] = ("grid", "search"), search: dict | None = None, **kw) -> DataFrame:
+    """The winning first-stage row of every dataset and strategy: (dataset, strategy, nx, ny, dense_thr, r, sil, dbi, cov, k, score).
 
+    For the grid strategy all datasets, grids and quantiles are keys of one job. A batch search goes its own way for each dataset
+    (its draws follow what it found), so the names of the datasets, few by their nature, are what the driver goes through.
+    """
+    unknown = set(strategies) - {"grid", "search"}
+    if unknown or not strategies:
+        raise ValueError("strategies are grid and search")
+    shared = [key, "strategy", "nx", "ny", "dense_thr", "r", "sil", "dbi", "cov", "k", "score"]
+    won: list[DataFrame] = []
+    if "grid" in strategies:
+        best = best_candidate(stage_a_grid(points, grids, quantiles, keys=[key], **kw), [key])
+        won.append(best.withColumns({"strategy": F.lit("grid"), "r": F.lit(None).cast("int")}).select(*shared))
+    if "search" in strategies:
+        weights = tuple(kw.get(w, d) for w, d in (("w_sil", 0.0), ("w_dbi", 0.8), ("w_cov", 0.15)))
+        for (name,) in points.select(key).distinct().orderBy(key).collect():
+            own = points.where(F.col(key).eqNullSafe(F.lit(name)))
+            found = stage_a_search(own, cut(spacing_seeds(own)), weights, **(search or {}))
+            best = best_candidate(found.where("reason = 'ok'"))
+            told = {key: F.lit(name).cast(dict(points.dtypes)[key]), "strategy": F.lit("search"), "dense_thr": F.lit(None).cast("double")}
+            won.append(best.withColumns(told).select(*shared))
+    return reduce(DataFrame.unionByName, won)
