@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import Masked2D, diffuse_3d
+from gridjobs.functions.session import cut
 from gridjobs.operators.labelling import TILE, _roots, _schema
 from gridjobs.operators.prepare import with_row
 
+#: Cells of a lattice that one task holds; edge of the tiles of larger ones, and steps that a tile takes between halos.
+WHOLE, EDGE, HALO = 4_000_000, 64, 16
 #: Beyond this rate a run's cells are kept together, since its changes may grow again.
 STEADY = 0.25
 
@@ -96,26 +99,116 @@ def _lattice(d: pd.DataFrame, value: str) -> tuple[np.ndarray, tuple]:
     return field, at
 
 
-def diffuse_free_3d(cells: DataFrame, keys: Sequence[str] = ("step", "size_id"), beta: float = 0.10, iters: int = 500) -> DataFrame:
+def diffuse_free_3d(cells: DataFrame, keys: Sequence[str] = ("step", "size_id"), beta: float = 0.10, iters: int = 500, whole: int = WHOLE) -> DataFrame:
     """Occupied cells with c: the mean label after ``iters`` steps on the periodic lattice, clipped to [0, 1]; empty cells take
-    part with 0. One task per lattice, whose size the cell width sets."""
-    keys = list(keys)
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        field, at = _lattice(d, "label_mean")
-        return d.assign(c=diffuse_3d(field, beta, iters)[at])
-
-    return cells.groupBy(*keys).applyInPandas(lambda d: run(d), _schema(cells, cells.columns, "c double"))
+    part with 0. Lattices of up to ``whole`` cells are a task each, larger ones go tile by tile."""
+    return _diffused(cells, list(keys), beta, iters, False, whole)
 
 
-def impute_3d(lattice: DataFrame, keys: Sequence[str] = ("step", "size_id"), beta: float = 0.10, iters: int = 500) -> DataFrame:
+def impute_3d(lattice: DataFrame, keys: Sequence[str] = ("step", "size_id"), beta: float = 0.10, iters: int = 500, whole: int = WHOLE) -> DataFrame:
     """All cells of a lattice with c: empty cells start at 0 and are filled by diffusion, known ones keep their mean."""
-    keys = list(keys)
+    return _diffused(lattice, list(keys), beta, iters, True, whole)
 
+
+def _diffused(cells: DataFrame, keys: list[str], beta: float, iters: int, impute: bool, whole: int) -> DataFrame:
     def run(d: pd.DataFrame) -> pd.DataFrame:
         field, at = _lattice(d, "label_mean")
-        known = np.zeros(field.shape, bool)
-        known[at] = d["cn"].to_numpy() > 0
-        return d.assign(c=diffuse_3d(field, beta, iters, known, clip=False)[at])
+        known = None
+        if impute:
+            known = np.zeros(field.shape, bool)
+            known[at] = d["cn"].to_numpy() > 0
+        return d.assign(c=diffuse_3d(field, beta, iters, known, clip=not impute)[at])
+
+    most = cells.agg(F.max(F.col("mx").cast("long") * F.col("my") * F.col("mz"))).first()[0]
+    if most is None or most <= whole:
+        return cells.groupBy(*keys).applyInPandas(lambda d: run(d), _schema(cells, cells.columns, "c double"))
+    return _tiled(cells, keys, beta, iters, impute)
+
 
-    return lattice.groupBy(*keys).applyInPandas(lambda d: run(d), _schema(lattice, lattice.columns, "c double"))
+def _tiled(cells: DataFrame, keys: list[str], beta: float, iters: int, impute: bool, tile: int = EDGE, halo: int = HALO) -> DataFrame:
+    """Diffusion of lattices that are larger than a task should hold.
+
+    Each axis is cut evenly into tiles of ``tile`` cells or more. A tile with a halo of h cells from its 26 neighbours can take h
+    steps alone; then halos are sent anew. Wrapping is part of which tiles are neighbours, so every cell goes through the same
+    operations as on the whole lattice. The state of each round is written to the shared folder.
+    """
+    dims, tids, names = ["mx", "my", "mz"], ["tx", "ty", "tz"], [*cells.columns, "c"]
+    grids = cells.select(*keys, *dims).distinct()
+    counts = {t: F.greatest(F.lit(1), F.floor(F.col(m) / tile)).cast("int") for t, m in zip(tids, dims, strict=True)}
+    least = grids.agg(F.min(F.least(*(F.floor(F.col(m) / counts[t]) for t, m in zip(tids, dims, strict=True))))).first()[0]
+    h = max(1, min(halo, int(least)))
+    tiles = grids
+    for t in tids:
+        tiles = tiles.withColumn(t, F.explode(F.sequence(F.lit(0), counts[t] - 1)))
+    # cell c of m lies in tile t if t * m // n <= c
+    place = {t: F.floor(((F.col(f"{a}i").cast("long") + 1) * counts[t] - 1) / F.col(m)).cast("int") for t, m, a in zip(tids, dims, "xyz", strict=True)}
+    dealt = cells.withColumns(place)
+    on = [*keys, *tids]
+    edges = lambda m, n: [k * m // n for k in range(n + 1)]
+    cuts = lambda r: [edges(int(r[m]), max(1, int(r[m]) // tile)) for m in dims]
+    kinds = _schema(cells, [*keys, *dims], "tx int, ty int, tz int, field binary, known binary")
+
+    def low_and_shape(r) -> tuple[list[int], list[int]]:
+        c = [(e[int(r[t])], e[int(r[t]) + 1]) for e, t in zip(cuts(r), tids, strict=True)]
+        return [a for a, _ in c], [b - a for a, b in c]
+
+    def build(one: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        low, shape = low_and_shape(one.iloc[0])
+        field, known = np.zeros(shape), np.zeros(shape, bool)
+        if len(own):
+            at = tuple(own[f"{a}i"].to_numpy() - o for a, o in zip("xyz", low, strict=True))
+            field[at] = own["label_mean"].fillna(0.0).to_numpy()
+            if impute:
+                known[at] = own["cn"].to_numpy() > 0
+        return one[[*keys, *dims, *tids]].assign(field=[field.tobytes()], known=[known.tobytes()])
+
+    renamed = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  two sides that come of one table
+    state = cut(renamed(tiles).groupBy(*on).cogroup(dealt.groupBy(*on)).applyInPandas(lambda a, b: build(a, b), kinds))
+    sides = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+    def send(parts):
+        for part in parts:
+            for _, r in part.iterrows():
+                _, shape = low_and_shape(r)
+                field = np.frombuffer(r["field"]).reshape(shape)
+                known = np.frombuffer(r["known"], bool).reshape(shape)
+                ns = [len(e) - 1 for e in cuts(r)]
+                out = []
+                for side in sides:  # to the neighbour on that side goes the slab that touches it, which lies on its other side
+                    own = tuple(slice(None) if s == 0 else slice(-h, None) if s > 0 else slice(0, h) for s in side)
+                    to = [(int(r[t]) + s) % n for t, s, n in zip(tids, side, ns, strict=True)]
+                    out.append((*(r[k] for k in keys), *(int(r[m]) for m in dims), *to, *(-s for s in side), field[own].tobytes(), known[own].tobytes()))
+                yield pd.DataFrame(out, columns=[*keys, *dims, *tids, "ax", "ay", "az", "field", "known"])
+
+    def step(count: int):
+        def run(d: pd.DataFrame) -> pd.DataFrame:
+            r = d.iloc[0]
+            _, shape = low_and_shape(r)
+            field, known = np.zeros([n + 2 * h for n in shape]), np.zeros([n + 2 * h for n in shape], bool)
+            for _, piece in d.iterrows():
+                side = [int(piece[c]) for c in ("ax", "ay", "az")]
+                at = tuple(slice(h, h + n) if s == 0 else slice(0, h) if s < 0 else slice(h + n, None) for s, n in zip(side, shape, strict=True))
+                size = [n if s == 0 else h for s, n in zip(side, shape, strict=True)]
+                field[at] = np.frombuffer(piece["field"]).reshape(size)
+                known[at] = np.frombuffer(piece["known"], bool).reshape(size)
+            c = diffuse_3d(field, beta, count, known if impute else None, clip=not impute)
+            inner = (slice(h, -h),) * 3
+            return d.iloc[:1][[*keys, *dims, *tids]].assign(field=[c[inner].tobytes()], known=[known[inner].tobytes()])
+
+        return run
+
+    sent = _schema(cells, [*keys, *dims], "tx int, ty int, tz int, ax int, ay int, az int, field binary, known binary")
+    done = 0
+    while done < iters:
+        count = min(h, iters - done)
+        state = cut(state.mapInPandas(send, sent).groupBy(*on).applyInPandas(step(count), kinds))
+        done += count
+
+    def told(own: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own.assign(c=[])[names]
+        low, shape = low_and_shape(one.iloc[0])
+        at = tuple(own[f"{a}i"].to_numpy() - o for a, o in zip("xyz", low, strict=True))
+        return own.assign(c=np.frombuffer(one["field"].iloc[0]).reshape(shape)[at])[names]
+
+    return dealt.groupBy(*on).cogroup(renamed(state).groupBy(*on)).applyInPandas(lambda a, b: told(a, b), _schema(cells, cells.columns, "c double"))
