@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridjobs.functions.session import cut, shared_dir
 from gridjobs.operators import baselines, diffusion, grid, labelling, matching, metrics, neighbors, prepare, search
 from gridjobs.operators.components import components
-from gridjobs.plans import pipeline
+from gridjobs.plans import comparison, pipeline
 from gridjobs.sources import points as sources
 
 QUERIES: dict = {}
@@ -37,8 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, without a negative zero."""
-    return df.select(*((F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    """Doubles rounded, halves away from zero, without a negative zero; numbers that are not finite or too large stay."""
+    m = 10.0**digits
+
+    def short(c):
+        near = F.signum(c) * F.floor(F.abs(c) * m + 0.5) / m + F.lit(0.0)
+        return F.when(F.abs(c) < 1e12, near).otherwise(c)
+
+    return df.select(*(short(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 # Inputs
@@ -65,20 +71,24 @@ def vector_points(spark: SparkSession, sf_dir: str, scaled: bool = False) -> Dat
 V = "v as (select vec_id as point_id, embedding[1]::double as x, embedding[2]::double as y, label::int as truth from embeddings where embedding is not null)"
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as atoms: the year is the step, the label a multiple of 1/8, and the id a hash of what tells the rows apart."""
     t = table(spark, sf_dir, "lineitem")
     d = lambda c: F.col(c).cast("double")
-    order = Window.partitionBy(F.year("l_shipdate")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    t = t.select(
-        F.year("l_shipdate").cast("long").alias("step"), (F.year("l_shipdate").cast("long") * 100_000_000_000 + F.row_number().over(order)).alias("atom_id"),
-        d("l_quantity").alias("x"), (d("l_extendedprice") / 2100).alias("y"), (d("l_discount") * 500).alias("z"), (d("l_tax") / 0.08).alias("c_label"),
+    row = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(d("l_extendedprice") * 100).cast("long"), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return t.select(
+        F.year("l_shipdate").cast("long").alias("step"), F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long").alias("atom_id"),
+        d("l_quantity").alias("x"), (d("l_extendedprice") / 2100).alias("y"), (d("l_discount") * 500).alias("z"), (F.round(d("l_tax") * 100) / 8).alias("c_label"),
         *(F.lit(v).alias(c) for c, v in zip(sources.BOX, (0.0, 50.0001) * 3, strict=True)),
     )
-    return sources.snapshots_from(t)
 
 
-A = """a as (select year(l_shipdate)::bigint as step, year(l_shipdate)::bigint * 100000000000 + row_number() over (partition by year(l_shipdate) order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as atom_id,
-  l_quantity::double as x, l_extendedprice::double / 2100 as y, l_discount::double * 500 as z, l_tax::double / 0.08 as c_label from lineitem)"""
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.snapshots_from(line_items(spark, sf_dir))
+
+
+A = """a as (select year(l_shipdate)::bigint as step, ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || round(l_extendedprice::double * 100)::bigint || '|' || strftime(l_shipdate, '%Y-%m-%d')), 1, 15))::bigint as atom_id,
+  l_quantity::double as x, l_extendedprice::double / 2100 as y, l_discount::double * 500 as z, round(l_tax::double * 100) / 8 as c_label from lineitem)"""
 
 
 def vector_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +133,48 @@ def components_sql(cells: str, name: str, near: str = "abs(s.i - c.i) + abs(s.j
 
 @query("s1_read_points", f"with {P} select point_id, round(x, 6) as x, round(y, 6) as y, truth from p")
 def read_points(spark, sf_dir):
-    return rounded(event_points(spark, sf_dir).select("point_id", "x", "y", "truth"))
+    """Points written as CSV and read back."""
+    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    event_points(spark, sf_dir).select("point_id", "x", "y", "truth").write.csv(path, header=True)
+    return rounded(sources.read_points(spark, path).select("point_id", "x", "y", "truth"))
 
 
-@query("s2_read_snapshots", f"with {A} select step, 0.0::double as xlo, 50.0001::double as xhi, count(*) as n, round(sum(c_label), 4) as labels, round(avg(x), 6) as x, round(avg(z), 6) as z from a group by step")
-def read_snapshots(spark, sf_dir):
-    a = snapshots(spark, sf_dir)
-    s = a.groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("c_label"), 4).alias("labels"), F.avg("x").alias("x"), F.avg("z").alias("z"))
+@query("s1_read_points_without_ids", f"with {P} select truth as class, count(*) as n, round(min(x), 6) as x, round(max(y), 6) as y, (select count(*) from p) as n_ids, 0::bigint as first_id, (select count(*) - 1 from p) as last_id from p group by truth")
+def read_points_without_ids(spark, sf_dir):
+    """Points of a CSV file that has only coordinates and a class: their ids are their places."""
+    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    event_points(spark, sf_dir).select("x", "y", F.col("truth").alias("class")).write.csv(path, header=True)
+    p = sources.read_points(spark, path)
+    truth = sources.find_truth_column(p)
+    ids = p.agg(F.count_distinct("point_id").alias("n_ids"), F.min("point_id").alias("first_id"), F.max("point_id").alias("last_id"))
+    return rounded(p.groupBy(truth).agg(F.count("*").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).crossJoin(F.broadcast(ids)))
+
+
+SNAPSHOTS = "select step, 0.0::double as xlo, 50.0001::double as xhi, count(*) as n, sum(c_label) as labels, round(avg(x), 6) as x, round(avg(z), 6) as z from a group by step"
+
+
+def snapshot_table(a: DataFrame) -> DataFrame:
+    s = a.groupBy("step").agg(F.count("*").alias("n"), F.sum("c_label").alias("labels"), F.avg("x").alias("x"), F.avg("z").alias("z"))
     return rounded(sources.snapshot_boxes(a).select("step", "xlo", "xhi").join(s, "step"))
 
 
+@query("s2_read_snapshots", f"with {A} {SNAPSHOTS}")
+def read_snapshots(spark, sf_dir):
+    """Snapshots written as Parquet and read back."""
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    line_items(spark, sf_dir).write.parquet(path)
+    return snapshot_table(sources.read_snapshots(spark, path, "parquet"))
+
+
+@query("s2_read_snapshots_without_ids", f"with {A}, s as ({SNAPSHOTS}) select *, (select sum(n)::bigint from s) as n_ids from s")
+def read_snapshots_without_ids(spark, sf_dir):
+    """Snapshots of a CSV file without atom ids."""
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    line_items(spark, sf_dir).drop("atom_id").write.csv(path, header=True)
+    a = sources.read_snapshots(spark, path).withColumn("step", F.col("step").cast("long"))
+    return snapshot_table(a).crossJoin(F.broadcast(a.agg(F.count_distinct("atom_id").alias("n_ids"))))
+
+
 @query("s3_find_truth_column", "select label::int as truth, count(*) as n from embeddings group by label")
 def find_truth_column(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -190,6 +232,11 @@ def knn_spacing(spark, sf_dir):
     return rounded(prepare.knn_spacing(vector_points(spark, sf_dir), 5))
 
 
+@query("p4_knn_spacing_events", f"with {P}, k as (select a.point_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 5)[5] as d from p a join p b on a.point_id <> b.point_id group by a.point_id) select round(greatest(1e-12, median(d)), 6) as knn_h from k")
+def knn_spacing_events(spark, sf_dir):
+    return rounded(prepare.knn_spacing(event_points(spark, sf_dir), 5))
+
+
 OCC = """o0 as (select max(x) - min(x) as lx, max(y) - min(y) as ly, greatest(1, round_even(count(*) / 4.0, 0)) as cells from {s}), o1 as (select *, lx / (ly + 1e-12) as r from o0),
 o2 as (select *, round_even(sqrt(cells / (r + 1e-12)), 0) as ny0 from o1), o3 as (select lx, ly, greatest(1, least(round_even(r * ny0, 0), 200)) as nx, greatest(1, least(ny0, 200)) as ny from o2), occ as (select sqrt((lx / nx) * (ly / ny)) as occ_h from o3)"""
 
@@ -212,7 +259,7 @@ sd as (select (select max(x) - min(x) from v) as lx, (select max(y) - min(y) fro
 se as (select *, greatest(1, least(ceil(lx / h0), 200)) as nx0, greatest(1, least(ceil(ly / h0), 200)) as ny0 from sd), sf as (select *, greatest(lx / nx0, ly / ny0) as h_est from se)"""
 
 
-@query("p7_suggest_grids", f"""with {SEEDS}, g as (select t as n, greatest(1e-12, least(0.8 * h_est + t * (1.2 * h_est - 0.8 * h_est) / 6, greatest(lx, ly))) as h, lx, ly from sf, range(7) r(t)),
+@query("p7_suggest_grids", f"""with {SEEDS}, g as (select t as n, greatest(1e-12, least(case when t = 6 then 1.2::double * h_est else t * ((1.2::double * h_est - 0.8::double * h_est) / 6) + 0.8::double * h_est end, greatest(lx, ly))) as h, lx, ly from sf, range(7) r(t)),
 g2 as (select n, greatest(1, least(ceil(lx / h), 200))::int as nx, greatest(1, least(ceil(ly / h), 200))::int as ny, lx, ly from g),
 g3 as (select nx, ny, min(n) as n, max(greatest(lx / nx, ly / ny)) as h from g2 group by nx, ny) select (row_number() over (order by n) - 1)::int as cand_id, nx, ny, round(h, 6) as h from g3""")
 def suggest_grids(spark, sf_dir):
@@ -371,14 +418,34 @@ def diffuse_masked_2d(spark, sf_dir):
     return rounded(masked(spark, sf_dir, max_iters=4)[0].select("i", "j", "dense", "c"))
 
 
-@query("d1_diffuse_masked_2d_full")
+def converged_sql(betas=(0.1,), limit: int = 1_500, scale: float = 0.1, cells: str = "c", thr: float = 0.1) -> str:
+    """Masked diffusion to its stop: field (beta, i, j, norm, dense, c) and stats (beta, iters_used, max_delta_last, stop)."""
+    rates = ", ".join(f"({b}::double)" for b in betas)
+    return f"""st as (select beta, i, j, norm, norm >= {thr} as dense, least(greatest(norm / {scale}::double, 0), 1) as w, (i > 0)::int + (i < {NX - 1})::int + (j > 0)::int + (j < {NY - 1})::int as around from {cells}, (values {rates}) t(beta)),
+fm(it, beta, i, j, norm, dense, w, around, c, d, most) as (select 0, beta, i, j, norm, dense, w, around, case when dense then 1.0::double else 0.0::double end, 0.0::double, 1.0::double from st
+  union all select it + 1, beta, i, j, norm, dense, w, around, case when dense then 1.0::double else greatest(0, least(1, c + g)) end, case when dense then 0.0::double else abs(g) end, max(case when dense then 0.0::double else abs(g) end) over (partition by beta)
+  from (select a.it, a.beta, a.i, a.j, a.norm, a.dense, a.w, a.around, a.c, a.beta * a.w * (coalesce(sum(o.c), 0) - a.c * a.around) as g
+    from fm a left join (select beta, i + u as i, j + v as j, c from fm, (values (1, 0), (-1, 0), (0, 1), (0, -1)) s(u, v)) o on o.beta = a.beta and o.i = a.i and o.j = a.j
+    where a.it < {limit} and not (a.it >= 60 and a.it % 10 = 0 and a.most < 1e-6) group by a.it, a.beta, a.i, a.j, a.norm, a.dense, a.w, a.around, a.c) z),
+ends as (select beta, max(it) as it from fm group by beta),
+field as (select fm.* from fm join ends using (beta, it)),
+stats as (select beta, it as iters_used, any_value(most) as max_delta_last, case when any_value(most) < 1e-6 then 'converged' else 'max_iters' end as stop from field group by beta, it)"""
+
+
+@query("d1_diffuse_masked_2d_full", f"with recursive {CELLS}, {converged_sql()} select i, j, dense, round(c, 6) as c from field")
 def diffuse_masked_2d_full(spark, sf_dir):
     return rounded(masked(spark, sf_dir)[0].select("i", "j", "dense", "c"))
 
 
 @query("d1_diffuse_until_converged")
 def diffuse_until_converged(spark, sf_dir):
-    return masked(spark, sf_dir, (0.05, 0.2, 0.4))[1].select("beta", "iters_used", "max_delta_last", "stop")
+    return rounded(masked(spark, sf_dir, (0.05, 0.2, 0.4))[1].select("beta", "iters_used", "max_delta_last", "stop"), 9)
+
+
+@query("d1_diffuse_stops", f"with recursive {CELLS}, {converged_sql((0.05, 0.1, 0.2), 6_000)} select beta, iters_used, round(max_delta_last, 9) as max_delta_last, stop from stats")
+def diffuse_stops(spark, sf_dir):
+    """Where three rates that settle stop; the rate of 0.4 above goes on to the last step, which is too many for SQL."""
+    return rounded(masked(spark, sf_dir, (0.05, 0.1, 0.2))[1].select("beta", "iters_used", "max_delta_last", "stop"), 9)
 
 
 @query("m6_select_after_diffusion", f"with {CELLS}, {masked_sql(4, 0.1)} select i, j, dense or c > 0.05 as selected from f4")
@@ -386,7 +453,7 @@ def select_after_diffusion(spark, sf_dir):
     return grid.select_after_diffusion(masked(spark, sf_dir, max_iters=4)[0], 0.05).select("i", "j", "selected")
 
 
-@query("m6_select_after_diffusion_full")
+@query("m6_select_after_diffusion_full", f"with recursive {CELLS}, {converged_sql()} select i, j, dense or c > 0.05 as selected from field")
 def select_after_diffusion_full(spark, sf_dir):
     return grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05).select("i", "j", "selected")
 
@@ -415,16 +482,32 @@ def lattice_sql(steps: int, known: bool) -> str:
     return ", ".join(out)
 
 
+def steps_sql(steps: int, known: bool) -> str:
+    """Diffusion on the periodic lattices of all sizes, step by step, as CTE ``fs``."""
+    new = "a.c + 0.1 * (sum(o.c) - 6 * a.c)"
+    new = f"case when a.cn > 0 then a.v else {new} end" if known else f"greatest(0, least(1, {new}))"
+    return f"""ms as (select distinct step, size_id, mx, my, mz from cm), fs(it, step, size_id, xi, yi, zi, mx, my, mz, cn, v, c) as (select 0, step, size_id, xi, yi, zi, mx, my, mz, cn, coalesce(label_mean, 0), coalesce(label_mean, 0) from lt join ms using (step, size_id)
+  union all select a.it + 1, a.step, a.size_id, a.xi, a.yi, a.zi, a.mx, a.my, a.mz, a.cn, a.v, {new} from fs a join (select step, size_id, (xi + du + mx) % mx as xi, (yi + dv + my) % my as yi, (zi + dw + mz) % mz as zi, c
+      from fs, (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) s(du, dv, dw)) o using (step, size_id, xi, yi, zi) where a.it < {steps} group by a.it, a.step, a.size_id, a.xi, a.yi, a.zi, a.mx, a.my, a.mz, a.cn, a.v, a.c)"""
+
+
 @query("d2_diffuse_free_3d", f"with {LATTICE}, {lattice_sql(3, False)} select step, xi, yi, zi, round(c, 6) as c from f3 where cn > 0")
 def diffuse_free_3d(spark, sf_dir):
     c = grid.cell_means(boxed(spark, sf_dir)).where("size_id = 1")
     return rounded(diffusion.diffuse_free_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
 
 
-@query("d2_diffuse_free_3d_full")
+@query("d2_diffuse_free_3d_full", f"with recursive {LATTICE}, {steps_sql(500, False)} select step, size_id, xi, yi, zi, round(c, 6) as c from fs where it = 500 and cn > 0")
 def diffuse_free_3d_full(spark, sf_dir):
-    c = grid.cell_means(boxed(spark, sf_dir)).where("size_id = 1")
-    return rounded(diffusion.diffuse_free_3d(c).select("step", "xi", "yi", "zi", "c"))
+    c = grid.cell_means(boxed(spark, sf_dir))
+    return rounded(diffusion.diffuse_free_3d(c).select("step", "size_id", "xi", "yi", "zi", "c"))
+
+
+@query("d2_diffuse_free_3d_tiled", f"with recursive {LATTICE}, {steps_sql(40, False)} select step, size_id, xi, yi, zi, round(c, 6) as c from fs where it = 40 and cn > 0")
+def diffuse_free_3d_tiled(spark, sf_dir):
+    """The first steps on finer lattices' terms: every lattice goes tile by tile."""
+    c = grid.cell_means(boxed(spark, sf_dir))
+    return rounded(diffusion.diffuse_free_3d(c, iters=40, whole=0).select("step", "size_id", "xi", "yi", "zi", "c"))
 
 
 KNOWN = LATTICE.replace("from bx group by", "from bx where c_label >= 0.8 group by")
@@ -436,10 +519,10 @@ def impute_3d(spark, sf_dir):
     return rounded(diffusion.impute_3d(c, iters=3).select("step", "xi", "yi", "zi", "c"))
 
 
-@query("d3_impute_3d_full")
+@query("d3_impute_3d_full", f"with recursive {KNOWN}, {steps_sql(500, True)} select step, size_id, xi, yi, zi, round(c, 6) as c from fs where it = 500")
 def impute_3d_full(spark, sf_dir):
-    c = grid.full_lattice(grid.cell_means(boxed(spark, sf_dir).where("c_label >= 0.8")).where("size_id = 1"))
-    return rounded(diffusion.impute_3d(c).select("step", "xi", "yi", "zi", "c"))
+    c = grid.full_lattice(grid.cell_means(boxed(spark, sf_dir).where("c_label >= 0.8")))
+    return rounded(diffusion.impute_3d(c).select("step", "size_id", "xi", "yi", "zi", "c"))
 
 
 # Components
@@ -458,10 +541,23 @@ def cell_components_wrapped(spark, sf_dir):
     return dense_labels(spark, sf_dir, connectivity=8, periodic=True, tile=8)
 
 
-@query("c2_seeded_components")
+def grown_sql(chosen: str) -> str:
+    """Labels grown from dense cells over cells of ``chosen`` (i, j, dense, selected), as CTE ``gr``: raster sweeps one cell at a time."""
+    return f"""{components_sql(f"(select i, j from {chosen} where dense)", "seed")},
+spot as (select i * {NY} + j as pos, c.dense, coalesce(seed.label, -1) as label from {chosen} c left join seed using (i, j) where c.dense or c.selected),
+todo as (select coalesce(list(pos order by pos), []) as todo, count(*) as m from spot where label < 0),
+start as (select list(coalesce(label, -1) order by p) as lab from range({NX * NY}) t(p) left join spot on pos = p),
+gs(k, changed, lab) as (select case when m > 0 then 1 else 0 end, false, lab from start, todo
+  union all select case when k < m then k + 1 when changed or hit then 1 else 0 end, case when k < m then changed or hit else false end, case when hit then lab[:pos] || [near[1]] || lab[pos + 2:] else lab end
+  from (select k, m, changed, lab, pos, near, len(near) = 1 and lab[pos + 1] < 0 as hit from (select k, m, changed, lab, pos, list_distinct(list_filter([case when pos // {NY} > 0 then lab[pos + 1 - {NY}] end, case when pos // {NY} < {NX - 1} then lab[pos + 1 + {NY}] end, case when pos % {NY} > 0 then lab[pos] end, case when pos % {NY} < {NY - 1} then lab[pos + 2] end], lambda x: x >= 0)) as near
+    from (select k, m, changed, lab, todo[k] as pos from gs, todo where k > 0) z1) z2) z3),
+gr as (select (pos // {NY})::int as i, (pos % {NY})::int as j, lab[pos + 1]::int as label from spot, (select lab from gs where k = 0) z)"""
+
+
+@query("c2_seeded_components", f"with recursive {CELLS}, {converged_sql()}, ch as (select i, j, dense, dense or c > 0.05 as selected from field), {grown_sql('ch')} select * from gr")
 def seeded_components(spark, sf_dir):
-    c = grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05)
-    return labelling.seeded_components(c, widest=max(NX, NY))
+    c = cut(grid.select_after_diffusion(masked(spark, sf_dir)[0], 0.05))
+    return labelling.seeded_components(c, widest=max(NX, NY)).select("i", "j", "label")
 
 
 @query("c3_cell_components_3d", f"with recursive {CLUSTERS_3D} select step, size_id, xi, yi, zi, label + 1 as cluster_id from k3")
@@ -497,11 +593,22 @@ def atom_components(spark, sf_dir):
     return labelling.atom_components(vector_atoms(spark, sf_dir), cutoff=0.05, thr=0.3).drop("step")
 
 
-@query("c7_cluster_members", f"with recursive {ATOMS} select label, string_agg(atom_id::varchar, ',' order by atom_id) as members from lab group by label")
+LINE_ATOMS = f"""{A}, w2 as (select *, round(z)::int as zi from a where c_label >= 0.5), pr as (select a.atom_id as src, b.atom_id as dst from w2 a join (select *, x + o as nx from w2, (values (-1), (0), (1)) t(o)) b on a.step = b.step and a.zi = b.zi and a.x = b.nx and a.atom_id <> b.atom_id
+    where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 2.25),
+r(a, b) as (select atom_id, atom_id from w2 union select r.a, pr.dst from r join pr on pr.src = r.b), m as (select a as atom_id, min(b) as root from r group by a),
+lab as (select step, atom_id, dense_rank() over (partition by step order by root)::int as label from m join w2 using (atom_id))"""
+
+
+@query("c6_atom_components_lineitem", f"with recursive {LINE_ATOMS} select a.step, a.atom_id, coalesce(label, 0) as label from a left join lab using (step, atom_id)")
+def atom_components_lineitem(spark, sf_dir):
+    return labelling.atom_components(snapshots(spark, sf_dir), cutoff=1.5, thr=0.5)
+
+
+@query("c7_cluster_members", f"with recursive {ATOMS}, n as (select *, (row_number() over (partition by label order by atom_id) - 1) // 50 as chunk from lab) select label, chunk::int as chunk, string_agg(atom_id::varchar, ',' order by atom_id) as members from n group by label, chunk")
 def cluster_members(spark, sf_dir):
     a = labelling.atom_components(vector_atoms(spark, sf_dir), cutoff=0.05, thr=0.3).where("label > 0")
-    m = labelling.cluster_members(a, ["label"], ["atom_id"])
-    return m.select("label", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    m = labelling.cluster_members(a, ["label"], ["atom_id"], chunk=50)
+    return m.select("label", "chunk", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 LABELLED = f"{LABELS}, y as (select point_id, x, y, truth, coalesce(label, -1) as label from q left join l on q.i = l.i and q.j = l.j)"
@@ -574,7 +681,26 @@ def purity(spark, sf_dir):
     return rounded(metrics.purity(metrics.contingency(labelled_events(spark, sf_dir))))
 
 
-@query("q8_cluster_report")
+def report_sql(source: str, key: str, reported: str = "phase") -> str:
+    """All scores of labelled points (key, point_id, x, y, truth, label) by key, silhouette included, as CTE ``rep``."""
+    k = key
+    return f"""n0 as (select {k}, count(*)::double as m, avg((label >= 0)::int) as coverage, count(distinct label) filter (label >= 0) as k from {source} group by {k}),
+ce as (select {k}, label, avg(x) as cx, avg(y) as cy from {source} where label >= 0 group by {k}, label), sc as (select {k}, label, any_value(cx) as cx, any_value(cy) as cy, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) as s from {source} join ce using ({k}, label) group by {k}, label),
+wo as (select a.{k}, a.label, max(case when (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 > 0 then (a.s + b.s) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) else 0 end) as worst from sc a join sc b on a.{k} = b.{k} and a.label <> b.label group by a.{k}, a.label), db as (select {k}, avg(worst) as dbi from wo group by {k}),
+sd as (select a.{k}, a.point_id, a.label, b.label as other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as total, count(*) as m from {source} a join {source} b on a.{k} = b.{k} where a.label >= 0 and b.label >= 0 group by 1, 2, 3, 4),
+sp as (select {k}, point_id, max(m) filter (label = other) as size, max(total / nullif(m - 1, 0)) filter (label = other) as a, min(total / m) filter (label <> other) as b from sd group by 1, 2),
+si as (select {k}, avg(case when size = 1 then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end) as silhouette from sp group by {k}),
+ct as (select {k}, truth, label, count(*)::double as n from {source} group by 1, 2, 3), tt as (select {k}, truth, sum(n) as n from ct group by 1, 2), tl as (select {k}, label, sum(n) as n from ct group by 1, 2),
+z0 as (select {k}, sum(n * n) as sq from ct group by 1), z1 as (select {k}, sum(n * n) as tsq, -sum(n / m * ln(n / m)) as ht from tt join n0 using ({k}) group by 1), z2 as (select {k}, sum(n * n) as psq, -sum(n / m * ln(n / m)) as hp from tl join n0 using ({k}) group by 1),
+mi as (select ct.{k}, sum(ct.n / m * ln(ct.n * m / (tt.n * tl.n))) as mi from ct join tt using ({k}, truth) join tl using ({k}, label) join n0 using ({k}) group by 1),
+pu as (select {k}, sum(top) as top from (select {k}, label, max(n) as top from ct where label >= 0 group by 1, 2) group by 1),
+zz as (select {k}, sq - m as tp, psq - sq as fp, tsq - sq as fn, m * m - psq - tsq + sq as tn from z0 join z1 using ({k}) join z2 using ({k}) join n0 using ({k})),
+rep as (select {k} as {reported}, round(coverage, 6) as coverage, k, round(dbi, 6) as dbi, round(silhouette, 6) as silhouette, round(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) as ari,
+  round(greatest(mi, 0) / ((ht + hp) / 2), 6) as nmi, round(greatest(mi, 0) / ((ht + hp) / 2), 6) as v_measure, round(tp / sqrt((tp + fp) * (tp + fn)), 6) as fm, round(top / m, 6) as purity
+  from n0 join db using ({k}) join si using ({k}) join zz using ({k}) join z1 using ({k}) join z2 using ({k}) join mi using ({k}) join pu using ({k}))"""
+
+
+@query("q8_cluster_report", f"with {V}, y as (select 'before' as phase, point_id, x, y, truth, truth - 1 as label from v union all select 'after', point_id, x, y, truth, (truth - 1) % 2 from v), {report_sql('y', 'phase')} select * from rep")
 def cluster_report(spark, sf_dir):
     p = labelled_vectors(spark, sf_dir)
     return rounded(metrics.cluster_report(p.withColumn("phase", F.lit("before")).unionByName(p.withColumn("phase", F.lit("after")).withColumn("label", F.col("label") % 2))))
@@ -595,16 +721,49 @@ def best_candidate(spark, sf_dir):
     return search.best_candidate(grid.cell_counts(binned_events(spark, sf_dir)), ["i"], "n", "j")
 
 
-@query("r1_stage_a_grid")
+GRIDS = ((30, 20), (24, 16), (40, 25))
+
+
+def stage_a_sql(cand: int, nx: int, ny: int, quantiles, where: str = "true") -> str:
+    """Scores of one grid at some quantiles: dense cells, components, labelled points, their centres and distances."""
+    qs = ", ".join(f"({q}::double, {n})" for n, q in enumerate(quantiles))
+    code = f"i * {ny} + j"
+    return f"""(with recursive {P}, pf as (select * from p where {where}), {binned_sql(nx, ny, "pf")}, {NORM}, th as (select dense_q, qn, (select quantile_cont(norm, {list(quantiles)}) from c)[qn + 1] as dense_thr from (values {qs}) t(dense_q, qn)),
+d as (select qn, i, j from c, th where norm >= dense_thr), {components_sql("d", "l", code=code, key="qn")},
+y as (select qn, x, y, label from q join l using (i, j)), ce as (select qn, label, avg(x) as cx, avg(y) as cy from y group by 1, 2), sc as (select qn, label, any_value(cx) as cx, any_value(cy) as cy, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) as s, count(*) as m from y join ce using (qn, label) group by 1, 2),
+wo as (select a.qn, a.label, max(case when (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 > 0 then (a.s + b.s) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) else 0 end) as worst from sc a join sc b on a.qn = b.qn and a.label <> b.label group by 1, 2),
+db as (select qn, avg(worst) as dbi from wo group by 1), kk as (select qn, count(*) as k, sum(m)::double / (select count(*) from q) as cov from sc group by 1)
+select ({cand} * {len(quantiles)} + qn)::int as ordinal, {cand} as cand_id, {nx} as nx, {ny} as ny, dense_q, dense_thr, 0.0::double as sil, case when k >= 2 then dbi else 'inf'::double end as dbi, cov, case when k >= 2 then k else 0 end as k,
+  case when k >= 2 then 0.8 / (1 + dbi) + 0.15 * cov else '-inf'::double end as score from kk join th using (qn) left join db using (qn))"""
+
+
+ROUNDED_A = "ordinal, cand_id, nx, ny, dense_q, round(dense_thr, 6) as dense_thr, sil, round(dbi, 6) as dbi, round(cov, 6) as cov, k, round(score, 6) as score"
+
+
+@query("r1_stage_a_grid", f"select {ROUNDED_A} from ({' union all '.join(stage_a_sql(n, nx, ny, QUANTILES) for n, (nx, ny) in enumerate(GRIDS))}) z")
 def stage_a_grid(spark, sf_dir):
-    g = spark.createDataFrame([(0, 30, 20), (1, 24, 16), (2, 40, 25)], "cand_id int, nx int, ny int")
+    g = spark.createDataFrame([(n, *g) for n, g in enumerate(GRIDS)], "cand_id int, nx int, ny int")
     return rounded(search.stage_a_grid(event_points(spark, sf_dir), g, QUANTILES))
 
 
-@query("r2_stage_a_eval")
+TRIED = ((0.5, 3), (8, 3), (8, 1000), (16, 5))
+
+
+def stage_a_eval_sql(cand: int, part: float, r: int) -> str:
+    """One candidate of the second kind (cell width, least count) on the labelled vectors."""
+    return f"""(with recursive {V}, b as (select min(x) - 1e-9 * (max(x) - min(x) + 1) as x_min, max(x) + 1e-9 * (max(x) - min(x) + 1) as x_max, min(y) - 1e-9 * (max(y) - min(y) + 1) as y_min, max(y) + 1e-9 * (max(y) - min(y) + 1) as y_max from v),
+g as (select *, (x_max - x_min) / {part}::double as h from b), gg as (select *, greatest(1, least(ceil((x_max - x_min) / h), 200))::int as nx, greatest(1, least(ceil((y_max - y_min) / h), 200))::int as ny from g),
+q as (select x, y, greatest(0, least(floor((x - x_min) / ((x_max - x_min) / nx)), nx - 1))::int as i, greatest(0, least(floor((y - y_min) / ((y_max - y_min) / ny)), ny - 1))::int as j from v, gg), cn as (select i, j, count(*) as n from q group by 1, 2),
+d as (select i, j from cn where n >= {r}), {components_sql("d", "l", code="i * 1000 + j")}, y as (select x, y, label from q join l using (i, j)), {DBI}, kk as (select count(distinct label) as k, count(*)::double / (select count(*) from v) as cov from y),
+t as (select gg.h, nx, ny, nx * ny < 2 as few, (select count(*) from d) as dense, k, cov, dbi from gg, kk, db)
+select {cand} as cand_id, round(h, 6) as h, {r} as r, 0.0::double as w_sil, 0.8::double as w_dbi, 0.2::double as w_cov, nx, ny, case when few then null else 0.0::double end as sil, case when few then null when k >= 2 then round(dbi, 6) else 'inf'::double end as dbi, case when few then null else round(cov, 6) end as cov,
+  case when few then null when k >= 2 then k else 0 end as k, case when not few and k >= 2 then round(0.8 / (1 + dbi) + 0.2 * cov, 6) end as score, case when few then 'too-few-cells' when dense < 1 then 'no-dense' when k < 2 then 'bad-score' else 'ok' end as reason from t)"""
+
+
+@query("r2_stage_a_eval", " union all ".join(stage_a_eval_sql(n, d, r) for n, (d, r) in enumerate(TRIED)))
 def stage_a_eval(spark, sf_dir):
     box = prepare.padded_bounds(vector_points(spark, sf_dir)).first()
-    rows = [(n, box["Lx"] / d, r, 0.0, 0.8, 0.2) for n, (d, r) in enumerate(((0.5, 3), (8, 3), (8, 1000), (16, 5)))]
+    rows = [(n, box["Lx"] / d, r, 0.0, 0.8, 0.2) for n, (d, r) in enumerate(TRIED)]
     return rounded(search.stage_a_eval(vector_points(spark, sf_dir), spark.createDataFrame(rows, "cand_id int, h double, r int, w_sil double, w_dbi double, w_cov double")))
 
 
@@ -620,7 +779,11 @@ def stage_b_sweep(spark, sf_dir):
     return rounded(search.stage_b_sweep(binned_events(spark, sf_dir), c, (0.05, 0.1), (0.05, 0.1, 0.2))[0])
 
 
-@query("r7_run_fixed_2d")
+RUN = f"""{CELLS}, {converged_sql()}, ch as (select i, j, dense, dense or c > 0.1 as selected from field), {grown_sql('ch')}, {components_sql('(select i, j from ch where selected)', 'sl')},
+ph as (select 'before' as phase, i, j, label from seed union all select 'after_std', i, j, label from sl union all select 'after_seeded', i, j, label from gr)"""
+
+
+@query("r7_run_fixed_2d", f"with recursive {RUN} select phase, coalesce(label, -1) as label, count(*) as n from (select * from q, (values ('before'), ('after_std'), ('after_seeded')) t(phase)) z left join ph using (phase, i, j) group by 1, 2")
 def run_fixed_2d(spark, sf_dir):
     labelled = pipeline.run_fixed_2d(event_points(spark, sf_dir), NX, NY, 0.1, 0.1, dense_thr=0.1)[0]
     return labelled.groupBy("phase", "label").agg(F.count("*").alias("n"))
@@ -632,14 +795,27 @@ def run_tuned_2d(spark, sf_dir):
     return rounded(out["report"])
 
 
+SWEEP_GRIDS, SWEEP_Q = ((20, 10), (16, 8)), (0.3, 0.6)
+
+
+def dataset_points(spark, sf_dir):
+    return event_points(spark, sf_dir).withColumnRenamed("truth", "dataset")
+
+
+def sweep_grids(spark):
+    return spark.createDataFrame([(n, *g) for n, g in enumerate(SWEEP_GRIDS)], "cand_id int, nx int, ny int")
+
+
 @query("r9_dataset_sweep")
 def dataset_sweep(spark, sf_dir):
-    p = event_points(spark, sf_dir).withColumnRenamed("truth", "dataset")
-    g = spark.createDataFrame([(0, 20, 10), (1, 16, 8)], "cand_id int, nx int, ny int")
-    return rounded(pipeline.dataset_sweep(p, g, (0.3, 0.6)))
+    return rounded(pipeline.dataset_sweep(dataset_points(spark, sf_dir), sweep_grids(spark), SWEEP_Q, search={"draws": 4, "rounds": 1}))
+
+
+STEPPED = f"""{LATTICE}, {steps_sql(500, False)}, vv as (select step, size_id, xi, yi, zi, 'raw' as diffusion, label_mean as v from cm union all select step, size_id, xi, yi, zi, 'diffused', c from fs where it = 500 and cn > 0),
+hs as (select step, size_id, xi, yi, zi, diffusion, c_thr, step * 100 + size_id * 10 + (c_thr = 0.55)::int * 2 + (diffusion = 'raw')::int as run from vv, (values (0.5::double), (0.55::double)) t(c_thr) where v >= c_thr)"""
 
 
-@query("r10_sweep_3d")
+@query("r10_sweep_3d", f"with recursive {STEPPED}, {components_sql('hs', 'ks', NEAR_3D, '(xi * 1000 + yi) * 1000 + zi', 'run')} select step, size_id, c_thr, diffusion, count(*) as n_selected, count(distinct label) as n_clusters from ks group by all")
 def sweep_3d(spark, sf_dir):
     a = snapshots(spark, sf_dir)
     return search.sweep_3d(a, sources.snapshot_boxes(a), SIZES, (0.5, 0.55))
@@ -686,29 +862,57 @@ def voxel_shape(spark, sf_dir):
     return rounded(shapes_3d(spark, sf_dir), 3)
 
 
-def compared(spark, sf_dir):
-    """Clusters of both cell sizes, matched by cluster id within each step."""
-    s = shapes_3d(spark, sf_dir)
-    m = s.where("size_id = 0").select("step", F.col("cluster_id").alias("grid_id"), F.col("cluster_id").alias("atom_label"))
+def matched_shapes(spark, sf_dir):
+    """Clusters of both cell sizes as if those of the second were the atoms', matched by the atoms that they share."""
+    atoms = cut(boxed(spark, sf_dir).select("step", "size_id", "atom_id", "xi", "yi", "zi", "c_label", "dx", "dy", "dz", "mx", "my", "mz"))
+    cells = cut(grid.select_cells_3d(grid.cell_means(atoms), 0.55))
+    clusters = cut(labelling.cell_components_3d(cells))
+    members = cut(grid.cell_members(atoms, clusters))
+    one, two = (members.where(f"size_id = {n}").select("step", "atom_id", F.col("cluster_id").alias(c)) for n, c in ((0, "grid_id"), (1, "atom_label")))
+    both = one.join(two, ["step", "atom_id"], "full").fillna(-1, ["grid_id", "atom_label"])
+    k = clusters.join(cells.select("step", "size_id", "xi", "yi", "zi", "dx", "dy", "dz"), ["step", "size_id", "xi", "yi", "zi"])
+    s = cut(matching.voxel_shape(k, ["step", "size_id", "cluster_id"], least_points=2))
     g, a = (s.where(f"size_id = {n}").drop("size_id").withColumnRenamed("cluster_id", c) for n, c in ((0, "grid_id"), (1, "atom_label")))
-    return matching.compare_clusters(m, g, a, least_points=1)
+    return matching.compare_clusters(matching.match_one_to_one(both, min_jaccard=0.01), g, a, least_points=1)
 
 
-COMPARED = f"""{VOXELS}, sh as (select run // 10 as step, run % 10 as size_id, cluster_id, case when n_points >= 2 then volume else 0 end as volume, case when n_points >= 2 then surface else 0 end as surface from su join vo using (run, cluster_id)),
-cc as (select g.step, g.cluster_id, abs(g.volume - a.volume) as vd, case when a.volume = 0 then 0 else 100 * abs(g.volume - a.volume) / a.volume end as vp, abs(g.surface - a.surface) as sd, case when a.surface = 0 then 0 else 100 * abs(g.surface - a.surface) / a.surface end as sp
-  from sh g join sh a on g.step = a.step and g.cluster_id = a.cluster_id and g.size_id = 0 and a.size_id = 1)"""
+MATCHED = f"""{VOXELS}, sh as (select run // 10 as step, run % 10 as size_id, cluster_id, case when n_points >= 2 then volume else 0 end as volume, case when n_points >= 2 then surface else 0 end as surface from su join vo using (run, cluster_id)),
+me as (select step, size_id, atom_id, label + 1 as cluster_id from bx join k3 using (step, size_id, xi, yi, zi)), m0 as (select step, atom_id, cluster_id as g from me where size_id = 0), m1 as (select step, atom_id, cluster_id as a from me where size_id = 1),
+j0 as (select step, g, count(*) as ng from m0 group by 1, 2), j1 as (select step, a, count(*) as na from m1 group by 1, 2), jb as (select step, g, a, count(*) as n from m0 join m1 using (step, atom_id) group by 1, 2, 3),
+jj as (select step, g, a, n::double / (ng + na - n) as j from jb join j0 using (step, g) join j1 using (step, a)), j2 as (select *, row_number() over (partition by step, g order by j desc, a) as r from jj), mt as (select *, row_number() over (partition by step, a order by g desc) as r2 from j2 where r = 1 and j >= 0.01),
+cc as (select g.step, g.cluster_id, mt.a, abs(g.volume - a.volume) as vd, case when a.volume = 0 then 0 else 100 * abs(g.volume - a.volume) / a.volume end as vp, abs(g.surface - a.surface) as sd, case when a.surface = 0 then 0 else 100 * abs(g.surface - a.surface) / a.surface end as sp
+  from mt join sh g on g.step = mt.step and g.cluster_id = mt.g and g.size_id = 0 join sh a on a.step = mt.step and a.cluster_id = mt.a and a.size_id = 1 where r2 = 1)"""
 
 
-@query("x3_compare_clusters", f"with recursive {COMPARED} select step, cluster_id as grid_id, round(vd, 3) as volume_diff, round(vp, 3) as volume_diff_pct, round(sd, 3) as surface_diff, round(sp, 3) as surface_diff_pct from cc")
+@query("x3_compare_clusters", f"with recursive {MATCHED} select step, cluster_id as grid_id, a as atom_label, round(vd, 3) as volume_diff, round(vp, 3) as volume_diff_pct, round(sd, 3) as surface_diff, round(sp, 3) as surface_diff_pct from cc")
 def compare_clusters(spark, sf_dir):
-    return rounded(compared(spark, sf_dir).select("step", "grid_id", "volume_diff", "volume_diff_pct", "surface_diff", "surface_diff_pct"), 3)
+    return rounded(matched_shapes(spark, sf_dir).select("step", "grid_id", "atom_label", "volume_diff", "volume_diff_pct", "surface_diff", "surface_diff_pct"), 3)
 
 
-def sweep_rows(spark, sf_dir):
-    return compared(spark, sf_dir).select(F.lit("raw").alias("diffusion"), (F.col("step") % 2).cast("int").alias("cell_size"), (F.col("step") % 3).cast("double").alias("c_thr"), F.col("grid_id").alias("cluster_id"), "volume_diff_pct", "surface_diff_pct")
+#: The sweep of the comparison: thresholds, least points and least overlap, which are low as the table has no real clusters.
+SWEPT = {"thresholds": (0.5, 0.55), "atom_thr": 0.45, "min_jaccard": 0.001, "least_points": 2}
 
 
-SWEEP = f"{COMPARED}, sw as (select 'raw' as diffusion, (step % 2)::int as cell_size, (step % 3)::double as c_thr, cluster_id, vp, sp from cc)"
+def sweep_rows(spark, sf_dir):
+    a = snapshots(spark, sf_dir)
+    rows = comparison.compare_sweep(a, sources.snapshot_boxes(a), SIZES, **SWEPT)
+    return rows.withColumnRenamed("size_id", "cell_size")
+
+
+SWEEP = f"""{STEPPED}, {components_sql('hs', 'ks', NEAR_3D, '(xi * 1000 + yi) * 1000 + zi', 'run')}, {LINE_ATOMS.removeprefix(A + ", ")},
+ksz as (select run, root, count(*) as size from ks group by 1, 2 having count(*) > 1), kid as (select run, root, row_number() over (partition by run order by size desc, root) - 1 as grid_id from ksz),
+kg as (select run, step, size_id, c_thr, diffusion, xi, yi, zi, grid_id from ks join kid using (run, root)), kd as (select kg.*, s.dx, s.dy, s.dz from kg join sz s using (size_id)),
+ga as (select run, step, size_id, c_thr, diffusion, grid_id, atom_id from kg join bx using (step, size_id, xi, yi, zi)), la2 as (select step, atom_id, label - 1 as atom_label from lab),
+jg as (select run, step, size_id, c_thr, diffusion, grid_id, count(*) as g from ga group by all), ja as (select step, atom_label, count(*) as a from la2 group by all), jb as (select run, grid_id, atom_label, count(*) as n from ga join la2 using (step, atom_id) group by all),
+jj as (select jg.*, atom_label, n::double / (g + a - n) as j from jb join jg using (run, grid_id) join ja using (step, atom_label)), j2 as (select *, row_number() over (partition by run, grid_id order by j desc, atom_label) as r from jj),
+mt as (select *, row_number() over (partition by run, atom_label order by grid_id desc) as r2 from j2 where r = 1 and j >= 0.001),
+sides(a, b, c) as (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+gsu as (select run, grid_id, sum(case when a <> 0 then dy * dz when b <> 0 then dx * dz else dx * dy end) as surface from (select v.*, s.* from kd v, sides s) f where not exists (select 1 from kd o where o.run = f.run and o.grid_id = f.grid_id and o.xi = f.xi + f.a and o.yi = f.yi + f.b and o.zi = f.zi + f.c) group by 1, 2),
+gvo as (select run, grid_id, sum(dx * dy * dz) as volume from kd group by 1, 2), ac as (select distinct step, size_id, atom_label, xi, yi, zi, dx, dy, dz from bx join la2 using (step, atom_id)),
+asu as (select step, size_id, atom_label, sum(case when a <> 0 then dy * dz when b <> 0 then dx * dz else dx * dy end) as surface from (select v.*, s.* from ac v, sides s) f where not exists (select 1 from ac o where o.step = f.step and o.size_id = f.size_id and o.atom_label = f.atom_label and o.xi = f.xi + f.a and o.yi = f.yi + f.b and o.zi = f.zi + f.c) group by all),
+avo as (select step, size_id, atom_label, sum(dx * dy * dz) as volume from ac group by all),
+sw as (select mt.step, mt.size_id as cell_size, c_thr, diffusion, mt.grid_id as cluster_id, abs(gvo.volume - avo.volume) as vd, 100 * abs(gvo.volume - avo.volume) / avo.volume as vp, 100 * abs(gsu.surface - asu.surface) / asu.surface as sp
+  from mt join gsu using (run, grid_id) join gvo using (run, grid_id) join asu on asu.step = mt.step and asu.size_id = mt.size_id and asu.atom_label = mt.atom_label join avo on avo.step = mt.step and avo.size_id = mt.size_id and avo.atom_label = mt.atom_label join ja on ja.step = mt.step and ja.atom_label = mt.atom_label where r2 = 1 and g >= 2 and ja.a >= 2)"""
 
 
 @query("x4_sweep_summary", f"with recursive {SWEEP} select diffusion, cell_size, c_thr, count(distinct cluster_id) as n_clusters, count(*) as n_rows, round(avg(vp), 3) as volume_diff_pct_mean, round(median(vp), 3) as volume_diff_pct_median, round(avg(sp), 3) as surface_diff_pct_mean, round(median(sp), 3) as surface_diff_pct_median from sw group by 1, 2, 3")
@@ -716,9 +920,9 @@ def sweep_summary(spark, sf_dir):
     return rounded(matching.sweep_summary(sweep_rows(spark, sf_dir)), 3)
 
 
-@query("x5_sweep_pivot", f'with recursive {SWEEP} select cell_size, round(avg(vp) filter (c_thr = 0), 3) as "0.0", round(avg(vp) filter (c_thr = 1), 3) as "1.0", round(avg(vp) filter (c_thr = 2), 3) as "2.0" from sw where cluster_id = 1 group by cell_size')
+@query("x5_sweep_pivot", f'with recursive {SWEEP} select cell_size, round(avg(vp) filter (c_thr = 0.5), 3) as "0.5", round(avg(vp) filter (c_thr = 0.55), 3) as "0.55" from sw where cluster_id = 0 group by cell_size')
 def sweep_pivot(spark, sf_dir):
-    return rounded(matching.sweep_pivot(sweep_rows(spark, sf_dir), cluster_id=1, thresholds=(0.0, 1.0, 2.0)), 3)
+    return rounded(matching.sweep_pivot(sweep_rows(spark, sf_dir), thresholds=SWEPT["thresholds"]), 3)
 
 
 # Other clusterers

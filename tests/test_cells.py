@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import label_2d
+from gridjobs.operators import diffusion, labelling
 from gridjobs.operators.components import components
 from gridjobs.operators.diffusion import diffuse_free_3d, diffuse_masked_2d, impute_3d
 from gridjobs.operators.grid import full_lattice, normalize_nonzero
@@ -36,23 +37,23 @@ def flood(mask, connectivity, wrap):
 
 
 def raster(selected, dense, connectivity, wrap, max_passes):
-    out = flood(dense, connectivity, wrap)
-    nx, ny = out.shape
-    passes, changed = 0, True
-    while changed and (max_passes is None or passes < max_passes):
-        changed, passes = False, passes + 1
-        for i in range(nx):
-            for j in range(ny):
-                if selected[i, j] and out[i, j] < 0:
-                    near = set()
-                    for a, b in STEPS[connectivity]:
-                        u, v = (i + a) % nx if wrap else i + a, (j + b) % ny if wrap else j + b
-                        if 0 <= u < nx and 0 <= v < ny and out[u, v] >= 0:
-                            near.add(out[u, v])
-                    if len(near) == 1:
-                        out[i, j] = near.pop()
-                        changed = True
-    return out
+    """Growth by its rule: a pass visits the open cells in raster order, and what it gives a cell counts at once for the next."""
+    nx, ny = selected.shape
+    label = dict(np.ndenumerate(flood(dense, connectivity, wrap)))
+    around = lambda i, j: {label.get(((i + a) % nx, (j + b) % ny) if wrap else (i + a, j + b), -1) for a, b in STEPS[connectivity]} - {-1}
+
+    def visit(waiting):
+        for cell in waiting:
+            if len(names := around(*cell)) == 1:
+                label[cell] = names.pop()
+        return [c for c in waiting if label[c] < 0]
+
+    waiting = [c for c, on in np.ndenumerate(selected) if on and label[c] < 0]
+    for _ in range(max_passes if max_passes is not None else nx * ny):
+        waiting, before = visit(waiting), len(waiting)
+        if len(waiting) == before:
+            break
+    return np.array([[label[i, j] for j in range(ny)] for i in range(nx)])
 
 
 def table(spark, runs):
@@ -191,3 +192,35 @@ def test_3d_diffusion_keeps_mass_and_known_cells(spark):
     got = {(r["xi"], r["yi"], r["zi"]): r for r in impute_3d(lattice, iters=200).collect()}
     assert all(r["c"] == r["label_mean"] for k, r in got.items() if k != (3, 2, 1))
     assert got[3, 2, 1]["c"] == pytest.approx(0.0)
+
+
+def test_tiles_with_halos_diffuse_like_the_whole_lattice(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for step, shape in ((0, (9, 5, 7)), (1, (3, 12, 4))):
+        for x, y, z in np.ndindex(shape):
+            known = rng.random() < 0.4
+            rows.append((step, 0, 1.0, 1.0, 1.0, *shape, 0.0, 0.0, 0.0, x, y, z, float(rng.random()) if known else None, int(known)))
+    names = "step long, size_id int, dx double, dy double, dz double, mx int, my int, mz int, xlo double, ylo double, zlo double, xi int, yi int, zi int, label_mean double, cn long"
+    lattice = spark.createDataFrame(rows, names)
+    told = lambda df: {(r["step"], r["xi"], r["yi"], r["zi"]): r["c"] for r in df.collect()}
+    whole = {True: told(impute_3d(lattice, iters=11)), False: told(diffuse_free_3d(lattice.where("cn > 0"), iters=11))}
+    for tile, halo in ((3, 2), (2, 16), (4, 1)):
+        for impute in (True, False):
+            cells = lattice if impute else lattice.where("cn > 0")
+            assert told(diffusion._tiled(cells, ["step", "size_id"], 0.1, 11, impute, tile, halo)) == whole[impute]
+
+
+def test_ranks_by_ranges_are_those_of_one_window(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(rng.randrange(3), n) for n in rng.sample(range(10_000), 900)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(5)
+    want = {(k, v): sorted(b for a, b in rows if a == k).index(v) for k, v in rows}
+    for limit in (1_000, 10):
+        monkeypatch.setattr(labelling, "RANKED", limit)
+        assert {(r["k"], r["v"]): r["rank"] for r in labelling.ranked(df, ["k"], ["v"]).collect()} == want
+        down = labelling.ranked(df, [], [F.desc("v"), F.col("k")]).collect()
+        assert sorted(r["rank"] for r in down) == list(range(900)) and max(down, key=lambda r: r["v"])["rank"] == 0
+        members = labelling.cluster_members(df, ["k"], ["v"], chunk=100).collect()
+        assert {(r["k"], v): 100 * r["chunk"] + n for r in members for n, v in enumerate(r["members"])} == want
+        assert labelling.ranked(df.limit(0), ["k"], ["v"]).count() == 0
