@@ -773,10 +773,20 @@ def stage_a_search(spark, sf_dir):
     return rounded(search.stage_a_search(p, cut(prepare.spacing_seeds(p)), draws=8))
 
 
-@query("r5_stage_b_sweep")
+def stage_b_sql(ordinal: int, beta: float, cthr: float) -> str:
+    """One rate and threshold: diffusion to its stop, growth, labelled points scored."""
+    return f"""(with recursive {CELLS}, {converged_sql((beta,), 6_000)}, ch as (select i, j, dense, dense or c > {cthr} as selected from field), {grown_sql('ch')}, y as (select x, y, label from q join gr using (i, j) where label >= 0), {DBI},
+kk as (select count(distinct label) as k, count(*)::double / (select count(*) from q) as cov from y) select {beta}::double as beta, {cthr}::double as cthr, 0.0::double as sil, case when k >= 2 then round(dbi, 6) else 'inf'::double end as dbi, round(cov, 6) as cov, case when k >= 2 then k else 0 end as k,
+  case when k >= 2 then round(0.8 / (1 + dbi) + 0.15 * cov, 6) else '-inf'::double end as score, iters_used, stop, {ordinal} as ordinal from kk, db, stats)"""
+
+
+BETAS, CTHRS = (0.05, 0.1), (0.05, 0.1, 0.2)
+
+
+@query("r5_stage_b_sweep", " union all ".join(stage_b_sql(len(CTHRS) * n + m, b, c) for n, b in enumerate(BETAS) for m, c in enumerate(CTHRS)))
 def stage_b_sweep(spark, sf_dir):
     c = cut(grid.dense_by_threshold(event_cells(spark, sf_dir), 0.1).withColumn("scale", F.lit(0.1)))
-    return rounded(search.stage_b_sweep(binned_events(spark, sf_dir), c, (0.05, 0.1), (0.05, 0.1, 0.2))[0])
+    return rounded(search.stage_b_sweep(binned_events(spark, sf_dir), c, BETAS, CTHRS)[0])
 
 
 RUN = f"""{CELLS}, {converged_sql()}, ch as (select i, j, dense, dense or c > 0.1 as selected from field), {grown_sql('ch')}, {components_sql('(select i, j from ch where selected)', 'sl')},
@@ -806,9 +816,19 @@ def sweep_grids(spark):
     return spark.createDataFrame([(n, *g) for n, g in enumerate(SWEEP_GRIDS)], "cand_id int, nx int, ny int")
 
 
-@query("r9_dataset_sweep")
+#: The kinds of events, for SQL, which can't go through them by itself (fixed values).
+KINDS = ("click", "error", "purchase", "signup", "view")
+SWEPT_SQL = " union all ".join(f"select '{d}' as dataset, * from {stage_a_sql(n, nx, ny, SWEEP_Q, chr(39).join(('truth = ', d, '')))} z{n}" for d in KINDS for n, (nx, ny) in enumerate(SWEEP_GRIDS))
+
+
+@query("r9_dataset_sweep", f"select dataset, 'grid' as strategy, nx, ny, round(dense_thr, 6) as dense_thr, null::int as r, sil, round(dbi, 6) as dbi, round(cov, 6) as cov, k, round(score, 6) as score from (select *, row_number() over (partition by dataset order by score desc, ordinal) as place from ({SWEPT_SQL}) s) b where place = 1")
 def dataset_sweep(spark, sf_dir):
-    return rounded(pipeline.dataset_sweep(dataset_points(spark, sf_dir), sweep_grids(spark), SWEEP_Q, search={"draws": 4, "rounds": 1}))
+    return rounded(pipeline.dataset_sweep(dataset_points(spark, sf_dir), sweep_grids(spark), SWEEP_Q, strategies=["grid"]))
+
+
+@query("r9_dataset_sweep_search")
+def dataset_sweep_search(spark, sf_dir):
+    return rounded(pipeline.dataset_sweep(dataset_points(spark, sf_dir), sweep_grids(spark), SWEEP_Q, strategies=["search"], search={"draws": 4, "rounds": 1}))
 
 
 STEPPED = f"""{LATTICE}, {steps_sql(500, False)}, vv as (select step, size_id, xi, yi, zi, 'raw' as diffusion, label_mean as v from cm union all select step, size_id, xi, yi, zi, 'diffused', c from fs where it = 500 and cn > 0),

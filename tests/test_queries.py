@@ -28,7 +28,7 @@ def near(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and (math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=2e-5, abs_tol=2e-5))
 
 
-@pytest.mark.parametrize("name", ["dense_regions", "s1_read_points_without_ids", "s2_read_snapshots_without_ids", "d1_diffuse_stops", "d2_diffuse_free_3d_tiled", "c2_seeded_components", "c7_cluster_members", "q8_cluster_report", "r1_stage_a_grid", "r2_stage_a_eval", "r7_run_fixed_2d", "r10_sweep_3d", "x3_compare_clusters", "x4_sweep_summary", "x5_sweep_pivot", "g5_cell_means", "p4_knn_spacing", "p7_suggest_grids", "g2_assign_cells_periodic", "m5_diffusion_weight_scale", "d1_diffuse_masked_2d", "d3_impute_3d", "c3b_cell_components_by_size", "c6_atom_components", "q3_davies_bouldin", "q6_external_scores", "x1_match_by_overlap", "x2_voxel_shape", "b3_dbscan_labels"])
+@pytest.mark.parametrize("name", ["dense_regions", "s1_read_points_without_ids", "s2_read_snapshots_without_ids", "d1_diffuse_stops", "d2_diffuse_free_3d_tiled", "c2_seeded_components", "c7_cluster_members", "q8_cluster_report", "r1_stage_a_grid", "r2_stage_a_eval", "r5_stage_b_sweep", "r9_dataset_sweep", "r7_run_fixed_2d", "r10_sweep_3d", "x3_compare_clusters", "x4_sweep_summary", "x5_sweep_pivot", "g5_cell_means", "p4_knn_spacing", "p7_suggest_grids", "g2_assign_cells_periodic", "m5_diffusion_weight_scale", "d1_diffuse_masked_2d", "d3_impute_3d", "c3b_cell_components_by_size", "c6_atom_components", "q3_davies_bouldin", "q6_external_scores", "x1_match_by_overlap", "x2_voxel_shape", "b3_dbscan_labels"])
 def test_query_matches_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
