@@ -13,7 +13,7 @@ def small(spark, tmp_path):
     text = lambda n: " ".join(words[(n * 7 + k * (n % 9 + 1)) % 10] + str((n * k) % 13) for k in range(60))
     item = "What is the colour of the old bridge over the river\nIt was painted green in the year of the flood"
     rows = [(n, text(n) + (" idiot moron idiot" if n % 5 == 0 else "")) for n in range(100)]
-    rows += [(200, text(1)), (201, text(2) + "\n" + item), (202, text(3) + " token = abcdef012345"), (203, None), (204, ""), (None, text(4) + " other end of it"), (7, text(7))]
+    rows += [(200, text(1)), (201, text(2) + "\n" + item), (202, text(3) + " token = abcdef012345"), (203, None), (204, ""), (None, text(4) + " other end of it"), (7, text(7)), (205, "river " * 60_000 + "password = hunter2hunter2"), (206, "x" * 150_000)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(n, 1, int(n % 5 == 0)) for n in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -33,9 +33,11 @@ def test_stages_drop_what_they_should_and_nothing_else(spark, tmp_path):
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert ids(found) == [201]
     masked = {r["doc_id"]: r["text"] for r in stages["secrets"](spark, docs, sf).collect()}
+    assert masked[205] == "river " * 60_000 + "[assign]" and masked[206] == "x" * 150_000
     assert masked[202].endswith(" [assign]") and masked[203] is None and masked[1] == rows[1][1]
     for name in list(stages)[:-1]:
         assert stages[name](spark, docs.limit(0), sf).count() == 0
         assert tuple(stages[name](spark, docs.withColumn("extra", F.lit(1)), sf).columns) == corpus_pipeline.COLUMNS
     out = corpus_pipeline.run(spark, sf)
     assert set(out.columns) >= {"doc_id", "n_tokens", "ids"} and out.count() < len(rows)
+    assert out.where("doc_id in (205, 206)").count() == 2
