@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridjobs.llm import pii, token_counts, topk
+from gridjobs.llm import centroids, divergence, pii, token_counts, topk
 from gridjobs.llm.bpe import op7_bpe
 from gridjobs.llm.decontaminate import op2_decontaminate
 from gridjobs.llm.html import op3_html
 from gridjobs.llm.licenses import op9_licenses
+from gridjobs.llm.piece_bpe import op11_pieces
 from gridjobs.llm.secrets import op4_secrets
 from gridjobs.llm.simhash import op8_simhash
 from gridjobs.llm.toxicity import op6_toxicity
@@ -32,9 +33,12 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_licenses": op9_licenses,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_pieces": op11_pieces,
+        "op12_divergence": divergence.op12_divergence,
+        "op13_clusters": centroids.op13_clusters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op12_divergence": divergence.ORACLE, "op13_clusters": centroids.ORACLE}
