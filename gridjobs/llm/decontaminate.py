@@ -19,8 +19,6 @@ from gridjobs.llm.tables import slices, table
 WORD = re.compile(r"\w+")
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: Share of an item's score against itself from which a passage is verified.
-THRESHOLD = 0.6
 #: Words of a shingle, and the share of an item's shingles that a passage must hold.
 WIDTH, OVERLAP = 5, 0.8
 #: Share of an item's words, in order and close together, with which a passage holds it though edits broke its shingles.
@@ -33,7 +31,7 @@ BLOCK, SPAN = 8, 64
 LEAST = 16
 #: Single precision of summed impacts.
 SLACK = 1e-5
-#: Bounds and terms of passages that are held at a time.
+#: Passages times stretches, and terms of passages, that are held at a time.
 CELLS, ROWS = 4_000_000, 50_000
 #: Items whose shingles a worker remembers.
 REMEMBERED = 4_096
@@ -103,25 +101,45 @@ def _joint(a_key: np.ndarray, b_key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, at[hit]
 
 
+def _most_missing(row: np.ndarray, mass: np.ndarray, cost: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """For each row, the most mass that terms within the budget of their costs can have; the last of them counts in part."""
+    of = np.argsort(-mass / cost, kind="stable")
+    of = of[np.argsort(row[of], kind="stable")]
+    row, mass, cost = row[of], mass[of], cost[of].astype(float)
+    total = np.cumsum(cost)
+    first = np.searchsorted(row, np.arange(len(budget)))
+    before = total - cost - np.append(0.0, total)[first][row]
+    return np.bincount(row, mass * np.clip((budget[row] - before) / cost, 0, 1), len(budget))
+
+
 class Postings:
-    """Inverted index of items of like length, with impacts relative to each item's score against itself.
+    """Inverted index of items of like length, with impacts relative to the least that a passage must have of each item.
 
     Postings of a term stand in order of items; ``BLOCK`` items are a block and ``SPAN`` blocks a stretch, and for each term and
-    block, and each term and stretch, the largest impact is kept. Arrays only: some 30 bytes a posting.
+    block, and each term and stretch, the largest impact is kept. A posting is a pivot if its term is one of those (the ones of most
+    impact) without which the rest of the item can't reach 1. Arrays only: some 30 bytes a posting.
     """
 
     def __init__(self, first: int, lengths: np.ndarray, term: np.ndarray, item: np.ndarray, impact: np.ndarray):
         self.first, self.n = first, len(lengths)
         self.reach = math.ceil(1.25 * int(lengths.max()))
+        falling = np.lexsort((-impact, item))
+        sums = np.cumsum(impact[falling].astype(float))
+        begin = np.searchsorted(item[falling], item[falling])
+        rest = np.bincount(item, impact, self.n)[item[falling]] - (sums - impact[falling] - np.append(0.0, sums)[begin])
+        pivot = np.zeros(len(item), bool)
+        pivot[falling] = rest >= 1 - SLACK
         order = np.lexsort((item, term))
-        term, self.item, self.impact = term[order], item[order].astype(np.int32), impact[order].astype(np.float32)
+        term, self.item, self.impact, pivot = term[order], item[order].astype(np.int32), impact[order].astype(np.float32), pivot[order]
         self.n_blocks = -(-self.n // BLOCK)
         self.n_stretches = -(-self.n_blocks // SPAN)
-        #: term and block (or stretch) as one number, where its postings (or blocks) begin, and its largest impact
+        #: term and block (or stretch) as one number, where its postings (or blocks) begin, its largest impact, and whether a pivot is there
         self.block_key, self.block_at, self.block_max = self._grouped(term * self.n_blocks + self.item // BLOCK, self.impact)
+        self.block_pivot = np.logical_or.reduceat(pivot, self.block_at[:-1]) if len(pivot) else pivot
         term, block = self.block_key // self.n_blocks, self.block_key % self.n_blocks
         self.stretch_key, self.stretch_at, self.stretch_max = self._grouped(term * self.n_stretches + block // SPAN, self.block_max)
         self.stretch_at = self.stretch_at.astype(np.int64)
+        self.pivot_key = self.stretch_key[np.logical_or.reduceat(self.block_pivot, self.stretch_at[:-1])] if len(pivot) else self.stretch_key
 
     @staticmethod
     def _grouped(key: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,21 +147,20 @@ class Postings:
         return key[at], np.append(at, len(key)).astype(np.int32), np.maximum.reduceat(impact, at) if len(at) else impact
 
     def retrieve(self, half: np.ndarray, term: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all passages at or over the threshold.
+        """(passage, item, score) of all passages that have what they must of an item.
 
         ``half``, ``term``: distinct terms of each half passage, in order; a passage is a half and the one after it where
-        ``pairs`` says so. Sums of maxima bound what a passage can score in a stretch of items; only where that reaches the threshold
-        are the maxima of its blocks summed, and only in blocks that reach it as well are postings read. What is skipped at
-        either level is never touched.
+        ``pairs`` says so. Only stretches in which the passage meets a pivot are opened, if the sum of its terms' maxima there can reach
+        1; in these only blocks for which both hold as well are read. What is skipped at either level is never touched.
         """
-        n = len(pairs)
         if not len(term) or not len(self.block_key):
             return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-        lo, hi = np.searchsorted(self.stretch_key, term * self.n_stretches), np.searchsorted(self.stretch_key, (term + 1) * self.n_stretches)
+        lo, hi = np.searchsorted(self.pivot_key, term * self.n_stretches), np.searchsorted(self.pivot_key, (term + 1) * self.n_stretches)
         of, at = _ranges(lo, hi)
-        bound = np.bincount(half[of] * self.n_stretches + self.stretch_key[at] % self.n_stretches, self.stretch_max[at], n * self.n_stretches).reshape(n, -1)
-        bound[:-1][pairs[:-1]] += bound[1:][pairs[:-1]].copy()
-        passage, stretch = np.nonzero(bound >= THRESHOLD - SLACK)
+        met, stretch = half[of], self.pivot_key[at] % self.n_stretches
+        back = (met > 0) & pairs[np.maximum(met - 1, 0)]
+        open_ = _distinct(np.append(met * self.n_stretches + stretch, (met[back] - 1) * self.n_stretches + stretch[back]))
+        passage, stretch = open_ // self.n_stretches, open_ % self.n_stretches
         first, last = np.searchsorted(half, passage), np.searchsorted(half, passage + 1 + pairs[passage])
         ends = np.append(0, np.cumsum(last - first))
         found, a = [], 0
@@ -160,12 +177,14 @@ class Postings:
         own = _distinct(of * size + term[at])
         row, words = own // size, own % size
         hit, at = _joint(words * self.n_stretches + stretch[row], self.stretch_key)
-        row, words = row[hit], words[hit]
+        row = row[hit]
+        can = np.bincount(row, self.stretch_max[at], len(passage)) >= 1 - SLACK
+        row, at = row[can[row]], at[can[row]]
         which, block = _ranges(self.stretch_at[at], self.stretch_at[at + 1])
-        inside = self.block_key[block] % self.n_blocks - stretch[row[which]] * SPAN
-        bound = np.bincount(row[which] * SPAN + inside, self.block_max[block], len(passage) * SPAN)
-        open_ = bound >= THRESHOLD - SLACK
-        keep = open_[row[which] * SPAN + inside]
+        inside = row[which] * SPAN + self.block_key[block] % self.n_blocks - stretch[row[which]] * SPAN
+        open_ = np.bincount(inside, self.block_max[block], len(passage) * SPAN) >= 1 - SLACK
+        open_ &= np.bincount(inside, self.block_pivot[block], len(passage) * SPAN) > 0
+        keep = open_[inside]
         row, block = row[which[keep]], block[keep]
         which, post = _ranges(self.block_at[block].astype(np.int64), self.block_at[block + 1].astype(np.int64))
         key = row[which] * self.n + self.item[post]
@@ -174,32 +193,42 @@ class Postings:
         start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.empty(0, np.int64)
         score = np.add.reduceat(impact, start) if len(start) else impact
         key = key[start]
-        hits = score >= THRESHOLD - SLACK
+        hits = score >= 1 - SLACK
         return passage[key[hits] // self.n], key[hits] % self.n, score[hits]
 
 
 class Index:
-    """Items by length, each class with its own postings and passages; counts of terms are over all items."""
+    """Items by length, each class with its own postings and passages.
+
+    Counts of terms, the number of items and their mean length are those of ``everywhere`` (number, mean, {word: items}) where that
+    is given, so that a share of the items is weighed as all of them are, and else of these items.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        parsed = [(i, *split_item(t or "")) for i, t in items]
+    def __init__(self, items: list[tuple], everywhere: tuple[int, float, dict[str, int]] | None = None):
+        parsed = [(i, *split_item(t or ""), *more) for i, t, *more in items]
         parsed = sorted((x for x in parsed if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0] is None, x[0]))
-        self.ids = [x[0] for x in parsed]
-        self.asked = np.array([len(q) for _, q, _ in parsed], np.int32)
+        self.ids, self.more = [x[0] for x in parsed], [x[3:] for x in parsed]
+        self.asked = np.array([len(x[1]) for x in parsed], np.int32)
         self.terms: dict[str, int] = {}
         known = self.terms.setdefault
-        self.flat = np.fromiter((known(w, len(self.terms)) for _, q, a in parsed for w in chain(q, a)), np.int64)
-        lengths = np.array([len(q) + len(a) for _, q, a in parsed], np.int64)
+        self.flat = np.fromiter((known(w, len(self.terms)) for x in parsed for w in chain(x[1], x[2])), np.int64)
+        lengths = np.array([len(x[1]) + len(x[2]) for x in parsed], np.int64)
         del parsed
         self.at = np.append(0, np.cumsum(lengths))
         self.sets: dict[int, tuple] = {}
-        n = len(lengths)
-        key, count = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(self.terms)) + self.flat, return_counts=True)
-        item, term = key // max(1, len(self.terms)), key % max(1, len(self.terms))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[item] / max(1.0, lengths.mean() if n else 1.0)))
+        n, size = len(lengths), max(1, len(self.terms))
+        key, count = np.unique(np.repeat(np.arange(n), lengths) * size + self.flat, return_counts=True)
+        item, term = key // size, key % size
+        many, mean, df = n, max(1.0, lengths.mean() if n else 1.0), np.bincount(term, minlength=len(self.terms))
+        if everywhere:
+            many, mean, counts = everywhere
+            df = np.fromiter(map(counts.__getitem__, self.terms), np.int64, len(self.terms))
+        idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[item] / mean))
         impact /= np.bincount(item, impact, n)[item]
+        #: the share of its own score that a passage must have at least to hold an item
+        self.least = self._least(key, item, impact, count, lengths)
+        impact = impact / self.least[item]
         self.classes = []
         size = np.ceil(np.log2(np.maximum(lengths, LEAST))).astype(int) if n else np.empty(0, int)
         for k in np.unique(size).tolist():
@@ -207,6 +236,53 @@ class Index:
             own = slice(int(np.searchsorted(item, lo)), int(np.searchsorted(item, hi)))
             self.classes.append(Postings(lo, lengths[lo:hi], term[own], item[own] - lo, impact[own]))
 
+    def _least(self, key: np.ndarray, item: np.ndarray, mass: np.ndarray, count: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A bound from below of the score of any passage that ``verify`` accepts, for each item.
+
+        What such a passage may lack is bounded for each of the ways to be accepted. Words in order: their places. Shingles: a
+        place lies in up to five, so the places' shingles add up to at most five times what may be lacking. Answers: their words.
+        """
+        n, size, asked = len(lengths), max(1, len(self.terms)), self.asked.astype(np.int64)
+        place = np.arange(len(self.flat)) - np.repeat(self.at[:-1], lengths)
+        row = np.repeat(np.arange(n), lengths)
+        own = np.searchsorted(key, row * size + self.flat)  # each place's (item, term)
+        in_question = place < asked[row]
+
+        def part(inside: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Most mass that may lack where the first ``length`` words are held, in order or by shingles; number of shingles."""
+            places = np.bincount(own[inside], minlength=len(key))
+            windows = np.maximum(length - WIDTH + 1, (length > 0).astype(np.int64))
+            covered = np.minimum(np.minimum(place + 1, WIDTH), np.minimum(length[row] - place, windows[row]))
+            cost = np.bincount(own[inside], covered[inside], len(key)).astype(np.int64)
+            starts = inside & (place < windows[row])
+            hashed = np.zeros(len(self.flat), np.uint64)
+            for k in range(WIDTH):
+                at = np.minimum(np.arange(len(self.flat)) + k, len(self.flat) - 1)
+                hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + np.where(inside[at] & (row[at] == row), self.flat[at] + 1, 0).astype(np.uint64)
+            first = np.unique(hashed[starts] * np.uint64(0x9E3779B97F4A7C15) + row[starts].astype(np.uint64), return_index=True)[1]
+            shingles_ = np.bincount(row[starts][first], minlength=n)
+            may = np.floor(shingles_ - OVERLAP * shingles_ + 1e-9)
+            # where a shingle is repeated, one that is lacking may stand for many places
+            for i in np.nonzero(shingles_ < windows)[0].tolist():
+                w = self.words(i)[: int(length[i])]
+                per = Counter(t for s in shingles(w) for t in set(s))
+                lo, hi = np.searchsorted(key, [i * size, (i + 1) * size])
+                cost[lo:hi] = [per.get(int(k) % size, 0) for k in key[lo:hi]]
+            used = places > 0
+            some = lambda c, budget: _most_missing(item[used], mass[used], np.maximum(1, c[used]), budget)
+            need = np.ceil(ORDERED * length - 1e-9)
+            return np.maximum(some(places, length - need), some(cost, WIDTH * may)), shingles_
+
+        whole, _ = part(np.ones(len(self.flat), bool), lengths)
+        question, number = part(in_question, asked)
+        answer = np.bincount(own[~in_question], minlength=len(key)) > 0
+        words_ = np.bincount(item[answer], minlength=n)
+        rest = _most_missing(item[answer], mass[answer], np.ones(answer.sum()), np.floor(words_ - ANSWER * words_ + 1e-9))
+        missing = np.maximum(whole, np.where(number > 1, question + rest, 0.0))
+        smallest = np.full(n, np.inf)
+        np.minimum.at(smallest, item, mass)
+        return np.maximum(1 - missing, smallest) * (1 - SLACK)
+
     def __getstate__(self):
         return self.__dict__ | {"sets": {}}
 
@@ -272,7 +348,7 @@ class Index:
                     q, share, enough = self.verify(c.first + item, ids[lo : min(lo + 2 * c.reach, int(begin[d] + lengths[d]))].tolist())
                     if enough:
                         k = (first + d, c.first + item)
-                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, q, share))
+                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score * float(self.least[c.first + item]), q, share))
 
 
 def _matches(shared, columns: list[str]):
@@ -282,26 +358,58 @@ def _matches(shared, columns: list[str]):
             found = index.search([t or "" for t in batch.column("_text").to_pylist()])
             rows = pa.array([d for d, _ in found], pa.int64())
             cols = [batch.column(c).take(rows) for c in columns]
-            cols += [pa.array([index.ids[i] for _, i in found], pa.int64())] + [pa.array([x[k] for x in found.values()], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "item_id", "bm25", "question_overlap", "answer_overlap"])
+            cols += [pa.array([index.ids[i] for _, i in found], pa.int64()), pa.array([index.more[i][1] for _, i in found], pa.string())]
+            cols += [pa.array([x[k] for x in found.values()], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "item_id", "_same", "bm25", "question_overlap", "answer_overlap"])
 
     return run
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, items, length) for each word of each item, with the item's length once, beside a null word."""
+    for batch in slices(batches):
+        word, length = [], []
+        for text in batch.column("_item").to_pylist():
+            q, a = split_item(text)
+            if q or a:
+                own = [None, *dict.fromkeys(chain(q, a))]
+                word += own
+                length += [len(q) + len(a), *([0] * (len(own) - 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(length, pa.int64())], names=["word", "length"])
+
+
 def _indexes(items: DataFrame, index_chars: int) -> Iterator[Index]:
-    """Indexes of bounded size over all items; their summed size is asked first, and only so many are collected at a time."""
-    i = items.select("item_id", F.col("text").alias("_item")).where("_item is not null")
+    """Indexes of bounded size over all different items, each item with how many rows have it and a key of its text.
+
+    Their summed size is asked first, and only so many are collected at a time. Where they make more than one index, words are counted over
+    all of them first, and each index is given the counts of its own words."""
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_item")).where("_item is not null")
+    i = i.groupBy("_item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
     total = i.agg(F.coalesce(F.sum(F.length("_item")), F.lit(0))).first()[0]
     n = max(1, -(-total // index_chars))
+    rows = i.select("item_id", "_item", "copies", F.sha2("_item", 256).alias("key"))
+    if n == 1:
+        yield Index([tuple(r) for r in rows.collect()])
+        return
+    dealt = F.pmod(F.xxhash64("_item"), F.lit(n))
+    counted = cut(i.select("_item").mapInArrow(_item_words, "word string, length long").groupBy("word").agg(F.count("*").alias("items"), F.sum("length").alias("length")))
+    every = counted.where("word is null").first()
     for k in range(n):
-        yield Index([tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n)) == k).collect()])
+        own = rows.where(dealt == k)
+        if every is None:
+            return
+        its = own.select("_item").mapInArrow(_item_words, "word string, length long").where("word is not null").select("word").distinct()
+        df = dict(tuple(r) for r in counted.select("word", "items").join(its, "word").collect())
+        yield Index([tuple(r) for r in own.collect()], (every["items"], every["length"] / every["items"], df))
 
 
 def _counted(shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in slices(batches):
-            n = Counter(d for d, _ in index.search([t or "" for t in batch.column("text").to_pylist()]))
+            n: Counter = Counter()
+            for d, i in index.search([t or "" for t in batch.column("text").to_pylist()]):
+                n[d] += index.more[i][0]
             more = pa.array([n[k] + old for k, old in enumerate(batch.column("n_items").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), more], names=[*columns, "n_items"])
 
@@ -324,9 +432,11 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tu
     score), question_overlap, answer_overlap.
 
     For items of each class of length, a document is cut into passages of twice the longest of them (and a quarter more, for
-    insertions), each overlapping the next by half, so that an item lies whole in one of them. Items are collected for an index only up to ``index_chars``
-    characters (their size is summed first); beyond that they are dealt out over several indexes by hash of item_id, and
-    each index is run over all passages. Nothing else leaves the executors and nothing is shuffled.
+    insertions), each overlapping the next by half, so that an item lies whole in one of them. A passage is verified against each item
+    of which it has the least score that any passage can have that is accepted, so the index loses none. Items are collected for an index only up to ``index_chars``
+    characters (their size is summed first, equal texts once); beyond that they are dealt out over several indexes by hash of
+    their text, with counts of words over all of them, and each index is run over all passages, one after the other. Nothing
+    else leaves the executors and no document is shuffled.
 
     Null and empty texts and items match nothing; items without words are left out; a null item_id is kept as null.
     Repeated documents give repeated rows, repeated items give a row each. Empty tables give an empty result.
@@ -334,12 +444,24 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tu
     spark = docs.sparkSession
     d = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in d.drop("_text").dtypes)
-    out = None
+    found: list[tuple[DataFrame, bool]] = []
+    held = None
     for index in _indexes(items, index_chars):
-        shared = spark.sparkContext.broadcast(index)
-        found = d.mapInArrow(_matches(shared, list(keep)), f"{kinds}, item_id long, bm25 double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
-    return out
+        if held is not None:  # write what an index found before the next one is held
+            found[-1] = (cut(found[-1][0]), found[-1][1])
+            held.destroy()
+        held = spark.sparkContext.broadcast(index)
+        part = d.mapInArrow(_matches(held, list(keep)), f"{kinds}, item_id long, _same string, bm25 double, question_overlap double, answer_overlap double")
+        found.append((part, any(m[0] > 1 for m in index.more)))
+    out = None
+    if any(repeated for _, repeated in found):
+        again = items.where("text is not null").select(F.sha2("text", 256).alias("_same"), F.col("item_id").cast("long").alias("item_id"))
+    for part, repeated in found:
+        part = part.drop("item_id").join(again, "_same").select(*part.columns) if repeated else part
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"{kinds}, item_id long, _same string, bm25 double, question_overlap double, answer_overlap double")
+    return out.drop("_same")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,8 +149,9 @@ def test_block_bounds_lose_nothing(monkeypatch):
                 for k in range(n):
                     terms = set(ids[(half == k) | (half == k + 1)].tolist())
                     full = {i: sum(v for t, v in impact[c.first + i].items() if t in terms) for i in range(c.n)}
-                    want = {(k, i): v for i, v in full.items() if v >= decontaminate.THRESHOLD}
-                    assert {x: pytest.approx(v, abs=1e-4) for x, v in got.items() if x[0] == k and v >= decontaminate.THRESHOLD + 1e-4} == {x: v for x, v in want.items() if v >= decontaminate.THRESHOLD + 1e-4}
+                    share = {(k, i): v / index.least[c.first + i] for i, v in full.items()}
+                    want = {x: v for x, v in share.items() if v >= 1}
+                    assert {x: pytest.approx(v, abs=1e-4) for x, v in got.items() if x[0] == k and v >= 1 + 1e-4} == {x: v for x, v in want.items() if v >= 1 + 1e-4}
                     assert set(want) <= set(got)
                     seen += len(want)
         assert seen > 100
@@ -170,6 +171,75 @@ def test_batches_of_passages_do_not_change_what_is_found(monkeypatch):
         assert index.search(texts) == want
 
 
+def every_passage_against_every_item(index, texts):
+    """What the index finds, with no index: each passage of each class verified against each item of the class."""
+    out = set()
+    for d, text in enumerate(texts):
+        ids = [index.terms.get(w, -1) for w in decontaminate.words(text)]
+        for c in index.classes:
+            for lo in range(0, len(ids), c.reach):
+                out |= {(d, c.first + i) for i in range(c.n) if index.verify(c.first + i, ids[lo : lo + 2 * c.reach])[2]}
+    return out
+
+
+def edited(rng, w):
+    """A copy of words with some replaced, put in, left out or moved."""
+    w = list(w)
+    for _ in range(rng.randrange(0, 2 + len(w) // 4)):
+        k = rng.randrange(len(w))
+        if rng.random() < 0.5:
+            w[k] = f"w{rng.randrange(600)}"
+        elif rng.random() < 0.5:
+            w.insert(k, f"w{rng.randrange(40)}")
+        elif len(w) > 1:
+            del w[k]
+    return w
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nothing_that_verification_accepts_is_missed(seed):
+    rng = random.Random(seed)
+    pick = lambda n: [f"w{int(rng.paretovariate(0.5)) % 600}" for _ in range(n)]
+    made = [pick(rng.choice((1, 2, 4, 5, 6, 9, 14, 20, 33, 60))) for _ in range(70)]
+    made += [(pick(3) * 9)[: rng.randrange(6, 27)] for _ in range(10)] + [pick(12) + ["Yes.", "It", "was"] + pick(5) for _ in range(10)]
+    index = decontaminate.Index([(n, " ".join(w)) for n, w in enumerate(made)])
+    texts = []
+    for _ in range(120):
+        w = rng.choice(made)
+        parts = [pick(rng.randrange(40)), edited(rng, w), pick(rng.randrange(40)), edited(rng, rng.choice(made))]
+        if len(w) > 12 and rng.random() < 0.3:  # question and answer apart, and the answer's words in any order
+            parts = [w[: 3 * len(w) // 4], pick(9), rng.sample(w[3 * len(w) // 4 :], len(w) - 3 * len(w) // 4)]
+        texts.append(" ".join(x for p in parts for x in p))
+    want = every_passage_against_every_item(index, texts)
+    assert set(index.search(texts)) == want and len(want) > 100
+
+
+def test_what_is_found_does_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{n}" for n in range(100)]
+    made = [rng.sample(common, 10) for _ in range(600)]
+    made = [[*w[:4], f"own{n}a", *w[4:8], f"own{n}b", *w[8:]] for n, w in enumerate(made)]
+    texts = [" ".join(["x", *(w if not w.startswith("own") else "other" for w in made[k]), "y"]) for k in range(60)]
+    rows = [(n, " ".join(w), 1) for n, w in enumerate(made)] + [(5_000, " ".join(made[3]), 1), (None, " ".join(made[4]), 1)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string, doc_id int")
+    df = documents(spark, texts)
+    total = sum(len(r[1]) for r in rows[:600])
+    index = decontaminate.Index([tuple(r[:2]) for r in rows[:600]])
+    plain = {(d, index.ids[i]) for d, i in every_passage_against_every_item(index, texts)}
+    plain |= {(d, n) for d, i in plain for n in ((5_000,) if i == 3 else (None,) if i == 4 else ())}
+    assert {(k, k) for k in range(60)} <= plain
+    found = []
+    for chars in (1 << 30, total // 4):
+        got = decontaminate.contaminated(df, benchmark, index_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == plain and len(got) == len(plain)
+        counts = {r["doc_id"]: r["n_items"] for r in decontaminate.with_item_counts(df, benchmark, index_chars=chars).collect()}
+        assert counts == dict(Counter(d for d, _ in plain))
+        found.append({(r["doc_id"], r["item_id"]): pytest.approx(r["bm25"], abs=1e-5) for r in got})
+    assert found[0] == {k: v.expected for k, v in found[1].items()}
+    same = benchmark.where("item_id = 7").crossJoin(spark.range(500)).select(F.col("id").alias("item_id"), "text")
+    assert decontaminate.contaminated(df.where("doc_id = 7"), same).count() == 500
+
+
 def test_an_index_of_many_items_stays_small():
     import pickle
     import tracemalloc
