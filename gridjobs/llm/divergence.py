@@ -26,8 +26,8 @@ WHOLE, ADDED = 1_000_000_000, 5
 HELD, AT_A_TIME = 400_000, 1_000_000
 #: Groups up to which their sums are broadcast (some 30 MB); more are joined by a shuffle, whose hot groups the planner splits.
 GROUPS = 200_000
-#: Pairs of sources whose corrections a task holds before it passes them on.
-PAIRS = 500_000
+#: Sources from which on a task passes on the corrections of all their pairs (32 MB, or what the sources of one term take).
+SOURCES = 1_000
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,67 +81,84 @@ def _share(n: Column, total: Column, kept: Column) -> Column:
 class Tree:
     """A frequent-pattern tree of term rows, read as they come in order: what is held is the path to the last row.
 
-    A node is a source with its share at a term; rows that begin alike share their first nodes. When a node is left, all terms
-    below it are known, and it is set against each of its ancestors once, with that number: by how much |p - q| of the two sources
-    differs from what their nodes give where the other source lacks the term, and gave where both lack it.
+    A node is a source with the share that its count makes at a term; rows that begin alike share their first nodes. When nodes are
+    left, all terms below them are known, and each is set against each of its ancestors once, with that number: by how much |p - q| of
+    the two sources differs from what their nodes give where the other source lacks the term, and gave where both lack it.
     """
 
     def __init__(self):
-        self.items: list[tuple[str, int, int]] = []
-        self.terms: list[int] = []
-        self.pairs: dict[tuple[str, str], int] = {}
+        self.source = self.p = self.p0 = np.empty(0, np.int64)
+        self.terms = np.empty(0, np.int64)
+        #: for each source (by its number) the corrections with the sources before it
+        self.sums = np.zeros((0, 0), np.int64)
         self.combinations = 0
 
-    def insert(self, row: list[tuple[str, int, int]], terms: int) -> None:
-        """A row's (source, share, share where the term is lacking), in order of sources, and how many terms have it."""
-        same = 0
-        for a, b in zip(self.items, row):  # noqa: B905
-            if a != b:
-                break
-            same += 1
+    def insert(self, source: np.ndarray, p: np.ndarray, p0: np.ndarray, terms: int) -> None:
+        """A row's sources (numbers) in order, their shares, their shares where a term is lacking, and how many terms have it."""
+        n = min(len(source), len(self.source))
+        alike = (source[:n] == self.source[:n]) & (p[:n] == self.p[:n])
+        same = n if alike.all() else int(alike.argmin())
         self.leave(same)
-        self.items += row[same:]
-        self.terms += [0] * (len(row) - same)
-        if row:
-            self.terms[-1] += terms
+        self.source, self.p, self.p0 = source, p, p0
+        self.terms = np.append(self.terms, np.zeros(len(source) - same, np.int64))
+        self.terms[-1] += terms
 
     def leave(self, depth: int) -> None:
-        """Leave the nodes below ``depth``, the deepest first."""
-        if len(self.items) <= depth:
+        """Leave the nodes below ``depth``."""
+        n = len(self.source)
+        if n <= depth:
             return
-        p = np.array([i[1] for i in self.items], np.int64)
-        p0 = np.array([i[2] for i in self.items], np.int64)
-        while len(self.items) > depth:
-            k = len(self.items) - 1
-            m = self.terms.pop()
-            source, own, none = self.items.pop()
-            if k:
-                self.terms[-1] += m
-                more = m * (np.abs(own - p[:k]) - np.abs(own - p0[:k]) - np.abs(none - p[:k]) + np.abs(none - p0[:k]))
-                self.combinations += k
-                for (other, _, _), x in zip(self.items, more.tolist(), strict=True):
-                    self.pairs[other, source] = self.pairs.get((other, source), 0) + x
+        below = np.cumsum(self.terms[depth:][::-1])[::-1]
+        p, p0 = self.p, self.p0
+        own, none = p[depth:, None], p0[depth:, None]
+        more = below[:, None] * (np.abs(own - p) - np.abs(own - p0) - np.abs(none - p) + np.abs(none - p0))
+        more *= np.arange(n) < np.arange(depth, n)[:, None]
+        top = int(self.source.max()) + 1
+        if top > len(self.sums):
+            grown = np.zeros((2 * top, 2 * top), np.int64)
+            grown[: len(self.sums), : len(self.sums)] = self.sums
+            self.sums = grown
+        self.sums[self.source[depth:, None], self.source] += more
+        self.combinations += (depth + n - 1) * (n - depth) // 2
+        if depth:
+            self.terms[depth - 1] += below[0]
+        self.source, self.p, self.p0, self.terms = self.source[:depth], p[:depth], p0[:depth], self.terms[:depth]
+
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(source, earlier source, correction) so far; what is told is forgotten."""
+        a, b = np.nonzero(self.sums)
+        value, self.sums = self.sums[a, b], np.zeros((0, 0), np.int64)
+        return a, b, value
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, item, value): corrections of pairs of sources from a task's rows, which come in order."""
+    names: dict[str, int] = {}
 
     def out(lang: str, tree: Tree) -> pa.RecordBatch:
-        pairs, tree.pairs = tree.pairs, {}
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(pairs), pa.string()), pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array(pairs.values(), pa.int64())], names=["lang", "source", "item", "value"])
+        a, b, value = tree.told()
+        known = pa.array(names, pa.string())
+        cols = [pa.array([lang] * len(a), pa.string()), known.take(pa.array(a)), known.take(pa.array(b)), pa.array(value, pa.int64())]
+        names.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "item", "value"])
 
-    lang, tree = None, Tree()
+    last, tree = None, Tree()
     for batch in slices(batches):
-        for r in batch.to_pylist():
-            if lang is not None and (r["lang"] != lang or len(tree.pairs) > PAIRS):
-                if r["lang"] != lang:
-                    tree.leave(0)
-                yield out(lang, tree)
-            lang = r["lang"]
-            tree.insert([(i["source"], i["p"], i["p0"]) for i in r["row"]], r["terms"])
-    if lang is not None:
+        row = batch.column("row")
+        ends = row.offsets.to_numpy() - row.offsets[0].as_py()
+        source, p, p0 = row.flatten().flatten()
+        texts = source.to_pylist()
+        p, p0 = p.to_numpy(), p0.to_numpy()
+        for k, (lang, terms) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("terms").to_pylist(), strict=True)):
+            if last is not None and (lang != last or len(names) > SOURCES):
+                tree.leave(0)
+                yield out(last, tree)
+            last, (a, b) = lang, ends[k : k + 2]
+            number = np.array([names.setdefault(t, len(names)) for t in texts[a:b]], np.int64)
+            tree.insert(number, p[a:b], p0[a:b], terms)
+    if last is not None:
         tree.leave(0)
-        yield out(lang, tree)
+        yield out(last, tree)
 
 
 def _alone() -> Callable:
@@ -195,7 +212,8 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     known = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "kept", "total_lang"])
     zero = F.when(F.col("kept") > 0, _share(F.lit(0), F.col("total"), F.greatest("kept", F.lit(1)))).otherwise(0)
     known = cut(known.withColumn("p0", zero))
-    shares = kept.join(F.broadcast(known) if known.count() <= GROUPS else known, ["lang", "source"]).withColumns({"p": _share(F.col("n"), F.col("total"), F.col("kept")), "q": _share(F.col("n_lang"), F.col("total_lang"), F.col("kept"))})
+    few = known.count() <= GROUPS
+    shares = kept.join(F.broadcast(known) if few else known, ["lang", "source"]).withColumns({"p": _share(F.col("n"), F.col("total"), F.col("kept")), "q": _share(F.col("n_lang"), F.col("total_lang"), F.col("kept"))})
     shares = cut(shares.select("lang", "source", "term", "p", "q", "p0"))
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -205,7 +223,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     # what is so for all terms, for each two sources of a language: as many rows as the result has
     other = known.toDF(*(f"_{c}" for c in known.columns)).select(F.col("_lang").alias("lang"), F.col("_source").alias("item"), F.col("_p0").alias("q0"))
     own = known.toDF(*(f"_{c}" for c in known.columns)).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_p0").alias("p0"), F.col("_kept").alias("kept"))
-    two = own.join(other, "lang")
+    two = own.join(F.broadcast(other) if few else other, "lang")
     base = two.where("source <> item").select("lang", "source", "item", (F.col("kept") * F.abs(F.col("p0") - F.col("q0"))).alias("value"))
     different = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("terms"))
     alone = different.groupBy("lang", "source").cogroup(two.groupBy("lang", "source")).applyInArrow(_alone(), "lang string, source string, item string, value long")

@@ -71,7 +71,7 @@ def test_models_need_all_bytes_and_stand_gaps_in_ranks():
 
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"bc": 299, b"abc": 310}
     m = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe.serialized_model(ranks))
-    assert m.encode("abcab", out_type=int) == [97, 299, 300]
+    assert m.encode("abcab", out_type=int) == [310, 300]
 
 
 # 12
@@ -145,14 +145,15 @@ def test_shared_paths_are_set_against_ancestors_once():
     rows = Counter(tuple((s, none[s] + rng.randrange(1, 3), none[s]) for s in sources if rng.random() < 0.8) for _ in range(2_000))
     tree = divergence.Tree()
     for row in sorted(rows):
-        tree.insert(list(row), rows[row])
+        if row:
+            tree.insert(*(np.array(c, np.int64) for c in zip(*((sources.index(s), p, p0) for s, p, p0 in row), strict=True)), rows[row])
     tree.leave(0)
     want = Counter()
     for row, n in rows.items():
         for k, (s, p, p0) in enumerate(row):
             for r, q, q0 in row[:k]:
-                want[r, s] += n * (abs(p - q) - abs(p - q0) - abs(p0 - q) + abs(p0 - q0))
-    assert {k: v for k, v in tree.pairs.items() if v} == {k: v for k, v in want.items() if v}
+                want[s, r] += n * (abs(p - q) - abs(p - q0) - abs(p0 - q) + abs(p0 - q0))
+    assert {(sources[a], sources[b]): v for a, b, v in zip(*tree.told(), strict=True)} == {k: v for k, v in want.items() if v}
     nodes = {row[:k] for row in rows for k in range(1, len(row) + 1)}
     assert tree.combinations == sum(len(n) - 1 for n in nodes) < sum(len(r) * (len(r) - 1) // 2 for r in rows)
 
@@ -195,9 +196,9 @@ def test_vectors_with_gaps_left_are_not_scanned(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in np.eye(64)[k % 16] * 2 + rng.normal(0, 0.05, 64)]) for k in range(1_600)]
     trace = []
-    got = centroids.cluster_vectors(vectors(spark, rows), rounds=4, trace=trace).collect()
-    assert sorted(map(tuple, got)) == plain_clusters(rows, 16, 4)
-    assert trace[0] == 1_600 and sum(trace[2:]) < 1_600
+    got = centroids.cluster_vectors(vectors(spark, rows), rounds=8, trace=trace).collect()
+    assert sorted(map(tuple, got)) == plain_clusters(rows, 16, 8)
+    assert trace[0] == 1_600 and trace[-1] < 160
     with pytest.raises(Exception, match="134217728"):
         centroids.cluster_vectors(vectors(spark, [(1, [1e9] * 64)])).collect()
 
