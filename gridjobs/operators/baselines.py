@@ -9,11 +9,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridjobs.operators.components import components
+from gridjobs.functions.session import cut
+from gridjobs.operators.cliques import MARGIN, clique_components
 from gridjobs.operators.grid import assign_cells, cell_counts, label_points
-from gridjobs.operators.labelling import FINISH, _numbered, cell_components
+from gridjobs.operators.labelling import _numbered, cell_components
 from gridjobs.operators.metrics import cluster_report
-from gridjobs.operators.neighbors import radius_pairs
+from gridjobs.operators.neighbors import meetings
 from gridjobs.operators.prepare import minmax_scale
 
 
@@ -37,18 +38,21 @@ def dbscan_labels(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """Points with label: core points have ``min_pts`` points within ``eps``, themselves among them; touching core points share a
     cluster, other points within reach of one join the cluster of lowest id, and the rest is -1.
 
-    Clusters are numbered from 0 by their smallest core point id.
+    Clusters are numbered from 0 by their smallest core point id. Points of a bucket (narrow enough that all are within ``eps``) of
+    ``min_pts`` or more are core without a look at any neighbour; for the others neighbours are counted as they are met, and no
+    table of pairs is made. Core points are joined bucket by bucket.
     """
-    pairs = radius_pairs(points, eps, dims=("x", "y"), id_col="point_id").select("src", "dst")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = both.groupBy(F.col("src").alias("point_id")).agg(F.count("*").alias("m"))
-    core = points.join(degree, "point_id", "left").where(F.coalesce("m", F.lit(0)) + 1 >= min_pts).select("point_id")
-    inner = both.join(core.withColumnRenamed("point_id", "src"), "src", "left_semi").join(core.withColumnRenamed("point_id", "dst"), "dst", "left_semi")
-    roots = core.join(components(inner.where("src < dst"), finish=FINISH).withColumnRenamed("vertex", "point_id"), "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
-    named = _numbered(roots, [], "label", 0).select("point_id", "label")
-    border = both.join(named.withColumnRenamed("point_id", "dst"), "dst").groupBy(F.col("src").alias("point_id")).agg(F.min("label").alias("near"))
-    out = points.join(named, "point_id", "left").join(border, "point_id", "left")
-    return out.withColumn("label", F.coalesce("label", "near", F.lit(-1))).drop("near")
+    cells = {f"_c{c}": F.floor(F.col(c) / (eps / 2**0.5 * (1 - MARGIN))).cast("long") for c in ("x", "y")}
+    p = points.select("point_id", "x", "y").withColumns(cells)
+    full = p.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pts)
+    p = cut(p.join(full, list(cells), "left").select("point_id", "x", "y", F.col("_n").isNotNull().alias("_core")))
+    few = p.where("not _core").select("point_id", "x", "y")
+    enough = meetings(few, p.select("x", "y"), eps).groupBy(F.col("a_point_id").alias("point_id")).agg(F.count("*").alias("_m")).where(F.col("_m") >= min_pts)
+    core = cut(p.where("_core").select("point_id", "x", "y").unionByName(few.join(enough.select("point_id"), "point_id", "left_semi")))
+    named = cut(_numbered(clique_components(core, eps, dims=("x", "y"), id_col="point_id"), [], "label", 0).select("point_id", "label"))
+    others = few.join(named.select("point_id"), "point_id", "left_anti")
+    border = meetings(others, core.join(named, "point_id").select("x", "y", "label"), eps).groupBy(F.col("a_point_id").alias("point_id")).agg(F.min("b_label").alias("label"))
+    return points.join(named.unionByName(border), "point_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def clique_labels(points: DataFrame, m: int, r: int) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import grow, label_2d
 from gridjobs.functions.session import cut
+from gridjobs.operators.cliques import clique_components
 from gridjobs.operators.components import components
-from gridjobs.operators.neighbors import radius_pairs
 
 #: Edge of a tile that one task labels, and thinned edges of a run that one task finishes.
 TILE, FINISH = 512, 2_000_000
@@ -158,12 +158,11 @@ def atom_components(atoms: DataFrame, keys: Sequence[str] = ("step",), cutoff: f
     be exceeded, labels run from 0 and left out is -1.
     """
     keys = list(keys)
-    kept = atoms if thr is None else atoms.where(F.col("c_label") > thr if strict else F.col("c_label") >= thr)
-    pairs = radius_pairs(kept, cutoff, keys)
-    d = kept.select(*keys, F.col("atom_id").alias("vertex")).join(components(pairs, keys, finish=FINISH), [*keys, "vertex"], "left")
-    d = _numbered(d.withColumn("root", F.coalesce("root", "vertex")), keys, "label", 0 if strict else 1)
-    out = atoms.select(*keys, "atom_id").join(d.select(*keys, F.col("vertex").alias("atom_id"), "label"), [*keys, "atom_id"], "left")
-    return out.fillna({"label": -1 if strict else 0})
+    c = F.col("c_label")
+    over = F.lit(True) if thr is None else F.coalesce(c > thr if strict else c >= thr, F.lit(False))
+    rooted = clique_components(atoms.where(over), cutoff, keys)
+    named = _numbered(rooted, keys, "label", 0 if strict else 1).select(*keys, "atom_id", "label")
+    return named.unionByName(atoms.where(~over).select(*keys, "atom_id", F.lit(-1 if strict else 0).alias("label")))
 
 
 def cluster_members(df: DataFrame, keys: Sequence[str], members: Sequence[str], chunk: int = CHUNK) -> DataFrame:

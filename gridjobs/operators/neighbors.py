@@ -48,6 +48,25 @@ def radius_pairs(points: DataFrame, r: float, keys: Sequence[str] = (), dims: Se
     return pairs.where(d2 <= r * r).select(*keys, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"), F.sqrt(d2).alias("distance"))
 
 
+def meetings(left: DataFrame, right: DataFrame, r: float, dims: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Rows of ``left`` beside each row of ``right`` within distance ``r``, for aggregates that are taken at once.
+
+    Columns of ``left`` get the prefix a_, those of ``right`` b_. Each row of ``left`` is copied to the buckets around its own; rows
+    of a fuller bucket of ``right`` are dealt out in parts, over which what comes to it is copied.
+    """
+    dims = list(dims)
+    bucket = F.struct(*(F.floor(F.col(d) / r).cast("long").alias(d) for d in dims))
+    b = right.withColumn("_bucket", bucket)
+    full = b.groupBy("_bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")).where("_parts > 1")
+    b = b.join(full, "_bucket", "left").withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+    around = F.array(*(F.struct(*((F.floor(F.col(d) / r).cast("long") + o).alias(d) for d, o in zip(dims, off, strict=True))) for off in product((-1, 0, 1), repeat=len(dims))))
+    a = left.withColumn("_bucket", F.explode(around)).join(full, "_bucket", "left")
+    a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    a = a.select("_bucket", "_part", *(F.col(c).alias(f"a_{c}") for c in left.columns))
+    b = b.select("_bucket", "_part", *(F.col(c).alias(f"b_{c}") for c in right.columns))
+    return a.join(b, ["_bucket", "_part"]).where(squared_distance("a", "b", dims) <= r * r).drop("_bucket", "_part")
+
+
 def _nearest(k: int):
     """(id, d) of the k nearest points of a bucket's part for each open point near the bucket; distances are taken in blocks."""
 
