@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +21,12 @@ SEED = 42
 WIDTH = 3
 #: Bits that may differ.
 ERRORS = 2
-#: Fingerprints of one group that one task joins with themselves; larger groups are dealt out as pairs of slices.
-SLICE = 2_000
+#: Fingerprints below one node of the trie where it is cut for tasks, on average; nodes of more than SLICE are dealt out in slices.
+NODE, SLICE = 8_192, 20_000
+#: Pairs of values from which on a pair of nodes is split rather than compared.
+LEAF = 1_024
+#: Most bits of a prefix at which the trie is cut, and of one whose table of nodes is told by broadcast (some 16 MB).
+DEEPEST, TOLD_BITS = 32, 20
 #: Classes of equal fingerprints that are told their components by broadcast (some 70 MB): all where there are no more, or else those
 #: of more rows than 1 / TOLD of all, of which there are fewer.
 TOLD = 1_000_000
@@ -69,23 +72,24 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_fingerprints(list(keep)), f"{kinds}, fp long")
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray | None = None, errors: int = ERRORS) -> np.ndarray:
+def trie_pairs(left: np.ndarray, right: np.ndarray | None = None, errors: int = ERRORS, bits: int = 64, spent: int = 0, split: list | None = None) -> np.ndarray:
     """Pairs of values with at most ``errors`` differing bits, one of each side (or two of the same, each pair once).
 
     Both sides are sorted, so a trie node is a range of an array. Pairs of nodes go down together, bit by bit: equal
     branches keep their budget, unequal ones lose one of it, and a pair whose budget is spent is followed no further. A
-    pair of nodes with few values is compared directly.
+    pair of nodes with few values is compared directly. Below a pair of nodes of a larger trie only the lowest ``bits`` are left,
+    and ``spent`` is what the way to them has taken of the budget. ``split``, if given, gets the bit of each pair that is split.
     """
     a = np.sort(left)
     same = right is None
     b = a if same else np.sort(right)
     found: list[np.ndarray] = []
-    todo = [(0, len(a), 0, len(b), 63, errors)]
+    todo = [(0, len(a), 0, len(b), bits - 1, errors - spent)]
     while todo:
         a0, a1, b0, b1, bit, left_over = todo.pop()
         if a0 == a1 or b0 == b1 or same and a0 > b0:
             continue
-        if (a1 - a0) * (b1 - b0) <= 4096 or bit < 0:
+        if (a1 - a0) * (b1 - b0) <= LEAF or bit < 0:
             x, y = a[a0:a1, None], b[None, b0:b1]
             i, j = np.nonzero(np.bitwise_count(x ^ y) <= errors)
             if same and a0 == b0:
@@ -93,8 +97,10 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None = None, errors: int =
             if len(i):
                 found.append(np.stack([a[a0 + i], b[b0 + j]], 1))
             continue
-        split = lambda v, lo, hi: lo + int(np.searchsorted((v[lo:hi] >> np.uint64(bit)) & np.uint64(1), 1))  # noqa: B023, E731
-        am, bm = split(a, a0, a1), split(b, b0, b1)
+        if split is not None:
+            split.append(bit)
+        half = lambda v, lo, hi: lo + int(np.searchsorted((v[lo:hi] >> np.uint64(bit)) & np.uint64(1), 1))  # noqa: B023, E731
+        am, bm = half(a, a0, a1), half(b, b0, b1)
         todo += [(a0, am, b0, bm, bit - 1, left_over), (am, a1, bm, b1, bit - 1, left_over)]
         if left_over:
             todo.append((a0, am, bm, b1, bit - 1, left_over - 1))
@@ -110,36 +116,46 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([values, root], 1)[values != root]
 
 
-def _linked(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """A forest of the links of one group (or of two slices of it)."""
-    fp = group["fp"].to_numpy().view(np.uint64)
-    side = group["side"].to_numpy()
-    pairs = forest(trie_pairs(fp) if key[-1] == key[-2] else trie_pairs(fp[side == key[-2]], fp[side == key[-1]]))
-    return pd.DataFrame({"src": pairs[:, 0].view(np.int64), "dst": pairs[:, 1].view(np.int64)}, dtype="int64")
+def _linked(bits: int, errors: int):
+    """A forest of the links between two nodes of the trie at one depth (or their slices), or within one."""
 
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        spent = key[1].as_py().bit_count()
+        sides = [np.concatenate([np.array(v, np.int64) for s, v in zip(group.column("side").to_pylist(), group.column("values").to_pylist(), strict=True) if s == k] or [np.empty(0, np.int64)]).view(np.uint64) for k in (0, 1)]
+        same = spent == 0 and key[2] == key[3]
+        pairs = forest(trie_pairs(sides[0], None if same else sides[1], errors, bits, spent))
+        return pa.table({"src": pa.array(pairs[:, 0].view(np.int64)), "dst": pa.array(pairs[:, 1].view(np.int64))})
 
-def links(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
+    return run
+
+
+def links(prints: DataFrame, errors: int = ERRORS, node: int = NODE, slice_: int = SLICE) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints that connect all that links of at most ``errors`` differing bits connect: each
-    group of the join gives a forest of its links, so that a dense ball of fingerprints costs a pair for each and not for each two.
+    task gives a forest of its links, so that a dense ball of fingerprints costs a pair for each and not for each two.
 
-    ``prints`` has one row per distinct ``fp``. The bits fall into errors + 2 blocks; two fingerprints in reach agree on two
-    of them at least, so the trie is entered below each pair of blocks: fingerprints meet only where these bits are equal.
-    Groups beyond ``SLICE`` rows are cut into slices by hash and each pair of slices is a task of its own, so none is lost
-    and no task grows with the group.
+    ``prints`` has one row per distinct ``fp``. All of them are one trie, joined with itself from its root. It is cut at the depth at
+    which a node holds some ``node`` values: each pair of nodes there whose prefixes differ in no more bits than the budget allows is
+    a task, which goes on below with what is left of the budget. So values travel as arrays, once for each prefix within reach: with
+    p bits 1 + p + p * (p - 1) / 2 times for two errors. Nodes of more than ``slice_`` values are dealt out in slices by hash, and each
+    pair of slices is a task, so none is lost and no task grows with a node. Only the number of values reaches the driver.
     """
-    blocks = errors + 2
-    edges = [64 * n // blocks for n in range(blocks + 1)]
-    part = lambda n: F.shiftrightunsigned("fp", edges[n]).bitwiseAND(F.lit((1 << (edges[n + 1] - edges[n])) - 1))
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(part(i), part(j)).alias("key")) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
-    at = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.key")
-    sizes = at.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
-    at = at.join(sizes, ["n", "key"])
-    slices = F.ceil(F.col("size") / SLICE).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), slices).cast("int")
-    at = at.select("*", own.alias("side"), slices.alias("slices"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(s, F.col("side")).alias("lo"), F.greatest(s, F.col("side")).alias("hi")))
-    at = at.select("n", "key", "fp", "side", F.explode(pairs).alias("p")).select("n", "key", "p.lo", "p.hi", "fp", "side")
-    return at.groupBy("n", "key", "lo", "hi").applyInPandas(_linked, "src long, dst long")
+    n = prints.count()
+    depth = min(DEEPEST, max(0, (max(1, -(-n // node)) - 1).bit_length()))
+    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    p = prints.select("fp", prefix.alias("at"))
+    sizes = p.groupBy("at").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
+    told = (lambda df: F.broadcast(df)) if depth <= TOLD_BITS else (lambda df: df)
+    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    nodes = p.join(told(sizes), "at").withColumn("slice", own).groupBy("at", "slice").agg(F.collect_list("fp").alias("values"))
+    # the errors' places within the prefix; each pair of nodes is named by its lower one and the bits that differ
+    masks = sorted({sum(1 << k for k in some) for m in range(errors + 1) for some in combinations(range(depth), m)})
+    met = nodes.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))).withColumn("to", F.col("at").bitwiseXOR(F.col("mask")))
+    partner = sizes.select(F.col("at").alias("to"), F.col("slices").alias("others"))
+    met = met.join(told(partner), "to").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    first = (F.col("at") < F.col("to")) | (F.col("at") == F.col("to")) & (F.col("slice") <= F.col("other"))
+    key = [F.least("at", "to").alias("lower"), "mask", F.when(first, F.col("slice")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("slice")).alias("b")]
+    met = met.select(*key, F.when(first, 0).otherwise(1).alias("side"), "values")
+    return met.groupBy("lower", "mask", "a", "b").applyInArrow(_linked(64 - depth, errors), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # in two steps, so that of a class that all tasks have a few sums meet and not one a task
     some = prints.groupBy("fp", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     classes = cut(some.groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
-    reach = components(cut(links(classes.select("fp"))))
+    reach = components(cut(links(classes.select("fp"), node=NODE, slice_=SLICE)))
     top = classes.join(reach.withColumnRenamed("vertex", "fp"), "fp")
     best = top.groupBy("root").agg(F.min("first").alias("best"))
     named = top.join(best, "root").select("fp", "best")
