@@ -41,6 +41,9 @@ REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGES = re.compile(r"^[^\w@$]+|[^\w$@]+$|[$@!*]{2,}$")
 SEPARATORS = re.compile(r"[-._~'/\\,]+")
+#: What is an address of mail or of the web as a whole, and the signs that such have.
+ADDRESS = re.compile(r"(?:mailto:)?[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}|(?:https?|s?ftps?|wss?|file|git|ssh)://[^\s]+")
+MARKS = re.compile(r"[@:/]+")
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1")
 #: Characters of the language model: 0 stands for the edge of a word, then letters a-z, then accented letters.
@@ -135,7 +138,7 @@ def disguised(word: str) -> bool:
         return bool(TRIPLE.search(word))
     if sum(c.isalpha() for c in word) < 2:
         return False
-    if re.fullmatch(r"[0-9a-f]{16,}", word) or "://" in word or "@" in word and "." in word:
+    if re.fullmatch(r"[0-9a-f]{16,}", word) or ADDRESS.fullmatch(word):
         return False
     core = word[:-1] if word[-1] in "!" else word
     return any(c in LEET or c in BETWEEN for c in core) and not re.fullmatch(r"[^\W\d_]{2,}(['-][^\W\d_]{2,})+", word)
@@ -194,7 +197,7 @@ class Model:
         best = max((self.plain(w) for w in ([word] if word.isalpha() else LETTERS.findall(word))), default=0.0)
         if best < STRONG and self.logp is not None and word:
             if disguised(word):
-                best = max(best, self.plain(decode(word, self.logp)), self.phrase(word))
+                best = max(best, self.plain(decode(word, self.logp)), self.phrase(word), self.marked(word))
             elif DOUBLE.search(word):
                 best = max(best, self.strong(DOUBLE.sub(r"\1", word)))
         if len(self.seen) >= REMEMBERED:
@@ -202,6 +205,13 @@ class Model:
         self.seen[token] = best
         return best
 
+    def marked(self, word: str) -> float:
+        """Weight of a token with signs of addresses that is none: of its parts, each decoded, or of all of them together."""
+        if not MARKS.search(word):
+            return 0.0
+        parts = [p for p in [EDGES.sub("", p) for p in MARKS.split(word)] if disguised(p)]
+        return max(self.strong(decode(p, self.logp)) for p in [MARKS.sub("", word), *parts])
+
     def strong(self, word: str) -> float:
         return x if (x := self.plain(word)) >= STRONG else 0.0
 
