@@ -24,7 +24,14 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 ISO_DATE, DAY_FIRST = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}"
+#: Numbers of ten digits in the North American plan, with or without a country code; with a country code and perhaps a trunk zero in
+#: brackets; and as written within France (five pairs), Germany (area and number) and Spain (nine digits).
+AMERICAN = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+ABROAD = r"\+[0-9]{1,3}(?:[ .-]?\(0\))?(?:[ ./-]?[0-9]{2,4}){2,5}|\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[1-9](?:[ .-]?[0-9]{2}){4}|\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9]{2,4}[ ./-]?[0-9]{4,9}"
+FRENCH, GERMAN, SPANISH = r"0[1-9](?:[ .-][0-9]{2}){4}", r"\(?0[1-9][0-9]{1,4}(?:\) ?| ?/ ?|[ -])[0-9]{5,8}(?:-[0-9]{1,3})?", r"[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}"
+PHONE = rf"{AMERICAN}|{ABROAD}|{FRENCH}|{GERMAN}|{SPANISH}"
+#: Country codes of one and of two digits; all others have three.
+ONE, TWO = r"^\+[17]", r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"
@@ -172,7 +179,11 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     # no card is all zeros: the one body that would become it goes on to what zeros become
     body = let(permuted(d.substr(F.lit(1), F.length(d) - 1), key, "card"), lambda b: F.when(b.rlike("[1-9]"), b).otherwise(permuted(b, key, "card")))
     card = refilled(value, let(body, lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
-    lead = F.greatest(F.length(d) - 10, F.lit(0))
+    # the country code stays, with a trunk zero and the next digit, which may not become one; so do the zero and the digit of numbers
+    # as they are written within a country
+    code = F.when(value.rlike(ONE), 1).when(value.rlike(TWO), 2).otherwise(3)
+    abroad = code + F.when(value.contains("(0)"), 2).when(value.rlike(ONE), 0).otherwise(1)
+    lead = F.when(value.startswith("+"), abroad).when(value.rlike(r"^\(?0"), 2).when(whole(value, SPANISH), 1).otherwise(0)
     phone = refilled(value, F.concat(d.substr(F.lit(1), lead), permuted(d.substr(lead + 1, F.length(d)), key, "phone")))
     part = lambda at, n: d.substr(F.lit(at), F.lit(n)).cast("int")
     area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
@@ -195,8 +206,8 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text", keep: tuple[str
     """``keep`` columns, the whole text with every valid personal value replaced by its pseudonym, n_pii (how many), kinds (their
     kinds in order) and n_left (how many look like such a value but fail its check).
 
-    Values are e-mail and IPv4 addresses, dates of 1900-01-01 to 2079-06-06, phone, card, account and social security
-    numbers; what fails its format's check stays as it is and is counted. A null text stays null and counts none. Repeated rows give repeated
+    Values are e-mail and IPv4 addresses, dates of 1900-01-01 to 2079-06-06, phone numbers (with a country code, which stays, or as
+    written in North America, France, Germany and Spain), card, account and social security numbers; what fails its format's check stays as it is and is counted. A null text stays null and counts none. Repeated rows give repeated
     rows, empty texts and tables empty ones; other columns are not read. It is a projection: no shuffle, no state.
 
     An empty key is refused. The key stands in the query's plan: where plans are logged, let ``spark.sql.redaction.string.regex``

@@ -579,7 +579,16 @@ class Pseudonyms:
             new = f"{plain[:2]}{98 - left(plain[:2] + '00' + account):02d}{account}"
             return re.sub("(.{4})", r"\1 ", new).strip() if " " in v else new
         if re.fullmatch(pii.PHONE, v) and 8 <= len(d) <= 15:
-            lead = max(len(d) - 10, 0)
+            two = [20, 27, *range(30, 37), 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98]
+            two.remove(35)
+            code = 1 if d[0] in "17" else 2 if int(d[:2]) in two else 3
+            lead = 0
+            if v[0] == "+":
+                lead = code + (2 if "(0)" in v else 0 if code == 1 else 1)
+            elif v.lstrip("(")[0] == "0":
+                lead = 2
+            elif re.fullmatch(pii.SPANISH, v):
+                lead = 1
             return fill(d[:lead] + self.letters(d[lead:], "phone"))
         total = lambda s: sum(sum(divmod(2 * int(c), 10)) if n % 2 else int(c) for n, c in enumerate(reversed(s)))
         if re.fullmatch(pii.CARD, v) and total(d) % 10 == 0 and int(d):
@@ -629,6 +638,23 @@ def test_whole_texts_match_pseudonyms_made_by_loops(spark):
         pii.pseudonymized(df, "")
 
 
+def test_numbers_of_several_countries_keep_their_country(spark):
+    right = {
+        "+33 1 23 45 67 89": "+33 1", "01 23 45 67 89": "01", "06.12.34.56.78": "06", "+49 (0)89 123456": "+49 (0)8", "+49 89 123456": "+49 8", "030/1234567": "03", "(089) 123456": "(08", "+34 612 345 678": "+34 6",
+        "612 345 678": "6", "+351 21 123 4567": "+351 2", "+1 212 555 0123": "+1 ", "+7 495 123 45 67": "+7 ", "+44 20 7946 0958": "+44 2",
+    }
+    wrong = ["+33 1 23", "00 23 45 67 89", "512 345 678", "+49 (0)8", "1 23 45 67 89"]
+    rows = [(n, f"call {v}, or don't", 1) for n, v in enumerate([*right, *wrong])]
+    got = pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string, n int"), "k").orderBy("doc_id").collect()
+    for (v, kept), r in zip(right.items(), got, strict=False):
+        new = r["text"][5:-10]
+        assert (r["kinds"], r["n_pii"]) == ("phone", 1) and new != v and new.startswith(kept), v
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", v)
+    assert all(r["text"] == f"call {v}, or don't" for v, r in zip(wrong, got[len(right) :], strict=True))
+    many = pii.pseudonymized(spark.range(1_000).select(F.col("id").alias("doc_id"), F.format_string("+33 1 23 45 %02d %02d", F.floor(F.col("id") / 100), F.col("id") % 100).alias("text")), "k")
+    assert many.select("text").distinct().count() == 1_000 and many.where("text rlike '^[+]33 1 '").count() == 1_000
+
+
 def test_social_security_numbers_stay_valid(spark):
     area = F.when(F.col("id") % 898 < 665, F.col("id") % 898 + 1).otherwise(F.col("id") % 898 + 2)
     v = spark.range(20_000).select(F.format_string("%03d-%02d-%04d", area, F.col("id") % 99 + 1, F.col("id") * 7 % 9999 + 1).alias("v"))
@@ -683,6 +709,25 @@ def test_toxicity_reads_spelled_and_disguised_text_of_any_length():
     assert toxicity.word_counts(["idiot idiot"], [1])["idiot"] == [2, 0, 1]
 
 
+def test_only_whole_addresses_are_passed_over():
+    english = "the cat sat on that mat and then it went to another house where she found the other one in there " * 20
+    logp = toxicity.smoothed(toxicity.trigrams([english, "fuck idiot " * 5]), ["fuck", "idiot"])
+    m = toxicity.Model({"fuck": 6.0, "idiot": 6.0}, logp)
+    for token in ("f.u@c.k", "1d.10t@x", "see://1d10t", "1d10t", "x@1d10t.", "f/u:c/k", "you:1d10t"):
+        assert m.weight(token) == 6.0, token
+    for token in ("1d10t@mail.com", "https://site.org/1d10t", "mailto:f.u.c.k@site.org", "10:30@cafe", "a@b.c", "http://the.cat", "and/or", "c:/the/house"):
+        assert m.weight(token) == 0.0, token
+
+
+def test_held_out_documents_of_the_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op6_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("predicted", "toxic").count().collect()
+    n = {(r["predicted"], r["toxic"]): r["count"] for r in got}
+    right, missed, wrong = n.get((1, 1), 0), n.get((0, 1), 0), n.get((1, 0), 0)
+    assert right + missed > 50 and right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9
+
+
 def test_repeated_ids_leave_the_training_sample_bounded(spark):
     rows = [(n, f"calm river {n} " + "idiot moron " * (n % 2)) for n in range(40)]
     once = spark.createDataFrame(rows, "doc_id long, text string")
@@ -811,7 +856,8 @@ def test_fingerprints_and_components(spark, monkeypatch):
             if (prints[a] ^ prints[b]).bit_count() <= 2:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    for slice_, told in ((2_000, 1_000_000), (1, 20)):
+    for node, slice_, told in ((8_192, 2_000, 1_000_000), (1, 1, 20), (16, 3, 20), (1 << 20, 5, 20)):
+        monkeypatch.setattr(simhash, "NODE", node)
         monkeypatch.setattr(simhash, "SLICE", slice_)
         monkeypatch.setattr(simhash, "TOLD", told)
         got = simhash.near_duplicates(documents(spark, texts)).collect()
@@ -835,6 +881,21 @@ def test_trie_join_matches_all_pairs():
     assert {tuple(p) for p in simhash.trie_pairs(v[::2], v[1::2]).tolist()} == cross
 
 
+def test_the_trie_of_given_documents_is_split_and_followed(spark):
+    """On the 0.1 scale: the trie is entered at its root, nodes are split, and most pairs of values are never compared."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    v = np.array([r["fp"] for r in simhash.fingerprints(d).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    split: list[int] = []
+    got = {(min(p), max(p)) for p in simhash.trie_pairs(v, split=split).tolist()}
+    want = set()
+    for at in range(0, len(v), 500):
+        i, j = np.nonzero(np.bitwise_count(v[at : at + 500, None] ^ v[None]) <= 2)
+        want |= {(min(a, b), max(a, b)) for a, b in zip(v[at + i].tolist(), v[j].tolist(), strict=True) if a != b}
+    assert got == want and want
+    assert max(split) == 63 and len(split) > len(v) // 4
+    assert len(v) > 5_000
+
+
 def test_links_of_a_dense_ball_are_a_forest():
     ball = np.unique(np.concatenate([np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), [np.uint64(7), np.uint64(1) << np.uint64(40) | np.uint64(3) << np.uint64(60)]]))
     pairs = simhash.trie_pairs(ball)
