@@ -15,14 +15,13 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gridjobs.functions.session import cut
 from gridjobs.llm.tables import slices, table
@@ -46,6 +45,7 @@ NOISE = re.compile(
 )
 #: Marks of articles that aren't the page's own, and names that an element of the article may have beside others.
 OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies|related|recommend\w*|teasers?)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 OWN = frozenset("content main article post entry story main-content entry-content post-content article-body".split())
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|article-?body|post-?body|entry-?content|post-?content|main-?content|page-?content|text)(?:$|[\s_-])", re.I)
@@ -65,6 +65,10 @@ CELLS = 40_000
 PERIOD = 8
 #: Share of the slots' text that an element without a name must hold to be the main text.
 MOST = 0.8
+#: Names that mark noise but may as well belong to what an article says: inside one they count only where they stand alone.
+VAGUE = re.compile(r"related|search|side|tags|social|menus?|alert|discussion|notices?|banner|navigation", re.I)
+#: Pages of a host from which a text that all of them have is no part of its articles; headings are.
+SAME = 3
 #: Total size of the rules up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 
@@ -209,10 +213,10 @@ def express(node: Node, level: int = 0) -> list:
         elif p.name in INLINE:
             if not (p.mark and NOISE.search(p.mark)):
                 todo.append((iter(p.parts), link or p.name == "a"))
-        elif is_noise(p.name, p.mark, level > 0 and node.name == "article"):
+        elif is_noise(p.name, p.mark, level > 0 and node.name == "article") and not vague(p.name, p.mark):
             text.append(None)
             parts.append([p.label, "", None, [], 0, 1])
-        elif level < LEVELS:
+        elif level < LEVELS or level == LEVELS and container(p.name, p.mark):
             text.append(None)
             parts.append(express(p, level + 1))
         else:
@@ -422,22 +426,41 @@ def is_noise(name: str, mark: str, inside: bool) -> bool:
     return bool(NOISE.search(mark) or (not inside and HEADER.search(mark)))
 
 
-def content_rule(e: list) -> dict:
+def vague(name: str, mark: str) -> bool:
+    """Whether an element is marked as noise only by words that may be an article's own, beside others (as in ``related work``)."""
+    words = mark.split()
+    noise = [w for w in words if NOISE.search(w)]
+    return name not in DROPPED and 0 < len(noise) < len(words) and all(VAGUE.fullmatch(w) for w in noise)
+
+
+def container(name: str, mark: str) -> str | None:
+    """article, main or marked for an element that may be named for the main text."""
+    return "article" if name == "article" else "main" if name == "main" or "main" in mark.split() and name != "body" else "marked" if BODY.search(mark) and name in ("div", "section", "td") else None
+
+
+def content_rule(e: list, same: Iterable[str] = ()) -> dict:
     """Where a host's main text is.
 
-    {"labels": ...}: elements of these labels, wherever they stand: the host's articles with slots, else its main element, else
-    the element marked as content with most of the slots' text. Otherwise {"path": ..., "constants": ...}: the smallest element
+    {"labels": ..., "same": ..., "own": ...}: elements of these labels, wherever they stand: the host's articles with slots, else its
+    main element, else the element marked as content with most of the slots' text; without the texts ``same``, which all pages of
+    the host have, and with elements of the labels ``own``, whose vague marks (see ``vague``) their slots outweigh. Otherwise {"path": ..., "constants": ...}: the smallest element
     that holds most of the slots' text, by the labels of the elements around it, without blocks that are constant on the host or
     links only. Text counts as constant if it was seen twice at least and never differed; links don't count.
     """
     found: dict[str, dict[str, int]] = {"article": {}, "main": {}, "marked": {}}
     constants: set[str] = set()
+    own: set[str] = set()
 
     def weigh(x: list) -> tuple[int, list]:
         """Slots' text of an element, and the same for its parts."""
         name, mark = name_of(x[0])
         plain = not x[0].startswith("(")
         if plain and is_noise(name, mark, False):
+            if x[3] or x[2] and not (isinstance(x[2], str) and x[5] > 1):
+                before = {k: dict(v) for k, v in found.items()}
+                if x[4] or any(weigh(p)[0] for p in x[3]):
+                    own.add(x[0])
+                found.update(before)
             return 0, []
         fixed = isinstance(x[2], str) and x[5] > 1
         if fixed:
@@ -445,17 +468,17 @@ def content_rule(e: list) -> dict:
         parts = [(*weigh(p), p) for p in x[3]]
         inside = (0 if fixed else x[4]) + sum(p[0] for p in parts)
         if plain and inside:
-            kind = "article" if name == "article" else "main" if name == "main" or "main" in mark.split() and name != "body" else "marked" if BODY.search(mark) and name in ("div", "section", "td") else None
-            if kind:
+            if kind := container(name, mark):
                 found[kind][x[0]] = max(inside, found[kind].get(x[0], 0))
         return inside, parts
 
     total, parts = weigh(e)
+    more = {"same": sorted(same), "own": sorted(own)}
     for k in ("article", "main"):
         if found[k]:
-            return {"labels": sorted(found[k])}
+            return {"labels": sorted(found[k]), **more}
     if found["marked"]:
-        return {"labels": [min(found["marked"], key=lambda k: (-found["marked"][k], len(k), k))]}
+        return {"labels": [min(found["marked"], key=lambda k: (-found["marked"][k], len(k), k))], **more}
     path, at, open_ = [], 0, parts
     while open_:  # groups are no level of their own
         inside, below, p = max(open_, key=lambda x: x[0])
@@ -472,6 +495,7 @@ def blocks(root: Node, rule: dict) -> list[str]:
     out: list[str] = []
     line: list[str] = []
     wanted, path, constants = frozenset(rule.get("labels", ())), rule.get("path"), frozenset(rule.get("constants", ()))
+    same, meant = frozenset(rule.get("same", ())), frozenset(rule.get("own", ()))
 
     plain: list[str] = []  # what of the line stands outside links
 
@@ -479,12 +503,13 @@ def blocks(root: Node, rule: dict) -> list[str]:
         said, own = WHITE.sub(" ", "".join(line)).strip(), "".join(plain).strip()
         line.clear()
         plain.clear()
-        if said and (path is None or own and digest(said) not in constants):
+        if said and (own and digest(said) not in constants if path is not None else headings or not same or digest(said) not in same):
             out.append(said)
 
-    # parts to come, whether they are the main text, whether their element ends a block, how much of the path led to it, and
-    # whether it stands in a link
-    todo = [(iter(root.parts), path == [], False, 0, False)]
+    # parts to come, whether they are the main text, the name of their element if it ends a block, how much of the path led to it,
+    # and whether it stands in a link
+    todo = [(iter(root.parts), path == [], "", 0, False)]
+    headings = 0  # how many are open
     while todo:
         it, inside, block, depth, link = todo[-1]
         p = next(it, None)
@@ -492,6 +517,7 @@ def blocks(root: Node, rule: dict) -> list[str]:
             todo.pop()
             if block:
                 end()
+                headings -= block in HEADINGS
         elif isinstance(p, str):
             if inside:
                 line.append(p)
@@ -503,13 +529,14 @@ def blocks(root: Node, rule: dict) -> list[str]:
             line.append("\n")
         elif p.name in INLINE:
             if not (p.mark and NOISE.search(p.mark)):
-                todo.append((iter(p.parts), inside, False, depth, link or p.name == "a"))
-        elif not is_noise(p.name, p.mark, inside):
+                todo.append((iter(p.parts), inside, "", depth, link or p.name == "a"))
+        elif not is_noise(p.name, p.mark, inside) or inside and p.label in meant and vague(p.name, p.mark):
             if inside:
                 end()
             led = depth + 1 if path and 0 <= depth < len(path) and p.label == path[depth] else -1
             into = inside or p.label in wanted or bool(path) and led == len(path)
-            todo.append((iter(p.parts), into, into, led, link))
+            headings += into and p.name in HEADINGS
+            todo.append((iter(p.parts), into, p.name if into else "", led, link))
     end()
     return out
 
@@ -525,15 +552,32 @@ def extract(page: str, rule: dict | None) -> str:
     return "\n".join(found)
 
 
+def texts_of(e: list) -> set[str]:
+    """Texts (or their digests) of all elements of one page's expression."""
+    out: set[str] = set()
+    todo = [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x[2], str):
+            out.update(x[2].split("\n"))
+        todo += x[3]
+    return out
+
+
+#: An expression, how many pages it is of, and the texts that all of them have.
+WRAPPER = "host string, expression string, pages long, same array<string>"
+
+
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pages -> one expression for each host of the partition."""
-    held: dict[str, tuple[list, int]] = {}
-    flush = lambda: pd.DataFrame([(h, json.dumps(e, ensure_ascii=False), n) for h, (e, n) in held.items()], columns=["host", "expression", "pages"])
+    held: dict[str, tuple[list, int, set[str]]] = {}
+    flush = lambda: pd.DataFrame([(h, json.dumps(e, ensure_ascii=False), n, sorted(same)) for h, (e, n, same) in held.items()], columns=["host", "expression", "pages", "same"])
     for batch in batches:
         for host, page in zip(batch["host"], batch["html"], strict=True):
-            e = bounded(express(parse(page)))
+            e = express(parse(page))
+            same, e = texts_of(e), bounded(e)
             old = held.get(host)
-            held[host] = (bounded(merged(old[0], e)), old[1] + 1) if old else (e, 1)
+            held[host] = (bounded(merged(old[0], e)), old[1] + 1, old[2] & same) if old else (e, 1, same)
             if len(held) >= HOSTS:
                 yield flush()
                 held.clear()
@@ -546,7 +590,8 @@ def _merge(group_: pd.DataFrame) -> pd.DataFrame:
     out = None
     for x in map(json.loads, group_["expression"]):
         out = x if out is None else bounded(merged(out, x))
-    return pd.DataFrame({"host": group_["host"].iloc[:1], "expression": [json.dumps(out, ensure_ascii=False)], "pages": [group_["pages"].sum()]})
+    same = set.intersection(*map(set, group_["same"]))
+    return pd.DataFrame({"host": group_["host"].iloc[:1], "expression": [json.dumps(out, ensure_ascii=False)], "pages": [group_["pages"].sum()], "same": [sorted(same)]})
 
 
 def host_of(url: str):
@@ -554,16 +599,20 @@ def host_of(url: str):
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, expression, pages) of every host: the union-free expression that all its pages match.
+    """(host, expression, pages, same) of every host: the union-free expression that all its pages match, and the texts that all have.
 
-    Each task aligns its own pages host by host, so what is shuffled is one bounded expression for a host and task, and of a host
-    of any size the expressions of ``FAN_IN`` neighbouring tasks are merged first. Null and empty pages take no part; pages without a host share the host "".
+    Each task aligns its own pages host by host, so what is shuffled is one bounded expression for a host and task. Those of a host of
+    any size are merged in levels: ``FAN_IN`` of neighbouring tasks in one, until a host has no more than that. Null and empty pages
+    take no part; pages without a host share the host "".
     """
     p = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where("html is not null and trim(html) <> ''")
-    kinds = "host string, expression string, pages long"
-    first = p.mapInPandas(_partial, kinds).withColumn("slice", F.floor(F.spark_partition_id() / FAN_IN))
-    sliced = first.groupBy("host", "slice").applyInPandas(lambda g: _merge(g), kinds)
-    return sliced.groupBy("host").applyInPandas(lambda g: _merge(g), kinds)
+    parts = p.rdd.getNumPartitions()
+    level = p.mapInPandas(_partial, WRAPPER).withColumn("slice", F.spark_partition_id())
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        level = level.withColumn("slice", F.floor(F.col("slice") / FAN_IN).cast("int"))
+        level = level.groupBy("host", "slice").applyInPandas(lambda g: _merge(g).assign(slice=g["slice"].iloc[0]), f"{WRAPPER}, slice int")
+    return level.groupBy("host").applyInPandas(lambda g: _merge(g), WRAPPER)
 
 
 def _texts(columns: list[str]):
@@ -576,9 +625,10 @@ def _texts(columns: list[str]):
     return run
 
 
-@F.pandas_udf(StringType())
-def _rule(expression: pd.Series) -> pd.Series:
-    return expression.map(lambda e: json.dumps(content_rule(json.loads(e))))
+def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        told = zip(batch["expression"], batch["same"], batch["pages"], strict=True)
+        yield pd.DataFrame({"host": batch["host"], "_rule": [json.dumps(content_rule(json.loads(e), same if n >= SAME else ())) for e, same, n in told]})
 
 
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
@@ -588,8 +638,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html
     rows; an empty table gives an empty one; other columns are not read. Elements may be nested to any depth. The rules of the hosts are a few words each: they are
     broadcast where their summed size allows, and otherwise joined by host, where a hot host's side can be split.
     """
-    rules = cut(wrappers(pages, html, url)).select("host", _rule("expression").alias("_rule"))
-    rules = cut(rules)
+    rules = cut(wrappers(pages, html, url).mapInPandas(_rules, "host string, _rule string"))
     size = rules.agg(F.coalesce(F.sum(F.length("host") + F.length("_rule")), F.lit(0))).first()[0]
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.select(*keep).dtypes)
     p = pages.select(*keep, F.col(html).alias("_html"), host_of(url).alias("host"))

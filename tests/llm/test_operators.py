@@ -361,6 +361,40 @@ def test_a_site_without_named_containers_comes_out_by_its_slots(spark):
     assert {r["text"] for r in html.main_text(df).collect()} == {f"body {n}" for n in range(3)}
 
 
+def site(page, n):
+    """Pages of a host, each with the same paragraph at another place of its article."""
+    out = []
+    for k in range(n):
+        own = [f"<p>paragraph {k} {j} of its own.</p>" for j in range(4)]
+        own.insert(k % 5, "<p>Join our club today and never miss a story.</p>")
+        out.append(page.format(k=k, body="".join(own)))
+    return out
+
+
+def test_slots_decide_inside_articles_too(spark, monkeypatch):
+    """What all pages of a host say is no article, but for headings; vague names are outweighed by texts that differ."""
+    page = (
+        "<body><nav><a>home</a></nav><article><h1>Title {k}</h1><h2>Summary</h2>{body}<section class='related work'><p>Work like {k} is older.</p></section>"
+        "<section class='search results'><p>how we search trees in {k} ways</p></section><div class='related posts'><a>other {k}</a></div><div class='comments'><p>nice {k}</p></div></article></body>"
+    )
+    for fan_in in (64, 2):
+        monkeypatch.setattr(html, "FAN_IN", fan_in)
+        rows = [(n, "http://a.org/x", p) for n, p in enumerate(site(page, 7))] + [(100 + n, "http://b.org/x", p) for n, p in enumerate(site(page, 2))] + [(200 + n, "http://c.org/x", site(page, 1)[0]) for n in range(5)]
+        got = {r["page_id"]: r["text"].split("\n") for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+        for n in range(7):
+            assert got[n] == [f"Title {n}", "Summary", *(f"paragraph {n} {j} of its own." for j in range(4)), f"Work like {n} is older.", f"how we search trees in {n} ways"]
+        # two pages, or five copies of one, don't tell what a host always says
+        assert all("Join our club today and never miss a story." in got[n] and len(got[n]) == 9 for n in (100, 101, *range(200, 205)))
+
+
+@pytest.mark.parametrize("levels", [10, 47, 48, 60, 300])
+def test_articles_are_found_at_any_depth(spark, levels):
+    page = "<body>" + "<div>" * levels + "<article><p>real text of {k}</p><div><p>and more of {k}</p></div></article>" + "</div>" * levels + "<div>Copyright line outside</div></body>"
+    rows = [(k, "http://a.org/x", page.format(k=k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"real text of {k}\nand more of {k}" for k in range(4)}
+
+
 def test_a_wrapper_past_its_bound_gives_the_same_texts_in_any_order():
     body = lambda n: "".join(f"<div id=slug-{n}-{k} class=c{chr(97 + (n * k) % 26)}{chr(97 + k % 26)}><h4>t {n} {k}</h4><p>text {n} {k}</p></div>" for k in range(40))
     pages = [f"<body><div class=top><p>Welcome to all</p></div><div class=z><div class=y>{body(n)}</div></div><div class=bottom><p>The end of it</p></div></body>" for n in range(60)]
