@@ -95,13 +95,13 @@ class Masked2D:
         self.dense_near, self.in_grid, self.weight = dense_near.astype(float), in_grid.astype(float), weight
         self.c = np.zeros(n + 1)
 
-    def step(self, beta: float) -> float:
-        """One update of all cells; the largest change before clipping."""
+    def step(self, beta: float, own: np.ndarray | None = None) -> float:
+        """One update of all cells; the largest change before clipping, of those in ``own`` if given."""
         c = self.c
         lap = c[self.near].sum(0) + self.dense_near - self.in_grid * c[:-1]
         change = beta * self.weight * lap
         c[:-1] = np.clip(c[:-1] + change, 0.0, 1.0)
-        return float(np.abs(change).max(initial=0.0))
+        return float(np.abs(change if own is None else change[own]).max(initial=0.0))
 
 
 def diffuse_3d(field: np.ndarray, beta: float, iters: int, known: np.ndarray | None = None, clip: bool = True) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 from gridjobs.functions.kernels import Masked2D, diffuse_3d
 from gridjobs.functions.session import cut
 from gridjobs.operators.labelling import TILE, _roots, _schema
-from gridjobs.operators.prepare import with_row
 
 #: Cells of a lattice that one task holds; edge of the tiles of larger ones, and steps that a tile takes between halos.
 WHOLE, EDGE, HALO = 4_000_000, 64, 16
-#: Beyond this rate a run's cells are kept together, since its changes may grow again.
+#: Up to this rate a group's changes never grow again, so each group can be run for itself.
 STEADY = 0.25
+#: Sparse cells that touch each other and are one task; steps that a 2D tile takes between halos, and checks where it needs none.
+TOUCHING, STRIDE, CHECKS = 1_000_000, 40, 16
 
 
 def _first_check(min_iters: int, check_every: int) -> int:
@@ -25,7 +27,7 @@ def _first_check(min_iters: int, check_every: int) -> int:
 
 
 def diffuse_masked_2d(
-    cells: DataFrame, keys: Sequence[str] = (), betas: Sequence[float] = (0.10,), max_iters: int = 50_000, min_iters: int = 60, tol: float = 1e-6, check_every: int = 10, periodic: bool = False, tile: int = TILE, widest: int | None = None
+    cells: DataFrame, keys: Sequence[str] = (), betas: Sequence[float] = (0.10,), max_iters: int = 50_000, min_iters: int = 60, tol: float = 1e-6, check_every: int = 10, periodic: bool = False, tile: int = TILE, widest: int | None = None, touching: int = TOUCHING
 ) -> tuple[DataFrame, DataFrame]:
     """Field and run statistics of every rate: (cells x beta with c, stats by keys and beta).
 
@@ -33,9 +35,9 @@ def diffuse_masked_2d(
     row 0, sparse cells start from 0 and move. Stats: iters_used, max_delta_last and stop (converged or max_iters).
 
     Dense and empty cells never change, so each group of touching sparse cells is a problem of its own and a task of its own,
-    whatever the iteration count. The stop is global: a first run tells at which check each group's largest change falls below
-    ``tol``, and a second runs every group to the check at which the last one does. Rates above 0.25, where a group's changes
-    may rise again, keep all sparse cells of a run in one group.
+    whatever the iteration count. The stop is global: a group runs until its own largest change is below ``tol`` at a check and its
+    state is kept; those that are done before the last one then go on from there to the same check. Groups of more than ``touching``
+    cells, and rates above 0.25, where changes may rise again, go tile by tile (see ``_lockstep``).
     """
     keys = list(keys)
     on = [*keys, "i", "j"]
@@ -52,43 +54,142 @@ def diffuse_masked_2d(
     sums = around.join(dense, [*keys, "ni", "nj"], "left").groupBy(*on).agg(F.coalesce(F.sum("is_dense"), F.lit(0)).alias("dense_near"), F.count_if(inside).alias("in_grid"))
     weight = F.least(F.greatest(F.col("norm") / F.greatest("scale", F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
     g = sparse.withColumn("w", weight).join(sums, on).join(_roots(sparse, keys, 4, periodic, tile, widest).select(*on, "root"), on)
-    g = g.crossJoin(F.broadcast(rates)).withColumn("root", F.when(F.col("beta") > STEADY, F.lit(0)).otherwise(F.col("root")))
-    group = [*keys, "beta_no", "root"]
+    g = cut(g)
+    steady = [float(b) for b in betas if b <= STEADY]
+    if steady and (widest or tile + 1) ** 2 > touching and not g.groupBy(*keys, "root").count().where(F.col("count") > touching).isEmpty():
+        steady = []
+    ends = max_iters, first, check_every, tol
+    runs = (cells.select(*keys).distinct() if keys else spark.range(1).select()).crossJoin(F.broadcast(rates))
+    alone = F.col("beta").isin(steady) if steady else F.lit(False)
+    parts = [_settled(g.crossJoin(F.broadcast(rates.where(alone))), keys, ends, periodic)] if steady else []
+    if len(steady) < len(betas):
+        parts.append(_lockstep(g.crossJoin(F.broadcast(rates.where(~alone))), keys, ends, periodic, tile))
+    moved, found = (reduce(DataFrame.unionByName, p) for p in zip(*parts, strict=True))
+    stats = runs.join(found, [*keys, "beta_no"], "left").withColumn("iters_used", F.coalesce("iters_used", F.lit(min(max_iters, first))))
+    field = cells.crossJoin(F.broadcast(rates)).join(moved, [*on, "beta_no"], "left")
+    field = field.withColumn("c", F.when(F.col("dense"), F.lit(1.0)).otherwise(F.coalesce("c", F.lit(0.0))))
+    checked = F.col("iters_used") >= check_every
+    stats = stats.withColumn("max_delta_last", F.when(checked, F.coalesce(F.nanvl("delta", F.lit(0.0)), F.lit(0.0)))).drop("delta")
+    good = (F.col("iters_used") < max_iters) & (F.col("max_delta_last") < tol)
+    return field, stats.withColumn("stop", F.when(F.coalesce(good, F.lit(False)), "converged").otherwise("max_iters"))
 
-    def made(d: pd.DataFrame) -> tuple[Masked2D, float]:
-        return Masked2D(*(d[c].to_numpy() for c in ("i", "j", "dense_near", "in_grid", "w")), int(d["nx"].iloc[0]), int(d["ny"].iloc[0]), periodic), float(d["beta"].iloc[0])
 
-    def settle(d: pd.DataFrame) -> pd.DataFrame:
-        m, beta = made(d)
-        at, need = max_iters, first if beta > STEADY else check_every
-        for it in range(1, max_iters + 1):
-            delta = m.step(beta)
-            if it % check_every == 0 and it >= need and delta < tol:
-                at = it
-                break
-        return d.iloc[:1].assign(at=at)[[*keys, "beta_no", "at"]]
+Ends = tuple[int, int, int, float]
+
+
+def _made(d: pd.DataFrame, periodic: bool) -> Masked2D:
+    return Masked2D(*(d[c].to_numpy() for c in ("i", "j", "dense_near", "in_grid", "w")), int(d["nx"].iloc[0]), int(d["ny"].iloc[0]), periodic)
+
+
+def _settled(g: DataFrame, keys: list[str], ends: Ends, periodic: bool) -> tuple[DataFrame, DataFrame]:
+    """(cells with c, runs with iters_used and delta) for groups that are a task each: run till they settle, then all to the last stop."""
+    max_iters, first, check_every, tol = ends
+    on, group = [*keys, "i", "j"], [*keys, "beta_no", "root"]
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        m, beta = made(d)
-        last = np.nan
-        for it in range(1, int(d["iters_used"].iloc[0]) + 1):
+        m, beta, delta, last = _made(d, periodic), float(d["beta"].iloc[0]), np.nan, np.nan
+        begin, stop = 0, max_iters
+        if "c" in d:
+            m.c[:-1], begin, stop, last = d["c"].to_numpy(), int(d["at"].iloc[0]), int(d["iters_used"].iloc[0]), float(d["delta"].iloc[0])
+        it = begin
+        while it < stop:
+            it += 1
             delta = m.step(beta)
             if it % check_every == 0:
                 last = delta
-        return d.assign(c=m.c[:-1], delta=last)[[*on, "beta_no", "c", "delta"]]
-
-    settled = g.groupBy(*group).applyInPandas(lambda d: settle(d), _schema(g, [*keys, "beta_no"], "at int")).groupBy(*keys, "beta_no").agg(F.max("at").alias("at"))
-    runs = (cells.select(*keys).distinct() if keys else spark.range(1).select()).crossJoin(F.broadcast(rates))
-    stats = runs.join(settled, [*keys, "beta_no"], "left").withColumn("iters_used", F.least(F.lit(max_iters), F.greatest(F.lit(first), F.coalesce("at", F.lit(0))))).drop("at")
-    moved = with_row(g, stats.drop("beta"), [*keys, "beta_no"]).groupBy(*group).applyInPandas(lambda d: run(d), _schema(g, [*on, "beta_no"], "c double, delta double"))
-    field = cells.crossJoin(F.broadcast(rates)).join(moved.drop("delta"), [*on, "beta_no"], "left")
-    field = field.withColumn("c", F.when(F.col("dense"), F.lit(1.0)).otherwise(F.coalesce("c", F.lit(0.0))))
-    deltas = moved.groupBy(*keys, "beta_no").agg(F.max("delta").alias("delta"))
-    stats = stats.join(deltas, [*keys, "beta_no"], "left")
-    checked = F.col("iters_used") >= check_every
-    stats = stats.withColumn("max_delta_last", F.when(checked, F.coalesce(F.nanvl("delta", F.lit(0.0)), F.lit(0.0)))).drop("delta")
-    good = (F.col("iters_used") < max_iters) & (F.col("max_delta_last") < tol)
-    return field, stats.withColumn("stop", F.when(F.coalesce(good, F.lit(False)), "converged").otherwise("max_iters"))
+                if "c" not in d and delta < tol:
+                    break
+        return d.assign(c=m.c[:-1], at=it, delta=last)[[*group, "i", "j", "nx", "ny", "dense_near", "in_grid", "w", "beta", "c", "at", "delta"]]
+
+    kinds = _schema(g, [*group, "i", "j", "nx", "ny", "dense_near", "in_grid", "w", "beta"], "c double, at int, delta double")
+    state = cut(g.groupBy(*group).applyInPandas(lambda d: run(d), kinds))
+    stop = state.groupBy(*keys, "beta_no").agg(F.least(F.lit(max_iters), F.greatest(F.lit(first), F.max("at"))).alias("iters_used"))
+    todo = state.join(stop, [*keys, "beta_no"])
+    done = todo.where("at >= iters_used").drop("iters_used")
+    final = cut(done.unionByName(todo.where("at < iters_used").groupBy(*group).applyInPandas(lambda d: run(d), kinds)))
+    deltas = final.groupBy(*keys, "beta_no").agg(F.max("at").alias("iters_used"), F.max("delta").alias("delta"))
+    return final.select(*on, "beta_no", "c"), deltas
+
+
+def _lockstep(g: DataFrame, keys: list[str], ends: Ends, periodic: bool, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The same tile by tile, all of a run in step.
+
+    A superstep is a job: each tile takes some checks' steps on its own cells and a halo of its neighbours' that is as wide, so what it
+    lacks beyond the halo can't reach its own cells. What it tells of each check is its own cells' largest change; the largest of all
+    tiles decides at which check the run stops. Runs that stop within a superstep are taken there anew from the state before it, the
+    others go on. Each state is written to the shared folder. Grids of one tile need no halo and take longer supersteps each time.
+    """
+    max_iters, first, check_every, tol = ends
+    on, run_keys = [*keys, "i", "j"], [*keys, "beta_no"]
+    cols = [*run_keys, "i", "j", "nx", "ny", "dense_near", "in_grid", "w", "beta", "c"]
+    state = cut(g.withColumn("c", F.lit(0.0)).select(*cols))
+    top = state.agg(F.max(F.greatest("nx", "ny"))).first()[0] or 0
+    whole = top <= tile
+    checks = CHECKS if whole else max(1, min(STRIDE, tile) // check_every)
+    if not whole and checks * check_every > tile:
+        raise ValueError("a tile must be at least as wide as the steps between two checks")
+    halo = checks * check_every
+    kinds = _schema(state, cols[:-1], "c double, deltas array<double>")
+
+    def stepped(before: DataFrame) -> DataFrame:
+        """Own cells of each tile after the steps of its run, one of them with the tile's change at each check."""
+        d = before.withColumns({"ti": F.floor(F.col("i") / tile), "tj": F.floor(F.col("j") / tile)})
+        if not whole:
+            for a, n in (("i", "nx"), ("j", "ny")):
+                # a halo is no wider than a tile; over the grid's edge it meets the first or the last tile, which may be narrow, and maybe one more
+                ends_ = [F.col(a) - halo, F.col(a) + halo]
+                near = [F.col(a), *(F.greatest(F.lit(0), F.least(x, F.col(n) - 1)) for x in ends_)]
+                if periodic:
+                    near += [F.pmod(x, F.col(n)) for x in ends_] + [F.when(ends_[0] < 0, F.col(n) - 1).otherwise(F.col(a)), F.when(ends_[1] >= F.col(n), 0).otherwise(F.col(a))]
+                d = d.withColumn(f"_t{a}", F.explode(F.array_distinct(F.array(*(F.floor(x / tile) for x in near)))))
+        else:
+            d = d.withColumns({"_ti": F.col("ti"), "_tj": F.col("tj")})
+
+        def run(t: pd.DataFrame) -> pd.DataFrame:
+            own = ((t["ti"] == t["_ti"]) & (t["tj"] == t["_tj"])).to_numpy()
+            n = int(t["steps"].iloc[0])
+            m, beta, deltas = _made(t, periodic), float(t["beta"].iloc[0]), []
+            m.c[:-1] = t["c"].to_numpy()
+            for it in range(1, n + 1):
+                delta = m.step(beta, own)
+                if it % check_every == 0:
+                    deltas.append(delta)
+            out = t.assign(c=m.c[:-1])[own]
+            out["deltas"] = [deltas if k == 0 else None for k in range(len(out))]
+            return out[[*cols, "deltas"]]
+
+        return d.groupBy(*run_keys, "_ti", "_tj").applyInPandas(lambda t: run(t), kinds)
+
+    done, fields, stops, earlier = 0, [], [], None
+    while not state.isEmpty():
+        steps = min(checks * check_every, max_iters - done)
+        after = cut(stepped(state.withColumn("steps", F.lit(steps))))
+        told = after.where("deltas is not null").select(*run_keys, F.posexplode("deltas").alias("at", "delta")).groupBy(*run_keys, "at").agg(F.max("delta").alias("delta"))
+        told = cut(told.withColumn("at", F.col("at") * check_every + check_every))
+        enough = (F.col("at") + done >= first) & (F.col("delta") < tol)
+        stop = told.where(enough).groupBy(*run_keys).agg(F.min("at").alias("steps"))
+        if done + steps >= max_iters:
+            rest = state.select(*run_keys).distinct().join(stop, run_keys, "left")
+            stop = rest.withColumn("steps", F.coalesce("steps", F.lit(steps)))
+        stop = cut(stop)
+        if not stop.isEmpty():
+            # the change at the last check, which in a short last superstep is that of the one before
+            known = told if steps >= check_every or earlier is None else earlier.groupBy(*run_keys).agg(F.max_by("delta", "at").alias("delta")).withColumn("at", F.lit(0))
+            last = stop.join(known, run_keys, "left").where("at is null or at <= steps").groupBy(*run_keys, "steps").agg(F.max_by("delta", "at").alias("delta"))
+            stops.append(last.select(*run_keys, (F.col("steps") + done).cast("int").alias("iters_used"), "delta"))
+            fields.append(after.join(stop.where(F.col("steps") == steps), run_keys, "left_semi").select(*on, "beta_no", "c"))
+            part = stop.where(F.col("steps") < steps)
+            if not part.isEmpty():
+                fields.append(cut(stepped(state.join(part, run_keys))).select(*on, "beta_no", "c"))
+        state = after.drop("deltas").join(stop, run_keys, "left_anti")
+        earlier = told
+        done += steps
+        if whole:
+            checks *= 2
+    empty = g.limit(0)
+    fields = fields or [empty.select(*on, "beta_no", F.lit(0.0).alias("c"))]
+    stops = stops or [empty.select(*run_keys, F.lit(0).alias("iters_used"), F.lit(0.0).alias("delta"))]
+    return reduce(DataFrame.unionByName, fields), reduce(DataFrame.unionByName, stops)
 
 
 def _lattice(d: pd.DataFrame, value: str) -> tuple[np.ndarray, tuple]:

@@ -145,6 +145,33 @@ def test_masked_diffusion_stops_with_the_global_loop(spark, wrap):
                 assert got[r, beta, i, j] == pytest.approx(c[i, j], abs=1e-9)
 
 
+@pytest.mark.parametrize("wrap,max_iters,every", [(False, 130, 5), (True, 64, 5), (True, 3, 5)])
+def test_diffusion_tile_by_tile_equals_the_global_loop(spark, wrap, max_iters, every):
+    """Tiles of 20 cells with halos: one component over the whole grid, a thin one, and a grid smaller than a tile."""
+    rng = np.random.default_rng(4)
+    runs = []
+    for shape in [(45, 30), (41, 2), (5, 4)]:
+        n = rng.integers(1, 30, shape)
+        n[rng.random(shape) < 0.05] = 0
+        n[0, 0], n[-1, -1] = 29, 1
+        runs.append({"n": n.astype(float)})
+    cells = table(spark, runs).where("n > 0")
+    cells = normalize_nonzero(cells, ["run"]).withColumn("dense", F.col("norm") >= 0.9).withColumn("scale", F.lit(0.5)).cache()
+    betas = (0.1, 0.4)
+    field, stats = diffuse_masked_2d(cells, ["run"], betas, max_iters=max_iters, min_iters=7, tol=1e-4, check_every=every, periodic=wrap, tile=20, touching=1)
+    got = {(r["run"], r["beta"], r["i"], r["j"]): r["c"] for r in field.collect()}
+    told = {(r["run"], r["beta"]): r for r in stats.collect()}
+    for r, a in enumerate(runs):
+        occ = a["n"] > 0
+        norm = np.where(occ, (a["n"] - a["n"][occ].min()) / (a["n"][occ].max() - a["n"][occ].min()), 0)
+        for beta in betas:
+            c, it, last = dense_loop(norm, occ, occ & (norm >= 0.9), 0.5, beta, max_iters, 7, 1e-4, every, wrap)
+            assert told[r, beta]["iters_used"] == it
+            assert told[r, beta]["max_delta_last"] == (None if last is None else pytest.approx(last, abs=1e-12))
+            for i, j in zip(*np.nonzero(occ), strict=True):
+                assert got[r, beta, i, j] == pytest.approx(c[i, j], abs=1e-9)
+
+
 def test_diffusion_without_sparse_cells_stops_at_the_first_check(spark):
     cells = spark.createDataFrame([(0, 0, 2, 2, 1.0, True, 0.5)], "i int, j int, nx int, ny int, norm double, dense boolean, scale double")
     field, stats = diffuse_masked_2d(cells, min_iters=25, check_every=10)
