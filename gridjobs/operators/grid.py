@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Threshold where no cell is dense.
@@ -127,11 +127,12 @@ def classify_cells(cells: DataFrame) -> DataFrame:
 def diffusion_weight_scale(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, scale): norm's quantile at 1 - share of dense cells, linear between ranks."""
     keys = list(keys)
+    from gridjobs.operators.labelling import ranked
     from gridjobs.operators.prepare import with_row
 
     s = cells.groupBy(*keys).agg(F.count("*").alias("m"), F.count_if("dense").alias("d"))
     s = s.withColumn("at", (F.lit(1.0) - F.col("d") / F.col("m")) * (F.col("m") - 1)).withColumn("lo", F.floor("at"))
-    r = cells.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("norm")) - 1)
+    r = ranked(cells.select(*keys, "norm"), keys, [F.col("norm")], "rank")
     t = with_row(r, s, keys).where((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("lo") + 1))
     low, high = F.max(F.when(F.col("rank") == F.col("lo"), F.col("norm"))), F.max(F.when(F.col("rank") == F.col("lo") + 1, F.col("norm")))
     share = F.max(F.col("at") - F.col("lo"))

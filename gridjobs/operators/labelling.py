@@ -103,9 +103,8 @@ def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity:
     seeds = cell_components(d.where("dense"), keys, connectivity, periodic, tile, widest).withColumnRenamed("label", "seed")
     whole = _roots(d, keys, connectivity, periodic, tile, widest).select(*on, "root")
     d = d.join(whole, on).join(seeds, on, "left").fillna({"seed": -1})
-    by = Window.partitionBy(*keys, "root")
-    lo, hi = F.min(F.when(F.col("seed") >= 0, F.col("seed"))).over(by), F.max("seed").over(by)
-    d = d.withColumns({"lo": lo, "hi": hi})
+    range_ = d.where("seed >= 0").groupBy(*keys, "root").agg(F.min("seed").alias("lo"), F.max("seed").alias("hi"))
+    d = d.join(range_, [*keys, "root"], "left").fillna({"hi": -1})
     contested = (F.col("hi") >= 0) & ((F.col("lo") < F.col("hi")) if max_passes is None else F.lit(True))
     plain = d.where(~contested).select(*on, F.when(F.col("hi") >= 0, F.when(F.col("selected") | (F.col("seed") >= 0), F.col("hi"))).otherwise(-1).cast("int").alias("label"))
 
@@ -178,6 +177,6 @@ def cluster_sizes(labelled: DataFrame, keys: Sequence[str] = (), label: str = "l
     """Size and rank by falling size of each cluster; noise is counted apart, without a rank."""
     keys = list(keys)
     s = labelled.groupBy(*keys, label).agg(F.count("*").alias("size"))
-    real = F.col(label) != noise
-    rank = F.row_number().over(Window.partitionBy(*keys, real).orderBy(F.desc("size"), label))
-    return s.withColumn("size_rank", F.when(real, rank))
+    real = s.where(F.col(label) != noise)
+    rank = ranked(real, keys, [F.desc("size"), F.col(label)], "size_rank").withColumn("size_rank", (F.col("size_rank") + 1).cast("int"))
+    return rank.select(*s.columns, "size_rank").unionByName(s.where(F.col(label).isNull() | (F.col(label) == noise)).withColumn("size_rank", F.lit(None).cast("int")))

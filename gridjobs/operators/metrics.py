@@ -52,21 +52,65 @@ def davies_bouldin(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _dbi(c: DataFrame, keys: Sequence[str]) -> DataFrame:
     """dbi of clusters (keys, label, s, cx, cy).
 
-    Clusters are dealt into blocks of ``CLUSTERS`` and pairs of blocks are compared as arrays, so what comes of them is a row for
-    each cluster and block, however many clusters there are.
+    Runs of up to ``CLUSTERS`` clusters are compared as arrays, each in one task. Beyond that clusters are dealt into blocks of as many
+    that lie together (slabs along x, cut along y, by rank, so that dense places make more blocks). Each block is compared with itself
+    first; then a pair of blocks is compared only if the largest (s_i + s_j) over the least distance of their boxes is more than what
+    some cluster of the one has found already. What is compared with what is decided on a row for each block.
     """
     keys = list(keys)
+    c = cut(c.select(*keys, "label", "s", "cx", "cy"))
+    most = c.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    listed = F.collect_list(F.struct("label", "s", "cx", "cy")).alias("mine")
+    if most <= CLUSTERS:
+        best = _worst(c.groupBy(*keys).agg(listed).withColumn("others", F.col("mine")), keys)
+        best = best.groupBy(*keys, "label").agg(F.max("worst").alias("worst"), F.max("s").alias("s"), F.max("far").alias("far"))
+        flat = (F.max("s") < 1e-8) | (F.max("far") < 1e-8)
+        return best.where("worst >= 0").groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.avg("worst")).alias("dbi"))
+    at = [*keys, "_slab", "_block"]
+    blocks = _blocks(c, keys).groupBy(*at).agg(listed, F.max("s").alias("s"), *(f(v).alias(f"{n}_{v}") for v in ("cx", "cy") for n, f in (("lo", F.min), ("hi", F.max))))
+    blocks = cut(blocks)
+    near = cut(_worst(blocks.select(*at, "mine", F.col("mine").alias("others")), at))
+    pairs = close_blocks(blocks.drop("mine"), near.groupBy(*at).agg(F.min("worst").alias("found")), keys)
+    mine, others = blocks.select(*at, "mine"), blocks.select(*keys, F.col("_slab").alias("_slab_b"), F.col("_block").alias("_block_b"), F.col("mine").alias("others"))
+    more = _worst(pairs.join(mine, at).join(others, [*keys, "_slab_b", "_block_b"]).select(*at, "mine", "others"), at)
+    best = near.unionByName(more).groupBy(*keys, "label").agg(F.max("worst").alias("worst"), F.max("s").alias("s"))
+    extent = c.groupBy(*keys).agg(F.greatest(*(F.max(v) - F.min(v) for v in ("cx", "cy"))).alias("_wide"))
+    d = beside([best.where("worst >= 0").groupBy(*keys).agg(F.avg("worst").alias("dbi"), F.max("s").alias("s")), extent], keys)
+    return d.select(*keys, F.when((F.col("s") < 1e-8) | (F.col("_wide") < 1e-8), 0.0).otherwise(F.col("dbi")).alias("dbi"))
+
+
+def _blocks(c: DataFrame, keys: list[str]) -> DataFrame:
+    """Clusters with the slab and the block of at most ``CLUSTERS`` in which they lie."""
+    from gridjobs.operators.labelling import ranked
+
     n = c.groupBy(*keys).agg(F.count("*").alias("_k"))
-    own = F.pmod(F.xxhash64("label"), F.ceil(F.col("_k") / CLUSTERS)).alias("block")
-    blocks = with_row(c, n, keys).groupBy(*keys, own).agg(F.collect_list(F.struct("label", "s", "cx", "cy")).alias("mine"))
-    others = blocks.select(*keys, F.col("mine").alias("others"))
-    pairs = blocks.join(others, keys) if keys else blocks.crossJoin(others)
-    kinds = ", ".join([*(f"`{k}` {t}" for k, t in c.select(*keys).dtypes), "label long, worst double, s double, far double"])
+    d = with_row(ranked(c, keys, [F.col("cx"), F.col("label")], "_at"), n, keys)
+    slabs = F.ceil(F.sqrt(F.ceil(F.col("_k") / CLUSTERS)))
+    d = d.withColumn("_slab", F.floor(F.col("_at") * slabs / F.col("_k")).cast("int")).drop("_at", "_k")
+    return ranked(d, [*keys, "_slab"], [F.col("cy"), F.col("label")], "_at").withColumn("_block", F.floor(F.col("_at") / CLUSTERS).cast("int")).drop("_at")
+
+
+def close_blocks(blocks: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of different blocks (the second with _slab_b and _block_b) that may hold a worse partner than ``found`` for the first."""
+    a = blocks.join(found, [*keys, "_slab", "_block"])
+    b = blocks.select(*keys, *(F.col(v).alias(f"{v}_b") for v in ("_slab", "_block", "s", "lo_cx", "hi_cx", "lo_cy", "hi_cy")))
+    d = a.join(b, keys) if keys else a.crossJoin(b)
+    gap = {v: F.greatest(F.lit(0.0), F.col(f"lo_{v}") - F.col(f"hi_{v}_b"), F.col(f"lo_{v}_b") - F.col(f"hi_{v}")) for v in ("cx", "cy")}
+    least = F.sqrt(gap["cx"] * gap["cx"] + gap["cy"] * gap["cy"])
+    other = (F.col("_slab") != F.col("_slab_b")) | (F.col("_block") != F.col("_block_b"))
+    # found * distance may round below the sum that it came from
+    can = (F.col("s") + F.col("s_b")) * (1 + 1e-9) >= F.col("found") * least
+    return d.where(other & can).select(*keys, "_slab", "_block", "_slab_b", "_block_b")
+
+
+def _worst(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, worst, s, far): for each cluster of the list ``mine`` its largest (s_i + s_j) / d_ij and distance to one of ``others``."""
+    kinds = ", ".join([*(f"`{k}` {t}" for k, t in pairs.select(*keys).dtypes), "label long, worst double, s double, far double"])
 
     def worst(parts):
         for part in parts:
-            for r in part.itertuples(index=False):
-                a, b = (pd.DataFrame(list(v)) for v in (r.mine, r.others))
+            for r in part.to_dict("records"):
+                a, b = (pd.DataFrame(list(r[v])) for v in ("mine", "others"))
                 for at in range(0, len(a), 500):
                     x = a.iloc[at : at + 500]
                     dx, dy = (x[v].to_numpy(float)[:, None] - b[v].to_numpy(float)[None] for v in ("cx", "cy"))
@@ -76,12 +120,10 @@ def _dbi(c: DataFrame, keys: Sequence[str]) -> DataFrame:
                     ratio[x["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]] = -1.0
                     out = pd.DataFrame({"label": x["label"].to_numpy(), "worst": ratio.max(1), "s": x["s"].to_numpy(float), "far": far.max(1)})
                     for k in reversed(keys):
-                        out.insert(0, k, getattr(r, k))
+                        out.insert(0, k, r[k])
                     yield out
 
-    best = pairs.mapInPandas(worst, kinds).groupBy(*keys, "label").agg(F.max("worst").alias("worst"), F.max("s").alias("s"), F.max("far").alias("far"))
-    flat = (F.max("s") < 1e-8) | (F.max("far") < 1e-8)
-    return best.where("worst >= 0").groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.avg("worst")).alias("dbi"))
+    return pairs.mapInPandas(worst, kinds)
 
 
 def scores_by_cells(points: DataFrame, labels: DataFrame, grid: Sequence[str], runs: Sequence[str], every: DataFrame | None = None) -> DataFrame:

@@ -253,6 +253,30 @@ def test_the_second_stage_scores_its_own_labels(spark):
             assert {k[2:] for k in own if k[:2] == (beta, cthr)} == {k for k, (d, c) in field.items() if d or c > cthr}
 
 
+def test_davies_bouldin_of_many_clusters_reads_few_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CLUSTERS", 30)
+    seen = []
+    kept = metrics.close_blocks
+    monkeypatch.setattr(metrics, "close_blocks", lambda *a: (seen.append((a[0].count(), kept(*a).count())), kept(*a))[1])
+    rng = np.random.default_rng(2)
+    xy = np.vstack([rng.uniform(0, 100, (1_500, 2)), rng.normal(50, 0.5, (400, 2)), np.full((40, 2), 7.0)])
+    s = rng.exponential(0.1, len(xy))
+    s[5] = 6.0
+    rows = [(run, k, float(s[k]), float(xy[k, 0]), float(xy[k, 1])) for run in (0, 1) for k in range(len(xy)) if run == 0 or k < 45]
+    c = spark.createDataFrame(rows + [(2, k, 0.5, 1.0, 1.0) for k in range(50)], "run int, label long, s double, cx double, cy double")
+    got = {r["run"]: r["dbi"] for r in metrics._dbi(c, ["run"]).collect()}
+
+    def brute(x, s):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        ratio = np.divide(s[:, None] + s[None], d, out=np.zeros_like(d), where=d > 0)
+        np.fill_diagonal(ratio, -1)
+        return ratio.max(1).mean()
+
+    assert got == {0: pytest.approx(brute(xy, s)), 1: pytest.approx(brute(xy[:45], s[:45])), 2: 0.0}
+    blocks, pairs = seen[0]
+    assert blocks >= 65 and pairs < 0.4 * blocks * blocks
+
+
 def test_silhouette_scores_all_points_of_a_large_run(spark):
     n = 50_500
     p = spark.range(n + 1).select(F.col("id").alias("point_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("label"))
