@@ -178,7 +178,8 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] | None = No
 
     Text is normalised to lower-case words; every stretch of words that begins and ends with a bigram of a template is
     compared, so notices inside long lines are found as well. Of overlapping notices the best stays. Null and empty texts
-    hold none, repeated rows give repeated notices; an empty table gives an empty result. One pass, no shuffle.
+    hold none, repeated rows give repeated notices; an empty table gives an empty result. A very long text is one task's, whole, as words. Columns
+    that are not kept are not read. One pass, no shuffle.
     """
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     t = Templates(templates or TEMPLATES, dice)

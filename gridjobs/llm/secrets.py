@@ -222,7 +222,8 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     the text with its secrets masked.
 
     Null and empty texts hold none (a null stays null when masked). Every row gives one row, repeated rows too; spans of
-    different kinds may overlap and all stay. Columns that are not kept are not read. One pass over the text, no shuffle.
+    different kinds may overlap and all stay. Columns that are not kept are not read. A very long text is
+    one task's, whole; an empty table gives an empty one. One pass over the text, no shuffle.
     """
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     d = docs.select(*keep, F.col(text).alias("_text"))

@@ -28,7 +28,9 @@ def tokenizers() -> dict[str, str]:
 def counted(docs: DataFrame, versions: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per document and tokenizer version: ``keep`` columns, source, lang, tokenizer, n_tokens, n_chars.
 
-    Whole texts are encoded as operator 7 does; null texts count as empty."""
+    Whole texts are encoded as operator 7 does, very long ones in segments; null texts count as empty, null sources and languages stay
+    null, repeated rows count each, an empty table gives an empty one. Columns that are neither kept nor named here, whatever
+    their names, are not read."""
     own = tuple(dict.fromkeys((*keep, "source", "lang")))
     d = docs.select(*own, F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), F.col(text).alias("_t"))
     each = (bpe.encode_texts(d, path, "_t", (*own, "n_chars"), count_only=True).withColumn("tokenizer", F.lit(v)) for v, path in versions.items())
