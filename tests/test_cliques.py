@@ -46,7 +46,7 @@ def test_components_equal_those_of_all_pairs(spark, monkeypatch, dims, seed, ful
     x = spots(rng, 60, dims)
     x = x[rng.permutation(len(x))]
     names = ["x", "y", "z"][:dims]
-    for r in (0.31, 0.5):
+    for r in (0.31, 0.5)[seed % 2 :][:1]:
         rows = [(k % 2, k, *map(float, v)) for k, v in enumerate(x)]
         bad = [(0, 10_000, *[float("nan")] * dims), (1, 10_001, *[None] * dims)]
         p = spark.createDataFrame(rows + bad, f"step int, atom_id long, {', '.join(f'{c} double' for c in names)}")
