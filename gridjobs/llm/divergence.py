@@ -229,7 +229,9 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     alone = different.groupBy("lang", "source").cogroup(two.groupBy("lang", "source")).applyInArrow(_alone(), "lang string, source string, item string, value long")
     rows = shares.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("row"))
     rows = rows.groupBy("lang", "row").agg(F.count("*").alias("terms")).where(F.size("row") > 1)
-    joint = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row").mapInArrow(_grown, "lang string, source string, item string, value long")
+    # in any order in which rows that begin alike lie together; short keys, as samples of them are what the driver finds the ranges with
+    rows = rows.withColumn("path", F.transform("row", lambda i: F.hash(i["source"], i["p"])))
+    joint = rows.repartitionByRange("lang", F.slice("path", 1, 6)).sortWithinPartitions("lang", "path").drop("path").mapInArrow(_grown, "lang string, source string, item string, value long")
     one_way = alone.unionByName(joint)
     turned = one_way.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     pairs = base.unionByName(one_way).unionByName(turned).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
