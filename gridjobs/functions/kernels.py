@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Mapping
+
 import numpy as np
 
 NEIGHBOURS = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, -1), (1, 0), (1, 1))}
@@ -50,28 +53,47 @@ def label_2d(i: np.ndarray, j: np.ndarray, nx: int, ny: int, connectivity: int,
     return out
 
 
-def grow(i: np.ndarray, j: np.ndarray, seed: np.ndarray, selected: np.ndarray, nx: int, ny: int, connectivity: int, wrap: bool, max_passes: int | None) -> np.ndarray:
-    """Labels of cells grown from seeds: raster sweeps with immediate updates until nothing changes.
+def grow(
+    i: np.ndarray, j: np.ndarray, seed: np.ndarray, selected: np.ndarray, nx: int, ny: int, connectivity: int, wrap: bool, max_passes: int | None = None, told: Mapping[tuple[int, int], tuple[int, int]] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(label, pass) of cells grown from seeds: raster sweeps with immediate updates until nothing changes.
 
-    A selected cell without a label takes the label of its labelled neighbours if they have only one between them.
+    A selected cell without a label takes the label of its labelled neighbours if they have only one between them. Labels never
+    change and never go, so a cell is decided at the first visit that sees a label: it takes the only one, or else stays open for
+    good. Visits are events (pass, cell) of a heap, in the order of the sweeps; a cell sees a neighbour's label in the same pass if
+    the neighbour comes first in raster order, else in the next. Seeds have pass 0, open cells label and pass -1. ``told`` holds
+    (pass, label) of cells outside, as known so far.
     """
-    label = {(int(x), int(y)): int(s) for x, y, s in zip(i, j, seed, strict=True)}
-    open_cells = sorted(c for c, s, on in zip(label, seed, selected, strict=True) if s < 0 and on)
+    cells = list(zip(i.tolist(), j.tolist(), strict=True))
+    known = dict(told or {}) | {c: (0, s) for c, s in zip(cells, seed.tolist(), strict=True) if s >= 0}
+    waiting = {c for c, s, on in zip(cells, seed.tolist(), selected.tolist(), strict=True) if s < 0 and on}
     steps = [(1, 0), (-1, 0), (0, 1), (0, -1)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if connectivity == 8 else [])
-    passes = 0
-    while open_cells and (max_passes is None or passes < max_passes):
-        left = []
-        for x, y in open_cells:
-            around = {label.get(((x + a) % nx, (y + b) % ny) if wrap else (x + a, y + b), -1) for a, b in steps} - {-1}
-            if len(around) == 1:
-                label[x, y] = around.pop()
-            else:
-                left.append((x, y))
-        passes += 1
-        if len(left) == len(open_cells):
+
+    def around(c):
+        x, y = c
+        return [((x + a) % nx, (y + b) % ny) if wrap else (x + a, y + b) for a, b in steps]
+
+    def seen(by, c):
+        return max(1, known[by][0] + (by > c))
+
+    events = [(seen(n, c), c) for c in waiting for n in around(c) if n in known]
+    heapq.heapify(events)
+    while events:
+        at, c = heapq.heappop(events)
+        if max_passes is not None and at > max_passes:
             break
-        open_cells = left
-    return np.array([label[int(x), int(y)] for x, y in zip(i, j, strict=True)], np.int64)
+        if c not in waiting:
+            continue
+        waiting.discard(c)
+        near = around(c)
+        labels = {known[n][1] for n in near if n in known and seen(n, c) <= at}
+        if len(labels) == 1:
+            known[c] = (at, labels.pop())
+            for n in near:
+                if n in waiting:
+                    heapq.heappush(events, (seen(c, n), n))
+    got = np.array([known.get(c, (-1, -1)) for c in cells], np.int64).reshape(-1, 2)
+    return got[:, 1], got[:, 0]
 
 
 class Masked2D:

@@ -95,9 +95,11 @@ def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity:
     the origin that reaches them; cells between origins that can't agree keep -1.
 
     Components of all these cells are independent: without an origin all stay -1, with one (and no limit on passes) all take it
-    by a join, and only components with several origins are swept in raster order, one task each.
+    by a join, and only components with several origins are swept in raster order: one task each on a grid up to ``tile`` cells
+    wide, tile by tile on wider ones.
     """
     keys = list(keys)
+    widest = widest or cells.agg(F.max(F.greatest("nx", "ny"))).first()[0] or 1
     d = cells.where("selected or dense").select(*keys, "i", "j", "nx", "ny", "selected", "dense")
     on = [*keys, "i", "j"]
     seeds = cell_components(d.where("dense"), keys, connectivity, periodic, tile, widest).withColumnRenamed("label", "seed")
@@ -110,13 +112,63 @@ def seeded_components(cells: DataFrame, keys: Sequence[str] = (), connectivity:
 
     def sweep(g: pd.DataFrame) -> pd.DataFrame:
         a = [g[c].to_numpy() for c in ("i", "j", "seed", "selected")]
-        got = grow(*a, int(g["nx"].iloc[0]), int(g["ny"].iloc[0]), connectivity, periodic, max_passes)
+        got, _ = grow(*a, int(g["nx"].iloc[0]), int(g["ny"].iloc[0]), connectivity, periodic, max_passes)
         return g.assign(label=got)[[*on, "label"]]
 
+    if widest > tile:
+        return plain.unionByName(_grow_tiles(d.where(contested), keys, connectivity, periodic, max_passes, tile))
     swept = d.where(contested).groupBy(*keys, "root").applyInPandas(lambda g: sweep(g), _schema(d, on, "label int"))
     return plain.unionByName(swept)
 
 
+def _grow_tiles(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool, max_passes: int | None, tile: int) -> DataFrame:
+    """(keys, i, j, label) of cells grown from their seeds, each tile a task.
+
+    A tile grows its cells from its own seeds and what its neighbours say of their rims: (pass, label) of each labelled cell. Rounds go
+    on for the tiles to which something else is said than before, until nothing is. What a cell becomes hangs only on visits before its
+    own, so a round settles at least the first visit that was still wrong and all that follows from it inside tiles, and the state in
+    which all rims agree is that of the sweeps. There are about as many rounds as a label's way crosses rims, however many passes
+    the sweeps take. A round writes rims only.
+    """
+    at = [*keys, "ti", "tj"]
+    home = {"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")}
+    d = cut(cells.select(*keys, "i", "j", "nx", "ny", "seed", "selected").withColumns(home))
+    names, kinds = [*at, "fi", "fj", "i", "j", "pass", "label"], _schema(d, at, "fi int, fj int, i int, j int, pass long, label long")
+    moves = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 8 or not (a and b))]
+
+    def grown(g: pd.DataFrame, said: pd.DataFrame | None) -> pd.DataFrame:
+        told = None if said is None else dict(zip(zip(said["i"].tolist(), said["j"].tolist()), zip(said["pass"].tolist(), said["label"].tolist())))
+        label, passes = grow(*(g[c].to_numpy() for c in ("i", "j", "seed", "selected")), int(g["nx"].iloc[0]), int(g["ny"].iloc[0]), connectivity, wrap, max_passes, told)
+        return g.assign(label=label, **{"pass": passes})
+
+    def speak(g: pd.DataFrame, said: pd.DataFrame | None) -> pd.DataFrame:
+        """Labelled rim cells once for each other tile that they touch, with the tile they come from as fi and fj."""
+        if not len(g):
+            return pd.DataFrame(columns=names)
+        x = grown(g, said).query("label >= 0").rename(columns={"ti": "fi", "tj": "fj"})
+        out = []
+        for a, b in moves:
+            u, v = x["i"] + a, x["j"] + b
+            u, v = (u % x["nx"], v % x["ny"]) if wrap else (u, v)
+            y = x.assign(ti=u // tile, tj=v // tile)
+            out.append(y[(y["ti"] != y["fi"]) | (y["tj"] != y["fj"])][names])
+        return pd.concat(out).drop_duplicates()
+
+    def settle(g: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        return grown(g, said)[[*keys, "i", "j", "label"]] if len(g) else pd.DataFrame(columns=[*keys, "i", "j", "label"])
+
+    said = cut(d.groupBy(*at).applyInPandas(lambda g: speak(g, None), kinds))
+    news = said.select(*at).distinct()
+    while not news.isEmpty():
+        again = d.join(news, at, "left_semi").groupBy(*at).cogroup(said.join(news, at, "left_semi").groupBy(*at))
+        now = said.join(news.withColumnsRenamed({"ti": "fi", "tj": "fj"}), [*keys, "fi", "fj"], "left_anti").select(*names)
+        now = cut(now.unionByName(again.applyInPandas(lambda g, h: speak(g, h), kinds)))
+        news = cut(said.unionByName(now).groupBy(*names).count().where("count = 1").select(*at).distinct())
+        said = now
+    last = d.groupBy(*at).cogroup(said.groupBy(*at))
+    return last.applyInPandas(lambda g, h: settle(g, h), _schema(d, [*keys, "i", "j"], "label int"))
+
+
 def _packed(prefix: str = "") -> Column:
     c = lambda a: F.col(f"{prefix}{a}").cast("long")
     return (c("xi") * AXIS + c("yi")) * AXIS + c("zi")

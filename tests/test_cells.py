@@ -103,6 +103,27 @@ def test_growth_matches_raster_sweeps(spark, connectivity, wrap, max_passes):
         assert {k: v for k, v in got.items() if k[0] == r} == {(r, i, j): want[i, j] for i, j in zip(*np.nonzero(on), strict=True)}
 
 
+@pytest.mark.parametrize("connectivity, wrap, max_passes", [(4, False, None), (8, True, 3)])
+def test_growth_over_tiles_matches_raster_sweeps(spark, connectivity, wrap, max_passes, monkeypatch):
+    rng = np.random.default_rng(3)
+    runs = []
+    for n in range(3):
+        dense = rng.random((17, 19)) < 0.04
+        runs.append({"selected": (rng.random((17, 19)) < 0.5 + 0.2 * n) | dense, "dense": dense})
+    snake = np.ones((17, 19), bool)  # a way back and forth through the tiles, with an origin at each end
+    snake[1::6, :-1] = snake[4::6, 1:] = False
+    ends = np.zeros_like(snake)
+    ends[0, 0] = ends[16, 9] = True
+    runs.append({"selected": snake, "dense": ends})
+    by, tiles = [], labelling._grow_tiles
+    monkeypatch.setattr(labelling, "_grow_tiles", lambda *a: by.append(a[-1]) or tiles(*a))
+    got = {(r["run"], r["i"], r["j"]): r["label"] for r in seeded_components(table(spark, runs), ["run"], connectivity, wrap, max_passes, tile=10).collect()}
+    assert by == [10]
+    for r, a in enumerate(runs):
+        want = raster(a["selected"], a["dense"], connectivity, wrap, max_passes)
+        assert {k: v for k, v in got.items() if k[0] == r} == {(r, i, j): want[i, j] for i, j in zip(*np.nonzero(a["selected"] | a["dense"]), strict=True)}
+
+
 def dense_loop(norm, occupied, dense, scale, beta, max_iters, min_iters, tol, every, wrap):
     c = dense.astype(float)
     up = occupied & ~dense
