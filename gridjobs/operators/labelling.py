@@ -128,7 +128,9 @@ def _grow_tiles(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool
     on for the tiles to which something else is said than before, until nothing is. What a cell becomes hangs only on visits before its
     own, so a round settles at least the first visit that was still wrong and all that follows from it inside tiles, and the state in
     which all rims agree is that of the sweeps. There are about as many rounds as a label's way crosses rims, however many passes
-    the sweeps take. A round writes rims only.
+    the sweeps take. A round writes rims only. Two tiles can go on telling each other of a label that neither has from elsewhere, a pass
+    later each round: so after 6 rounds, then 12 more and so on, what is said from the first change on is forgotten. All before is
+    settled, and what was right is said again.
     """
     at = [*keys, "ti", "tj"]
     home = {"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")}
@@ -158,12 +160,21 @@ def _grow_tiles(cells: DataFrame, keys: list[str], connectivity: int, wrap: bool
         return grown(g, said)[[*keys, "i", "j", "label"]] if len(g) else pd.DataFrame(columns=[*keys, "i", "j", "label"])
 
     said = cut(d.groupBy(*at).applyInPandas(lambda g: speak(g, None), kinds))
-    news = said.select(*at).distinct()
+    news, visit = said.select(*at).distinct(), F.struct("pass", "i", "j")
+    rounds, step, forget = 0, 6, 6
     while not news.isEmpty():
         again = d.join(news, at, "left_semi").groupBy(*at).cogroup(said.join(news, at, "left_semi").groupBy(*at))
         now = said.join(news.withColumnsRenamed({"ti": "fi", "tj": "fj"}), [*keys, "fi", "fj"], "left_anti").select(*names)
         now = cut(now.unionByName(again.applyInPandas(lambda g, h: speak(g, h), kinds)))
-        news = cut(said.unionByName(now).groupBy(*names).count().where("count = 1").select(*at).distinct())
+        changed = cut(said.unionByName(now).groupBy(*names).count().where("count = 1"))
+        news, rounds = changed.select(*at).distinct(), rounds + 1
+        if rounds == forget:
+            step, forget = 2 * step, rounds + 2 * step
+            first = changed.groupBy(*keys).agg(F.min(visit).alias("_first"))
+            marked = now.join(first, keys, "left") if keys else now.crossJoin(first)
+            marked = cut(marked.withColumn("_late", F.coalesce(visit >= F.col("_first"), F.lit(False))))
+            late, now = marked.where("_late"), marked.where("not _late").select(*names)
+            news = news.unionByName(late.select(*at)).unionByName(late.select(*keys, F.col("fi").alias("ti"), F.col("fj").alias("tj"))).distinct()
         said = now
     last = d.groupBy(*at).cogroup(said.groupBy(*at))
     return last.applyInPandas(lambda g, h: settle(g, h), _schema(d, [*keys, "i", "j"], "label int"))

@@ -124,6 +124,16 @@ def test_growth_over_tiles_matches_raster_sweeps(spark, connectivity, wrap, max_
         assert {k: v for k, v in got.items() if k[0] == r} == {(r, i, j): want[i, j] for i, j in zip(*np.nonzero(a["selected"] | a["dense"]), strict=True)}
 
 
+def test_growth_where_tiles_tell_each_other_of_a_label_that_is_gone(spark):
+    rows = ["1011111", "0101111", "1111111", "1100111", "0111011", "1111101", "1111111", "1010111"]
+    selected = np.array([[c == "1" for c in row] for row in rows])
+    dense = np.zeros_like(selected)
+    dense[2, 1] = dense[5, 2] = dense[5, 6] = dense[6, 1] = True
+    got = {(r["i"], r["j"]): r["label"] for r in seeded_components(table(spark, [{"selected": selected, "dense": dense}]), (), 4, True, tile=4).collect()}
+    want = raster(selected, dense, 4, True, None)
+    assert got == {(i, j): want[i, j] for i, j in zip(*np.nonzero(selected | dense), strict=True)}
+
+
 def dense_loop(norm, occupied, dense, scale, beta, max_iters, min_iters, tol, every, wrap):
     c = dense.astype(float)
     up = occupied & ~dense
