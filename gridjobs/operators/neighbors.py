@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridjobs.functions.session import cut
 
-#: Points of a bucket that one task pairs; fuller buckets are cut into parts and each pair of parts is dealt out.
+#: Points of a bucket or leaf that one task pairs; fuller buckets are cut into parts and each pair of parts is dealt out.
 PART = 2_000
 
 
@@ -86,44 +87,87 @@ def _nearest(k: int):
     return run
 
 
-def knn_distances(points: DataFrame, k: int, id_col: str = "point_id", per_bucket: float = 4.0) -> DataFrame:
+def leaves(points: DataFrame, n: int, leaf: int, id_col: str = "id") -> DataFrame:
+    """Points (id, x, y) with the slab and the block of about ``leaf`` points in which they lie: slabs of equal counts along x, each
+    cut into blocks of equal counts along y. A dense place makes more leaves, however small it is; equal points may be parted."""
+    from gridjobs.operators.labelling import ranked
+
+    slabs = math.ceil(math.sqrt(math.ceil(n / leaf)))
+    d = ranked(points, [], [F.col("x"), F.col(id_col)], "_at").withColumn("slab", F.floor(F.col("_at") * slabs / F.lit(n)).cast("int")).drop("_at")
+    m = d.groupBy("slab").agg(F.count("*").alias("_m"))
+    d = ranked(d, ["slab"], [F.col("y"), F.col(id_col)], "_at").join(m, "slab")
+    return d.withColumn("block", F.floor(F.col("_at") * F.ceil(F.col("_m") / leaf) / F.col("_m")).cast("int")).drop("_at", "_m")
+
+
+def _at_home(k: int):
+    """Each point of a leaf with its k-th distance in it; ``open`` if that reaches out of the leaf's box, then with all k."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g["x"].to_numpy(), g["y"].to_numpy()
+        near = np.empty((len(g), k))
+        for at in range(0, len(g), 1_000):
+            dx, dy = x[at : at + 1_000, None] - x[None], y[at : at + 1_000, None] - y[None]
+            d = np.sqrt(dx * dx + dy * dy)
+            d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+            near[at : at + 1_000] = np.partition(d, k - 1, 1)[:, :k]
+        far = near.max(1)
+        r = far * (1 + 1e-9) + 4e-15 * np.maximum(abs(x), abs(y))
+        out = (x - r <= x.min()) | (x + r >= x.max()) | (y - r <= y.min()) | (y + r >= y.max())
+        return g.assign(distance=far, r=r, open=out & (far > 0), near=list(near))
+
+    return run
+
+
+def knn_distances(points: DataFrame, k: int, id_col: str = "point_id", leaf: int = PART) -> DataFrame:
     """(id, distance): distance of every 2D point to its k-th nearest other point; no row with k points or fewer.
 
-    Buckets hold about ``per_bucket`` * k points at mean density. A point meets its own bucket and the eight around it. Its k-th
-    distance is certain once it is no larger than the part of these that surrounds it on all sides; points that are not certain
-    yet go on with buckets twice as wide, so that a lone point meets nine buckets a round, however far it stands. Buckets
-    fuller than ``PART`` are cut into parts, each part sends on its k nearest only, and distances are taken where the points
-    lie, in blocks. Only counts reach the driver. Equal points are neighbours at distance 0. Ids are whole numbers.
+    Points are dealt into leaves of equal counts, so that a spot that holds most points costs a task no more rows than an even spread.
+    The k-th distance within its leaf bounds a point's search; where that reaches out of the leaf's box, the point visits the leaves
+    whose box is nearer than the bound and nearer than the far corner of any leaf of their slab (each holds more than k points).
+    That leaves nothing out: who is nearer than the answer lies in a visited leaf. Visits to a leaf are dealt out in parts. The
+    driver gets the edges of slabs, the square root of the number of leaves. Equal points are neighbours at distance 0; points with
+    null or NaN coordinates take no part. Ids are whole numbers.
     """
-    p = points.select(F.col(id_col).cast("long").alias("id"), "x", "y")
-    b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
-    n = b[4]
+    p = points.select(F.col(id_col).cast("long").alias("id"), "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    n = p.count()
     if n <= k:
         return p.select("id", F.lit(None).cast("double").alias("distance")).where(F.lit(False))
-    area = max(b[1] - b[0], 1e-12) * max(b[3] - b[2], 1e-12)
-    edge = max((area * per_bucket * k / n) ** 0.5, max(b[1] - b[0], b[3] - b[2]) / 4096, 1e-12)
-    at = lambda c, low: F.floor((F.col(c) - low) / edge).cast("int")  # noqa: B023, E731
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    done, todo = None, p
-    while True:
-        last = edge >= max(b[1] - b[0], b[3] - b[2])
-        target = p.select(F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), at("x", b[0]).alias("bi"), at("y", b[2]).alias("bj"))
-        full = target.groupBy("bi", "bj").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-        a = todo.select(F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), at("x", b[0]).alias("hi"), at("y", b[2]).alias("hj"))
-        near = a.withColumn("s", around).withColumns({"bi": F.col("hi") + F.col("s.i"), "bj": F.col("hj") + F.col("s.j")})
-        near = near.join(full, ["bi", "bj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        parted = target.join(full, ["bi", "bj"]).withColumn("part", F.pmod(F.xxhash64("b_id", "b_x", "b_y"), F.col("parts")).cast("int"))
-        on = ["bi", "bj", "part"]
-        left, right = near.select(*on, "a_id", "a_x", "a_y"), parted.select(*on, "b_id", "b_x", "b_y")
-        d = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_nearest(k), "a_id long, d double")
-        few = d.withColumn("n", F.row_number().over(Window.partitionBy("a_id").orderBy("d"))).where(f"n <= {k}")
-        kth = few.groupBy("a_id").agg(F.max("d").alias("distance"), F.count("*").alias("n"))
-        gap = lambda c, i, low: F.least(F.col(c) - (low + (F.col(i) - 1) * edge), low + (F.col(i) + 2) * edge - F.col(c))  # noqa: B023, E731
-        sure = (F.col("n") == k) & (F.lit(last) | (F.col("distance") <= F.least(gap("a_x", "hi", b[0]), gap("a_y", "hj", b[2]))))
-        found = cut(a.join(kth, "a_id", "left").withColumn("sure", F.coalesce(sure, F.lit(False))))
-        out = found.where("sure").select(F.col("a_id").alias("id"), "distance")
-        done = out if done is None else done.unionByName(out)
-        todo = found.where("not sure").select(F.col("a_id").alias("id"), F.col("a_x").alias("x"), F.col("a_y").alias("y"))
-        if last or todo.isEmpty():
-            return done
-        edge *= 2
+    d = cut(leaves(p, n, max(leaf, 4 * (k + 1))))
+    kind = "id long, x double, y double, slab int, block int, distance double, r double, open boolean, near array<double>"
+    home = cut(d.select("id", "x", "y", "slab", "block").groupBy("slab", "block").applyInPandas(_at_home(k), kind))
+    boxes = d.groupBy("slab", "block").agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    boxes = cut(boxes.groupBy("slab").agg(F.collect_list(F.struct("block", "lo_x", "hi_x", "lo_y", "hi_y")).alias("boxes"), F.min("lo_x").alias("lo"), F.max("hi_x").alias("hi")))
+    edges = boxes.select("slab", "lo", "hi").orderBy("slab").toPandas()
+    slab, lo, hi = (edges[c].to_numpy() for c in ("slab", "lo", "hi"))
+
+    def reach(parts):
+        for g in parts:
+            first = np.searchsorted(hi, g["x"].to_numpy() - g["r"].to_numpy(), "left")
+            last = np.maximum(np.searchsorted(lo, g["x"].to_numpy() + g["r"].to_numpy(), "right"), first)
+            at = np.repeat(np.arange(len(g)), last - first)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
+            yield g.iloc[at].rename(columns={"slab": "own"}).assign(slab=slab[first[at] + step])
+
+    kind = "id long, x double, y double, own int, block int, distance double, slab int"
+    visits = home.where("open").select("id", "x", "y", "slab", "block", "distance", "r")
+    visits = visits.mapInPandas(lambda parts: (g.drop(columns="r") for g in reach(parts)), kind).withColumnRenamed("block", "own_block").join(boxes.select("slab", "boxes"), "slab")
+    x, y = F.col("x"), F.col("y")
+    apart = lambda dx, dy: F.sqrt(dx * dx + dy * dy)
+    far = lambda b: apart(F.greatest(F.abs(x - b["lo_x"]), F.abs(x - b["hi_x"])), F.greatest(F.abs(y - b["lo_y"]), F.abs(y - b["hi_y"])))
+    least = lambda b: apart(F.greatest(F.lit(0.0), b["lo_x"] - x, x - b["hi_x"]), F.greatest(F.lit(0.0), b["lo_y"] - y, y - b["hi_y"]))
+    visits = visits.withColumn("bound", F.least("distance", F.array_min(F.transform("boxes", far))))
+    at_home = lambda b: (F.col("slab") == F.col("own")) & (b["block"] == F.col("own_block"))
+    to = F.transform(F.filter("boxes", lambda b: (least(b) < F.col("bound")) & ~at_home(b)), lambda b: b["block"])
+    visits = cut(visits.select("id", "x", "y", "slab", "bound", to.alias("to")))
+    left = visits.select("slab", F.explode("to").alias("block"), F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
+    parts = left.groupBy("slab", "block").agg(F.ceil(F.count("*") / (8 * PART)).cast("int").alias("parts"))
+    right = d.join(parts, ["slab", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.join(parts, ["slab", "block"]).withColumn("part", F.pmod(F.xxhash64("a_id"), F.col("parts")).cast("int"))
+    on = ["slab", "block", "part"]
+    left, right = left.select(*on, "a_id", "a_x", "a_y"), right.select(*on, F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_nearest(k), "a_id long, d double")
+    none = F.lit(None).cast("double")
+    told = home.where("open").select("id", F.explode("near").alias("d"), none.alias("bound")).unionByName(found.select(F.col("a_id").alias("id"), "d", none.alias("bound")))
+    told = told.unionByName(visits.select("id", none.alias("d"), "bound"))
+    kth = told.groupBy("id").agg(F.least(F.element_at(F.sort_array(F.collect_list("d")), k), F.min("bound")).alias("distance"))
+    return home.where("not open").select("id", "distance").unionByName(kth)

@@ -91,13 +91,26 @@ def test_nearest_neighbours_with_lone_and_equal_points(spark):
     assert prepare.knn_spacing(p.limit(3), 5).first()["knn_h"] is None
 
 
+def test_half_of_all_points_in_one_spot_make_leaves_no_fuller(spark):
+    rng = np.random.default_rng(5)
+    even, spot = rng.random((400, 2)), 0.5 + 1e-6 * rng.random((400, 2))
+    spot[:150] = 0.5  # equal points fill leaves of their own
+    for xy in (np.vstack([even, rng.random((400, 2))]), np.vstack([even, spot])):
+        p = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(xy)], "point_id long, x double, y double")
+        sizes = [r["count"] for r in neighbors.leaves(p, len(xy), 40, "point_id").groupBy("slab", "block").count().collect()]
+        assert max(sizes) <= 40 and min(sizes) >= 19
+        d = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)), 1)
+        got = {r["id"]: r["distance"] for r in neighbors.knn_distances(p, 5, leaf=40).collect()}
+        assert len(got) == len(xy) and all(got[n] == pytest.approx(d[n, 5], abs=1e-15) for n in got)
+
+
 def test_neighbours_of_far_points_beside_a_full_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "PART", 20)
+    monkeypatch.setattr(neighbors, "PART", 2)
     rng = np.random.default_rng(7)
     xy = np.vstack([rng.normal(0, 0.001, (300, 2)), rng.uniform(-1e4, 1e4, (12, 2)), [[5, 5]] * 9])
     p = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(xy)], "point_id long, x double, y double")
     d = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)), 1)
-    got = {r["id"]: r["distance"] for r in neighbors.knn_distances(p, 4).collect()}
+    got = {r["id"]: r["distance"] for r in neighbors.knn_distances(p, 4, leaf=20).collect()}
     assert len(got) == len(xy) and all(got[n] == pytest.approx(d[n, 4], abs=1e-12) for n in got)
 
 
