@@ -139,10 +139,9 @@ def diffuse_3d(field: np.ndarray, beta: float, iters: int, known: np.ndarray | N
     return c
 
 
-def silhouette_sums(x: np.ndarray, points: np.ndarray, label: np.ndarray, n_labels: int, squared: bool) -> np.ndarray:
+def silhouette_sums(x: np.ndarray, points: np.ndarray, label: np.ndarray, n_labels: int) -> np.ndarray:
     """For each row of x the sum of distances to the points of each label."""
     d2 = np.maximum((x**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * x @ points.T, 0.0)
-    d = d2 if squared else np.sqrt(d2)
     one = np.zeros((len(points), n_labels))
     one[np.arange(len(points)), label] = 1.0
-    return d @ one
+    return np.sqrt(d2) @ one

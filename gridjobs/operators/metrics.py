@@ -157,6 +157,7 @@ def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int |
 
     Each task takes a share of the points and goes over blocks of all points of the run. All labelled points
     are scored and compared, unless a ``sample_size`` is asked for: then about that many of a run, by hash of their id and ``seed``.
+    With ``squared`` distances points are compared with clusters only, not with each other.
     """
     keys = list(keys)
     p = labelled.where("label >= 0").select(*keys, "point_id", "x", "y", F.col("label").cast("int").alias("label"))
@@ -164,6 +165,8 @@ def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int |
     p = with_row(p, n, keys)
     if sample_size is not None:
         p = p.where((F.col("_n") <= sample_size) | (F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * sample_size / F.col("_n")))
+    if squared:
+        return _squared_silhouette(p, keys)
     blocks = p.groupBy(*keys, F.pmod(F.xxhash64("point_id", F.lit(1)), F.ceil(F.col("_n") / 20_000)).alias("block")).agg(F.collect_list(F.struct("point_id", "x", "y", "label")).alias("pts"))
     mine = p.withColumn("share", F.pmod(F.xxhash64("point_id", F.lit(2)), F.ceil(F.col("_n") / 2_000)))
     mine = mine.groupBy(*keys, "share").agg(F.collect_list(F.struct("point_id", "x", "y", "label")).alias("own"))
@@ -175,7 +178,7 @@ def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int |
             for r in part.itertuples(index=False):
                 own, pts = (pd.DataFrame(list(v)) for v in (r.own, r.pts))
                 names, at = np.unique(pts["label"].to_numpy(), return_inverse=True)
-                s = silhouette_sums(own[["x", "y"]].to_numpy(float), pts[["x", "y"]].to_numpy(float), at, len(names), squared)
+                s = silhouette_sums(own[["x", "y"]].to_numpy(float), pts[["x", "y"]].to_numpy(float), at, len(names))
                 m = np.bincount(at, minlength=len(names))
                 out = pd.DataFrame({"point_id": np.repeat(own["point_id"].to_numpy(), len(names)), "label": np.repeat(own["label"].to_numpy(), len(names)), "other": np.tile(names, len(own)), "total": s.ravel(), "m": np.tile(m, len(own))})
                 for k in reversed(keys):
@@ -186,13 +189,49 @@ def silhouette(labelled: DataFrame, keys: Sequence[str] = (), sample_size: int |
     own = F.col("label") == F.col("other")
     a, b = F.max(F.when(own & (F.col("m") > 1), F.col("total") / (F.col("m") - 1))), F.min(F.when(~own, F.col("total") / F.col("m")))
     one = got.groupBy(*keys, "point_id").agg(a.alias("a"), b.alias("b"), F.max(F.when(own, F.col("m"))).alias("size"))
+    return _mean_width(one, got.groupBy(*keys).agg(F.count_distinct("other").alias("k")), keys)
+
+
+def _mean_width(one: DataFrame, k: DataFrame, keys: list[str]) -> DataFrame:
+    """silhouette of each run from a, b and the size of the own cluster of each point, and the number of clusters."""
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    k = got.groupBy(*keys).agg(F.count_distinct("other").alias("k"))
-    out = one.groupBy(*keys).agg(F.avg(s).alias("s"), F.count("*").alias("points"))
-    out = beside([out, k], keys)
+    out = beside([one.groupBy(*keys).agg(F.avg(s).alias("s"), F.count("*").alias("points")), k], keys)
     return out.select(*keys, F.when((F.col("k") >= 2) & (F.col("k") < F.col("points")), F.col("s")).alias("silhouette"))
 
 
+def _squared_silhouette(p: DataFrame, keys: list[str]) -> DataFrame:
+    """Silhouette under squared distances: a cluster of m points with centre c and sum of squares q around it has the sum
+    m |x - c|^2 + q to a point x. Shares of 2,000 points meet blocks of ``CLUSTERS`` clusters, one block in most runs."""
+    centre = p.groupBy(*keys, "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    d = p.join(centre, [*keys, "label"])
+    c = cut(d.groupBy(*keys, "label").agg(F.sum(_away() * _away()).alias("q"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.count("*").alias("m")))
+    k = c.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("m").alias("_all"))
+    blocks = with_row(c, k, keys).groupBy(*keys, F.pmod(F.xxhash64("label"), F.ceil(F.col("k") / CLUSTERS)).alias("block")).agg(F.collect_list(F.struct("label", "cx", "cy", "q", "m")).alias("clusters"))
+    mine = with_row(p, k.select(*keys, "_all"), keys).groupBy(*keys, F.pmod(F.xxhash64("point_id", F.lit(2)), F.ceil(F.col("_all") / 2_000)).alias("share"))
+    mine = mine.agg(F.collect_list(F.struct("point_id", "x", "y", "label")).alias("own"))
+    pairs = mine.join(blocks, keys) if keys else mine.crossJoin(blocks)
+    kinds = ", ".join([*(f"`{k}` {t}" for k, t in p.select(*keys).dtypes), "point_id long, a double, b double, size long"])
+
+    def nearest(parts):
+        for part in parts:
+            for r in part.to_dict("records"):
+                c = pd.DataFrame(list(r["clusters"]))
+                every = pd.DataFrame(list(r["own"]))
+                for at in range(0, len(every), 500):
+                    x = every.iloc[at : at + 500]
+                    d2 = sum((x[v].to_numpy(float)[:, None] - c[f"c{v}"].to_numpy(float)[None]) ** 2 for v in "xy")
+                    q, m = c["q"].to_numpy(float)[None], c["m"].to_numpy()[None]
+                    own = x["label"].to_numpy()[:, None] == c["label"].to_numpy()[None]
+                    a = np.where(own, (m * d2 + q) / np.maximum(m - 1, 1), -1.0).max(1)
+                    out = pd.DataFrame({"point_id": x["point_id"].to_numpy(), "a": a, "b": np.where(own, np.inf, d2 + q / m).min(1), "size": np.where(own, m, 0).max(1)})
+                    for k in reversed(keys):
+                        out.insert(0, k, r[k])
+                    yield out
+
+    one = pairs.mapInPandas(nearest, kinds).groupBy(*keys, "point_id").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("size").alias("size"))
+    return _mean_width(one, k.select(*keys, "k"), keys)
+
+
 def partition_scores(labelled: DataFrame, keys: Sequence[str] = (), with_silhouette: bool = False) -> DataFrame:
     """sil, dbi, cov, k and valid of each run; with fewer than two labelled points or clusters sil is 0, dbi infinite and k 0."""
     keys = list(keys)

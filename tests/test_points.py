@@ -91,6 +91,28 @@ def test_nearest_neighbours_with_lone_and_equal_points(spark):
     assert prepare.knn_spacing(p.limit(3), 5).first()["knn_h"] is None
 
 
+def test_squared_silhouette_by_clusters_matches_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CLUSTERS", 3)
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for run, k in enumerate((8, 2, 1)):
+        label = np.append(rng.integers(0, k, 60), [k - 1] if k < 3 else [k, -1])
+        xy = rng.normal(0, 1, (len(label), 2)) + 1e4 + label[:, None]
+        rows += [(run, n, float(x), float(y), int(c)) for n, ((x, y), c) in enumerate(zip(xy, label, strict=True))]
+        xy, label = xy[label >= 0], label[label >= 0]
+        d, s = ((xy[:, None] - xy[None]) ** 2).sum(2), []
+        for n, c in enumerate(label):
+            own = (label == c).sum()
+            if own > 1 and k > 1:
+                a, b = d[n, label == c].sum() / (own - 1), min(d[n, label == o].mean() for o in set(label.tolist()) - {c})
+                s.append((b - a) / max(a, b))
+            else:
+                s.append(0.0)
+        want[run] = pytest.approx(np.mean(s), abs=1e-9) if k > 1 else None
+    df = spark.createDataFrame(rows, "run int, point_id long, x double, y double, label int")
+    assert {r["run"]: r["silhouette"] for r in metrics.silhouette(df, ["run"], squared=True).collect()} == want
+
+
 def test_half_of_all_points_in_one_spot_make_leaves_no_fuller(spark):
     rng = np.random.default_rng(5)
     even, spot = rng.random((400, 2)), 0.5 + 1e-6 * rng.random((400, 2))
