@@ -121,8 +121,7 @@ def stage_a_search(
     unit = lambda w: tuple(x / sum(w) for x in w)
     triples = [unit([clip(x, *weight_range) for x in w]) for w in (own, *PRIORS)] if search_weights else [own]
     rng = random.Random(seed)
-    r_seeds = [max(r_range[0], COUNTS[0]), *(min(r_range[1], n) for n in COUNTS[1:])]
-    batch = [(math.exp(clip(math.log(h), lo, hi)), clip(r, *r_range), *w) for h in (f * h0 for f in WIDTHS) for r in r_seeds for w in triples]
+    batch = [(math.exp(clip(math.log(h), lo, hi)), clip(r, *r_range), *w) for h in (f * h0 for f in WIDTHS) for r in COUNTS for w in triples]
     done, span, centre = None, 1.0, None
     for n in range(rounds):
         for _ in range(draws):
