@@ -4,6 +4,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,3 +372,24 @@ def test_baselines(spark):
     assert got["dbscan"]["ari"] > 0.9 and got["clique"]["purity"] > 0.8 and got["kmeans"]["k"] == 6
     assert got["gmm"]["k"] <= 6 and got["gmm"]["coverage"] == 1.0 and got["gmm"]["purity"] > 0.5
     assert all(r["silhouette"] > 0.2 for r in got.values())
+
+
+def test_cluster_distances_by_tree_match_all_pairs(spark):
+    from gridjobs.operators.distances import cluster_distances
+
+    rng = np.random.default_rng(5)
+    x, y = (np.concatenate([rng.normal(size=300), 1e-3 * rng.normal(size=300) + 0.3, [0.3, 0.3]]) for _ in "xy")
+    label = np.concatenate([rng.integers(0, 4, 600), [1, 1]])
+    df = spark.createDataFrame(pd.DataFrame({"point_id": range(602), "x": x, "y": y, "label": label}))
+    d = np.hypot(x[:, None] - x, y[:, None] - y)
+    size = np.bincount(label)
+    mean = np.array([d[:, label == k].sum(1) for k in range(4)]) / size[:, None]
+    own = mean[label, range(602)] * size[label] / (size[label] - 1)
+    mean[label, range(602)] = np.inf
+    got = cluster_distances(df, leaf=25, whole=0).collect()
+    assert sum(r["w"] for r in got) == 602 and max(r["w"] for r in got) == 2 and {r["size"] for r in got} == set(size.tolist())
+    want = sorted(zip(own, mean.min(0)))
+    assert np.allclose(sorted((r["a"], r["b"]) for r in got for _ in range(r["w"])), want, rtol=1e-7)
+    s = np.mean([(b - a) / max(a, b) for a, b in want])
+    assert metrics.silhouette(df, leaf=25, whole=0).first()[0] == pytest.approx(s, abs=1e-8)
+    assert metrics.silhouette(df).first()[0] == pytest.approx(s, abs=1e-12)
