@@ -393,3 +393,36 @@ def test_cluster_distances_by_tree_match_all_pairs(spark):
     s = np.mean([(b - a) / max(a, b) for a, b in want])
     assert metrics.silhouette(df, leaf=25, whole=0).first()[0] == pytest.approx(s, abs=1e-8)
     assert metrics.silhouette(df).first()[0] == pytest.approx(s, abs=1e-12)
+
+
+def test_a_leaf_compares_each_point_with_few_others(monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs, brute = [0], neighbors._brute
+
+    def counted(ax, ay, bx, by, k):
+        pairs[0] += len(ax) * len(bx)
+        return brute(ax, ay, bx, by, k)
+
+    monkeypatch.setattr(neighbors, "_brute", counted)
+    even = rng.random((3_000, 2))
+    lattice = np.stack(np.meshgrid(np.arange(50.0), np.arange(60.0)), -1).reshape(-1, 2)
+    spot = np.vstack([even[:1_500], 0.5 + 1e-7 * rng.random((1_500, 2))])
+    for xy in (even, even * [1, 300], lattice, spot, np.repeat(even[:1_000], 3, 0)):
+        (x, y), pairs[0] = xy.T, 0
+        got = np.sort(neighbors.nearest(x, y, np.full(len(x), np.inf), x, y, 6), 1)
+        assert pairs[0] < len(x) ** 2 / 8
+        assert (got == np.sort(brute(x, y, x, y, 6), 1)).all()
+    x, y = even.T
+    bound = 0.05 * rng.random(500)
+    got, want = (np.sort(d, 1) for d in (neighbors.nearest(x[:500] + 0.3, y[:500], bound, x, y, 5), brute(x[:500] + 0.3, y[:500], x, y, 5)))
+    assert ((got == want) | ((got >= bound[:, None]) & (want >= bound[:, None]))).all()
+
+
+def test_quantiles_of_counted_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, w = np.round(rng.normal(0, 1, 900), 2), rng.integers(0, 9, 900)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, w, strict=True)], "v double, n long")
+    want = np.quantile(np.repeat(v, w), [0.0, 0.25, 0.5, 1.0]).tolist()
+    for most in (1_000_000, 300):
+        monkeypatch.setattr(prepare, "BUFFERED", most)
+        assert prepare.quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], "n") == pytest.approx(want, abs=1e-15)
