@@ -4,27 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _overlaps(labelled: DataFrame, keys: list[str], background: int) -> DataFrame:
+def _size(count: str | None) -> Column:
+    return F.sum(count) if count else F.count("*")
+
+
+def _overlaps(labelled: DataFrame, keys: list[str], background: int, count: str | None) -> DataFrame:
     """Jaccard coefficient of each pair of overlapping clusters, from pair counts: no cluster is compared with all others."""
-    pairs = labelled.where((F.col("grid_id") != background) & (F.col("atom_label") != background)).groupBy(*keys, "grid_id", "atom_label").agg(F.count("*").alias("both"))
-    g = labelled.where(F.col("grid_id") != background).groupBy(*keys, "grid_id").agg(F.count("*").alias("g"))
-    a = labelled.where(F.col("atom_label") != background).groupBy(*keys, "atom_label").agg(F.count("*").alias("a"))
+    pairs = labelled.where((F.col("grid_id") != background) & (F.col("atom_label") != background)).groupBy(*keys, "grid_id", "atom_label").agg(_size(count).alias("both"))
+    g = labelled.where(F.col("grid_id") != background).groupBy(*keys, "grid_id").agg(_size(count).alias("g"))
+    a = labelled.where(F.col("atom_label") != background).groupBy(*keys, "atom_label").agg(_size(count).alias("a"))
     d = pairs.join(g, [*keys, "grid_id"]).join(a, [*keys, "atom_label"])
     return d.withColumn("jaccard", F.col("both") / (F.col("g") + F.col("a") - F.col("both")))
 
 
-def match_by_overlap(labelled: DataFrame, keys: Sequence[str] = ("step",), min_jaccard: float = 0.0, background: int = 0) -> DataFrame:
+def match_by_overlap(labelled: DataFrame, keys: Sequence[str] = ("step",), min_jaccard: float = 0.0, background: int = 0, count: str | None = None) -> DataFrame:
     """(keys, grid_id, atom_label, jaccard): each grid cluster's best atom cluster, lowest id on ties.
 
-    ``labelled`` has one row per atom with grid_id and atom_label. A grid cluster that overlaps none is matched with the lowest
+    ``labelled`` has one row per atom with grid_id and atom_label, or a row for ``count`` atoms. A grid cluster that overlaps none is matched with the lowest
     atom cluster at 0 if ``min_jaccard`` allows that; without any atom cluster nothing is matched.
     """
     keys = list(keys)
-    d = _overlaps(labelled, keys, background)
+    d = _overlaps(labelled, keys, background, count)
     best = d.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "grid_id").orderBy(F.desc("jaccard"), "atom_label"))).where("r = 1").select(*keys, "grid_id", "atom_label", "jaccard")
     lowest = labelled.where(F.col("atom_label") != background).groupBy(*keys).agg(F.min("atom_label").alias("low"))
     ids = labelled.where(F.col("grid_id") != background).select(*keys, "grid_id").distinct()
@@ -34,18 +38,18 @@ def match_by_overlap(labelled: DataFrame, keys: Sequence[str] = ("step",), min_j
     return out.where(F.col("jaccard") >= min_jaccard)
 
 
-def match_one_to_one(labelled: DataFrame, keys: Sequence[str] = ("step",), min_jaccard: float = 0.5, background: int = -1) -> DataFrame:
+def match_one_to_one(labelled: DataFrame, keys: Sequence[str] = ("step",), min_jaccard: float = 0.5, background: int = -1, count: str | None = None) -> DataFrame:
     """Matches with at least ``min_jaccard``, one per atom cluster: of several grid clusters the highest id."""
     keys = list(keys)
-    m = match_by_overlap(labelled, keys, min_jaccard, background)
+    m = match_by_overlap(labelled, keys, min_jaccard, background, count)
     return m.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "atom_label").orderBy(F.desc("grid_id")))).where("r = 1").drop("r")
 
 
-def voxel_shape(cells: DataFrame, keys: Sequence[str], atoms: DataFrame | None = None, least_points: int = 8) -> DataFrame:
+def voxel_shape(cells: DataFrame, keys: Sequence[str], atoms: DataFrame | None = None, least_points: int = 8, count: str | None = None) -> DataFrame:
     """(keys, volume, surface, n_points): volume of each cluster's cells and area of their faces that touch no other cell of it.
 
     ``keys`` name a cluster; cells have xi, yi, zi and dx, dy, dz. Clusters with fewer points than ``least_points`` have volume and
-    surface 0; ``atoms`` (keys, one row per point) says how many they have, and without it cells count as points.
+    surface 0; ``atoms`` (keys, one row per point or for ``count`` points) says how many they have, and without it cells count as points.
     """
     keys = list(keys)
     d = cells.select(*keys, "xi", "yi", "zi", "dx", "dy", "dz").distinct()
@@ -55,7 +59,7 @@ def voxel_shape(cells: DataFrame, keys: Sequence[str], atoms: DataFrame | None =
     faces = faces.select(*keys, *((F.col(f"{a}i") + F.col(f"s.{a}")).alias(f"{a}i") for a in "xyz"), F.col("s.area").alias("area"))
     bare = faces.join(d.select(*keys, "xi", "yi", "zi"), [*keys, "xi", "yi", "zi"], "left_anti").groupBy(*keys).agg(F.sum("area").alias("surface"))
     size = d.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dy") * F.col("dz")).alias("volume"), F.count("*").alias("n_cells")).join(bare, keys)
-    size = size.join(atoms.groupBy(*keys).agg(F.count("*").alias("n_points")), keys) if atoms is not None else size.withColumn("n_points", F.col("n_cells"))
+    size = size.join(atoms.groupBy(*keys).agg(_size(count).alias("n_points")), keys) if atoms is not None else size.withColumn("n_points", F.col("n_cells"))
     some = F.col("n_points") >= least_points
     return size.select(*keys, *(F.when(some, F.col(c)).otherwise(0.0).alias(c) for c in ("volume", "surface")), "n_points")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridjobs.functions.kernels import label_2d
-from gridjobs.operators import diffusion, labelling
+from gridjobs.operators import diffusion, labelling, matching
 from gridjobs.operators.components import components
 from gridjobs.operators.diffusion import diffuse_free_3d, diffuse_masked_2d, impute_3d
 from gridjobs.operators.grid import full_lattice, normalize_nonzero
@@ -282,3 +282,15 @@ def test_ranks_by_ranges_are_those_of_one_window(spark, monkeypatch):
         members = labelling.cluster_members(df, ["k"], ["v"], chunk=100).collect()
         assert {(r["k"], v): 100 * r["chunk"] + n for r in members for n, v in enumerate(r["members"])} == want
         assert labelling.ranked(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_matches_of_counted_atoms_are_those_of_single_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, int(a), int(b)) for a, b in zip(rng.integers(-1, 5, 400), rng.integers(-1, 4, 400), strict=True)]
+    one = spark.createDataFrame(rows, "step int, grid_id int, atom_label int")
+    told = one.groupBy(*one.columns).count()
+    want = {tuple(r) for r in matching.match_one_to_one(one, min_jaccard=0.01).collect()}
+    assert want and {tuple(r) for r in matching.match_one_to_one(told, min_jaccard=0.01, count="count").collect()} == want
+    cells = spark.createDataFrame([(0, 0, 0, 0, 1.0, 1.0, 1.0), (0, 1, 0, 0, 1.0, 1.0, 1.0)], "g int, xi int, yi int, zi int, dx double, dy double, dz double")
+    points = spark.createDataFrame([(0, 5), (0, 4)], "g int, n long")
+    assert [tuple(r) for r in matching.voxel_shape(cells, ["g"], points, 9, count="n").collect()] == [(0, 2.0, 10.0, 9)]
