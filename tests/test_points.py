@@ -426,3 +426,19 @@ def test_quantiles_of_counted_values(spark, monkeypatch):
     for most in (1_000_000, 300):
         monkeypatch.setattr(prepare, "BUFFERED", most)
         assert prepare.quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], "n") == pytest.approx(want, abs=1e-15)
+
+
+def test_a_search_over_datasets_reads_its_source_once_for_each(spark):
+    rng = np.random.default_rng(4)
+    rows = [(n, float(x), float(y), "ab"[n % 2]) for n, (x, y) in enumerate(np.vstack([rng.normal(0, 0.2, (40, 2)), rng.normal(3, 0.2, (40, 2))]))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for g in parts:
+            read.add(len(g))
+            yield g
+
+    kinds = "point_id long, x double, y double, dataset string"
+    points = spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)
+    found = pipeline.dataset_sweep(points, None, (0.3,), strategies=["search"], search={"draws": 1, "rounds": 1}).collect()
+    assert {r["dataset"] for r in found} == {"a", "b"} and read.value <= 3 * len(rows)
